@@ -7,12 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradelake.llm import exact_dedup, mixing, simhash
+from tradelake.llm import exact_dedup, mixing, piece_bpe, simhash, token_counts
 from tradelake.llm.common import table, text_of, without_space
 
+#: Tokens above which op7 flags a document.
+TOKEN_LIMIT = 512
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = piece_bpe.encode_decode(table(spark, sf_dir, "documents"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.token_counts(table(spark, sf_dir, "documents"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mixing_plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -29,7 +47,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op8_source_mix, op9_simhash, op10_exact_dedup)}
+    return {f.__name__: f for f in (op3_piece_codec, op7_token_counts, op8_source_mix, op9_simhash, op10_exact_dedup)}
 
 
 OP8_SQL = r"""
