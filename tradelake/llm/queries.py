@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradelake.llm import exact_dedup, mixing, piece_bpe, simhash, substring_dedup, token_counts
+from tradelake.llm import exact_dedup, langid, mixing, piece_bpe, simhash, substring_dedup, token_counts
 from tradelake.llm.common import table, text_of, without_space
 
 #: Tokens above which op7 flags a document.
@@ -16,6 +16,15 @@ TOKEN_LIMIT = 512
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents and all pages; page p has the doc_id -1 - p, which no document has, and its page_id."""
+    docs = table(spark, sf_dir, "documents")
+    pages = langid.page_rows(table(spark, sf_dir, "pages")).withColumn("doc_id", -1 - F.col("page_id"))
+    columns = ["doc_id", "text", "lang", "source"]
+    found = langid.identify(docs.select(columns).unionByName(pages.select(columns)), langid.fit(docs))
+    return found.withColumn("page_id", F.when(F.col("doc_id") < 0, -1 - F.col("doc_id")))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -52,7 +61,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_piece_codec, op7_token_counts, op8_source_mix, op9_simhash, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_piece_codec, op7_token_counts, op8_source_mix, op9_simhash, op10_exact_dedup)}
 
 
 OP8_SQL = r"""
