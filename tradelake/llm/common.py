@@ -47,6 +47,20 @@ def drop_materialized(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Ids that drop_ids() broadcasts at most, some 30 MB as a hash table.
+BROADCAST_IDS = 500_000
+
+
+def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs without the rows whose id is in gone's only column; rows with a null id stay.
+
+    The ids are written and counted first: few are broadcast, so that texts need no shuffle; many are joined by shuffle.
+    """
+    gone = materialize(gone.toDF("_dropped").distinct())
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, docs[id_col] == F.col("_dropped"), "left_anti")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -15,7 +15,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradelake.llm.common import SPACE, text_of, without_space
+from tradelake.llm.common import SPACE, drop_ids, text_of, without_space
 
 #: Broadcast bitmaps have 2 ** BITMAP_BITS bits: 8 MB.
 BITMAP_BITS = 26
@@ -57,7 +57,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs are ignored, whatever their names.
     """
     text = text_of(text_col)
-    norm = without_space(text)
     carry = dict(carry or {})
     source = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), *[c.alias(f"_c{i}") for i, c in enumerate(carry.values())])
     norm = without_space(F.col("_text"))
@@ -98,5 +97,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows with a null id are kept, as nothing tells them apart.
     """
-    dropped = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_dropped"))
-    return docs.join(dropped, docs[id_col] == F.col("_dropped"), "left_anti")
+    return drop_ids(docs, exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(id_col), id_col)

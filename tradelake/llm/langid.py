@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradelake.llm.common import materialize
+from tradelake.llm.common import drop_ids, materialize
 
 BUCKETS = 1 << 16
 #: Bounds of the fit: labelled rows in the sample (expected number), and languages, the most frequent first.
@@ -218,5 +218,4 @@ def page_rows(pages: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """docs without the rows whose language identify() rejects, with the columns of docs; rows with a null id are kept."""
     found = identify(docs, fit(docs))
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
-    return docs.join(gone, docs["doc_id"] == F.col("_dropped"), "left_anti")
+    return drop_ids(docs, found.where(~F.col("kept")).select("doc_id"))

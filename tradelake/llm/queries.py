@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradelake.llm import exact_dedup, langid, mixing, piece_bpe, simhash, substring_dedup, token_counts
+from tradelake.llm import chroma, exact_dedup, langid, license_scan, mixing, pii, piece_bpe, simhash, substring_dedup, token_counts
 from tradelake.llm.common import table, text_of, without_space
 
 #: Tokens above which op7 flags a document.
@@ -40,6 +40,29 @@ def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_audio_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as recordings: the bytes of a text are played as 8-bit samples, for lack of an audio table."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode(text_of("text"), "UTF-8").alias("samples"))
+    return chroma.align(chroma.fingerprints(docs, "doc_id", "samples", chroma.SHORT, "u1")).withColumnRenamed("id", "doc_id")
+
+
+def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_* and base_sha256 are of the base spans; n_added counts what the patterns add; spans holds both."""
+    found = pii.find_private(table(spark, sf_dir, "documents"))
+    names = F.array(*map(F.lit, pii.KINDS))
+
+    def joined(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
+
+    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    added = (F.size("spans") - F.size("base")).cast("long").alias("n_added")
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), added)
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.token_counts(table(spark, sf_dir, "documents"))
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -61,7 +84,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_piece_codec, op7_token_counts, op8_source_mix, op9_simhash, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_piece_codec, op4_audio_fingerprint, op5_private_data, op6_license_scan, op7_token_counts, op8_source_mix, op9_simhash, op10_exact_dedup)}
 
 
 OP8_SQL = r"""

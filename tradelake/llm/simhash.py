@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradelake.llm.common import materialize
+from tradelake.llm.common import drop_ids, materialize
 from tradelake.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -207,5 +207,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the row of the smallest id of each component; rows with a null id are kept."""
-    gone = near_duplicates(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_dropped"))
-    return docs.join(gone, docs[id_col] == F.col("_dropped"), "left_anti")
+    return drop_ids(docs, near_duplicates(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(id_col), id_col)
