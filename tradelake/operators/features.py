@@ -11,10 +11,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 #: Length in time of the pieces in which a series is smoothed.
 PIECE_SECONDS = 7 * 86_400
-SERIES = Window.partitionBy("symbol").orderBy("bar_time")
+
+
+def series() -> WindowSpec:
+    """A symbol's bars in time order."""
+    return Window.partitionBy("symbol").orderBy("bar_time")
 
 
 def _d(name: str) -> Column:
@@ -69,14 +74,14 @@ def wilder(bars: DataFrame, n: int, **values: Column) -> DataFrame:
 
 def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
     """(symbol, bar_time, rsi) from Wilder averages of gains and losses; 50 without moves."""
-    delta = bars.withColumn("_x", _d("close") - F.lag(_d("close")).over(SERIES)).where("_x IS NOT NULL")
+    delta = bars.withColumn("_x", _d("close") - F.lag(_d("close")).over(series())).where("_x IS NOT NULL")
     both = wilder(delta, n, gain=F.greatest("_x", F.lit(0.0)), loss=F.greatest(-F.col("_x"), F.lit(0.0)))
     value = F.coalesce(F.try_divide(F.lit(100.0) * F.col("gain"), F.col("gain") + F.col("loss")), F.lit(50.0))
     return both.select("symbol", "bar_time", value.alias("rsi"))
 
 
 def true_range() -> Column:
-    before = F.lag(_d("close")).over(SERIES)
+    before = F.lag(_d("close")).over(series())
     return F.greatest(_d("high") - _d("low"), F.abs(_d("high") - before), F.abs(_d("low") - before))
 
 
@@ -86,8 +91,8 @@ def atr(bars: DataFrame, n: int = 14) -> DataFrame:
 
 def adx(bars: DataFrame, n: int = 14) -> DataFrame:
     """(symbol, bar_time, adx): Wilder's smoothing of the directional index, over bars that have a predecessor."""
-    up = _d("high") - F.lag(_d("high")).over(SERIES)
-    down = F.lag(_d("low")).over(SERIES) - _d("low")
+    up = _d("high") - F.lag(_d("high")).over(series())
+    down = F.lag(_d("low")).over(series()) - _d("low")
     moves = bars.withColumn("_up", up).withColumn("_down", down).where("_up IS NOT NULL")
     plus = F.when((F.col("_up") > F.col("_down")) & (F.col("_up") > 0), F.col("_up")).otherwise(0.0)
     minus = F.when((F.col("_down") > F.col("_up")) & (F.col("_down") > 0), F.col("_down")).otherwise(0.0)
@@ -98,7 +103,7 @@ def adx(bars: DataFrame, n: int = 14) -> DataFrame:
 
 def roc(n: int = 10) -> Column:
     """Change of the close against n bars before, in percent."""
-    before = F.lag(_d("close"), n).over(SERIES)
+    before = F.lag(_d("close"), n).over(series())
     return F.try_divide(F.lit(100.0) * (_d("close") - before), before)
 
 
@@ -111,13 +116,13 @@ def trend(fast: Column, slow: Column, band: float = 0.0) -> Column:
 def swings(bars: DataFrame, k: int = 2) -> DataFrame:
     """bars with last_swing_high and last_swing_low as known at each bar: a fractal with k lower (higher) bars on each side is
     confirmed k bars later, so nothing looks ahead; and with bos, a close beyond the last swing."""
-    around = SERIES.rowsBetween(-k, k)
+    around = series().rowsBetween(-k, k)
     full = F.count("*").over(around) == 2 * k + 1
     up = F.when(full & (F.col("high") == F.max("high").over(around)), F.col("high"))
     down = F.when(full & (F.col("low") == F.min("low").over(around)), F.col("low"))
     marked = bars.withColumn("_up", up).withColumn("_down", down)
-    marked = marked.withColumn("_cu", F.lag("_up", k).over(SERIES)).withColumn("_cd", F.lag("_down", k).over(SERIES))
-    past = SERIES.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = marked.withColumn("_cu", F.lag("_up", k).over(series())).withColumn("_cd", F.lag("_down", k).over(series()))
+    past = series().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = marked.withColumn("last_swing_high", F.last("_cu", ignorenulls=True).over(past)).withColumn("last_swing_low", F.last("_cd", ignorenulls=True).over(past))
     bos = F.when(F.col("close") > F.col("last_swing_high"), 1).when(F.col("close") < F.col("last_swing_low"), -1).otherwise(0)
     return out.withColumn("bos", bos).drop("_up", "_down", "_cu", "_cd")
@@ -125,7 +130,7 @@ def swings(bars: DataFrame, k: int = 2) -> DataFrame:
 
 def structure(swung: DataFrame) -> DataFrame:
     """swings() with choch (a break against the direction of the last break) and market_structure UP, DOWN or RANGE."""
-    before = F.last(F.when(F.col("bos") != 0, F.col("bos")), ignorenulls=True).over(SERIES.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.last(F.when(F.col("bos") != 0, F.col("bos")), ignorenulls=True).over(series().rowsBetween(Window.unboundedPreceding, -1))
     out = swung.withColumn("_before", before)
     out = out.withColumn("choch", F.coalesce((F.col("bos") != 0) & (F.col("bos") != F.col("_before")), F.lit(False)))
     now = F.when(F.col("bos") != 0, F.col("bos")).otherwise(F.col("_before"))
@@ -135,7 +140,7 @@ def structure(swung: DataFrame) -> DataFrame:
 def liquidity(bars: DataFrame, tolerance: float, lookback: int = 10) -> DataFrame:
     """bars with equal_highs and equal_lows (within tolerance of the extreme of the bars before), sweep (beyond that extreme,
     closed back inside), and dist_prev_high and dist_prev_low, from the close to the last day's extremes."""
-    before = SERIES.rowsBetween(-lookback, -1)
+    before = series().rowsBetween(-lookback, -1)
     top, bottom = F.max("high").over(before), F.min("low").over(before)
     out = bars.withColumn("_top", top).withColumn("_bottom", bottom)
     out = out.withColumn("equal_highs", F.abs(_d("high") - F.col("_top").cast("double")) <= tolerance)
@@ -150,7 +155,7 @@ def liquidity(bars: DataFrame, tolerance: float, lookback: int = 10) -> DataFram
 
 def fair_value_gaps(bars: DataFrame) -> DataFrame:
     """Bars that leave a gap to the one two before: symbol, bar_time, direction, size."""
-    high2, low2 = F.lag("high", 2).over(SERIES), F.lag("low", 2).over(SERIES)
+    high2, low2 = F.lag("high", 2).over(series()), F.lag("low", 2).over(series())
     out = bars.withColumn("_h", high2).withColumn("_l", low2)
     direction = F.when(F.col("low") > F.col("_h"), 1).when(F.col("high") < F.col("_l"), -1)
     size = F.when(direction == 1, F.col("low") - F.col("_h")).when(direction == -1, F.col("_l") - F.col("high"))
@@ -161,8 +166,8 @@ def order_blocks(bars: DataFrame, factor: float = 1.5, lookback: int = 10) -> Da
     """Bars whose body exceeds factor times the mean range of the bars before, with the last opposite bar before them:
     symbol, bar_time, direction, block_time."""
     body = _d("close") - _d("open")
-    mean = F.avg(_d("high") - _d("low")).over(SERIES.rowsBetween(-lookback, -1))
-    past = SERIES.rowsBetween(Window.unboundedPreceding, -1)
+    mean = F.avg(_d("high") - _d("low")).over(series().rowsBetween(-lookback, -1))
+    past = series().rowsBetween(Window.unboundedPreceding, -1)
     down = F.last(F.when(F.col("close") < F.col("open"), F.col("bar_time")), ignorenulls=True).over(past)
     up = F.last(F.when(F.col("close") > F.col("open"), F.col("bar_time")), ignorenulls=True).over(past)
     out = bars.withColumn("_body", body).withColumn("_mean", mean).withColumn("_down", down).withColumn("_up", up)
@@ -171,13 +176,13 @@ def order_blocks(bars: DataFrame, factor: float = 1.5, lookback: int = 10) -> Da
 
 
 def recent_range(n: int = 10) -> Column:
-    w = SERIES.rowsBetween(1 - n, Window.currentRow)
+    w = series().rowsBetween(1 - n, Window.currentRow)
     return F.max("high").over(w) - F.min("low").over(w)
 
 
 def relative_volatility(atr_rows: DataFrame, n: int = 20) -> DataFrame:
     """atr() rows with the ATR over its mean of the last n bars."""
-    w = SERIES.rowsBetween(1 - n, Window.currentRow)
+    w = series().rowsBetween(1 - n, Window.currentRow)
     return atr_rows.withColumn("relative_volatility", F.try_divide(F.col("atr"), F.avg("atr").over(w)))
 
 

@@ -1 +1 @@
-
+"""Table registry and the registered queries with their oracles."""
