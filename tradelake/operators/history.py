@@ -34,7 +34,6 @@ def guard(changes: DataFrame, current: DataFrame, table: str) -> DataFrame:
     if table in APPEND_ONLY:
         rule = F.concat(F.lit(f"append_only_{table}_"), F.lower("op"))
     elif table in NO_DELETE:
-        frozen = [c for c in values if c in MUTABLE_COLUMNS.get(table, values) or c not in changes.columns]
         frozen = [c for c in values if c in changes.columns and table in MUTABLE_COLUMNS and c not in MUTABLE_COLUMNS[table]]
         changed = F.lit(False)
         for c in frozen:
