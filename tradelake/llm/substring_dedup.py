@@ -33,7 +33,7 @@ from tradelake.llm.common import materialize
 WINDOW = 13
 ROWS = 2
 #: Bytes of text in a unit, windows in a block of the sketch, and counters in a row for each of them.
-UNIT_BYTES = 8 << 20
+UNIT_BYTES = 4 << 20
 BLOCK_WINDOWS = 1 << 19
 COUNTERS = 4
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -47,6 +47,17 @@ def blocks_for(n_bytes: int) -> int:
     return max(1, round(windows / max(BLOCK_WINDOWS, 32 * windows**0.5)))
 
 
+def _ranges(ascending: np.ndarray, n_blocks: int) -> Iterator[tuple[int, slice]]:
+    """Which of n_blocks equal ranges of the hash space ascending hashes fall into, and where."""
+    block = ((ascending >> np.uint64(32)) * np.uint64(n_blocks)) >> np.uint64(32)
+    cut = [*np.flatnonzero(block[1:] != block[:-1]) + 1, len(block)]
+    begin = 0
+    for end in map(int, cut):
+        if end > begin:
+            yield int(block[begin]), slice(begin, end)
+        begin = end
+
+
 class Unit:
     """The words and windows of some documents."""
 
@@ -78,10 +89,7 @@ class Unit:
 
     def segments(self, n_blocks: int) -> Iterator[tuple[int, slice]]:
         """The windows of each block: blocks are ranges of the hash."""
-        block = ((self.hash >> np.uint64(32)) * np.uint64(n_blocks)) >> np.uint64(32)
-        cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, int)
-        for a, b in zip(cut, np.r_[cut[1:], len(block)], strict=True):
-            yield int(block[a]), slice(int(a), int(b))
+        return _ranges(self.hash, n_blocks)
 
     def digests(self, chosen: np.ndarray) -> np.ndarray:
         """128-bit digests (two uint64 columns) of the words of the chosen windows (places in hash order)."""
@@ -170,13 +178,6 @@ def _entries(unit: Unit, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return digests[first], least, which
 
 
-def _entry_segments(keys: np.ndarray, n_blocks: int) -> Iterator[tuple[int, slice]]:
-    block = ((keys[:, 0] >> np.uint64(32)) * np.uint64(n_blocks)) >> np.uint64(32)
-    cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, int)
-    for a, b in zip(cut, np.r_[cut[1:], len(block)], strict=True):
-        yield int(block[a]), slice(int(a), int(b))
-
-
 def _merge_entries(key: tuple, rows: pa.Table) -> pa.Table:
     """Group the digests of a block exactly; back to each unit goes a bit for each entry: a smaller document is elsewhere."""
     units, parsed = rows.column("unit").to_pylist(), []
@@ -202,7 +203,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty. The id column holds integers; a null id counts as larger than any other. Rows that repeat an id do not remove
     each other's words. An empty table gives no rows; other columns are ignored, whatever their names.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     n_blocks = blocks_for(rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
     width_bits = int(COUNTERS * BLOCK_WINDOWS - 1).bit_length()
     message = "unit long, block int, payload binary"
@@ -213,9 +214,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         def packed() -> pa.RecordBatch:
             sink = pa.BufferOutputStream()
             whole = pa.Table.from_batches(held)
+            unit, whole = whole.column("row")[0].as_py(), whole.drop_columns("row")
             with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
                 out.write_table(whole)
-            unit = int.from_bytes(np.random.default_rng().bytes(8), "little") >> 1
             return pa.RecordBatch.from_arrays([pa.array([unit], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["unit", "payload"])
 
         for batch in batches:
@@ -256,7 +257,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out = []
         for name, unit, chosen, _ in flagged(unit_rows, replies):
             keys, least, _ = _entries(unit, chosen)
-            for block, p in _entry_segments(keys, n_blocks):
+            for block, p in _ranges(keys[:, 0], n_blocks):
                 raw = _planes(np.ascontiguousarray(keys[p].T).ravel()) + _planes(least[p].astype("<i8"))
                 out.append((name, block, zstandard.compress(raw, 1)))
         return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["unit", "block", "payload"])
@@ -269,7 +270,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for _, unit, chosen, by_block in flagged(unit_rows, replies):
             keys, least, which = _entries(unit, chosen)
             later = np.zeros(len(keys), bool)
-            for block, p in _entry_segments(keys, n_blocks):
+            for block, p in _ranges(keys[:, 0], n_blocks):
                 bits = np.frombuffer(zstandard.decompress(by_block[-1 - block]), np.uint8)
                 later[p] = np.unpackbits(bits, count=p.stop - p.start).astype(bool)
             hit = chosen[later[which] | (unit.order[unit.doc[chosen]] > least[which])]
