@@ -54,9 +54,11 @@ def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     def joined(spans: str) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
-    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{pii.KINDS[kind]}")
+
     added = (F.size("spans") - F.size("base")).cast("long").alias("n_added")
-    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), added)
+    return found.select("doc_id", *map(count, range(len(pii.KINDS))), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), added)
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
