@@ -182,6 +182,16 @@ def test_asof_ties(spark):
     assert asof.asof(left, right, ["k"], "t", "rt", strict=False, forward=True).first().r_rt == 5
 
 
+def test_asof_over_pieces(spark):
+    """A piece without right rows, or without an earlier one, takes what the pieces before hand on."""
+    left = spark.createDataFrame([("k", t) for t in (3, 15, 47, 90)] + [("z", 1)], "k string, t int")
+    right = spark.createDataFrame([("k", 2), ("k", 16), ("k", 17), ("k", 88)], "k string, rt int")
+    got = {(r.k, r.t): r.r_rt for r in asof.asof(left, right, ["k"], "t", "rt", piece_seconds=10).collect()}
+    assert got == {("k", 3): 2, ("k", 15): 2, ("k", 47): 17, ("k", 90): 88, ("z", 1): None}
+    ahead = {(r.k, r.t): r.r_rt for r in asof.asof(left, right, ["k"], "t", "rt", forward=True, piece_seconds=10).collect()}
+    assert ahead == {("k", 3): 16, ("k", 15): 16, ("k", 47): 88, ("k", 90): None, ("z", 1): None}
+
+
 def test_resampling_composes_and_does_not_look_ahead(spark):
     ticks = spark.createDataFrame([("x", NOW + dt.timedelta(minutes=7 * i), Decimal(100 + (i * 37) % 23), i) for i in range(400)], "symbol string, ts timestamp, price decimal(24,10), event_id long")
     fine = bars.bars_from_ticks(ticks, 60)

@@ -1,30 +1,59 @@
-"""As-of joins by one union and one window: no inequality join."""
+"""As-of and nearest joins: a union and a window within pieces of time, or an equality join on buckets; no inequality join."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Length in time of the pieces that are ordered apart from each other.
+PIECE_SECONDS = 86_400
 
-def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, prefix: str = "r_", strict: bool = True, forward: bool = False) -> DataFrame:
+
+def _piece(df: DataFrame, time: str, seconds: int) -> Column:
+    """The piece of a time, which is a timestamp or a number."""
+    number = F.unix_timestamp(time) if df.schema[time].dataType.typeName() == "timestamp" else F.col(time)
+    return F.floor(number / seconds)
+
+
+def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, prefix: str = "r_", strict: bool = True, forward: bool = False, piece_seconds: int = PIECE_SECONDS) -> DataFrame:
     """Each left row with the last right row before it (strict) or not after it, or with the first one behind it.
 
     Right columns other than keys get the prefix; they are null where there is no such row. If right has several rows of
     a key at one time, which of them is taken is arbitrary. A right row's values travel in one struct, so a null in it
-    does not let an older row through. All rows of a key meet in one task: keys must be numerous, such as symbols by day.
+    does not let an older row through. A task orders one piece of a key's time; what a piece hands on is one row.
     """
     values = [c for c in right.columns if c not in keys]
-    a = left.select(*keys, F.col(left_time).alias("_t"), F.struct("*").alias("_l"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("_r"))
-    b = right.select(*keys, F.col(right_time).alias("_t"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("_l"), F.struct(*values).alias("_r"))
+    row, side = right.select(F.struct(*values)).schema[0].dataType, left.select(F.struct("*")).schema[0].dataType
+    a = left.select(*keys, _piece(left, left_time, piece_seconds).alias("_p"), F.col(left_time).alias("_t"), F.struct("*").alias("_l"), F.lit(None).cast(row).alias("_r"))
+    b = right.select(*keys, _piece(right, right_time, piece_seconds).alias("_p"), F.col(right_time).alias("_t"), F.lit(None).cast(side).alias("_l"), F.struct(*values).alias("_r"))
     # At equal times a left row comes first for a strict look back or an inclusive look ahead, else last.
     is_right = F.col("_r").isNotNull().cast("int")
     first = is_right if strict != forward else -is_right
-    order = Window.partitionBy(*keys).orderBy("_t", first)
+    order = Window.partitionBy(*keys, "_p").orderBy("_t", first)
+    pieces = Window.partitionBy(*keys).orderBy("_p")
+    handed = b.groupBy(*keys, "_p").agg((F.min_by if forward else F.max_by)("_r", "_t").alias("_h"))
+    every = a.select(*keys, "_p").distinct().join(handed, [*keys, "_p"], "full")
     if forward:
         found = F.first("_r", ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+        carried = F.first("_h", ignorenulls=True).over(pieces.rowsBetween(1, Window.unboundedFollowing))
     else:
         found = F.last("_r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        carried = F.last("_h", ignorenulls=True).over(pieces.rowsBetween(Window.unboundedPreceding, -1))
+    carry = every.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, "_p"])], carried.alias("_c"))
     out = a.unionByName(b).withColumn("_f", found).where("_l IS NOT NULL")
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate([*keys, "_p"])]
+    out = out.join(carry, same, "left").withColumn("_f", F.coalesce("_f", "_c"))
     return out.select("_l.*", *[F.col(f"_f.{c}").alias(prefix + c) for c in values])
+
+
+def nearest(left: DataFrame, id_: str, left_time: str, right: DataFrame, right_time: str, seconds: int) -> DataFrame:
+    """left with seconds_off, the signed distance to the nearest right time within so many seconds, the earlier one of two
+    alike; null without one. Both sides meet in buckets of that width, so that neither is ordered as a whole."""
+    bucket = F.floor(F.unix_timestamp(right_time) / seconds)
+    times = right.select(F.unix_timestamp(right_time).alias("_rt"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b"))
+    mine = left.select(F.col(id_).alias("_id"), F.unix_timestamp(left_time).alias("_lt")).withColumn("_b", F.floor(F.col("_lt") / seconds))
+    off = F.col("_rt") - F.col("_lt")
+    close = mine.join(times, "_b").where(F.abs(off) <= seconds).groupBy("_id").agg(F.min(F.struct(F.abs(off).alias("d"), off.alias("off"))).alias("_m"))
+    return left.join(close, F.col(id_) == F.col("_id"), "left").select(*left.columns, F.col("_m.off").alias("seconds_off"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradelake.plans.schemas import APPEND_ONLY, MUTABLE_COLUMNS, NO_DELETE, TABLES
@@ -70,6 +70,5 @@ def audit_frozen(old: DataFrame, new: DataFrame, key: Sequence[str], frozen: Seq
 
 
 def latest(df: DataFrame, key: Sequence[str], version: Sequence[Column]) -> DataFrame:
-    """The row of each key that comes last by version."""
-    order = Window.partitionBy(*key).orderBy(*[v.desc() for v in version])
-    return df.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+    """The row of each key that comes last by version, reduced before the shuffle."""
+    return df.groupBy(*key).agg(F.max_by(F.struct("*"), F.struct(*version)).alias("_last")).select("_last.*")

@@ -20,8 +20,8 @@ def idempotent_insert(incoming: DataFrame, stored: DataFrame | None, key: Sequen
     null_key = F.lit(False)
     for c in key:
         null_key = null_key | F.col(c).isNull()
-    order = Window.partitionBy(*key).orderBy(*arrival)
-    first = incoming.where(~null_key).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    # an aggregate, not a window: a key that is resent very often is reduced before the shuffle
+    first = incoming.where(~null_key).groupBy(*key).agg(F.min_by(F.struct("*"), F.struct(*arrival)).alias("_first")).select("_first.*")
     if stored is not None:
         first = first.join(stored.select(*key), list(key), "left_anti")
     return first.unionByName(incoming.where(null_key))
@@ -44,19 +44,24 @@ def with_defaults(df: DataFrame, table: str, now: Column) -> DataFrame:
     return df.select(*out)
 
 
-def assign_ids(df: DataFrame, after: int, order: Sequence[Column], column: str = "id", ranges: int = 32) -> DataFrame:
-    """df with consecutive ids after `after` in the given order, without sorting everything in one task.
+def assign_ids(df: DataFrame, after: int, time: str, then: Sequence[str], column: str = "id", ranges: int = 32) -> DataFrame:
+    """df with consecutive ids after `after` in the order of a timestamp and further columns, which must be total.
 
-    Rows are dealt out by ranges of the order; a rank within a range and the sizes of the ranges before it give the id.
-    order must be total, or ids among equals are arbitrary.
+    Rows are dealt out by ranges of the time, whose bounds (at most `ranges`, from approximate quantiles) reach the
+    driver; a rank within a range and the sizes of the ranges before it give the id, so no task sorts everything.
     """
-    dealt = df.repartitionByRange(ranges, *order).withColumn("_part", F.spark_partition_id())
-    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = ranked.groupBy("_part").agg(F.max("_rank").alias("_size"))
-    # one row per range, `ranges` at most
-    before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).alias("_before"))
-    joined = ranked.join(F.broadcast(before), "_part")
-    return joined.withColumn(column, F.lit(after) + F.coalesce("_before", F.lit(0)) + F.col("_rank")).drop("_part", "_rank", "_before")
+    at = F.unix_micros(time)
+    shares = [i / ranges for i in range(1, ranges)]
+    bounds = df.agg(F.percentile_approx(at, shares, 10_000)).first()[0] or []
+    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))).cast("array<bigint>"), lambda b: b <= at))
+    dealt = df.withColumn("_part", part)
+    sizes = {r["_part"]: r["count"] for r in dealt.groupBy("_part").count().collect()}
+    starts, total = {}, after
+    for p in sorted(sizes):
+        starts[p], total = total, total + sizes[p]
+    before = F.element_at(F.create_map(*[F.lit(x).cast("bigint") for p, s in starts.items() for x in (p, s)]), F.col("_part").cast("bigint")) if starts else F.lit(after)
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(time, *then))
+    return dealt.withColumn(column, before + rank).drop("_part")
 
 
 def pending(events: DataFrame, terminal: str = "terminal_id", sent: str = "sent_at", id_: str = "id") -> DataFrame:

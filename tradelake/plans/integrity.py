@@ -69,7 +69,7 @@ def ingest_defaults(spark: SparkSession, d: str) -> DataFrame:
 def ingest_ids(spark: SparkSession, d: str) -> DataFrame:
     """Consecutive ids in the order of sending, after 1000."""
     raw = driver.raw_events(spark, d).withColumnRenamed("id", "event_id")
-    return ingest.assign_ids(raw, 1000, [F.col("sent_at"), F.col("event_id")]).select("event_id", "id")
+    return ingest.assign_ids(raw, 1000, "sent_at", ["event_id"]).select("event_id", "id")
 
 
 QUEUE = ", q AS (SELECT id, terminal_id, sent_at, CASE WHEN id % 4 = 0 THEN 'PROCESSED' ELSE 'PENDING' END AS status, (id % 3)::SMALLINT AS attempts FROM raw)"

@@ -78,15 +78,24 @@ def asof_features(spark: SparkSession, d: str) -> DataFrame:
 )
 def news_proximity(spark: SparkSession, d: str) -> DataFrame:
     """Signed seconds to the nearest error event within an hour, looking back and ahead, for each purchase."""
-    t = driver.ticks(spark, d).withColumn("day", F.lit(0))
-    e = t.where("symbol = 'purchase'").select("day", "event_id", "ts")
-    n = t.where("symbol = 'error'").select("day", F.col("ts").alias("nt"))
-    both = asof_ops.asof(e, n, ["day"], "ts", "nt", prefix="b_", strict=True)
-    both = asof_ops.asof(both, n, ["day"], "ts", "nt", prefix="f_", strict=False, forward=True)
-    before, after = sec("b_nt") - sec("ts"), sec("f_nt") - sec("ts")
-    s = F.when(before.isNull(), after).when(after.isNull() | (-before <= after), before).otherwise(after)
-    near = F.coalesce(F.abs(s) <= 3600, F.lit(False))
-    return both.select("event_id", F.when(near, s).alias("seconds_to_news"), near.alias("news_nearby"))
+    t = driver.ticks(spark, d)
+    e = t.where("symbol = 'purchase'").select("event_id", "ts")
+    n = t.where("symbol = 'error'").select(F.col("ts").alias("nt"))
+    out = asof_ops.nearest(e, "event_id", "ts", n, "nt", 3600)
+    return out.select("event_id", F.col("seconds_off").alias("seconds_to_news"), F.col("seconds_off").isNotNull().alias("news_nearby"))
+
+
+@query(
+    with_("ticks")
+    + ", e AS (SELECT event_id, ts, symbol FROM ticks WHERE event_id % 3 = 0), n AS (SELECT event_id AS next_id, ts, symbol FROM ticks WHERE event_id % 11 = 0)"
+    + " SELECT e.event_id, n.next_id FROM e ASOF LEFT JOIN n ON e.symbol = n.symbol AND e.ts < n.ts"
+)
+def asof_next(spark: SparkSession, d: str) -> DataFrame:
+    """The next of some ticks behind each of others, by symbol."""
+    t = driver.ticks(spark, d)
+    n = t.where("event_id % 11 = 0").select("symbol", F.col("event_id").alias("id"), F.col("ts").alias("at"))
+    out = asof_ops.asof(t.where("event_id % 3 = 0").select("symbol", "event_id", "ts"), n, ["symbol"], "ts", "at", prefix="next_", strict=True, forward=True)
+    return out.select("event_id", "next_id")
 
 
 EMA = (
