@@ -254,6 +254,51 @@ def test_snapshot_roundtrip(spark, tmp_path):
     assert snapshot.expired(spark, str(tmp_path), now_ms=10**14) == ["snap"]
 
 
+def test_store_checks_stages_and_publishes(spark, tmp_path):
+    from tradelake.sources.store import RuleViolation, Store
+
+    store, now = Store(spark, f"{tmp_path}/store"), F.lit(NOW).cast("timestamp")
+    broker = spark.createDataFrame([("b1", "Broker x")], "id string, name string")
+    account = spark.createDataFrame([("a1", "b1", 5, "Demo-Server", "USD", "DEMO", "HEDGING")], "id string, broker_id string, login long, server string, currency string, account_type string, margin_mode string")
+    with store.scope():
+        store.insert("brokers", broker, now)
+        added = store.insert("accounts", account, now)
+        assert added.first().active is True
+    assert store.read("accounts").count() == 1 and store.read("brokers").first().server_utc_offset_policy == "EA_REPORTED"
+    with pytest.raises(RuleViolation) as e, store.scope():
+        store.insert("brokers", broker.withColumn("id", F.lit("b2")).withColumn("name", F.lit("other")), now)
+        store.insert("accounts", account.withColumn("id", F.lit("a2")), now)
+    assert e.value.rules == ["uq_accounts_server_login"]
+    assert store.read("brokers").count() == 1  # rolled back with the other
+    with pytest.raises(RuleViolation) as e, store.scope():
+        store.change("brokers", store.read("brokers").withColumn("op", F.lit("DELETE")), now)
+    assert e.value.rules == ["fk_accounts_broker_id_brokers"]
+    with pytest.raises(RuleViolation) as e, store.scope():
+        store.change("accounts", store.read("accounts").withColumn("op", F.lit("DELETE")), now)
+    assert e.value.rules == ["no_delete_accounts"]
+    with store.scope():
+        store.change("accounts", store.read("accounts").withColumn("leverage", F.lit(30)).withColumn("op", F.lit("UPDATE")), now)
+    assert store.read("accounts").first().leverage == 30
+    with pytest.raises(RuleViolation) as e, store.scope():
+        store.change("accounts", store.read("accounts").withColumn("account_type", F.lit("PLAY")).withColumn("op", F.lit("UPDATE")), now)
+    assert e.value.rules == ["ck_accounts_accounttype"]
+    trade = spark.createDataFrame([{k: v for k, v in TRADE.items() if k != "status"}])
+    with store.scope():
+        store.insert("trades", trade, now)
+    with store.scope():
+        later = F.lit(NOW + HOUR).cast("timestamp")
+        store.change("trades", store.read("trades").withColumn("status", F.lit("CLOSED")).withColumn("close_time", later).withColumn("op", F.lit("UPDATE")), later)
+    closed = store.read("trades").first()
+    assert closed.status == "CLOSED" and closed.updated_at == NOW + HOUR and closed.created_at == NOW
+
+
+def test_guards_can_be_taken_off(spark):
+    trade = rows(spark, "trades", TRADE)
+    delete = trade.withColumn("op", F.lit("DELETE"))
+    assert history.guard(delete, trade, "trades").first().rule == "no_delete_trades"
+    assert history.guard(delete, trade, "trades", installed=False).first().rule is None
+
+
 def test_trade_without_deployment_is_kept(spark):
     t = rows(spark, "trades", TRADE)
     none = rows(spark, "deployments", DEPLOYMENT | {"magic_number": 1}, ended_at=None)

@@ -118,6 +118,33 @@ def trend(spark: SparkSession, d: str) -> DataFrame:
     return both.select("symbol", sec("bar_time").alias("bar_time"), features.trend(F.col("ema"), F.col("slow"), 0.001).alias("trend"))
 
 
+FRAMES = {"H1": 3600, "H4": 4 * 3600, "D1": 86400}
+FRAME_SQL = " UNION ALL ".join(f"SELECT symbol || '|{n}' AS symbol, '{n}' AS frame, time_bucket(INTERVAL {s} SECOND, ts) AS bar_time, {s} AS width, max_by(price, event_id) AS close FROM ticks GROUP BY symbol, time_bucket(INTERVAL {s} SECOND, ts)" for n, s in FRAMES.items())
+
+
+@query(
+    with_("ticks").replace("WITH ", "WITH RECURSIVE ", 1)
+    + f", bars AS ({FRAME_SQL}),"
+    + EMA
+    + ", t AS (SELECT e.symbol, e.bar_time + to_seconds(b.width) AS closed_at, CASE WHEN y20 > y50 THEN 1 WHEN y20 < y50 THEN -1 ELSE 0 END AS trend FROM e JOIN bars b ON e.symbol = b.symbol AND e.bar_time = b.bar_time),"
+    + " n AS (SELECT event_id, ts, symbol || '|' || f AS symbol, f FROM ticks, (VALUES ('H1'), ('H4'), ('D1')) v(f) WHERE event_id % 20 = 0)"
+    + " SELECT n.event_id, n.f AS frame, t.trend FROM n ASOF LEFT JOIN t ON n.symbol = t.symbol AND n.ts >= t.closed_at"
+)
+def trend_by_timeframe(spark: SparkSession, d: str) -> DataFrame:
+    """The trend in each timeframe as the last closed bar before an entry has it."""
+    ticks = driver.ticks(spark, d)
+    base = bar_ops.bars_from_ticks(ticks, 3600)
+    series = None
+    for name, seconds in FRAMES.items():
+        b = bar_ops.resample(base, seconds).select(F.concat("symbol", F.lit(f"|{name}")).alias("symbol"), "bar_time", "close", F.lit(seconds).alias("width"))
+        series = b if series is None else series.unionByName(b)
+    both = features.ema(series, 20).join(features.ema(series, 50).withColumnRenamed("ema", "slow"), ["symbol", "bar_time"]).join(series, ["symbol", "bar_time"])
+    known = both.select("symbol", F.timestamp_seconds(sec("bar_time") + F.col("width")).alias("closed_at"), features.trend(F.col("ema"), F.col("slow")).alias("trend"))
+    entries = ticks.where("event_id % 20 = 0").withColumn("frame", F.explode(F.array(*map(F.lit, FRAMES))))
+    entries = entries.select("event_id", "ts", F.concat_ws("|", "symbol", "frame").alias("symbol"), "frame")
+    return asof_ops.asof(entries, known, ["symbol"], "ts", "closed_at", strict=False).select("event_id", "frame", F.col("r_trend").alias("trend"))
+
+
 RSI = (
     " g AS (SELECT symbol, bar_time, close::DOUBLE - lag(close::DOUBLE) OVER (PARTITION BY symbol ORDER BY bar_time) AS x FROM bars),"
     " r AS (SELECT symbol, bar_time, greatest(x, 0.0) AS up, greatest(-x, 0.0) AS dn, row_number() OVER (PARTITION BY symbol ORDER BY bar_time) AS n FROM g WHERE x IS NOT NULL),"
