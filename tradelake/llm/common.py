@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +68,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of text that a Python worker holds as strings at once.
+AT_ONCE = 1 << 20
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], column: int, at_once: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in slices of about at_once bytes in a string or binary column; a longer value is a slice of its own."""
+    for batch in batches:
+        values = batch.column(column)
+        if not len(batch):
+            continue
+        ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(batch) + 1]
+        begin = 0
+        while begin < len(batch):
+            stop = max(begin + 1, int(np.searchsorted(ends, int(ends[begin]) + at_once, "right")) - 1)
+            yield batch.slice(begin, stop - begin)
+            begin = stop
+
+
 def text_of(col: str) -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

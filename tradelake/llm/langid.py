@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradelake.llm.common import drop_ids, materialize
+from tradelake.llm.common import AT_ONCE, drop_ids, materialize, small_batches
 
 BUCKETS = 1 << 16
 #: Bounds of the fit: labelled rows in the sample (expected number), and languages, the most frequent first.
@@ -37,8 +37,6 @@ SMOOTHING = 10.0
 NO_LANGUAGE = 0.01
 UND = "und"
 LEAST_PROBABILITY = 0.7
-#: Bytes of text scored at once.
-AT_ONCE = 1 << 20
 
 #: Every ASCII character but letters becomes a space; other bytes stay.
 _LETTERS = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
@@ -90,7 +88,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(languages), BUCKETS), np.int64)
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             label = batch.column(0).to_pylist()
             for rows, raw, begin in _batches(batch.column(1).to_pylist()):
                 gram, ok = trigrams(raw), _valid(raw)
@@ -162,7 +160,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
         return named.select(F.col("id").alias(id_col), F.lit(UND).alias("language"), F.lit(1.0).alias("probability"), F.lit(UND).alias("text_language"), F.lit(0).cast("long").alias("n_letters"), F.lit(False).alias("kept"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             texts = batch.column(1).to_pylist()
             like, size = np.zeros((len(texts), n + 1)), np.zeros(len(texts), np.int64)
             for at, raw, begin in _batches(texts):

@@ -24,15 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tradelake.llm.common import small_batches
+
 META = "▁"
 #: Chunks whose ids a worker keeps in either half of its table, and the longest that it keeps (characters).
-KEPT_CHUNKS = 600_000
+KEPT_CHUNKS = 300_000
 KEPT_CHARS = 64
 #: Longest chunk (characters) whose agenda is a plain list, and the rank of what is no piece.
 SHORT = 40
 NO_PIECE = 1 << 30
-#: Characters of text that are worked on at once within an Arrow batch.
-AT_ONCE = 1 << 22
 
 
 def default_model() -> str:
@@ -202,18 +202,6 @@ def codec(model_file: str | None = None) -> PieceCodec:
     return _codecs[model_file]
 
 
-def slices(texts: list[str], at_once: int = AT_ONCE) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about at_once characters each; a longer text is a range of its own."""
-    begin = total = 0
-    for i, x in enumerate(texts):
-        if i > begin and total + len(x) > at_once:
-            yield begin, i
-            begin, total = i, 0
-        total += len(x)
-    if texts:
-        yield begin, len(texts)
-
-
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str | None = None, end: bool = True) -> DataFrame:
     """One row per input row: id_col, ids (array of int), decoded (the text that the ids give).
 
@@ -224,15 +212,13 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = codec(model_file)
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             texts = batch.column(1).to_pylist()
-            for begin, stop in slices(texts):
-                part = texts[begin:stop]
-                ids = mine.encode(part, end)
-                decoded = [mine.decode_checked(i, x) for i, x in zip(ids, part, strict=True)]
-                offsets = np.r_[0, np.cumsum([len(i) for i in ids])].astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, stop - begin), lists, pa.array(decoded, pa.string())], ["id", "ids", "decoded"])
+            ids = mine.encode(texts, end)
+            decoded = [mine.decode_checked(i, x) for i, x in zip(ids, texts, strict=True)]
+            offsets = np.r_[0, np.cumsum([len(i) for i in ids])].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(decoded, pa.string())], ["id", "ids", "decoded"])
 
     out = T.StructType([rows.schema["id"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
     return rows.mapInArrow(each, out).withColumnRenamed("id", id_col)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradelake.llm.common import drop_ids, materialize
+from tradelake.llm.common import drop_ids, materialize, small_batches
 from tradelake.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -30,7 +30,7 @@ HOT_BUCKET = 4096
 #: Buckets of up to so many members are compared together with others, by distance in the sorted rows.
 SMALL_BUCKET = 64
 #: Shingles of a document that are counted at once.
-COUNT_AT_ONCE = 1 << 16
+COUNT_AT_ONCE = 1 << 14
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             fp = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["id", "fp"])
 

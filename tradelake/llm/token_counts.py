@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradelake.llm.piece_bpe import slices
+from tradelake.llm.common import small_batches
 
 #: Fixed value: the published pre-token pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Latin, Greek, Cyrillic, general punctuation, currency, kana, unified ideographs and Hangul: classes alike in all versions.
 COMMON = re.compile("[^\u0000-ԧḀ-ỿ -⁯₠-₿　-〿ぁ-ゖァ-ヺ一-龥가-힣]")
-KEPT_TOKENS = 1_000_000
+KEPT_TOKENS = 700_000
 KEPT_CHARS = 64
 NONE = np.iinfo(np.int64).max
 
@@ -161,9 +161,9 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = counter(tokenizer_file)
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             texts = batch.column(1).to_pylist()
-            counts = [n for a, b in slices(texts, 1 << 22) for n in mine.count_texts(texts[a:b])]
+            counts = mine.count_texts(texts)
             sizes = pa.array([len(x.encode()) for x in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
