@@ -142,13 +142,13 @@ def experiment_delta(spark: SparkSession, d: str) -> DataFrame:
 @query(
     with_("deals")
     + NETS
-    + " SELECT trade_id, kind, code, evidence FROM (SELECT trade_id, 'FACT' AS kind, 'large_loss' AS code, '{\"trade_id\":' || trade_id || '}' AS evidence FROM nets WHERE net_profit < -1000 UNION ALL SELECT trade_id, 'HYPOTHESIS', 'even_trade', '{\"bot_id\":' || bot_id || '}' FROM nets WHERE trade_id % 10 = 0)"
+    + " SELECT trade_id, kind, code, evidence FROM (SELECT trade_id, 'FACT' AS kind, 'large_loss' AS code, '{\"trade_id\":' || trade_id || '}' AS evidence FROM nets WHERE net_profit < -1000 UNION ALL SELECT trade_id, 'HYPOTHESIS', 'late_entry', '{\"bot_id\":' || bot_id || '}' FROM nets WHERE entry_time >= TIMESTAMP '1996-01-01')"
 )
 def findings(spark: SparkSession, d: str) -> DataFrame:
     """Facts and hypotheses found in trades, with their evidence."""
     rules = {
         "large_loss": ("FACT", F.col("net_profit") < -1000, F.to_json(F.struct("trade_id"))),
-        "even_trade": ("HYPOTHESIS", F.col("trade_id") % 10 == 0, F.to_json(F.struct("bot_id"))),
+        "late_entry": ("HYPOTHESIS", F.col("entry_time") >= F.lit("1996-01-01").cast("timestamp"), F.to_json(F.struct("bot_id"))),
     }
     return research.findings(_net(spark, d), rules).select("trade_id", "kind", "code", "evidence")
 
@@ -208,12 +208,12 @@ def alive_sessions(spark: SparkSession, d: str) -> DataFrame:
 @query(
     with_("trades", "deals")
     + PNL
-    + " SELECT 'unassigned_magic' AS rule, 'WARNING' AS severity, trade_id::VARCHAR AS subject, 'magic ' || magic_number AS message FROM trades WHERE account_id % 3 = 1 AND trade_id % 8 <> 0"
-    + " UNION ALL SELECT 'heavy_loss', 'CRITICAL', trade_id::VARCHAR, 'loss' FROM p WHERE net < -5000 AND trade_id % 8 <> 0"
+    + " SELECT 'unassigned_magic' AS rule, 'WARNING' AS severity, trade_id::VARCHAR AS subject, 'magic ' || magic_number AS message FROM trades WHERE status = 'OPEN' AND direction = 'BUY'"
+    + " UNION ALL SELECT 'heavy_loss', 'CRITICAL', trade_id::VARCHAR, 'loss' FROM p WHERE net < -5000 AND trade_id % 2 = 0"
 )
 def open_alerts(spark: SparkSession, d: str) -> DataFrame:
     """Alerts of two rules that are not acknowledged."""
-    t = driver.trades(spark, d).where("account_id % 3 = 1")
+    t = driver.trades(spark, d).where("status = 'OPEN'")
     net = driver.deals(spark, d).groupBy("trade_id").agg(F.sum(F.expr(NET)).alias("net")).where("net < -5000")
     rows = monitor.alerts(
         {
@@ -221,16 +221,17 @@ def open_alerts(spark: SparkSession, d: str) -> DataFrame:
             "heavy_loss": (net, "CRITICAL", F.col("trade_id"), F.lit("loss")),
         }
     )
-    acknowledged = F.when(F.col("subject").cast("long") % 8 == 0, F.lit("2024-01-01").cast("timestamp"))
+    # alerts of sold (odd) trades have been acknowledged
+    acknowledged = F.when(F.col("subject").cast("long") % 2 == 1, F.lit("2024-01-01").cast("timestamp"))
     return monitor.open_alerts(rows.withColumn("acknowledged_at", acknowledged)).drop("acknowledged_at")
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE c_name[1:16] = (SELECT c_name[1:16] FROM customer WHERE c_custkey = 7) AND c_custkey % 2 = 1")
+@query("SELECT c_custkey AS id FROM customer WHERE c_name[1:16] = (SELECT c_name[1:16] FROM customer WHERE c_custkey = 7) AND c_acctbal >= 0")
 def active_client(spark: SparkSession, d: str) -> DataFrame:
     """Clients of a key prefix that are not revoked."""
     c = driver.read(spark, d, "customer")
     prefix = c.where("c_custkey = 7").select(F.substring("c_name", 1, 16).alias("p")).first().p
-    clients = c.select(F.col("c_custkey").alias("id"), F.substring("c_name", 1, 16).alias("key_prefix"), F.when(F.col("c_custkey") % 2 == 0, F.lit("2024-01-01").cast("timestamp")).alias("revoked_at"))
+    clients = c.select(F.col("c_custkey").alias("id"), F.substring("c_name", 1, 16).alias("key_prefix"), F.when(F.col("c_acctbal") < 0, F.lit("2024-01-01").cast("timestamp")).alias("revoked_at"))
     return monitor.active_clients(clients, prefix).select("id")
 
 

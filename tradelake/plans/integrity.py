@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tradelake.operators import history, ingest, rules
@@ -33,13 +33,13 @@ KEY = ["terminal_id", "idempotency_key"]
 
 @query(
     with_("raw")
-    + ", sent AS (SELECT *, sent_at + INTERVAL 1 SECOND AS arrival FROM raw UNION ALL SELECT *, sent_at + INTERVAL 5 MINUTE FROM raw WHERE id % 3 = 0)"
+    + ", sent AS (SELECT *, sent_at + INTERVAL 1 SECOND AS arrival FROM raw UNION ALL SELECT *, sent_at + INTERVAL 5 MINUTE FROM raw)"
     + " SELECT terminal_id, idempotency_key, id, epoch(arrival)::BIGINT AS arrival FROM sent QUALIFY row_number() OVER (PARTITION BY terminal_id, idempotency_key ORDER BY arrival, id) = 1"
 )
 def ingest_idempotent(spark: SparkSession, d: str) -> DataFrame:
-    """Every third event is sent again, and keys recur: the first arrival of a key stays."""
+    """Every event is sent again, and keys recur: the first arrival of a key stays."""
     raw = driver.raw_events(spark, d)
-    sent = raw.withColumn("arrival", F.timestamp_seconds(sec("sent_at") + 1)).unionByName(raw.where("id % 3 = 0").withColumn("arrival", F.timestamp_seconds(sec("sent_at") + 300)))
+    sent = raw.withColumn("arrival", F.timestamp_seconds(sec("sent_at") + 1)).unionByName(raw.withColumn("arrival", F.timestamp_seconds(sec("sent_at") + 300)))
     return ingest.idempotent_insert(sent, None, KEY, [F.col("arrival"), F.col("id")]).select(*KEY, "id", sec("arrival").alias("arrival"))
 
 
@@ -72,12 +72,12 @@ def ingest_ids(spark: SparkSession, d: str) -> DataFrame:
     return ingest.assign_ids(raw, 1000, "sent_at", ["event_id"]).select("event_id", "id")
 
 
-QUEUE = ", q AS (SELECT id, terminal_id, sent_at, CASE WHEN id % 4 = 0 THEN 'PROCESSED' ELSE 'PENDING' END AS status, (id % 3)::SMALLINT AS attempts FROM raw)"
+QUEUE = ", q AS (SELECT id, terminal_id, event_type, sent_at, CASE WHEN event_type = 'click' THEN 'PROCESSED' ELSE 'PENDING' END AS status, (id % 3)::SMALLINT AS attempts FROM raw)"
 
 
 def _queue(spark: SparkSession, d: str) -> DataFrame:
     raw = driver.raw_events(spark, d)
-    return raw.select("id", "terminal_id", "sent_at", F.when(F.col("id") % 4 == 0, "PROCESSED").otherwise("PENDING").alias("status"), (F.col("id") % 3).cast("short").alias("attempts"))
+    return raw.select("id", "terminal_id", "event_type", "sent_at", F.when(F.col("event_type") == "click", "PROCESSED").otherwise("PENDING").alias("status"), (F.col("id") % 3).cast("short").alias("attempts"))
 
 
 @query(with_("raw") + QUEUE + " SELECT terminal_id, id, epoch(sent_at)::BIGINT AS sent, row_number() OVER (PARTITION BY terminal_id ORDER BY sent_at, id) AS position FROM q WHERE status = 'PENDING'")
@@ -88,7 +88,7 @@ def pending_queue(spark: SparkSession, d: str) -> DataFrame:
 @query(
     with_("raw")
     + QUEUE
-    + ", r AS (SELECT id, CASE id % 5 WHEN 0 THEN NULL WHEN 1 THEN FALSE ELSE TRUE END AS ok, CASE WHEN id % 5 = 1 THEN 'bad payload' END AS error FROM q WHERE id % 7 <> 0),"
+    + ", r AS (SELECT id, CASE id % 5 WHEN 0 THEN NULL WHEN 1 THEN FALSE ELSE TRUE END AS ok, CASE WHEN id % 5 = 1 THEN 'bad payload' END AS error FROM q WHERE event_type <> 'view'),"
     + " j AS (SELECT q.id, q.status AS s, q.attempts AS a, r.ok, r.error AS e, q.status = 'PENDING' AND r.id IS NOT NULL AS turn FROM q LEFT JOIN r ON q.id = r.id),"
     + " k AS (SELECT *, (a + turn::INT)::SMALLINT AS attempts FROM j)"
     + " SELECT id, attempts, CASE WHEN NOT turn THEN s WHEN ok IS NULL THEN 'IGNORED' WHEN ok THEN 'PROCESSED' WHEN attempts >= 3 THEN 'FAILED' ELSE 'PENDING' END AS status, CASE WHEN turn THEN e END AS error FROM k"
@@ -97,7 +97,7 @@ def queue_transitions(spark: SparkSession, d: str) -> DataFrame:
     """One processing turn over the queue: processed, failed at the third attempt, ignored, or pending again."""
     q = _queue(spark, d).withColumn("processed_at", F.lit(None).cast("timestamp")).withColumn("error", F.lit(None).cast("string"))
     ok = F.when(F.col("id") % 5 == 0, None).when(F.col("id") % 5 == 1, False).otherwise(True)
-    results = q.where("id % 7 != 0").select("id", ok.alias("ok"), F.when(F.col("id") % 5 == 1, "bad payload").alias("error"))
+    results = q.where("event_type != 'view'").select("id", ok.alias("ok"), F.when(F.col("id") % 5 == 1, "bad payload").alias("error"))
     return ingest.advance(q, results, F.lit("2024-10-02 12:00:00").cast("timestamp")).select("id", "attempts", "status", "error")
 
 
@@ -111,11 +111,11 @@ def point_lookup(spark: SparkSession, d: str) -> DataFrame:
     return driver.raw_events(spark, d).where("id = 77").select(F.col("event_type").alias("status"))
 
 
-@query(with_("raw") + QUEUE + " SELECT id, CASE WHEN id % 10 = 0 THEN 'PROCESSED' ELSE status END AS status, (CASE WHEN id % 10 = 0 THEN 1 ELSE attempts END)::SMALLINT AS attempts FROM q")
+@query(with_("raw") + QUEUE + " SELECT id, CASE WHEN event_type = 'error' THEN 'PROCESSED' ELSE status END AS status, (CASE WHEN event_type = 'error' THEN 1 ELSE attempts END)::SMALLINT AS attempts FROM q")
 def update_filtered(spark: SparkSession, d: str) -> DataFrame:
-    """A guarded update of status and attempts on every tenth event, as a change set applied to the table."""
+    """A guarded update of status and attempts on all events of a type, as a change set applied to the table."""
     q = _queue(spark, d)
-    changes = q.where("id % 10 = 0").withColumn("op", F.lit("UPDATE")).withColumn("status", F.lit("PROCESSED")).withColumn("attempts", F.lit(1).cast("short"))
+    changes = q.where("event_type = 'error'").withColumn("op", F.lit("UPDATE")).withColumn("status", F.lit("PROCESSED")).withColumn("attempts", F.lit(1).cast("short"))
     accepted = history.guard(changes, q, "raw_events").where("rule IS NULL")
     return history.apply_changes(q, accepted, ["id"]).select("id", "status", "attempts")
 
@@ -127,28 +127,29 @@ def update_all_checked(spark: SparkSession, d: str) -> DataFrame:
     return rules.violations(changed, "trades").select(F.explode("violations").alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@query(with_("trades") + " SELECT trade_id, CASE WHEN trade_id % 4 = 0 THEN 'CLOSED' ELSE status END AS status, (CASE WHEN trade_id % 4 = 0 THEN 2 ELSE 1 END)::INT AS version FROM trades")
+@query(with_("trades") + " SELECT trade_id, CASE WHEN symbol = '2-HIGH' THEN 'CLOSED' ELSE status END AS status, (CASE WHEN symbol = '2-HIGH' THEN 2 ELSE 1 END)::INT AS version FROM trades")
 def update_versioned(spark: SparkSession, d: str) -> DataFrame:
     """An update appends a row version; the latest version of each trade is current."""
-    t = driver.trades(spark, d).select("trade_id", "status", F.lit(1).alias("version"))
-    changed = t.where("trade_id % 4 = 0").withColumn("status", F.lit("CLOSED")).withColumn("version", F.lit(2))
-    return history.latest(t.unionByName(changed), ["trade_id"], [F.col("version")])
+    t = driver.trades(spark, d).select("trade_id", "symbol", "status", F.lit(1).alias("version"))
+    changed = t.where("symbol = '2-HIGH'").withColumn("status", F.lit("CLOSED")).withColumn("version", F.lit(2))
+    return history.latest(t.unionByName(changed), ["trade_id"], [F.col("version")]).drop("symbol")
 
 
 @query(
-    "SELECT rule, count(*) AS n FROM (SELECT 'no_delete_trades' AS rule FROM orders WHERE o_orderkey % 100 = 0"
-    " UNION ALL SELECT 'append_only_trade_events_update' FROM lineitem WHERE l_orderkey % 50 = 0 AND l_linenumber = 1"
-    " UNION ALL SELECT 'append_only_trade_events_delete' FROM lineitem WHERE l_orderkey % 50 = 0 AND l_linenumber = 2) GROUP BY rule"
+    "SELECT rule, count(*) AS n FROM (SELECT 'no_delete_trades' AS rule FROM orders WHERE o_orderpriority = '1-URGENT'"
+    " UNION ALL SELECT 'append_only_trade_events_update' FROM lineitem WHERE l_returnflag = 'R'"
+    " UNION ALL SELECT 'append_only_trade_events_delete' FROM lineitem WHERE l_returnflag = 'A') GROUP BY rule"
 )
 def change_guard(spark: SparkSession, d: str) -> DataFrame:
     """Change sets against guarded tables, by the rule that refuses them."""
     t = driver.trades(spark, d)
-    refused = history.guard(t.where("trade_id % 100 = 0").withColumn("op", F.lit("DELETE")), t, "trades").select("rule")
-    lines = driver.read(spark, d, "lineitem").withColumn("event_id", F.monotonically_increasing_id()).select("event_id", "l_orderkey", "l_linenumber", F.col("l_quantity").alias("volume"))
-    op = F.when(F.col("l_linenumber") == 1, "UPDATE").when(F.col("l_linenumber") == 2, "DELETE")
-    key = F.sha2(F.concat_ws(":", "event_id", "l_orderkey"), 256)
-    events = lines.select(key.alias("event_id"), "volume", "l_orderkey", op.alias("op"))
-    changes = events.where("l_orderkey % 50 = 0 AND op IS NOT NULL").select("event_id", "volume", "op")
+    refused = history.guard(t.where("symbol = '1-URGENT'").withColumn("op", F.lit("DELETE")), t, "trades").select("rule")
+    op = F.when(F.col("l_returnflag") == "R", "UPDATE").when(F.col("l_returnflag") == "A", "DELETE")
+    key = F.sha2(F.concat_ws(":", "l_orderkey", "seq"), 256)
+    seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*driver.DEAL_ORDER))
+    lines = driver.read(spark, d, "lineitem").withColumn("seq", seq)
+    events = lines.select(key.alias("event_id"), F.col("l_quantity").alias("volume"), op.alias("op"))
+    changes = events.where("op IS NOT NULL")
     refused = refused.unionByName(history.guard(changes, events.select("event_id", "volume"), "trade_events").select("rule"))
     return refused.where("rule IS NOT NULL").groupBy("rule").agg(F.count("*").alias("n"))
 
@@ -273,16 +274,16 @@ def partial_unique_deals(spark: SparkSession, d: str) -> DataFrame:
     return rules.duplicate_keys(driver.deals(spark, d).select("trade_id", ticket.alias("deal_ticket")), ["trade_id", "deal_ticket"], "deal_ticket IS NOT NULL")
 
 
-@query("SELECT event_id, user_id FROM events WHERE user_id IS NOT NULL AND event_id % 10 <> 0 AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = user_id)")
+@query("SELECT event_id, user_id FROM events WHERE user_id IS NOT NULL AND event_type <> 'view' AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = user_id)")
 def fk_orphans(spark: SparkSession, d: str) -> DataFrame:
     """Events whose terminal is no supplier; null references are legal."""
-    child = driver.read(spark, d, "events").select("event_id", F.when(F.col("event_id") % 10 != 0, F.col("user_id")).alias("user_id"))
+    child = driver.read(spark, d, "events").select("event_id", F.when(F.col("event_type") != "view", F.col("user_id")).alias("user_id"))
     return rules.orphans(child, "user_id", driver.read(spark, d, "supplier"), "s_suppkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey % 10 = 0 AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def fk_blocked_deletes(spark: SparkSession, d: str) -> DataFrame:
-    gone = driver.read(spark, d, "customer").where("c_custkey % 10 = 0").select("c_custkey")
+    gone = driver.read(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
     return rules.blocked_deletes(gone, "c_custkey", driver.read(spark, d, "orders"), "o_custkey")
 
 
@@ -305,18 +306,18 @@ def insert_report(spark: SparkSession, d: str) -> DataFrame:
     return rules.insert_report(incoming, "deployments", {"deployments": deps, "accounts": accounts})
 
 
-@query("SELECT event_id, user_id, value FROM events WHERE event_id % 25 = 0 OR event_id % 40 = 1")
+@query("SELECT event_id, user_id, event_type, value FROM events WHERE event_type IN ('error', 'signup')")
 def append_only_audit(spark: SparkSession, d: str) -> DataFrame:
     """Rows of an old snapshot that the new one has changed or lost."""
-    old = driver.read(spark, d, "events").select("event_id", "user_id", "value")
-    new = old.where("event_id % 25 != 0").withColumn("value", F.when(F.col("event_id") % 40 == 1, F.col("value") + 1).otherwise(F.col("value")))
+    old = driver.read(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    new = old.where("event_type != 'error'").withColumn("value", F.when(F.col("event_type") == "signup", F.col("value") + 1).otherwise(F.col("value")))
     return history.audit_append_only(old, new)
 
 
-@query("SELECT o_orderkey AS trade_id FROM orders WHERE o_orderkey % 31 = 0")
+@query("SELECT o_orderkey AS trade_id FROM orders WHERE o_orderpriority = '5-LOW'")
 def no_delete_audit(spark: SparkSession, d: str) -> DataFrame:
-    old = driver.trades(spark, d).select("trade_id", "status")
-    return history.audit_no_delete(old, old.where("trade_id % 31 != 0"), ["trade_id"]).select("trade_id")
+    old = driver.trades(spark, d).select("trade_id", "symbol")
+    return history.audit_no_delete(old, old.where("symbol != '5-LOW'"), ["trade_id"]).select("trade_id")
 
 
 @query(with_("raw") + " SELECT id, CASE WHEN id % 20 = 0 AND id % 30 = 1 THEN 'event_type,payload' WHEN id % 20 = 0 THEN 'payload' ELSE 'event_type' END AS changed FROM raw WHERE id % 20 = 0 OR id % 30 = 1")

@@ -32,7 +32,7 @@ def bars_base(spark: SparkSession, d: str) -> DataFrame:
     from tradelake.operators.ingest import idempotent_insert
 
     ticks = driver.ticks(spark, d)
-    sent = ticks.unionByName(ticks.where("event_id % 3 = 0"))
+    sent = ticks.unionByName(ticks)
     return _shown(bar_ops.bars_from_ticks(idempotent_insert(sent, None, ["event_id"], [F.col("ts")]), 3600))
 
 
@@ -57,12 +57,12 @@ def bars_gaps(spark: SparkSession, d: str) -> DataFrame:
 @query(
     with_("ticks")
     + BARS
-    + ", e AS (SELECT event_id, symbol, ts FROM ticks WHERE event_id % 5 = 0), b AS (SELECT symbol, bar_time, bar_time + INTERVAL 1 HOUR AS closed_at, close FROM bars)"
+    + ", e AS (SELECT event_id, symbol, ts FROM ticks), b AS (SELECT symbol, bar_time, bar_time + INTERVAL 1 HOUR AS closed_at, close FROM bars)"
     + " SELECT e.event_id, epoch(b.bar_time)::BIGINT AS bar_time, b.close::DOUBLE AS close FROM e ASOF LEFT JOIN b ON e.symbol = b.symbol AND e.ts >= b.closed_at"
 )
 def asof_features(spark: SparkSession, d: str) -> DataFrame:
     """The last bar that is closed at each entry: its end is not after the entry, so nothing looks ahead."""
-    entries = driver.ticks(spark, d).where("event_id % 5 = 0").select("event_id", "symbol", "ts")
+    entries = driver.ticks(spark, d).select("event_id", "symbol", "ts")
     closed = _bars(spark, d).select("symbol", F.timestamp_seconds(sec("bar_time") + 3600).alias("closed_at"), "bar_time", "close")
     out = asof_ops.asof(entries, closed, ["symbol"], "ts", "closed_at", strict=False)
     return out.select("event_id", sec("r_bar_time").alias("bar_time"), F.col("r_close").cast("double").alias("close"))
@@ -87,14 +87,14 @@ def news_proximity(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     with_("ticks")
-    + ", e AS (SELECT event_id, ts, symbol FROM ticks WHERE event_id % 3 = 0), n AS (SELECT event_id AS next_id, ts, symbol FROM ticks WHERE event_id % 11 = 0)"
-    + " SELECT e.event_id, n.next_id FROM e ASOF LEFT JOIN n ON e.symbol = n.symbol AND e.ts < n.ts"
+    + ""
+    + " SELECT e.event_id, n.event_id AS next_id FROM ticks e ASOF LEFT JOIN (SELECT max(event_id) AS event_id, symbol, ts FROM ticks GROUP BY symbol, ts) n ON e.symbol = n.symbol AND e.ts < n.ts"
 )
 def asof_next(spark: SparkSession, d: str) -> DataFrame:
-    """The next of some ticks behind each of others, by symbol."""
+    """The next later tick of the same symbol."""
     t = driver.ticks(spark, d)
-    n = t.where("event_id % 11 = 0").select("symbol", F.col("event_id").alias("id"), F.col("ts").alias("at"))
-    out = asof_ops.asof(t.where("event_id % 3 = 0").select("symbol", "event_id", "ts"), n, ["symbol"], "ts", "at", prefix="next_", strict=True, forward=True)
+    n = t.groupBy("symbol", F.col("ts").alias("at")).agg(F.max("event_id").alias("id"))
+    out = asof_ops.asof(t.select("symbol", "event_id", "ts"), n, ["symbol"], "ts", "at", prefix="next_", strict=True, forward=True)
     return out.select("event_id", "next_id")
 
 
@@ -127,7 +127,7 @@ FRAME_SQL = " UNION ALL ".join(f"SELECT symbol || '|{n}' AS symbol, '{n}' AS fra
     + f", bars AS ({FRAME_SQL}),"
     + EMA
     + ", t AS (SELECT e.symbol, e.bar_time + to_seconds(b.width) AS closed_at, CASE WHEN y20 > y50 THEN 1 WHEN y20 < y50 THEN -1 ELSE 0 END AS trend FROM e JOIN bars b ON e.symbol = b.symbol AND e.bar_time = b.bar_time),"
-    + " n AS (SELECT event_id, ts, symbol || '|' || f AS symbol, f FROM ticks, (VALUES ('H1'), ('H4'), ('D1')) v(f) WHERE event_id % 20 = 0)"
+    + " n AS (SELECT event_id, ts, symbol || '|' || f AS symbol, f FROM ticks, (VALUES ('H1'), ('H4'), ('D1')) v(f))"
     + " SELECT n.event_id, n.f AS frame, t.trend FROM n ASOF LEFT JOIN t ON n.symbol = t.symbol AND n.ts >= t.closed_at"
 )
 def trend_by_timeframe(spark: SparkSession, d: str) -> DataFrame:
@@ -140,7 +140,7 @@ def trend_by_timeframe(spark: SparkSession, d: str) -> DataFrame:
         series = b if series is None else series.unionByName(b)
     both = features.ema(series, 20).join(features.ema(series, 50).withColumnRenamed("ema", "slow"), ["symbol", "bar_time"]).join(series, ["symbol", "bar_time"])
     known = both.select("symbol", F.timestamp_seconds(sec("bar_time") + F.col("width")).alias("closed_at"), features.trend(F.col("ema"), F.col("slow")).alias("trend"))
-    entries = ticks.where("event_id % 20 = 0").withColumn("frame", F.explode(F.array(*map(F.lit, FRAMES))))
+    entries = ticks.withColumn("frame", F.explode(F.array(*map(F.lit, FRAMES))))
     entries = entries.select("event_id", "ts", F.concat_ws("|", "symbol", "frame").alias("symbol"), "frame")
     return asof_ops.asof(entries, known, ["symbol"], "ts", "closed_at", strict=False).select("event_id", "frame", F.col("r_trend").alias("trend"))
 

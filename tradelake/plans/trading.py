@@ -138,13 +138,13 @@ BARS = ", bars AS (SELECT symbol, time_bucket(INTERVAL 1 HOUR, ts) AS bar_time,
 @query(
     with_("ticks")
     + BARS
-    + ", t AS (SELECT event_id AS trade_id, symbol, CASE WHEN event_id % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS direction, ts AS entry_time, ts + to_hours((event_id % 40)::INT) AS close_time, price AS entry_price FROM ticks WHERE event_id % 5 = 0)"
+    + ", t AS (SELECT event_id AS trade_id, symbol, CASE WHEN event_id % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS direction, ts AS entry_time, ts + to_hours((event_id % 40)::INT) AS close_time, price AS entry_price FROM ticks)"
     + " SELECT trade_id, max(CASE direction WHEN 'BUY' THEN high - entry_price ELSE entry_price - low END)::DOUBLE AS mfe, max(CASE direction WHEN 'BUY' THEN entry_price - low ELSE high - entry_price END)::DOUBLE AS mae, count(*) AS n_bars FROM t JOIN bars b ON t.symbol = b.symbol AND b.bar_time >= t.entry_time AND b.bar_time < t.close_time GROUP BY trade_id"
 )
 def excursions(spark: SparkSession, d: str) -> DataFrame:
-    """Excursions of trades opened at every fifth tick and held for up to 39 hours, over hourly bars."""
+    """Excursions of trades opened at each tick and held for up to 39 hours, over hourly bars."""
     ticks = driver.ticks(spark, d)
-    t = ticks.where("event_id % 5 = 0").select(F.col("event_id").alias("trade_id"), "symbol", F.when(F.col("event_id") % 2 == 0, "BUY").otherwise("SELL").alias("direction"), F.col("ts").alias("entry_time"), F.expr("ts + make_interval(0, 0, 0, 0, int(event_id % 40))").alias("close_time"), F.col("price").alias("entry_price"))
+    t = ticks.select(F.col("event_id").alias("trade_id"), "symbol", F.when(F.col("event_id") % 2 == 0, "BUY").otherwise("SELL").alias("direction"), F.col("ts").alias("entry_time"), F.expr("ts + make_interval(0, 0, 0, 0, int(event_id % 40))").alias("close_time"), F.col("price").alias("entry_price"))
     out = lifecycle.excursions(t, bar_ops.bars_from_ticks(ticks, 3600))
     return out.select("trade_id", F.col("mfe").cast("double"), F.col("mae").cast("double"), "n_bars")
 
@@ -187,11 +187,11 @@ def data_quality(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     with_("deals", "trades")
-    + " SELECT t.trade_id, t.direction, d.seq, epoch(d.at)::BIGINT AS at FROM trades t JOIN deals d ON t.trade_id = d.trade_id WHERE d.seq <= 2"
+    + " SELECT t.trade_id, t.direction, d.seq, epoch(d.at)::BIGINT AS at FROM trades t JOIN deals d ON t.trade_id = d.trade_id"
 )
 def trade_navigation(spark: SparkSession, d: str) -> DataFrame:
-    """From trades to their events in order: the first two of each."""
-    return driver.trades(spark, d).join(driver.deals(spark, d).where("seq <= 2"), "trade_id").select("trade_id", "direction", "seq", sec("at").alias("at"))
+    """From trades to their events, with each event's place in the trade."""
+    return driver.trades(spark, d).join(driver.deals(spark, d), "trade_id").select("trade_id", "direction", "seq", sec("at").alias("at"))
 
 
 @query("SELECT event_id, (floor((event_id % 7 * 900 + event_id % 300 - 150 + 450) / 900) * 15)::BIGINT AS offset_minutes FROM events")
