@@ -90,6 +90,12 @@ def wilson(wins: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     return (middle - half) / (1 + z * z / n), (middle + half) / (1 + z * z / n)
 
 
+def mean_interval(mean: Column, var: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
+    """Normal interval of a mean; null below two rows."""
+    half = z * F.sqrt(var / n.cast("double"))
+    return mean - half, mean + half
+
+
 def z_statistic(mean: Column, var: Column, n: Column) -> Column:
     return F.try_divide(mean, F.sqrt(var / n.cast("double")))
 

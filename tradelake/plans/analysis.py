@@ -72,6 +72,20 @@ def wilson_ci(spark: SparkSession, d: str) -> DataFrame:
     return s.select("segment", "bot_id", F.round(low, 9).alias("ci_low"), F.round(high, 9).alias("ci_high"))
 
 
+@query(
+    with_("deals")
+    + NETS
+    + SEG
+    + STATS.format(keys="segment, bot_id", rows="seg")
+    + ", v AS (SELECT segment, bot_id, total / n AS m, 1.959963984540054::DOUBLE * sqrt(CASE WHEN n > 1 THEN (sq - total * total / n) / (n - 1) END / n) AS h FROM st) SELECT segment, bot_id, round(m - h, 4) AS ci_low, round(m + h, 4) AS ci_high FROM v"
+)
+def mean_ci(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals of the mean result per segment and bot."""
+    s = research.statistics(_segments(spark, d), ["segment", "bot_id"])
+    low, high = research.mean_interval(F.col("expectancy"), research.variance(), F.col("n"))
+    return s.select("segment", "bot_id", F.round(low, 4).alias("ci_low"), F.round(high, 4).alias("ci_high"))
+
+
 ZED = ", z AS (SELECT bot_id, n, CASE WHEN n > 1 THEN (sq - total * total / n) / (n - 1) END AS var, total / n AS mean FROM st), zz AS (SELECT bot_id, n, mean / nullif(sqrt(var / n), 0) AS z FROM z)"
 
 
