@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space that separates words, as a Java and DuckDB regular expression class.
 SPACE = r"[\x20\x09-\x0D]"
@@ -86,6 +87,19 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: int, at_once: int =
             begin = stop
 
 
+#: Bytes of an Arrow batch of texts, where the session states none. By rows alone, 10,000 texts would be tens or hundreds of MB.
+BATCH_BYTES = 4 << 20
+MOST_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_texts(rows: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """rows.mapInArrow(each, schema) in batches of bounded bytes; the bound stays set in the session, as plans are made later."""
+    spark = rows.sparkSession
+    if spark.conf.get(MOST_BYTES, None) is None:
+        spark.conf.set(MOST_BYTES, str(BATCH_BYTES))
+    return rows.mapInArrow(each, schema)
+
+
 def text_of(col: str) -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

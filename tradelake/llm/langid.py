@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradelake.llm.common import AT_ONCE, drop_ids, materialize, small_batches
+from tradelake.llm.common import AT_ONCE, drop_ids, map_texts, materialize, small_batches
 
 BUCKETS = 1 << 16
 #: Bounds of the fit: labelled rows in the sample (expected number), and languages, the most frequent first.
@@ -97,7 +97,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id
         where = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(where[0] * BUCKETS + where[1], pa.int64()), pa.array(sums[where], pa.int64())], ["cell", "n"])
 
-    table = sample.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    table = map_texts(sample, count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     sums = np.zeros(len(languages) * BUCKETS)
     sums[table.column("cell").to_numpy()] = table.column("n").to_numpy()
     sums = sums.reshape(len(languages), BUCKETS).T
@@ -176,7 +176,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), lists, pa.array(size)], ["id", "declared", "host", "text", "n_letters"])
 
     schema = T.StructType([named.schema["id"], T.StructField("declared", T.StringType()), T.StructField("host", T.StringType()), T.StructField("text", T.ArrayType(T.DoubleType())), T.StructField("n_letters", T.LongType())])
-    scored = materialize(named.mapInArrow(score, schema).withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))))
+    scored = materialize(map_texts(named, score, schema).withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))))
     # what texts without a letter would add is the prior itself, so they do not count
     priors = materialize(host_priors(scored.where("n_letters > 0").select("host", "domain", "suffix", F.transform("text", lambda x: F.exp(x)).alias("p")), n + 1))
     joined = scored.join(priors.where("host is not null"), "host", "left")

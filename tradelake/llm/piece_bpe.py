@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradelake.llm.common import small_batches
+from tradelake.llm.common import map_texts, small_batches
 
 META = "▁"
 #: Chunks whose ids a worker keeps in either half of its table, and the longest that it keeps (characters).
@@ -221,4 +221,4 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(decoded, pa.string())], ["id", "ids", "decoded"])
 
     out = T.StructType([rows.schema["id"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    return rows.mapInArrow(each, out).withColumnRenamed("id", id_col)
+    return map_texts(rows, each, out).withColumnRenamed("id", id_col)

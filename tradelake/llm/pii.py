@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradelake.llm.common import materialize, small_batches
+from tradelake.llm.common import map_texts, materialize, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -143,7 +143,7 @@ def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             fields = [("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("surface", pa.string()), ("patterns", pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(seen, pa.list_(pa.struct(fields)))], ["row", "id", "seen"])
 
-    return rows.mapInArrow(each, T.StructType([rows.schema["row"], rows.schema["id"], T.StructField("seen", T.ArrayType(_SEEN))]))
+    return map_texts(rows, each, T.StructType([rows.schema["row"], rows.schema["id"], T.StructField("seen", T.ArrayType(_SEEN))]))
 
 
 def bootstrap(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:

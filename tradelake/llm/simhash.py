@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradelake.llm.common import drop_ids, materialize, small_batches
+from tradelake.llm.common import drop_ids, map_texts, materialize, small_batches
 from tradelake.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["id", "fp"])
 
-    return rows.mapInArrow(each, T.StructType([rows.schema["id"], T.StructField("fp", T.LongType())]))
+    return map_texts(rows, each, T.StructType([rows.schema["id"], T.StructField("fp", T.LongType())]))
 
 
 def half_variants(fp: Column) -> Column:
