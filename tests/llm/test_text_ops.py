@@ -265,6 +265,29 @@ def test_license_blocks(spark):
     assert license_scan.scan_licenses(empty(spark)).count() == 0
 
 
+def test_other_licenses_are_not_confirmed():
+    scanner = license_scan.Scanner()
+    for text in (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "Licensed under CC BY-SA 4.0.",
+        "Licensed under CC BY 3.0.",
+        "Licensed under the Apache License, Version 1.1.",
+        "Licensed under the BSD License.",
+        "Some rights reserved.",
+    ):
+        assert not any(x["confirmed"] for x in scanner.scan(text)), text
+    assert [x["confirmed"] for x in scanner.scan("Released under the MIT Licence.")] == [True]
+
+
+def test_all_changes_are_returned():
+    words = license_scan.TEMPLATES[2][1].split()
+    for i in range(3, len(words), 5):
+        words[i] = f"other{i}"
+    found = license_scan.Scanner().scan(" ".join(words))[0]
+    assert found["n_changes"] > 50 and len(found["changes"].split()) == found["n_changes"]
+
+
 def test_ranking_by_compression():
     scanner = license_scan.Scanner()
     for i, (_, wording) in enumerate(license_scan.TEMPLATES):
