@@ -280,6 +280,22 @@ def test_other_licenses_are_not_confirmed():
     assert [x["confirmed"] for x in scanner.scan("Released under the MIT Licence.")] == [True]
 
 
+def test_notices_inside_running_text():
+    scanner, prose = license_scan.Scanner(), "the quick fox of the house went on to see a man in that town and "
+    short, mit, apache, bsd = "Licensed under the Apache License, Version 2.0.", *(license_scan.TEMPLATES[i][1] for i in (2, 5, 6))
+
+    def confirmed(text):
+        return [(x["license"], text[x["start"] : x["end"]]) for x in scanner.scan(text) if x["confirmed"]]
+
+    assert confirmed(prose * 4 + short + " " + prose * 4) == [("Apache-2.0", short)]
+    assert confirmed("x " * 3000 + "Released under the MIT License." + " y" * 3000) == [("MIT", "Released under the MIT License.")]
+    for name, wording in (("MIT", mit), ("Apache-2.0", apache), ("BSD", bsd)):
+        assert confirmed(prose * 60 + wording + " " + prose * 60) == [(name, wording)]
+    both = f"{prose * 60}{mit} {prose} {short} {prose} {short} {prose * 60}"
+    assert confirmed(both) == [("MIT", mit), ("Apache-2.0", short), ("Apache-2.0", short)]
+    assert confirmed("Licensed under CC BY 4.0. All rights reserved.") == [("CC-BY-4.0", "Licensed under CC BY 4.0."), ("all-rights-reserved", "All rights reserved.")]
+
+
 def test_all_changes_are_returned():
     words = license_scan.TEMPLATES[2][1].split()
     for i in range(3, len(words), 5):
