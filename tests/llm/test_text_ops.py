@@ -340,6 +340,20 @@ def test_recordings_align(spark):
     assert chroma.align(chroma.fingerprints(df.limit(0), "id", "samples", spec)).count() == 0
 
 
+def test_copies_of_shared_passages_are_linked(spark):
+    """The landmarks of 3 and 4 are first in 1 and 2, which do not align with them; 5 repeats 4; 7's passage is second in 6."""
+    rng = np.random.default_rng(7)
+    x, y, u, v, w, z = (rng.integers(-(2**31), 2**31, 40).astype(np.int32) for _ in range(6))
+    both, near = np.r_[x, y], np.r_[x, y]
+    near[39:41] ^= 1
+    fps = {1: np.r_[x, u], 2: np.r_[v, y], 3: both, 4: near, 5: near, 6: np.r_[w, z, w, u ^ 5], 7: np.r_[w, u ^ 5 ^ (1 << np.arange(40) % 31)]}
+    rows = [(i, 0, [int(k) for k in f]) for i, f in fps.items()]
+    got = {r.id: r for r in chroma.align(spark.createDataFrame(rows, "id long, n_samples long, fp array<int>")).collect()}
+    assert {i: r.class_id for i, r in got.items()} == {1: 1, 2: 2, 3: 3, 4: 3, 5: 3, 6: 6, 7: 6}
+    assert (got[4].reference_id, got[5].reference_id, got[5].bit_errors, got[7].offset) == (3, 4, 0.0, -80)
+    assert got[4].aligned and not got[3].aligned
+
+
 def test_areas_equal_plain_sums():
     """The first filter over the integral image against sums over the frames themselves."""
     spec = chroma.Spec(window=4)
