@@ -189,6 +189,19 @@ def test_host_priors_are_smoothed_by_level(spark):
     assert got[None] == pytest.approx(root)
 
 
+def test_every_label_is_modelled(spark):
+    """40 labels with words of their own, one of them in 3 rows beside 6000 of another, in mixed case and with regions."""
+    words = lambda k: " ".join(chr(0x3B1 + k % 20) * 2 + chr(0x430 + k // 2) + chr(97 + (k + j) % 26) for j in range(30))
+    rows = [(i, words(0), "l00", None) for i in range(6000)] + [(10_000 + 10 * k + j, words(k), f"L{k:02}-X", None) for k in range(1, 40) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = langid.fit(docs)
+    assert model[0] == [f"l{k:02}" for k in range(40)]
+    found = langid.identify(docs.where("doc_id >= 10000"), model).collect()
+    assert all(r.kept and r.language == f"l{(r.doc_id - 10_000) // 10:02}" for r in found)
+    other = spark.createDataFrame([(1, "漢字仮名交じり文の例文であり" * 20, "JA-jp", None), (2, "...", "ja", None)], docs.schema)
+    assert [(r.language, r.kept) for r in langid.identify(other, model).orderBy("doc_id").collect()] == [("ja", True), ("und", False)]
+
+
 def test_pages_give_markup_evidence(spark):
     html = '<!DOCTYPE html><HTML class="x" lang="fr-CA"><script>var t="</p>";</script><!-- ad --><p>Bonjour &amp; salut</p>'
     r = langid.page_rows(spark.createDataFrame([(1, "https://me:x@m.example.org:80/fr?x#y", html), (2, None, None)], "page_id long, url string, html string")).orderBy("page_id").collect()

@@ -1,14 +1,14 @@
 """Language identification by Bayesian evidence fusion.
 
 For each row the log-probabilities of the languages add up from
-- the text: a multinomial over hashed byte trigrams, fitted on a bounded sample of labelled rows and damped, as neighbouring
+- the text: a multinomial over hashed byte trigrams, fitted on a bounded sample of each label's rows and damped, as neighbouring
   trigrams are not independent; a further class without language, "und", takes all trigrams as equally likely;
 - the declared language (a document's or a page's markup attribute), right with probability RELIABILITY;
 - the host: the share of each language on it, smoothed towards that of its domain, that towards its address suffix's, and
   that towards the corpus's. The shares come from grouped aggregation of the text probabilities of all rows.
 
 Text is read once; scores without text are written to the shared folder, aggregated by host with map-side sums, and joined to
-the host priors, where AQE splits a hot host. The fitted table has a fixed size: buckets x languages.
+the host priors, where AQE splits a hot host. The fitted table has the size buckets x languages, 256 KB for each label that occurs.
 """
 
 from __future__ import annotations
@@ -25,9 +25,8 @@ from pyspark.sql import types as T
 from tradelake.llm.common import AT_ONCE, drop_ids, map_texts, materialize, small_batches
 
 BUCKETS = 1 << 16
-#: Bounds of the fit: labelled rows in the sample (expected number), and languages, the most frequent first.
+#: Labelled rows in the sample of each label (expected number); a label with fewer rows gives them all.
 SAMPLE_ROWS = 4000
-MOST_LANGUAGES = 32
 #: Weight of one trigram's evidence against that of a declaration or a host.
 DAMPING = 0.25
 RELIABILITY = 0.9
@@ -72,19 +71,28 @@ def _valid(raw: np.ndarray) -> np.ndarray:
     return (raw[:-2] != 0) & (raw[1:-1] != 0) & (raw[2:] != 0)
 
 
+def normalised(label: Column) -> Column:
+    """A label or declaration in lower case, without its region; null if nothing is left."""
+    return F.nullif(F.trim(F.lower(F.substring_index(label.cast("string"), "-", 1))), F.lit(""))
+
+
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id") -> tuple[list[str], np.ndarray]:
     """Languages and log P(trigram bucket | language) - log P(bucket | und), of shape (BUCKETS, languages), float32.
 
-    Fitted on about SAMPLE_ROWS of the rows with a label, chosen by a hash of the id. Counts are summed by Spark; the
-    table of at most BUCKETS x MOST_LANGUAGES sums reaches the driver.
+    Every label with a trigram is a language; labels are normalised as declarations are. Fitted on about SAMPLE_ROWS rows
+    of each label, chosen by a hash of the id. Counts are summed by Spark; the table of at most BUCKETS x languages sums
+    reaches the driver.
     """
-    known = labelled.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"))
-    counts = known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r.label for r in counts)
+    label = normalised(F.col(label_col))
+    known = labelled.select(F.col(id_col).alias("id"), label.alias("label"), F.col(text_col).cast("string").alias("text")).where("label is not null")
+    sizes = known.groupBy("label").count()
+    languages = sorted(r.label for r in sizes.select("label").collect())
     if not languages:
         return [], np.zeros((BUCKETS, 0), np.float32)
-    share = min(1.0, SAMPLE_ROWS / sum(r["count"] for r in counts))
-    sample = known.where((F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1) & F.col("label").isin(languages)).select("label", "text")
+    shares = F.broadcast(sizes.select(F.col("label").alias("of"), F.least(F.lit(1.0), F.lit(float(SAMPLE_ROWS)) / F.col("count")).alias("share")))
+    chosen = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 40)) <= F.col("share") * F.lit(float(1 << 40))
+    sample = known.join(shares, F.col("label") == F.col("of")).where(chosen).select("label", "text")
+    place = {x: i for i, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(languages), BUCKETS), np.int64)
@@ -92,7 +100,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id
             label = batch.column(0).to_pylist()
             for rows, raw, begin in _batches(batch.column(1).to_pylist()):
                 gram, ok = trigrams(raw), _valid(raw)
-                owner = np.repeat([languages.index(label[i]) for i in rows], np.diff(begin))[:-2]
+                owner = np.repeat([place[label[i]] for i in rows], np.diff(begin))[:-2]
                 np.add.at(sums, (owner[ok], gram[ok]), 1)
         where = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(where[0] * BUCKETS + where[1], pa.int64()), pa.array(sums[where], pa.int64())], ["cell", "n"])
@@ -101,6 +109,8 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id
     sums = np.zeros(len(languages) * BUCKETS)
     sums[table.column("cell").to_numpy()] = table.column("n").to_numpy()
     sums = sums.reshape(len(languages), BUCKETS).T
+    seen = sums.sum(0) > 0
+    languages, sums = [x for x, ok in zip(languages, seen, strict=True) if ok], sums[:, seen]
     # a share of the uniform distribution keeps unseen trigrams possible
     p = 0.95 * sums / np.maximum(sums.sum(0), 1) + 0.05 / BUCKETS
     return languages, np.log(p * BUCKETS).astype(np.float32)
@@ -147,7 +157,8 @@ def host_priors(scored: DataFrame, n: int) -> DataFrame:
 def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source") -> DataFrame:
     """One row per input row: id_col, language, probability, text_language, n_letters (bytes), kept.
 
-    A row is rejected (kept false) if no language reaches LEAST_PROBABILITY or its text has no letter; its language is
+    A row whose declared language has no model is kept, in that language if no other is found, unless its text has no letter.
+    Any other row is rejected (kept false) if no language reaches LEAST_PROBABILITY or its text has no letter; its language is
     "und" where that class is the most likely or the text has no letter. Null texts count as empty; a null or unknown
     declaration and a null host are no evidence; a host without a dot has no domain and no suffix. Rows that repeat are
     each identified, an empty table gives no rows, other columns are ignored, whatever their names.
@@ -155,7 +166,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     languages, weights = model
     n = len(languages)
     host = F.lower(F.col(host_col).cast("string"))
-    named = rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.lower(F.substring_index(F.col(declared_col).cast("string"), "-", 1)).alias("declared"), host.alias("host"))
+    named = rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), normalised(F.col(declared_col)).alias("declared"), host.alias("host"))
     if not n:
         return named.select(F.col("id").alias(id_col), F.lit(UND).alias("language"), F.lit(1.0).alias("probability"), F.lit(UND).alias("text_language"), F.lit(0).cast("long").alias("n_letters"), F.lit(False).alias("kept"))
 
@@ -189,7 +200,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     no_word = F.col("declared").isNull() | ~F.col("declared").isin(languages)
     logs = F.transform(F.coalesce("prior", default), lambda q: F.log(q))
     fused = F.zip_with(F.zip_with("text", base, lambda a, b: a - b), F.zip_with(logs, says, lambda a, b: a + F.when(no_word, 0.0).otherwise(F.log(b))), lambda a, b: a + b)
-    out = joined.select("id", "n_letters", "text", fused.alias("f")).withColumn("top", F.array_max("f"))
+    out = joined.select("id", "n_letters", "text", "declared", fused.alias("f")).withColumn("top", F.array_max("f"))
     total = F.aggregate("f", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))
     names = F.array(*map(F.lit, [*languages, UND]))
     best = F.element_at(names, F.array_position("f", F.col("top")).cast("int"))
@@ -200,8 +211,12 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
         (F.lit(1.0) / total).alias("probability"),
         F.when(blank, UND).otherwise(F.element_at(names, F.array_position("text", F.array_max("text")).cast("int"))).alias("text_language"),
         "n_letters",
+        "declared",
     )
-    return out.withColumn("kept", (F.col("language") != UND) & (F.col("probability") >= LEAST_PROBABILITY))
+    sure = (F.col("language") != UND) & (F.col("probability") >= LEAST_PROBABILITY)
+    unmodelled = F.col("declared").isNotNull() & ~F.col("declared").isin(languages) & (F.col("n_letters") > 0)
+    language = F.when(unmodelled & ~sure, F.col("declared")).otherwise(F.col("language")).alias("language")
+    return out.select(id_col, language, "probability", "text_language", "n_letters", (sure | unmodelled).alias("kept"))
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
