@@ -9,7 +9,7 @@ import pytest
 SMALL = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SMALL), reason="the driver's tables are not here")
 #: Column names that operators use inside.
-CLASHES = ["_id", "_text", "_row", "id", "fp", "key", "size", "kept", "keep_id", "target", "host", "row", "unit", "payload", "_dropped2"]
+CLASHES = ["_id", "_text", "_row", "id", "fp", "key", "size", "kept", "keep_id", "target", "host", "row", "unit", "payload", "_dropped", "_gone_id", "_gone_hash", "_row_hash", "_hash", "hash", "first", "_keep", "_n", "_kept", "_len", "_prefix"]
 LONG = "word " * 30_000 + "end"
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.helpers import LONG, SMALL, awkward, collected, empty, needs_tables
 from tradelake.llm import exact_dedup, simhash, substring_dedup
-from tradelake.llm.common import drop_ids
+from tradelake.llm.common import row_hash, without_rows
 from tradelake.llm.components import connected_components
 
 
@@ -36,7 +36,7 @@ def test_exact_groups_awkward(spark):
     assert exact_dedup.exact_groups(empty(spark)).count() == 0
     kept = exact_dedup.exact_dedup(docs)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([3, 6, 7, 9, 9, 10, None], key=repr)
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([3, 6, 7, 9, 10, None], key=repr)
 
 
 def test_exact_prefix_alike(spark):
@@ -46,13 +46,47 @@ def test_exact_prefix_alike(spark):
     assert collected(exact_dedup.exact_groups(docs), "doc_id", "keep_id", "group_size") == [(1, 3, 3), (2, 2, 1), (3, 3, 3), (4, 3, 3)]
 
 
-def test_drop_ids_without_broadcast(spark, monkeypatch):
+def test_without_rows_without_broadcast(spark, monkeypatch):
     import tradelake.llm.common as common
 
-    docs, gone = awkward(spark), spark.createDataFrame([(1,), (9,)], "x long")
-    few = collected(drop_ids(docs, gone), "doc_id", "text")
-    monkeypatch.setattr(common, "BROADCAST_IDS", 1)
-    assert collected(drop_ids(docs, gone), "doc_id", "text") == few and len(few) == 9
+    docs = awkward(spark)
+    gone = docs.where("doc_id in (1, 9)").select("doc_id", row_hash(F.col("text")))
+    once = docs.where("doc_id = 4").select("doc_id", row_hash(F.col("text")))
+    few = collected(without_rows(docs, "doc_id", ["text"], gone, once), "doc_id", "text")
+    monkeypatch.setattr(common, "BROADCAST_KEYS", 0)
+    assert collected(without_rows(docs, "doc_id", ["text"], gone, once), "doc_id", "text") == few and len(few) == 9
+
+
+def repeated_ids(spark):
+    """One id on different texts, copies and near copies under one id, identical rows, and null ids."""
+    near = " ".join(f"w{i}" for i in range(400))
+    rows = [(1, "same"), (5, "s a m e"), (5, "another unique text"), (6, "twice"), (6, "twice"), (None, "same"), (None, "lonely"), (None, "lonely"), (7, near), (7, near + " end"), (8, near)]
+    return spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, _dropped int")
+
+
+def test_exact_dedup_tells_rows_apart(spark):
+    docs = repeated_ids(spark)
+    got = collected(exact_dedup.exact_dedup(docs), "doc_id", "text")
+    near = " ".join(f"w{i}" for i in range(400))
+    want = [(5, "s a m e"), (5, "another unique text"), (6, "twice"), (None, "lonely"), (7, near), (7, near + " end")]
+    assert got == sorted(want, key=repr)
+
+
+def test_near_dedup_tells_rows_apart(spark):
+    docs = repeated_ids(spark)
+    got = [(r.doc_id, r.text[:20]) for r in simhash.drop_near_duplicates(docs).collect()]
+    # the fingerprints of the two long texts link; the row whose text has the smaller hash stays for id 7
+    assert sorted(i for i, t in got if t.startswith("w0")) == [7]
+    rest = sorted(((i, t) for i, t in got if not t.startswith("w0")), key=repr)
+    assert rest == sorted([(1, "same"), (5, "s a m e"), (5, "another unique text"), (6, "twice"), (None, "lonely")], key=repr)
+
+
+def test_bitmap_follows_the_keys(spark, monkeypatch):
+    assert [exact_dedup.bitmap_bits(n) for n in (0, 10**5, 10**7, 10**12)] == [18, 20, 27, 30]
+    docs = awkward(spark)
+    want = collected(exact_dedup.exact_groups(docs), "doc_id", "keep_id", "group_size", "kept")
+    monkeypatch.setattr(exact_dedup, "bitmap_bits", lambda n: 1)  # all rows go on to the full hash
+    assert collected(exact_dedup.exact_groups(docs), "doc_id", "keep_id", "group_size", "kept") == want
 
 
 def brute_fingerprint(text):

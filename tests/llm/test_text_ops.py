@@ -178,15 +178,80 @@ def test_evidence_decides_where_text_does_not(spark):
     assert got[1].language == "aa" and got[2].language == "bb"
 
 
+def brute_prior(rows, i):
+    """rows [(host, domain, suffix, p)]: the prior of row i, in which its own text does not count."""
+    me, rest = rows[i], [r for j, r in enumerate(rows) if j != i]
+
+    def level(members, above):
+        n = len(above)
+        return [(sum(r[3][k] for r in members) + 10 * above[k]) / (len(members) + 10) for k in range(n)]
+
+    out = level(rest, [1 / len(me[3])] * len(me[3]))
+    for k in (2, 1, 0):
+        if me[k] is not None:
+            out = level([r for r in rest if r[k] == me[k]], out)
+    return out
+
+
 def test_host_priors_are_smoothed_by_level(spark):
-    rows = [("a.x.de", [1.0, 0.0])] * 90 + [("b.x.de", [0.0, 1.0])] * 2 + [("c.y.de", [1.0, 0.0])] * 5 + [(None, [0.0, 1.0])] * 3
-    df = spark.createDataFrame(rows, "host string, p array<double>").withColumn("domain", langid.domain_of(F.col("host"))).withColumn("suffix", langid.suffix_of(F.col("host")))
-    got = {r.host: r.prior for r in langid.host_priors(df, 2).collect()}
-    root = [(95 + 5) / 110, (5 + 5) / 110]
-    de = [(95 + 10 * root[0]) / 107, (2 + 10 * root[1]) / 107]
-    x = [(90 + 10 * de[0]) / 102, (2 + 10 * de[1]) / 102]
-    assert got["b.x.de"] == pytest.approx([(0 + 10 * x[0]) / 12, (2 + 10 * x[1]) / 12])
-    assert got[None] == pytest.approx(root)
+    names = [("a.x.de", "x.de", "de"), ("b.x.de", "x.de", "de"), ("c.y.de", "y.de", "de"), ("x.co.uk", "x.co.uk", "uk"), ("w.y.co.uk", "y.co.uk", "uk"), ("co.uk", "co.uk", "uk"), ("10.0.0.1", None, None), ("local", None, None), (None, None, None)]
+    rng = random.Random(2)
+    rows = [(i, *rng.choice(names[: 3 + i % 7]), [p, 1 - p]) for i in range(120) for p in [rng.random()]]
+    df = spark.createDataFrame([(i, h, p) for i, h, _, _, p in rows], "id long, host string, p array<double>").withColumn("domain", langid.domain_of(F.col("host"))).withColumn("suffix", langid.suffix_of(F.col("host")))
+    assert {(r.host, r.domain, r.suffix) for r in df.collect()} <= set(names)
+    hosts, whole = langid.host_sums(df, 2)
+    got = {r.id: r.prior for r in df.join(hosts, "host", "left").select("id", langid.prior(F.col("p"), F.lit(True), whole).alias("prior")).collect()}
+    plain = [r[1:] for r in rows]
+    assert all(got[i] == pytest.approx(brute_prior(plain, i)) for i in range(len(rows)))
+
+
+def test_posterior_equals_brute_force(spark):
+    """The fused posterior, from the texts' trigrams, declarations and hosts, in plain arithmetic."""
+    rng, words = random.Random(8), {"aa": ["lorem", "ipsum", "dolor"], "bb": ["lorem", "sed", "amet"], "cc": ["zzyx", "qwxk", "ipsum"]}
+    text = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    train = spark.createDataFrame([(i, text(k, 12), k) for i in range(30) for k in words], "doc_id long, text string, lang string")
+    languages, weights = model = langid.fit(train)
+    hosts = [None, "a.x.de", "b.x.de", "y.de", "w.z.co.uk", "q.co.uk"]
+    rows = [(i, text(rng.choice(list(words)), rng.randint(1, 4)) if i % 9 else "12 34", rng.choice([None, "AA-x", "bb", "cc", "dd"]), rng.choice(hosts)) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    names, base = [*languages, "und"], [0.99 / 3] * 3 + [0.01]
+    likes, counts = [], []
+    for _, t, _, _ in rows:
+        raw = np.frombuffer(langid.letters(t), np.uint8)
+        like = np.r_[0.25 * weights[langid.trigrams(raw)].astype(float).sum(0), 0.0] if len(raw) > 2 else np.zeros(4)
+        likes.append(like)
+        p = np.exp(like + np.log(base))
+        counts.append(p / p.sum())
+    domain = {"a.x.de": "x.de", "b.x.de": "x.de", "y.de": "y.de", "w.z.co.uk": "z.co.uk", "q.co.uk": "q.co.uk", None: None}
+    lettered = [i for i, r in enumerate(rows) if r[1] != "12 34"]
+    got = {r.doc_id: r for r in langid.identify(docs, model).collect()}
+    for i, (_, t, says, host) in enumerate(rows):
+        here = lettered if i in lettered else [*lettered, i]
+        known = [(rows[j][3], domain[rows[j][3]], rows[j][3].rsplit(".", 1)[1] if rows[j][3] else None, counts[j]) for j in here]
+        prior = brute_prior(known, here.index(i))
+        declared = says.lower().split("-")[0] if says else None
+        word = [0.9 if x == declared else 0.1 / 3 for x in names] if declared in languages else [1.0] * 4
+        post = np.exp(likes[i]) * prior * word
+        post /= post.sum()
+        assert got[i].probability == pytest.approx(post.max(), rel=1e-6), i
+        if t == "12 34":
+            assert got[i].language == "und" and not got[i].kept
+        elif declared != "dd":
+            assert got[i].language == names[int(post.argmax())] and got[i].kept == (names[int(post.argmax())] != "und" and post.max() >= 0.7)
+
+
+def test_language_tells_rows_apart(spark):
+    """Of one id, the row with a language stays and the one without goes; so do rows with a null id."""
+    words = "the quick fox of that house went on and on "
+    rows = [(i, words * 2 + f"number {i}", "en", None) for i in range(50)] + [(7, "12 34 !", "en", None), (None, words, "en", None), (None, "123", "en", None)]
+    kept = langid.keep_identified(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("_dropped", F.lit(1)))
+    assert collected(kept.select("doc_id", "text"), "doc_id", "text") == sorted([(i, t) for i, t, _, _ in [*rows[:50], rows[51]]], key=repr)
+
+
+def test_unclosed_markup_takes_linear_time(spark):
+    html = "<p>x</p>" + "<script <!-- <style " * 40_000
+    pages = spark.createDataFrame([(1, "http://a.example.org/", html), (2, "http://a.example.org/", "<p>y<!-- " * 40_000)], "page_id long, url string, html string")
+    assert [r.text.split() for r in langid.page_rows(pages).orderBy("page_id").collect()] == [["x"], ["y"]]
 
 
 def test_every_label_is_modelled(spark):

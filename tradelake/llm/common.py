@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -51,18 +51,46 @@ def drop_materialized(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Ids that drop_ids() broadcasts at most, some 30 MB as a hash table.
-BROADCAST_IDS = 500_000
+#: Row keys that without_rows() broadcasts at most, some 40 MB as a hash table.
+BROADCAST_KEYS = 500_000
 
 
-def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the rows whose id is in gone's only column; rows with a null id stay.
+def row_hash(*columns: Column) -> Column:
+    """A hash of the columns a decision was made on, nulls included; with the id it tells rows apart."""
+    return F.xxhash64(*[x for c in columns for x in (c.isNull(), c.cast("string"))])
 
-    The ids are written and counted first: few are broadcast, so that texts need no shuffle; many are joined by shuffle.
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with so many underscores behind it that docs has no such column."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without_rows(docs: DataFrame, id_col: str, decided: Sequence[str], gone: DataFrame, once: DataFrame | None = None) -> DataFrame:
+    """docs without the rows whose id and row_hash() of the columns decided are in gone; of rows with a key in once, one stays.
+
+    gone and once have two columns, id and hash. Null ids are compared like any other value, so rows are told apart by id
+    and content, never by id alone. Keys are written and counted first: few are broadcast, so that texts need no shuffle;
+    many are joined by shuffle. Only the rows of once, which repeat a key, are shuffled to leave one of each.
     """
-    gone = materialize(gone.toDF("_dropped").distinct())
-    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, docs[id_col] == F.col("_dropped"), "left_anti")
+    id_name, hash_name, mark = fresh(docs, "_gone_id", "_gone_hash", "_row_hash")
+
+    def keys(table: DataFrame) -> DataFrame:
+        written = materialize(table.toDF(id_name, hash_name).distinct())
+        return F.broadcast(written) if written.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else written
+
+    marked = docs.withColumn(mark, row_hash(*[docs[c] for c in decided]))
+    same = marked[id_col].eqNullSafe(F.col(id_name)) & (F.col(mark) == F.col(hash_name))
+    left = marked.join(keys(gone), same, "left_anti")
+    if once is not None and not (once := materialize(once)).isEmpty():
+        repeats = keys(once)
+        left = left.join(repeats, same, "left_anti").unionByName(left.join(repeats, same, "left_semi").dropDuplicates([id_col, mark]))
+    return left.select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

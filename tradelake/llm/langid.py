@@ -4,8 +4,9 @@ For each row the log-probabilities of the languages add up from
 - the text: a multinomial over hashed byte trigrams, fitted on a bounded sample of each label's rows and damped, as neighbouring
   trigrams are not independent; a further class without language, "und", takes all trigrams as equally likely;
 - the declared language (a document's or a page's markup attribute), right with probability RELIABILITY;
-- the host: the share of each language on it, smoothed towards that of its domain, that towards its address suffix's, and
-  that towards the corpus's. The shares come from grouped aggregation of the text probabilities of all rows.
+- the host: the share of each language among its other rows, smoothed towards that of its domain, that towards its address
+  suffix's, and that towards the corpus's. The shares come from grouped aggregation of the text probabilities of all rows;
+  a row's own text is taken out of each level, so that it does not count twice.
 
 Text is read once; scores without text are written to the shared folder, aggregated by host with map-side sums, and joined to
 the host priors, where AQE splits a hot host. The fitted table has the size buckets x languages, 256 KB for each label that occurs.
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradelake.llm.common import AT_ONCE, drop_ids, map_texts, materialize, small_batches
+from tradelake.llm.common import AT_ONCE, map_texts, materialize, row_hash, small_batches, without_rows
 
 BUCKETS = 1 << 16
 #: Labelled rows in the sample of each label (expected number); a label with fewer rows gives them all.
@@ -121,37 +122,62 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(1, keepdims=True))
 
 
+#: Labels below a country's suffix under which names are registered, as in example.co.uk.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gob", "gov", "go", "ltd", "me", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
+
+
+def _named(host: Column) -> Column:
+    """Whether a host is a name with a dot, not an address in numbers."""
+    return F.contains(host, F.lit(".")) & ~F.rlike(host, F.lit(r"^[0-9.]+$|:"))
+
+
 def domain_of(host: Column) -> Column:
-    """The last two labels of a host name; null where it has no dot."""
-    return F.when(F.contains(host, F.lit(".")), F.substring_index(host, ".", -2))
+    """The registered name: the last two labels of a host, or three below such as co.uk; null without a dot and for addresses."""
+    labels = F.split(host, r"\.")
+    n = F.size(labels)
+    under = (F.length(F.element_at(labels, -1)) == 2) & F.try_element_at(labels, F.lit(-2)).isin(*SECOND_LEVEL) & (n > 2)
+    return F.when(_named(host), F.when(under, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2)))
 
 
 def suffix_of(host: Column) -> Column:
-    return F.when(F.contains(host, F.lit(".")), F.substring_index(host, ".", -1))
+    return F.when(_named(host), F.substring_index(host, ".", -1))
 
 
-def host_priors(scored: DataFrame, n: int) -> DataFrame:
-    """scored (host, domain, suffix, p array of n probabilities) -> (host, domain, suffix, prior), null hosts included."""
+def host_sums(scored: DataFrame, n: int) -> tuple[DataFrame, tuple[list[float], int]]:
+    """scored (host, domain, suffix, p array of n probabilities) -> (host, hs, hn, ds, dn, ss, sn), the sums of p and the rows of
+    each host, of its domain and of its suffix (null without one); and the sums and rows of all."""
 
-    def shares(keys: list[str], rows: DataFrame) -> DataFrame:
-        sums = [F.sum(F.col(f"s{i}")).alias(f"s{i}") for i in range(n)]
-        return rows.groupBy(*keys).agg(*sums, F.sum("rows").alias("rows"))
+    def sums(keys: list[str], rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys).agg(*[F.sum(F.col(f"s{i}")).alias(f"s{i}") for i in range(n)], F.sum("rows").alias("rows"))
 
-    def smoothed(parent: Column) -> Column:
-        return F.transform(parent, lambda q, i: (F.element_at(F.array(*[F.col(f"s{k}") for k in range(n)]), i + 1) + SMOOTHING * q) / (F.col("rows") + SMOOTHING))
+    def packed(rows: DataFrame, key: str, name: str) -> DataFrame:
+        return rows.select(F.col(key).alias(f"_{name}"), F.array(*[F.col(f"s{i}") for i in range(n)]).alias(f"{name}s"), F.col("rows").alias(f"{name}n"))
 
     each = scored.select("host", "domain", "suffix", *[F.col("p")[i].alias(f"s{i}") for i in range(n)], F.lit(1).alias("rows"))
-    hosts = materialize(shares(["host", "domain", "suffix"], each))
+    hosts = materialize(sums(["host", "domain", "suffix"], each))
     whole = hosts.agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(n)], F.sum("rows").alias("rows")).first()
-    uniform = 1 / n
-    corpus = [((whole[f"s{i}"] or 0) + SMOOTHING * uniform) / ((whole["rows"] or 0) + SMOOTHING) for i in range(n)]
-    root = F.array(*map(F.lit, corpus))
-    suffixes = shares(["suffix"], hosts).where("suffix is not null").select(F.col("suffix").alias("sx"), smoothed(root).alias("ps"))
-    domains = shares(["domain", "suffix"], hosts).where("domain is not null")
-    domains = domains.join(suffixes, F.col("suffix") == F.col("sx"), "left").select(F.col("domain").alias("dx"), smoothed(F.coalesce("ps", root)).alias("pd"))
-    joined = hosts.join(domains, F.col("domain") == F.col("dx"), "left")
-    prior = F.when(F.col("host").isNull(), root).otherwise(smoothed(F.coalesce("pd", root)))
-    return joined.select("host", prior.alias("prior"))
+    suffixes = packed(sums(["suffix"], hosts.where("suffix is not null")), "suffix", "s")
+    domains = packed(sums(["domain"], hosts.where("domain is not null")), "domain", "d")
+    out = hosts.where("host is not null").select("host", "domain", "suffix", F.array(*[F.col(f"s{i}") for i in range(n)]).alias("hs"), F.col("rows").alias("hn"))
+    out = out.join(domains, F.col("domain") == F.col("_d"), "left").join(suffixes, F.col("suffix") == F.col("_s"), "left")
+    return out.select("host", "hs", "hn", "ds", "dn", "ss", "sn"), ([float(whole[f"s{i}"] or 0) for i in range(n)], int(whole["rows"] or 0))
+
+
+def prior(own: Column, counted: Column, whole: tuple[list[float], int]) -> Column:
+    """The prior of a row with the columns of host_sums(): own is the row's array of probabilities, counted whether it is in
+    the sums. Each level is smoothed towards the one above it, the corpus towards even shares."""
+    sums, rows = whole
+    mine = F.when(counted, 1).otherwise(0)
+
+    def level(total: Column, n: Column, above: Column) -> Column:
+        # sums in double precision may fall a trifle below zero
+        rest = F.zip_with(total, own, lambda t, o: F.greatest(F.lit(0.0), t - o * mine))
+        return F.zip_with(rest, above, lambda r, a: (r + SMOOTHING * a) / (n - mine + SMOOTHING))
+
+    out = level(F.array(*map(F.lit, sums)), F.lit(rows), F.array(*[F.lit(1 / len(sums))] * len(sums)))
+    for name in "sdh":
+        out = F.when(F.col(f"{name}s").isNotNull(), level(F.col(f"{name}s"), F.col(f"{name}n"), out)).otherwise(out)
+    return out
 
 
 def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source") -> DataFrame:
@@ -163,12 +189,17 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     declaration and a null host are no evidence; a host without a dot has no domain and no suffix. Rows that repeat are
     each identified, an empty table gives no rows, other columns are ignored, whatever their names.
     """
+    return _identified(rows, model, id_col, text_col, declared_col, host_col).drop("_hash")
+
+
+def _identified(rows: DataFrame, model: tuple[list[str], np.ndarray], id_col: str, text_col: str, declared_col: str, host_col: str) -> DataFrame:
+    """identify() with _hash, which tells the rows of an id apart by what was judged."""
     languages, weights = model
     n = len(languages)
     host = F.lower(F.col(host_col).cast("string"))
-    named = rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), normalised(F.col(declared_col)).alias("declared"), host.alias("host"))
+    named = rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), normalised(F.col(declared_col)).alias("declared"), host.alias("host"), row_hash(*[F.col(c) for c in (text_col, declared_col, host_col)]).alias("hash"))
     if not n:
-        return named.select(F.col("id").alias(id_col), F.lit(UND).alias("language"), F.lit(1.0).alias("probability"), F.lit(UND).alias("text_language"), F.lit(0).cast("long").alias("n_letters"), F.lit(False).alias("kept"))
+        return named.select(F.col("id").alias(id_col), F.lit(UND).alias("language"), F.lit(1.0).alias("probability"), F.lit(UND).alias("text_language"), F.lit(0).cast("long").alias("n_letters"), F.lit(False).alias("kept"), F.col("hash").alias("_hash"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 1):
@@ -184,23 +215,22 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
             text = _log_softmax(DAMPING * like + np.log([(1 - NO_LANGUAGE) / n] * n + [NO_LANGUAGE]))
             values = pa.array(text.ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * (n + 1)), values)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), lists, pa.array(size)], ["id", "declared", "host", "text", "n_letters"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), lists, pa.array(size)], ["id", "declared", "host", "hash", "text", "n_letters"])
 
-    schema = T.StructType([named.schema["id"], T.StructField("declared", T.StringType()), T.StructField("host", T.StringType()), T.StructField("text", T.ArrayType(T.DoubleType())), T.StructField("n_letters", T.LongType())])
+    schema = T.StructType([named.schema["id"], T.StructField("declared", T.StringType()), T.StructField("host", T.StringType()), named.schema["hash"], T.StructField("text", T.ArrayType(T.DoubleType())), T.StructField("n_letters", T.LongType())])
     scored = materialize(map_texts(named, score, schema).withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))))
     # what texts without a letter would add is the prior itself, so they do not count
-    priors = materialize(host_priors(scored.where("n_letters > 0").select("host", "domain", "suffix", F.transform("text", lambda x: F.exp(x)).alias("p")), n + 1))
-    joined = scored.join(priors.where("host is not null"), "host", "left")
-    all_hosts = priors.where("host is null").select("prior").limit(1).collect()
-    default = F.array(*[F.lit(float(x)) for x in (all_hosts[0].prior if all_hosts else [1 / (n + 1)] * (n + 1))])
+    own, counted = F.transform("text", lambda x: F.exp(x)), F.col("n_letters") > 0
+    hosts, whole = host_sums(scored.where(counted).select("host", "domain", "suffix", own.alias("p")), n + 1)
+    joined = scored.join(materialize(hosts), "host", "left")
     # the text's probabilities hold an even prior, which the host's replaces
     base = F.array(*[F.lit(float(x)) for x in np.log([(1 - NO_LANGUAGE) / n] * n + [NO_LANGUAGE])])
     spread = (1 - RELIABILITY) / max(1, n)
     says = F.array(*[F.when(F.col("declared") == x, RELIABILITY).otherwise(spread) for x in languages], F.lit(spread))
     no_word = F.col("declared").isNull() | ~F.col("declared").isin(languages)
-    logs = F.transform(F.coalesce("prior", default), lambda q: F.log(q))
+    logs = F.transform(prior(own, counted, whole), lambda q: F.log(q))
     fused = F.zip_with(F.zip_with("text", base, lambda a, b: a - b), F.zip_with(logs, says, lambda a, b: a + F.when(no_word, 0.0).otherwise(F.log(b))), lambda a, b: a + b)
-    out = joined.select("id", "n_letters", "text", "declared", fused.alias("f")).withColumn("top", F.array_max("f"))
+    out = joined.select("id", "hash", "n_letters", "text", "declared", fused.alias("f")).withColumn("top", F.array_max("f"))
     total = F.aggregate("f", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))
     names = F.array(*map(F.lit, [*languages, UND]))
     best = F.element_at(names, F.array_position("f", F.col("top")).cast("int"))
@@ -212,23 +242,32 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
         F.when(blank, UND).otherwise(F.element_at(names, F.array_position("text", F.array_max("text")).cast("int"))).alias("text_language"),
         "n_letters",
         "declared",
+        F.col("hash").alias("_hash"),
     )
     sure = (F.col("language") != UND) & (F.col("probability") >= LEAST_PROBABILITY)
     unmodelled = F.col("declared").isNotNull() & ~F.col("declared").isin(languages) & (F.col("n_letters") > 0)
     language = F.when(unmodelled & ~sure, F.col("declared")).otherwise(F.col("language")).alias("language")
-    return out.select(id_col, language, "probability", "text_language", "n_letters", (sure | unmodelled).alias("kept"))
+    return out.select(id_col, language, "probability", "text_language", "n_letters", (sure | unmodelled).alias("kept"), "_hash")
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html) -> (page_id, text without markup, lang as the html element declares it, source: the host)."""
+    """pages (page_id, url, html) -> (page_id, text without markup, lang as the html element declares it, source: the host).
+
+    A script, style or comment that is not closed reaches to the end of the page, as it does in browsers, so each page takes
+    linear time.
+    """
     html = F.coalesce("html", F.lit(""))
-    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^<>]*>", " ")
+    bare = F.regexp_replace(html, r"(?is)<(script|style)\b(?:.*?</\1\s*>|.*)|<!--(?:.*?-->|.*)|<[^<>]*>", " ")
     declared = F.nullif(F.regexp_extract(html, r"(?is)<html\b[^<>]*?\slang\s*=\s*[\"']?([a-z]+)", 1), F.lit(""))
     host = F.nullif(F.regexp_extract(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))
     return pages.select("page_id", F.regexp_replace(bare, r"&[#A-Za-z0-9]+;", " ").alias("text"), declared.alias("lang"), host.alias("source"))
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose language identify() rejects, with the columns of docs; rows with a null id are kept."""
-    found = identify(docs, fit(docs))
-    return drop_ids(docs, found.where(~F.col("kept")).select("doc_id"))
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source") -> DataFrame:
+    """docs without the rows whose language identify() rejects, with the columns of docs.
+
+    Rows are told apart by id, text, declaration and host, so of rows that repeat an id each goes or stays by its own; rows
+    with a null id are judged like any other. A table without rows gives none.
+    """
+    found = _identified(docs, fit(docs, text_col, declared_col, id_col), id_col, text_col, declared_col, host_col)
+    return without_rows(docs, id_col, [text_col, declared_col, host_col], found.where(~F.col("kept")).select(id_col, "_hash"))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradelake.llm.common import drop_ids, map_texts, materialize, small_batches
+from tradelake.llm.common import map_texts, materialize, row_hash, small_batches, without_rows
 from tradelake.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -50,15 +50,15 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) per row of docs; fp is the fingerprint as a signed long."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    """(id, hash, fp) per row of docs; hash tells texts apart, fp is the fingerprint as a signed long."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), row_hash(F.col(text_col)).alias("hash"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 1):
             fp = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp)], ["id", "hash", "fp"])
 
-    return map_texts(rows, each, T.StructType([rows.schema["id"], T.StructField("fp", T.LongType())]))
+    return map_texts(rows, each, T.StructType([rows.schema["id"], rows.schema["hash"], T.StructField("fp", T.LongType())]))
 
 
 def half_variants(fp: Column) -> Column:
@@ -189,6 +189,18 @@ def fingerprint_links(distinct: DataFrame, hot_bucket: int = HOT_BUCKET) -> Data
     return links.unionByName(dealt.mapInArrow(second, schema).select("a", "b"))
 
 
+def _classed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, hash, fp, first): a row per row; first is the id and hash of the row with the smallest id of its component."""
+    prints = materialize(fingerprints(docs, id_col, text_col))
+    least = F.min(F.struct(F.col("id").isNull().alias("z"), "id", "hash"))
+    distinct = materialize(prints.groupBy("fp").agg(least.alias("first")))
+    roots = connected_components(fingerprint_links(distinct.select("fp")))
+    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    smallest = named.groupBy("root").agg(F.min("first").alias("first"))
+    classes = materialize(named.select("fp", "root").join(materialize(smallest), "root").select("fp", "first"))
+    return prints.join(classes, "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id_col, fp (signed long), component_id, the smallest id reachable over links.
 
@@ -196,15 +208,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component but do not name one, unless it has no other id. Rows that repeat an id are each returned. An empty table
     gives no rows. Other columns of docs are ignored, whatever their names.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col))
-    distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("first_id")))
-    roots = connected_components(fingerprint_links(distinct.select("fp")))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = materialize(named.select("fp", "root").join(materialize(smallest), "root").select("fp", "component_id"))
-    return prints.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return _classed(docs, id_col, text_col).select(F.col("id").alias(id_col), "fp", F.col("first.id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the row of the smallest id of each component; rows with a null id are kept."""
-    return drop_ids(docs, near_duplicates(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(id_col), id_col)
+    """docs with one row of each component, that of the smallest id; null ids come last.
+
+    Rows are told apart by id and text: of rows that repeat an id with different texts, each stays or goes with its own
+    component, and of rows that repeat both, one stays, whichever it is. An empty table gives no rows.
+    """
+    found = materialize(_classed(docs, id_col, text_col).select("id", "hash", (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("hash") == F.col("first.hash"))).alias("kept")))
+    again = found.where("kept").groupBy("id", "hash").agg(F.count("*").alias("n")).where("n > 1")
+    return without_rows(docs, id_col, [text_col], found.where("not kept").select("id", "hash"), again.select("id", "hash"))
