@@ -9,6 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import LONG, SMALL, awkward, collected, empty, needs_tables
@@ -218,21 +219,42 @@ def passages(spark):
 
 
 def test_repeats_awkward(spark):
-    check_repeats(passages(spark).repartition(4), unit_bytes=2000)
+    check_repeats(passages(spark).repartition(4), shape=substring_dedup.Shape(2000, 1, 16, 1))
     check_repeats(passages(spark).coalesce(1))
     assert substring_dedup.remove_repeats(empty(spark)).count() == 0
 
 
-def test_repeats_with_many_blocks_and_a_full_sketch(spark, monkeypatch):
-    """An overfull sketch lets every window through; the result stays exact. Needs functions that travel with their values."""
-    monkeypatch.setattr(substring_dedup, "BLOCK_WINDOWS", 16)
-    assert substring_dedup.blocks_for(6 * 10**6) > 1
-    check_repeats(passages(spark).repartition(3), unit_bytes=3000)
+def test_repeats_with_many_blocks_and_a_full_sketch(spark):
+    """Many blocks; and an overfull sketch, which lets every window through: the result stays exact."""
+    check_repeats(passages(spark).repartition(3), shape=substring_dedup.Shape(3000, 40, 8, 17))
+    check_repeats(passages(spark).repartition(3), shape=substring_dedup.Shape(3000, 3, 2, 5))
+
+
+def test_sketch_grows_with_the_input():
+    """From 0.5 GB to 100 TB: the share of different windows that is estimated repeated, and what a block and a unit hold."""
+    for n_bytes in (5 * 10**8, 3 * 10**10, 10**12, 10**13, 10**14):
+        shape, windows = substring_dedup.shape_for(n_bytes), n_bytes / substring_dedup.WINDOW_BYTES
+        false = (1 - np.exp(-windows / shape.counters)) ** substring_dedup.ROWS
+        assert false < 0.1, n_bytes
+        assert 1 << shape.width_bits <= 1 << 29 and windows / shape.blocks <= 1.1 * (1 << 25)  # a row of counters in bytes
+        assert shape.unit_bytes <= 32 << 20 and windows / shape.entry_blocks <= 1 << 21
+    assert substring_dedup.shape_for(0).blocks == 1
+
+
+def test_sketch_rarely_takes_different_windows_for_repeated():
+    shape, rng = substring_dedup.shape_for(6 * 2**20), np.random.default_rng(2)
+    h = np.sort(rng.integers(0, 2**63, 2**20).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+    assert shape.blocks == 1 or shape.blocks == 2
+    hit = np.ones(len(h), bool)
+    for block, part in substring_dedup._ranges(h, shape.blocks):
+        for place in substring_dedup._counters(h[part], shape.width_bits):
+            hit[part] &= np.bincount(place, minlength=1 << shape.width_bits)[place] > 1
+    assert hit.mean() < 0.1
 
 
 @needs_tables
 def test_repeats_real(spark):
-    check_repeats(spark.read.parquet(f"{SMALL}/documents.parquet").repartition(5), unit_bytes=1 << 15)
+    check_repeats(spark.read.parquet(f"{SMALL}/documents.parquet").repartition(5), shape=substring_dedup.Shape(1 << 15, 7, 14, 3))
 
 
 def test_sketch_overestimates():
@@ -244,7 +266,9 @@ def test_sketch_overestimates():
     bits = 12
     counts = [np.zeros(1 << bits, np.uint8) for _ in range(substring_dedup.ROWS)]
     for h in units:
-        for count, (at, many) in zip(counts, substring_dedup._parse_slice(substring_dedup._sketch_slice(h, np.zeros(len(h), int), bits)), strict=True):
+        raw = zstandard.decompress(substring_dedup._sketch_slice(h, np.zeros(len(h), int), bits))
+        for row, count in enumerate(counts):
+            at, many = substring_dedup._parse_slice(raw, row)
             count[at] = np.minimum(count[at] + 1 + many, 2)
     twice = np.intersect1d(units[1], units[3])
     assert len(twice) == 50

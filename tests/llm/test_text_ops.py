@@ -436,15 +436,99 @@ def test_areas_equal_plain_sums():
     """The first filter over the integral image against sums over the frames themselves."""
     spec = chroma.Spec(window=4)
     x = np.random.default_rng(0).random((9, 12)).astype(np.float32)
-    got = chroma.packed(x, spec)
+    levels = np.tile([-0.35, 0.0, 0.35], (16, 1))
+    got = chroma.packed(x, spec, levels)
     assert len(got) == 6
     for t in range(6):
         a, b = x[t : t + 2, 0:6].sum(), x[t + 2 : t + 4, 0:6].sum()
         kind, low, high, part = chroma.FILTERS[1]
-        level = int(np.digitize(np.log((1e-6 + a) / (1e-6 + b)), chroma.LEVELS))
+        level = int(np.digitize(np.log((1e-6 + a) / (1e-6 + b)), levels[1]))
         assert (kind, low, high, part) == (0, 0, 6, 1) and got[t] >> 28 & 3 == level ^ (level >> 1)
 
 
+def test_levels_are_quartiles(spark):
+    spec = chroma.Spec()
+    rows = [(i, pcm(tune(i, 5))) for i in range(6)]
+    df = spark.createDataFrame([*rows, (7, None), (8, b"x")], "id long, samples binary")
+    got = chroma.fit_levels(df, "id", "samples", spec)
+    found = np.concatenate([chroma.answers(chroma.chroma(np.frombuffer(x, "<i2").astype(np.float32), spec), spec) for _, x in rows], 1)
+    assert np.abs((found[:, None, :] < got[:, :, None]).mean(2) - [0.25, 0.5, 0.75]).max() < 0.02
+    assert chroma.fit_levels(df.limit(0), "id", "samples", spec).shape == (16, 3)
+
+
+def brute_links(prints):
+    """{id: fingerprint} -> pairs that share a landmark and align at an offset for which one votes."""
+    places = {i: defaultdict(list) for i in prints}
+    for i, fp in prints.items():
+        for k in range(len(fp) - chroma.LANDMARKS[0] + 1):
+            places[i][fp[k : k + chroma.LANDMARKS[0]].tobytes()].append(k)
+    links = set()
+    for i in prints:
+        for j in (j for j in prints if j < i):
+            votes = defaultdict(int)
+            for key in places[i].keys() & places[j].keys():
+                for k in {*(p - places[j][key][0] for p in places[i][key]), *(places[i][key][0] - q for q in places[j][key])}:
+                    votes[k] += 1
+            if votes and not chroma.best_offset(prints[i], prints[j], list(votes.items()))[0]:
+                links.add((i, j))
+    return links
+
+
+def linked(classes, links):
+    return sum(classes[i] == classes[j] for i, j in links) / max(1, len(links))
+
+
+def test_alignment_against_brute_force(spark):
+    """Recordings of few passages, many of them shared: all links of brute force are found, and no class has another member."""
+    rng = np.random.default_rng(11)
+    parts = [rng.integers(-(2**31), 2**31, rng.integers(8, 30)).astype(np.int32) for _ in range(25)]
+    prints = {}
+    for i in range(150):
+        fp = np.concatenate([parts[k] for k in rng.integers(0, len(parts), rng.integers(1, 7))])
+        if i % 3 == 0 and i:  # a near copy, shifted, with some bits changed
+            fp = prints[int(rng.integers(0, i))][int(rng.integers(0, 6)) :].copy()
+            fp[rng.integers(0, len(fp), len(fp) // 6)] ^= 1 << 7
+        prints[i] = fp
+    rows = [(i, 0, fp.tolist()) for i, fp in prints.items()]
+    got = {r.id: r.class_id for r in chroma.align(spark.createDataFrame(rows, "id long, n_samples long, fp array<int>")).collect()}
+    links = brute_links({i: fp.view(np.uint32) for i, fp in prints.items()})
+    assert len(links) > 100 and linked(got, links) >= 0.97
+    root = {i: i for i in prints}
+    for i, j in links:
+        old, new = root[i], root[j]
+        root = {k: new if r == old else r for k, r in root.items()}
+    assert all(root[i] == root[c] for i, c in got.items())
+
+
+@needs_tables
+def test_documents_as_recordings(spark):
+    """Unrelated documents differ in half of the bits and do not align; recall against all pairs by brute force."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    docs = docs.unionByName(docs.select(*[(F.col(c) + 1000).alias(c) if c == "doc_id" else F.substring("text", 257, 10**6).alias("text") if c == "text" else F.col(c) for c in docs.columns]))
+    prints = chroma.fingerprints(docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("samples")), "doc_id", "samples", chroma.SHORT, "u1")
+    got = {r.id: r for r in chroma.align(prints).collect()}
+    fps = {r.id: np.array(r.fp, np.int32).view(np.uint32) for r in prints.collect() if len(r.fp) >= 4}
+    links = brute_links(fps)
+    assert len(links) >= 100 and linked({i: r.class_id for i, r in got.items()}, links) >= 0.95
+    rng = random.Random(3)
+    pairs = [(i, j) for i, j in (rng.sample(sorted(fps), 2) for _ in range(5000)) if (max(i, j), min(i, j)) not in links and got[i].class_id != got[j].class_id]
+    errors = []
+    for i, j in pairs:
+        n = min(len(fps[i]), len(fps[j]))
+        errors.append(int(np.bitwise_count(fps[i][:n] ^ fps[j][:n]).sum()) / (32 * n))
+    assert np.mean(errors) > 0.45 and np.mean(np.array(errors) <= chroma.MOST_BIT_ERRORS) < 0.01
+
+
+def test_unrelated_tunes_do_not_align():
+    spec = chroma.Spec()
+    feats = [chroma.chroma(np.frombuffer(pcm(tune(50 + i, 10)), "<i2").astype(np.float32), spec) for i in range(12)]
+    levels = np.quantile(np.concatenate([chroma.answers(f, spec) for f in feats], 1), [0.25, 0.5, 0.75], axis=1).T
+    fps = [chroma.packed(f, spec, levels) for f in feats]
+    for i in range(12):
+        for j in range(i):
+            assert chroma.best_offset(fps[i], fps[j], [(k, 1) for k in range(-30, 31)])[0]
+
+
 def test_octaves_share_a_pitch_class():
     spec, t = chroma.Spec(), np.arange(11025) / 11025
     tops = {int(chroma.chroma(np.sin(2 * np.pi * f * t), spec)[2].argmax()) for f in (220.0, 440.0, 880.0)}

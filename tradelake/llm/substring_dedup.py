@@ -7,44 +7,74 @@ id. Documents are first packed into units of some MB, written once, so that late
    ROWS rows, counting a window once per document and no further than 2. Partial sketches are merged by block, and each
    unit gets back one bit per counter that it sent: whether the merged count reaches 2. A window whose counters all do is
    estimated repeated. Counters only overestimate, so no repeated window is lost.
-2. Units send a 128-bit digest of the words of the windows estimated repeated, with the smallest document id that has it in
-   the unit. Grouped exactly, each entry gets back one bit: whether a smaller document elsewhere has the window.
+2. Units send 128 bits of the SHA-256 of the words of the windows estimated repeated, with the smallest document id that has
+   it in the unit. Grouped exactly, each entry gets back one bit: whether a smaller document elsewhere has the window.
 3. Units mark the covered words and give the texts that are left.
 
-What is shuffled: about 3 bytes a window for the sketches, some 20 bytes for each different window of a unit that is
-estimated repeated, and the compressed units twice. A window that occurs everywhere costs one entry per unit, and blocks are
-even shares of a hash, so no task grows with one key; nothing is broadcast or collected.
+Blocks are even shares of a hash. Their number follows the input so that each has COUNTERS counters a window at every size, and
+units and blocks grow with the square root of the input within bounds, so that a unit's slice of a block does not get tiny too
+soon and neither outgrows a task (see shape_for()). What is shuffled: about 3 bytes a window for the sketches, some 20 bytes for
+each different window of a unit that is estimated repeated, and the compressed units twice. A window that occurs everywhere
+costs one entry per unit; no task grows with one key, and nothing is broadcast or collected.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradelake.llm.common import materialize
+from tradelake.llm.common import map_texts, materialize
 
 WINDOW = 13
 ROWS = 2
-#: Bytes of text in a unit, windows in a block of the sketch, and counters in a row for each of them.
-UNIT_BYTES = 4 << 20
-BLOCK_WINDOWS = 1 << 19
+#: Counters in a row of the sketch for each window. With all windows different, one row takes 1 - exp(-1 / 4) of the others for
+#: repeated, both rows 5 % of them, or less, as rows are rounded up to a power of two.
 COUNTERS = 4
+#: Bytes of text for each window, about; with fewer, blocks hold more windows than planned.
+WINDOW_BYTES = 6
+#: Bounds of a unit's text in bytes and of a block's windows.
+UNIT_BYTES = (4 << 20, 32 << 20)
+BLOCK_WINDOWS = (1 << 19, 1 << 25)
+#: Windows of a block of the second pass, whose entries are whole digests.
+ENTRY_WINDOWS = 1 << 21
 MULTIPLIER = 0x9E3779B97F4A7C15
 SECOND_ROW = 0xD6E8FEB86659FD93
 NO_ID = np.iinfo(np.int64).max
 
 
-def blocks_for(n_bytes: int) -> int:
-    """Blocks of the hash space: with more windows more of them, but slices of a unit do not get ever smaller."""
-    windows = n_bytes / 6
-    return max(1, round(windows / max(BLOCK_WINDOWS, 32 * windows**0.5)))
+@dataclass(frozen=True)
+class Shape:
+    """Bytes of text in a unit, blocks of the sketch, bits of a counter's place in a row of a block, blocks of the entries."""
+
+    unit_bytes: int
+    blocks: int
+    width_bits: int
+    entry_blocks: int
+
+    @property
+    def counters(self) -> int:
+        """Counters in a row of all blocks together."""
+        return self.blocks << self.width_bits
+
+
+def shape_for(n_bytes: int) -> Shape:
+    """Counters in proportion to the windows at every size. At 0.5 GB a unit has 4 MB and a block 0.5 million windows; both grow with
+    the square root of the input up to 32 MB and 34 million windows, from about 1 TB on."""
+    windows = max(1, n_bytes // WINDOW_BYTES)
+    root = windows**0.5
+    blocks = max(1, round(windows / min(BLOCK_WINDOWS[1], max(BLOCK_WINDOWS[0], 64 * root))))
+    width_bits = max(4, (COUNTERS * -(-windows // blocks) - 1).bit_length())
+    return Shape(int(min(UNIT_BYTES[1], max(UNIT_BYTES[0], 128 * root))), blocks, width_bits, max(1, -(-windows // ENTRY_WINDOWS)))
 
 
 def _ranges(ascending: np.ndarray, n_blocks: int) -> Iterator[tuple[int, slice]]:
@@ -92,11 +122,11 @@ class Unit:
         return _ranges(self.hash, n_blocks)
 
     def digests(self, chosen: np.ndarray) -> np.ndarray:
-        """128-bit digests (two uint64 columns) of the words of the chosen windows (places in hash order)."""
+        """128 bits (two uint64 columns) of the SHA-256 of the words of the chosen windows (places in hash order)."""
         out = bytearray()
         for w, d in zip(self.start[chosen].tolist(), self.doc[chosen].tolist(), strict=True):
             i = w - int(self.first[d])
-            out += xxhash.xxh3_128_digest(b" ".join(self.words[d][i : i + self.window]))
+            out += hashlib.sha256(b" ".join(self.words[d][i : i + self.window])).digest()[:16]
         return np.frombuffer(bytes(out), "<u8").reshape(-1, 2)
 
 
@@ -125,30 +155,32 @@ def _sketch_slice(h: np.ndarray, doc: np.ndarray, width_bits: int) -> bytes:
     return zstandard.compress(b"".join(parts), 1)
 
 
-def _parse_slice(payload: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
-    raw, rows, i = zstandard.decompress(payload), [], 0
-    for _ in range(ROWS):
+def _parse_slice(raw: bytes, row: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places and flags of a row of an uncompressed slice."""
+    i = 0
+    while True:
         n = int(np.frombuffer(raw, "<u4", 1, i)[0])
-        at = np.cumsum(_unplanes(raw[i + 4 : i + 4 + 4 * n], "<u4", n), dtype=np.int64)
-        i += 4 + 4 * n
-        many = np.unpackbits(np.frombuffer(raw, np.uint8, -(-n // 8), i), count=n)
-        i += -(-n // 8)
-        rows.append((at, many))
-    return rows
+        if row == 0:
+            break
+        i, row = i + 4 + 4 * n + -(-n // 8), row - 1
+    at = np.cumsum(_unplanes(raw[i + 4 : i + 4 + 4 * n], "<u4", n), dtype=np.int64)
+    return at, np.unpackbits(np.frombuffer(raw, np.uint8, -(-n // 8), i + 4 + 4 * n), count=n)
 
 
 def _merge_sketches(key: tuple, rows: pa.Table, width_bits: int) -> pa.Table:
-    """Merge the slices of a block; back to each unit goes a bit for each counter it sent."""
-    counts = [np.zeros(1 << width_bits, np.uint8) for _ in range(ROWS)]
+    """Merge the slices of a block; back to each unit goes a bit for each counter it sent. One row of counters is held at once."""
     units, slices = rows.column("unit").to_pylist(), rows.column("payload")
-    for payload in slices:
-        for count, (at, many) in zip(counts, _parse_slice(payload.as_py()), strict=True):
+    replies = [b""] * len(units)
+    for row in range(ROWS):
+        count = np.zeros(1 << width_bits, np.uint8)
+        for payload in slices:
+            at, many = _parse_slice(zstandard.decompress(payload.as_py()), row)
             count[at] = np.minimum(count[at] + 1 + many, 2)
-    replies = []
-    for payload in slices:
-        bits = [np.packbits(count[at] > 1).tobytes() for count, (at, _) in zip(counts, _parse_slice(payload.as_py()), strict=True)]
-        replies.append(zstandard.compress(b"".join(bits), 1))
-    return pa.table([pa.array(units, pa.int64()), pa.array([key[0].as_py()] * len(units), pa.int32()), pa.array(replies, pa.binary())], ["unit", "block", "payload"])
+        for i, payload in enumerate(slices):
+            at, _ = _parse_slice(zstandard.decompress(payload.as_py()), row)
+            replies[i] += np.packbits(count[at] > 1).tobytes()
+    packed = [zstandard.compress(x, 1) for x in replies]
+    return pa.table([pa.array(units, pa.int64()), pa.array([key[0].as_py()] * len(units), pa.int32()), pa.array(packed, pa.binary())], ["unit", "block", "payload"])
 
 
 def _estimated(unit: Unit, replies: dict[int, bytes], n_blocks: int, width_bits: int) -> np.ndarray:
@@ -196,7 +228,7 @@ def _merge_entries(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table([pa.array(units, pa.int64()), pa.array([-1 - key[0].as_py()] * len(units), pa.int32()), pa.array(replies, pa.binary())], ["unit", "block", "payload"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, unit_bytes: int = UNIT_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shape: Shape | None = None) -> DataFrame:
     """One row per input row: id_col, n_words, n_removed, kept_text (the words left, joined by one space).
 
     Windows are judged on the input, not on what is left. Texts shorter than a window lose nothing; null texts count as
@@ -204,8 +236,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     each other's words. An empty table gives no rows; other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    n_blocks = blocks_for(rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
-    width_bits = int(COUNTERS * BLOCK_WINDOWS - 1).bit_length()
+    shape = shape or shape_for(rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    n_blocks, width_bits = shape.blocks, shape.width_bits
     message = "unit long, block int, payload binary"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,10 +252,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             return pa.RecordBatch.from_arrays([pa.array([unit], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["unit", "payload"])
 
         for batch in batches:
-            length = np.diff(np.frombuffer(batch.column(1).buffers()[1], np.int32)[batch.column(1).offset :][: len(batch) + 1]) if len(batch) else []
             begin = 0
-            for i, n in enumerate(length):
-                if size and size + n > unit_bytes:
+            for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()):
+                if size and size + n > shape.unit_bytes:
                     held.append(batch.slice(begin, i - begin))
                     yield packed()
                     held, size, begin = [], 0, i
@@ -233,7 +264,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if held:
             yield packed()
 
-    units = materialize(rows.mapInArrow(pack, "unit long, payload binary"))
+    units = materialize(map_texts(rows, pack, "unit long, payload binary"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,7 +288,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out = []
         for name, unit, chosen, _ in flagged(unit_rows, replies):
             keys, least, _ = _entries(unit, chosen)
-            for block, p in _ranges(keys[:, 0], n_blocks):
+            for block, p in _ranges(keys[:, 0], shape.entry_blocks):
                 raw = _planes(np.ascontiguousarray(keys[p].T).ravel()) + _planes(least[p].astype("<i8"))
                 out.append((name, block, zstandard.compress(raw, 1)))
         return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["unit", "block", "payload"])
@@ -270,7 +301,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for _, unit, chosen, by_block in flagged(unit_rows, replies):
             keys, least, which = _entries(unit, chosen)
             later = np.zeros(len(keys), bool)
-            for block, p in _ranges(keys[:, 0], n_blocks):
+            for block, p in _ranges(keys[:, 0], shape.entry_blocks):
                 bits = np.frombuffer(zstandard.decompress(by_block[-1 - block]), np.uint8)
                 later[p] = np.unpackbits(bits, count=p.stop - p.start).astype(bool)
             hit = chosen[later[which] | (unit.order[unit.doc[chosen]] > least[which])]
