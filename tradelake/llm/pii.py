@@ -1,8 +1,9 @@
 """Personal data: fixed expressions as seeds, and contextual extraction bootstrapped from them.
 
-One pass over the texts finds the base spans and, beside them, candidates: short words with a digit or an at sign outside any
-base span. Each span or candidate is an instance (its surface) in lexical patterns (the words around it). On the graph of
-patterns and instances, Spark scores both in turn: a pattern's confidence in a kind is the smoothed share of its occurrences
+One pass over the texts finds the base spans and, beside them, candidates outside any base span: words with a digit, an at sign or
+another sign inside, as identifiers of these kinds have one, and whole runs of digit groups. Each span or candidate is an
+instance (its surface) in lexical patterns (the words around it). On the graph of patterns and instances, Spark scores both in
+turn: a pattern's confidence in a kind is the smoothed share of its occurrences
 that its instances' scores give to that kind; an instance that is no seed takes the mean confidence of its patterns. Patterns
 of high confidence that several different seeds support then turn candidates into spans of their kind; base spans stay.
 
@@ -13,7 +14,9 @@ everywhere.
 
 from __future__ import annotations
 
+import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,9 +32,8 @@ LEAST_CONFIDENCE = 0.7
 LEAST_SEEDS = 5
 #: Occurrences without a kind that are added to each pattern.
 SMOOTHING = 1.0
-#: Longest candidate, and longest context word (characters).
-LONGEST = 64
-LONGEST_WORD = 24
+#: A word or surface of more characters stands in the graph as its SHA-256, so that different ones stay different.
+LONG = 64
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -39,9 +41,10 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_MARK = re.compile(r"[0-9@]")
+_MARK = re.compile(r"[0-9@]|[^\W_][(\[{<._#:/\\*=~|][^\W_]")
 _DIGITS = re.compile(r"[0-9]")
-_SPACE = re.compile(r"[\x20\x09-\x0D]")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_GROUP = re.compile(r"[+(\[]*[0-9][0-9().+/-]*")
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -81,49 +84,85 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Words of at most LONGEST characters with a digit or at sign that touch no base span, without punctuation at their ends."""
-    busy, out, i = sorted((a, b) for _, a, b in taken), [], 0
-    found = _MARK.search(text)
-    while found:
-        at = found.start()
-        head, tail = text[max(0, at - LONGEST) : at], _SPACE.search(text, at, at + LONGEST)
-        end = tail.start() if tail else at + LONGEST if len(text) > at + LONGEST else len(text)
-        cut = max((m.end() for m in _SPACE.finditer(head)), default=None)
-        begin = at - len(head) + (cut or 0)
-        whole = (cut is not None or begin == 0) and (tail is not None or end == len(text))
-        if whole and end - begin <= LONGEST:
-            while begin < end and not text[begin].isalnum():
-                begin += 1
-            while end > begin and not text[end - 1].isalnum():
-                end -= 1
-            while i < len(busy) and busy[i][1] <= begin:
-                i += 1
-            # spans of different kinds may overlap, so look a little further
-            if end > begin and not any(a < end and begin < b for a, b in busy[max(0, i - 4) : i + 4]):
-                out.append((begin, end))
-        rest = tail.end() if tail else _next_space(text, at)
-        found = _MARK.search(text, rest) if rest is not None else None
+def candidates(text: str, taken: list[tuple[int, int, int]], words: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Words with a mark, without punctuation at their ends, and in place of single digit groups the longest runs of them that
+    spaces separate; none touches a base span."""
+    busy: list[list[int]] = []
+    for a, b in sorted((a, b) for _, a, b in taken):
+        if busy and a <= busy[-1][1]:
+            busy[-1][1] = max(busy[-1][1], b)
+        else:
+            busy.append([a, b])
+    begins, out, run = [a for a, _ in busy], [], None
+
+    def free(a: int, b: int) -> bool:
+        i = bisect_left(begins, b) - 1
+        return i < 0 or busy[i][1] <= a
+
+    def add(a: int, b: int) -> None:
+        while a < b and not text[a].isalnum():
+            a += 1
+        while b > a and not text[b - 1].isalnum():
+            b -= 1
+        if b > a:
+            out.append((a, b))
+
+    for a, b in words:
+        if _MARK.search(text, a, b) is None or not free(a, b):
+            end = None
+        elif m := _GROUP.match(text, a, b):
+            end = b if m.end() == b else a if not text[m.end() : b].strip(",;:!?\"')]}") else None
+        else:
+            end = None
+        if run and (end is None or text[run[1] : a].strip(" ")):
+            add(*run)
+            run = None
+        if end is None:
+            if _MARK.search(text, a, b) and free(a, b):
+                add(a, b)
+        elif end == b:
+            run = (run[0] if run else a, b)
+        else:  # punctuation ends the run
+            add(run[0] if run else a, b)
+            run = None
+    if run:
+        add(*run)
     return out
 
 
-def _next_space(text: str, at: int) -> int | None:
-    m = _SPACE.search(text, at)
-    return m.end() if m else None
+def _named(word: str) -> str:
+    return word if len(word) <= LONG else hashlib.sha256(word.encode("utf-8", "replace")).hexdigest()
 
 
-def patterns(text: str, begin: int, end: int) -> list[str]:
-    """The words around a span: two on the left, and one on each side; none for a side without words."""
-    left = [w.lower()[-LONGEST_WORD:] for w in text[max(0, begin - 4 * LONGEST_WORD) : begin].split()[-2:]]
-    right = [w.lower()[:LONGEST_WORD] for w in text[end : end + 2 * LONGEST_WORD].split()[:1]]
-    out = []
+def patterns(text: str, begin: int, end: int, words: list[tuple[int, int]]) -> list[str]:
+    """The words around a span: two on the left, and one on each side; none for a side without words. What is left of a word that
+    the span cuts is a word."""
+    i, left = bisect_right(words, (begin, len(text) + 1)) - 1, []
+    if i >= 0 and words[i][0] < begin:
+        left.append(text[words[i][0] : min(begin, words[i][1])])
+    while i > 0 and len(left) < 2:
+        i -= 1
+        left.append(text[words[i][0] : words[i][1]])
+    j = bisect_right(words, (end - 1, len(text) + 1)) - 1
+    right = text[end : words[j][1]] if words[j][1] > end else text[words[j + 1][0] : words[j + 1][1]] if j + 1 < len(words) else ""
+    left, out = [_named(w.lower()) for w in left], []
     if len(left) == 2:
-        out.append(f"{left[0]} {left[1]} _")
+        out.append(f"{left[1]} {left[0]} _")
     if left and right:
-        out.append(f"{left[-1]} _ {right[0]}")
+        out.append(f"{left[0]} _ {_named(right.lower())}")
     return out
 
 
+def seen_in(text: str) -> list[dict]:
+    """The base spans and candidates of a text with their surfaces and patterns; kind -1 for candidates."""
+    spans = base_spans(text)
+    if not spans and not _MARK.search(text):
+        return []
+    words = [m.span() for m in _WORD.finditer(text)]
+    spans += [(-1, a, b) for a, b in candidates(text, spans, words)]
+    return [{"kind": k, "start": a, "end": b, "surface": _named(text[a:b]), "patterns": patterns(text, a, b, words)} for k, a, b in spans]
+
+
 _SPAN = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 _SEEN = T.StructType([*_SPAN, T.StructField("surface", T.StringType()), T.StructField("patterns", T.ArrayType(T.StringType()))])
 
@@ -135,11 +174,7 @@ def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 2):
-            seen = []
-            for text in batch.column(2).to_pylist():
-                spans = base_spans(text)
-                spans += [(-1, a, b) for a, b in candidates(text, spans)]
-                seen.append([{"kind": k, "start": a, "end": b, "surface": text[a:b][:LONGEST], "patterns": patterns(text, a, b)} for k, a, b in spans])
+            seen = [seen_in(text) for text in batch.column(2).to_pylist()]
             fields = [("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("surface", pa.string()), ("patterns", pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(seen, pa.list_(pa.struct(fields)))], ["row", "id", "seen"])
 
