@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tradelake.operators.series import numbered, over_pieces
+
 
 def bars_from_ticks(ticks: DataFrame, seconds: int, order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
     """ticks (symbol, ts, price, and the columns of order) -> (symbol, bar_time, open, high, low, close, tick_volume).
@@ -24,7 +26,7 @@ def bars_from_ticks(ticks: DataFrame, seconds: int, order: Sequence[str] = ("ts"
     )
 
 
-def resample(bars: DataFrame, seconds: int, closed_until: str | None = None) -> DataFrame:
+def resample(bars: DataFrame, seconds: int, closed_until: Column | None = None) -> DataFrame:
     """Coarser bars; with closed_until (a timestamp), only those that end by then."""
     bucket = F.timestamp_seconds(F.floor(F.unix_timestamp("bar_time") / seconds) * seconds)
     out = bars.groupBy("symbol", bucket.alias("bar_time")).agg(
@@ -34,14 +36,14 @@ def resample(bars: DataFrame, seconds: int, closed_until: str | None = None) ->
         F.max_by("close", "bar_time").alias("close"),
         F.sum("tick_volume").alias("tick_volume"),
     )
-    if closed_until:
-        out = out.where(F.unix_timestamp("bar_time") + seconds <= F.unix_timestamp(F.lit(closed_until).cast("timestamp")))
+    if closed_until is not None:
+        out = out.where(F.unix_timestamp("bar_time") + seconds <= F.unix_timestamp(closed_until))
     return out
 
 
 def gaps(bars: DataFrame, seconds: int) -> DataFrame:
     """Runs of missing bars within a symbol's series: symbol, gap_start, gap_end (the next bar), missing."""
-    following = F.lead("bar_time").over(Window.partitionBy("symbol").orderBy("bar_time"))
-    step = F.unix_timestamp("gap_end") - F.unix_timestamp("bar_time")
-    out = bars.select("symbol", "bar_time", following.alias("gap_end")).where(step > seconds)
-    return out.select("symbol", F.timestamp_seconds(F.unix_timestamp("bar_time") + seconds).alias("gap_start"), "gap_end", (F.floor(step / seconds) - 1).cast("long").alias("missing"))
+    out = over_pieces(numbered(bars.select("symbol", "bar_time")), {"_before": lambda w: F.lag("bar_time").over(w)}, back=1)
+    step = F.unix_timestamp("bar_time") - F.unix_timestamp("_before")
+    out = out.where(step > seconds)
+    return out.select("symbol", F.timestamp_seconds(F.unix_timestamp("_before") + seconds).alias("gap_start"), F.col("bar_time").alias("gap_end"), (F.floor(step / seconds) - 1).cast("long").alias("missing"))

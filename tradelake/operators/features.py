@@ -1,6 +1,7 @@
 """Market features of bar series (symbol, bar_time, open, high, low, close), each from closed bars only.
 
-Formulas are this engine's choices. Recursive smoothing runs over pieces of a series in double precision.
+Formulas are this engine's choices. Recursive smoothing runs over pieces of a series in double precision; frames run over
+pieces of a series by rows (series.py), so no task holds a symbol's whole history.
 """
 
 from __future__ import annotations
@@ -11,21 +12,22 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
+
+from tradelake.operators.series import last_known, numbered, over_pieces
 
 #: Length in time of the pieces in which a series is smoothed.
 PIECE_SECONDS = 7 * 86_400
 
 
-def series() -> WindowSpec:
-    """A symbol's bars in time order."""
-    return Window.partitionBy("symbol").orderBy("bar_time")
-
-
 def _d(name: str) -> Column:
     return F.col(name).cast("double")
 
 
+def _with_lags(bars: DataFrame, n: int, **columns: Column) -> DataFrame:
+    """bars with, for each name, a column's value n bars before."""
+    return over_pieces(numbered(bars), {name: lambda w, c=c: F.lag(c, n).over(w) for name, c in columns.items()}, back=n).drop("_n")
+
+
 def smoothed(bars: DataFrame, values: Mapping[str, Column], k: float) -> DataFrame:
     """(symbol, bar_time, a column per value): y[i] = y[i - 1] + k * (x[i] - y[i - 1]) along a symbol's bars, y[0] = x[0].
 
@@ -74,26 +76,24 @@ def wilder(bars: DataFrame, n: int, **values: Column) -> DataFrame:
 
 def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
     """(symbol, bar_time, rsi) from Wilder averages of gains and losses; 50 without moves."""
-    delta = bars.withColumn("_x", _d("close") - F.lag(_d("close")).over(series())).where("_x IS NOT NULL")
+    delta = _with_lags(bars, 1, _before=_d("close")).withColumn("_x", _d("close") - F.col("_before")).where("_x IS NOT NULL")
     both = wilder(delta, n, gain=F.greatest("_x", F.lit(0.0)), loss=F.greatest(-F.col("_x"), F.lit(0.0)))
     value = F.coalesce(F.try_divide(F.lit(100.0) * F.col("gain"), F.col("gain") + F.col("loss")), F.lit(50.0))
     return both.select("symbol", "bar_time", value.alias("rsi"))
 
 
-def true_range() -> Column:
-    before = F.lag(_d("close")).over(series())
+def true_range(before: Column) -> Column:
+    """From the close before a bar; without one, its range."""
     return F.greatest(_d("high") - _d("low"), F.abs(_d("high") - before), F.abs(_d("low") - before))
 
 
 def atr(bars: DataFrame, n: int = 14) -> DataFrame:
-    return wilder(bars.withColumn("_x", true_range()), n, atr=F.col("_x"))
+    return wilder(_with_lags(bars, 1, _before=_d("close")), n, atr=true_range(F.col("_before")))
 
 
 def adx(bars: DataFrame, n: int = 14) -> DataFrame:
     """(symbol, bar_time, adx): Wilder's smoothing of the directional index, over bars that have a predecessor."""
-    up = _d("high") - F.lag(_d("high")).over(series())
-    down = F.lag(_d("low")).over(series()) - _d("low")
-    moves = bars.withColumn("_up", up).withColumn("_down", down).where("_up IS NOT NULL")
+    moves = _with_lags(bars, 1, _h=_d("high"), _l=_d("low")).withColumn("_up", _d("high") - F.col("_h")).withColumn("_down", F.col("_l") - _d("low")).where("_up IS NOT NULL")
     plus = F.when((F.col("_up") > F.col("_down")) & (F.col("_up") > 0), F.col("_up")).otherwise(0.0)
     minus = F.when((F.col("_down") > F.col("_up")) & (F.col("_down") > 0), F.col("_down")).otherwise(0.0)
     both = wilder(moves, n, plus=plus, minus=minus)
@@ -101,10 +101,9 @@ def adx(bars: DataFrame, n: int = 14) -> DataFrame:
     return wilder(both, n, adx=index)
 
 
-def roc(n: int = 10) -> Column:
-    """Change of the close against n bars before, in percent."""
-    before = F.lag(_d("close"), n).over(series())
-    return F.try_divide(F.lit(100.0) * (_d("close") - before), before)
+def roc(bars: DataFrame, n: int = 10) -> DataFrame:
+    """bars with roc, the change of the close against n bars before, in percent."""
+    return _with_lags(bars, n, _before=_d("close")).withColumn("roc", F.try_divide(F.lit(100.0) * (_d("close") - F.col("_before")), F.col("_before"))).drop("_before")
 
 
 def trend(fast: Column, slow: Column, band: float = 0.0) -> Column:
@@ -116,74 +115,75 @@ def trend(fast: Column, slow: Column, band: float = 0.0) -> Column:
 def swings(bars: DataFrame, k: int = 2) -> DataFrame:
     """bars with last_swing_high and last_swing_low as known at each bar: a fractal with k lower (higher) bars on each side is
     confirmed k bars later, so nothing looks ahead; and with bos, a close beyond the last swing."""
-    around = series().rowsBetween(-k, k)
-    full = F.count("*").over(around) == 2 * k + 1
-    up = F.when(full & (F.col("high") == F.max("high").over(around)), F.col("high"))
-    down = F.when(full & (F.col("low") == F.min("low").over(around)), F.col("low"))
-    marked = bars.withColumn("_up", up).withColumn("_down", down)
-    marked = marked.withColumn("_cu", F.lag("_up", k).over(series())).withColumn("_cd", F.lag("_down", k).over(series()))
-    past = series().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = marked.withColumn("last_swing_high", F.last("_cu", ignorenulls=True).over(past)).withColumn("last_swing_low", F.last("_cd", ignorenulls=True).over(past))
+
+    def fractal(column: str, extreme) -> Column:  # noqa: ANN001
+        def at(w):  # noqa: ANN001, ANN202
+            around = w.rowsBetween(-2 * k, 0)
+            middle = F.lag(column, k).over(w)
+            return F.when((F.count("*").over(around) == 2 * k + 1) & (middle == extreme(column).over(around)), middle)
+
+        return at
+
+    marked = over_pieces(numbered(bars), {"_cu": fractal("high", F.max), "_cd": fractal("low", F.min)}, back=2 * k)
+    out = last_known(marked, {"last_swing_high": F.col("_cu"), "last_swing_low": F.col("_cd")})
     bos = F.when(F.col("close") > F.col("last_swing_high"), 1).when(F.col("close") < F.col("last_swing_low"), -1).otherwise(0)
-    return out.withColumn("bos", bos).drop("_up", "_down", "_cu", "_cd")
+    return out.withColumn("bos", bos).drop("_cu", "_cd", "_n")
 
 
 def structure(swung: DataFrame) -> DataFrame:
     """swings() with choch (a break against the direction of the last break) and market_structure UP, DOWN or RANGE."""
-    before = F.last(F.when(F.col("bos") != 0, F.col("bos")), ignorenulls=True).over(series().rowsBetween(Window.unboundedPreceding, -1))
-    out = swung.withColumn("_before", before)
+    out = last_known(numbered(swung), {"_before": F.when(F.col("bos") != 0, F.col("bos"))}, inclusive=False)
     out = out.withColumn("choch", F.coalesce((F.col("bos") != 0) & (F.col("bos") != F.col("_before")), F.lit(False)))
     now = F.when(F.col("bos") != 0, F.col("bos")).otherwise(F.col("_before"))
-    return out.withColumn("market_structure", F.when(now == 1, "UP").when(now == -1, "DOWN").otherwise("RANGE")).drop("_before")
+    return out.withColumn("market_structure", F.when(now == 1, "UP").when(now == -1, "DOWN").otherwise("RANGE")).drop("_before", "_n")
 
 
 def liquidity(bars: DataFrame, tolerance: float, lookback: int = 10) -> DataFrame:
     """bars with equal_highs and equal_lows (within tolerance of the extreme of the bars before), sweep (beyond that extreme,
-    closed back inside), and dist_prev_high and dist_prev_low, from the close to the last day's extremes."""
-    before = series().rowsBetween(-lookback, -1)
-    top, bottom = F.max("high").over(before), F.min("low").over(before)
-    out = bars.withColumn("_top", top).withColumn("_bottom", bottom)
+    closed back inside), and dist_prev_high and dist_prev_low, from the close to the extremes of the last day before that has
+    bars (a Monday looks at the Friday)."""
+    frame = {"_top": lambda w: F.max("high").over(w.rowsBetween(-lookback, -1)), "_bottom": lambda w: F.min("low").over(w.rowsBetween(-lookback, -1))}
+    out = over_pieces(numbered(bars), frame, back=lookback).drop("_n")
     out = out.withColumn("equal_highs", F.abs(_d("high") - F.col("_top").cast("double")) <= tolerance)
     out = out.withColumn("equal_lows", F.abs(_d("low") - F.col("_bottom").cast("double")) <= tolerance)
     out = out.withColumn("sweep", ((F.col("high") > F.col("_top")) & (F.col("close") < F.col("_top"))) | ((F.col("low") < F.col("_bottom")) & (F.col("close") > F.col("_bottom"))))
     days = bars.groupBy("symbol", F.to_date("bar_time").alias("_day")).agg(F.max("high").alias("_h"), F.min("low").alias("_l"))
-    w = Window.partitionBy("symbol").orderBy("_day")
+    w = Window.partitionBy("symbol").orderBy("_day")  # a row a day
     days = days.select("symbol", "_day", F.lag("_h").over(w).alias("_ph"), F.lag("_l").over(w).alias("_pl"))
     out = out.withColumn("_day", F.to_date("bar_time")).join(days, ["symbol", "_day"])
     return out.withColumn("dist_prev_high", (F.col("_ph") - F.col("close")).cast("double")).withColumn("dist_prev_low", (F.col("close") - F.col("_pl")).cast("double")).drop("_top", "_bottom", "_day", "_ph", "_pl")
 
 
 def fair_value_gaps(bars: DataFrame) -> DataFrame:
-    """Bars that leave a gap to the one two before: symbol, bar_time, direction, size."""
-    high2, low2 = F.lag("high", 2).over(series()), F.lag("low", 2).over(series())
-    out = bars.withColumn("_h", high2).withColumn("_l", low2)
+    """Bars that leave a gap to the one two before: symbol, bar_time, direction, size, and its edges, bottom and top."""
+    out = _with_lags(bars, 2, _h=F.col("high"), _l=F.col("low"))
     direction = F.when(F.col("low") > F.col("_h"), 1).when(F.col("high") < F.col("_l"), -1)
-    size = F.when(direction == 1, F.col("low") - F.col("_h")).when(direction == -1, F.col("_l") - F.col("high"))
-    return out.select("symbol", "bar_time", direction.alias("direction"), size.alias("size")).where("direction IS NOT NULL")
+    bottom, top = F.when(direction == 1, F.col("_h")).otherwise(F.col("high")), F.when(direction == 1, F.col("low")).otherwise(F.col("_l"))
+    return out.where(direction.isNotNull()).select("symbol", "bar_time", direction.alias("direction"), (top - bottom).alias("size"), bottom.alias("bottom"), top.alias("top"))
 
 
 def order_blocks(bars: DataFrame, factor: float = 1.5, lookback: int = 10) -> DataFrame:
     """Bars whose body exceeds factor times the mean range of the bars before, with the last opposite bar before them:
-    symbol, bar_time, direction, block_time."""
-    body = _d("close") - _d("open")
-    mean = F.avg(_d("high") - _d("low")).over(series().rowsBetween(-lookback, -1))
-    past = series().rowsBetween(Window.unboundedPreceding, -1)
-    down = F.last(F.when(F.col("close") < F.col("open"), F.col("bar_time")), ignorenulls=True).over(past)
-    up = F.last(F.when(F.col("close") > F.col("open"), F.col("bar_time")), ignorenulls=True).over(past)
-    out = bars.withColumn("_body", body).withColumn("_mean", mean).withColumn("_down", down).withColumn("_up", up)
-    out = out.where("_mean IS NOT NULL").where(F.abs("_body") > F.col("_mean") * factor)
-    return out.select("symbol", "bar_time", F.signum("_body").cast("int").alias("direction"), F.when(F.col("_body") > 0, F.col("_down")).otherwise(F.col("_up")).alias("block_time"))
+    symbol, bar_time, direction, block_time, block_close."""
+    mean = {"_mean": lambda w: F.avg(_d("high") - _d("low")).over(w.rowsBetween(-lookback, -1))}
+    out = over_pieces(numbered(bars), mean, back=lookback)
+    bar = F.struct("bar_time", "close")
+    out = last_known(out, {"_down": F.when(F.col("close") < F.col("open"), bar), "_up": F.when(F.col("close") > F.col("open"), bar)}, inclusive=False)
+    out = out.withColumn("_body", _d("close") - _d("open")).where("_mean IS NOT NULL").where(F.abs("_body") > F.col("_mean") * factor)
+    block = F.when(F.col("_body") > 0, F.col("_down")).otherwise(F.col("_up"))
+    return out.select("symbol", "bar_time", F.signum("_body").cast("int").alias("direction"), block["bar_time"].alias("block_time"), block["close"].alias("block_close"))
 
 
-def recent_range(n: int = 10) -> Column:
-    w = series().rowsBetween(1 - n, Window.currentRow)
-    return F.max("high").over(w) - F.min("low").over(w)
+def recent_range(bars: DataFrame, n: int = 10) -> DataFrame:
+    """bars with recent_range, the span of the last n bars."""
+    span = {"recent_range": lambda w: F.max("high").over(w.rowsBetween(1 - n, 0)) - F.min("low").over(w.rowsBetween(1 - n, 0))}
+    return over_pieces(numbered(bars), span, back=n - 1).drop("_n")
 
 
 def relative_volatility(atr_rows: DataFrame, n: int = 20) -> DataFrame:
     """atr() rows with the ATR over its mean of the last n bars."""
-    w = series().rowsBetween(1 - n, Window.currentRow)
-    return atr_rows.withColumn("relative_volatility", F.try_divide(F.col("atr"), F.avg("atr").over(w)))
+    mean = {"_mean": lambda w: F.avg("atr").over(w.rowsBetween(1 - n, 0))}
+    return over_pieces(numbered(atr_rows), mean, back=n - 1).withColumn("relative_volatility", F.try_divide(F.col("atr"), F.col("_mean"))).drop("_n", "_mean")
 
 
 #: Fixed values of this engine: session hours in UTC, start included, end excluded.

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradelake.functions.common import null_reasons as reasons_json
 from tradelake.operators import asof as asof_ops
 from tradelake.operators import bars as bar_ops
 from tradelake.operators import features
+from tradelake.operators.series import numbered, over_pieces
 from tradelake.plans.integrity import query, sec
 from tradelake.plans.trading import BARS
 from tradelake.sources import driver
@@ -38,11 +39,12 @@ def bars_base(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     with_("ticks")
-    + " SELECT symbol, epoch(time_bucket(INTERVAL 4 HOUR, ts))::BIGINT AS bar_time, min_by(price, event_id)::DOUBLE AS open, max(price)::DOUBLE AS high, min(price)::DOUBLE AS low, max_by(price, event_id)::DOUBLE AS close, count(*) AS tick_volume FROM ticks GROUP BY symbol, time_bucket(INTERVAL 4 HOUR, ts) HAVING time_bucket(INTERVAL 4 HOUR, ts) + INTERVAL 4 HOUR <= TIMESTAMP '2024-01-29 10:00:00'"
+    + " SELECT symbol, epoch(time_bucket(INTERVAL 4 HOUR, ts))::BIGINT AS bar_time, min_by(price, event_id)::DOUBLE AS open, max(price)::DOUBLE AS high, min(price)::DOUBLE AS low, max_by(price, event_id)::DOUBLE AS close, count(*) AS tick_volume FROM ticks GROUP BY symbol, time_bucket(INTERVAL 4 HOUR, ts) HAVING time_bucket(INTERVAL 4 HOUR, ts) + INTERVAL 4 HOUR <= (SELECT max(ts) FROM ticks)"
 )
 def bars_resample(spark: SparkSession, d: str) -> DataFrame:
-    """Closed four-hour bars from hourly ones."""
-    return _shown(bar_ops.resample(_bars(spark, d), 4 * 3600, "2024-01-29 10:00:00"))
+    """Four-hour bars from hourly ones, those that the last tick of all shows to be closed."""
+    last = driver.ticks(spark, d).agg(F.max(F.unix_micros("ts")).alias("t")).first().t
+    return _shown(bar_ops.resample(_bars(spark, d), 4 * 3600, F.timestamp_micros(F.lit(last))))
 
 
 @query(
@@ -58,14 +60,14 @@ def bars_gaps(spark: SparkSession, d: str) -> DataFrame:
     with_("ticks")
     + BARS
     + ", e AS (SELECT event_id, symbol, ts FROM ticks), b AS (SELECT symbol, bar_time, bar_time + INTERVAL 1 HOUR AS closed_at, close FROM bars)"
-    + " SELECT e.event_id, epoch(b.bar_time)::BIGINT AS bar_time, b.close::DOUBLE AS close FROM e ASOF LEFT JOIN b ON e.symbol = b.symbol AND e.ts >= b.closed_at"
+    + " SELECT e.event_id, epoch(b.closed_at)::BIGINT AS data_cutoff, epoch(b.bar_time)::BIGINT AS bar_time, b.close::DOUBLE AS close FROM e ASOF LEFT JOIN b ON e.symbol = b.symbol AND e.ts > b.closed_at"
 )
 def asof_features(spark: SparkSession, d: str) -> DataFrame:
-    """The last bar that is closed at each entry: its end is not after the entry, so nothing looks ahead."""
+    """The last bar that is closed before each entry: its end, the data cutoff, is before the entry, so nothing looks ahead."""
     entries = driver.ticks(spark, d).select("event_id", "symbol", "ts")
     closed = _bars(spark, d).select("symbol", F.timestamp_seconds(sec("bar_time") + 3600).alias("closed_at"), "bar_time", "close")
-    out = asof_ops.asof(entries, closed, ["symbol"], "ts", "closed_at", strict=False)
-    return out.select("event_id", sec("r_bar_time").alias("bar_time"), F.col("r_close").cast("double").alias("close"))
+    out = asof_ops.asof(entries, closed, ["symbol"], "ts", "closed_at", strict=True)
+    return out.select("event_id", sec("r_closed_at").alias("data_cutoff"), sec("r_bar_time").alias("bar_time"), F.col("r_close").cast("double").alias("close"))
 
 
 @query(
@@ -128,7 +130,7 @@ FRAME_SQL = " UNION ALL ".join(f"SELECT symbol || '|{n}' AS symbol, '{n}' AS fra
     + EMA
     + ", t AS (SELECT e.symbol, e.bar_time + to_seconds(b.width) AS closed_at, CASE WHEN y20 > y50 THEN 1 WHEN y20 < y50 THEN -1 ELSE 0 END AS trend FROM e JOIN bars b ON e.symbol = b.symbol AND e.bar_time = b.bar_time),"
     + " n AS (SELECT event_id, ts, symbol || '|' || f AS symbol, f FROM ticks, (VALUES ('H1'), ('H4'), ('D1')) v(f))"
-    + " SELECT n.event_id, n.f AS frame, t.trend FROM n ASOF LEFT JOIN t ON n.symbol = t.symbol AND n.ts >= t.closed_at"
+    + " SELECT n.event_id, n.f AS frame, t.trend FROM n ASOF LEFT JOIN t ON n.symbol = t.symbol AND n.ts > t.closed_at"
 )
 def trend_by_timeframe(spark: SparkSession, d: str) -> DataFrame:
     """The trend in each timeframe as the last closed bar before an entry has it."""
@@ -142,7 +144,7 @@ def trend_by_timeframe(spark: SparkSession, d: str) -> DataFrame:
     known = both.select("symbol", F.timestamp_seconds(sec("bar_time") + F.col("width")).alias("closed_at"), features.trend(F.col("ema"), F.col("slow")).alias("trend"))
     entries = ticks.withColumn("frame", F.explode(F.array(*map(F.lit, FRAMES))))
     entries = entries.select("event_id", "ts", F.concat_ws("|", "symbol", "frame").alias("symbol"), "frame")
-    return asof_ops.asof(entries, known, ["symbol"], "ts", "closed_at", strict=False).select("event_id", "frame", F.col("r_trend").alias("trend"))
+    return asof_ops.asof(entries, known, ["symbol"], "ts", "closed_at", strict=True).select("event_id", "frame", F.col("r_trend").alias("trend"))
 
 
 RSI = (
@@ -198,7 +200,7 @@ def adx14(spark: SparkSession, d: str) -> DataFrame:
     + ", r AS (SELECT symbol, bar_time, close::DOUBLE AS c, lag(close::DOUBLE, 10) OVER w AS p FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar_time)) SELECT symbol, epoch(bar_time)::BIGINT AS bar_time, 100.0 * (c - p) / p AS roc FROM r WHERE p <> 0"
 )
 def roc10(spark: SparkSession, d: str) -> DataFrame:
-    return _bars(spark, d).select("symbol", "bar_time", features.roc().alias("roc")).where("roc IS NOT NULL").select("symbol", sec("bar_time").alias("bar_time"), "roc")
+    return features.roc(_bars(spark, d)).where("roc IS NOT NULL").select("symbol", sec("bar_time").alias("bar_time"), "roc")
 
 
 SWINGS = (
@@ -264,7 +266,7 @@ def order_blocks(spark: SparkSession, d: str) -> DataFrame:
     + " SELECT symbol, epoch(bar_time)::BIGINT AS bar_time, (max(high) OVER f - min(low) OVER f)::DOUBLE AS recent_range FROM bars WINDOW f AS (PARTITION BY symbol ORDER BY bar_time ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"
 )
 def recent_range(spark: SparkSession, d: str) -> DataFrame:
-    return _bars(spark, d).select("symbol", sec("bar_time").alias("bar_time"), features.recent_range().cast("double").alias("recent_range"))
+    return features.recent_range(_bars(spark, d)).select("symbol", sec("bar_time").alias("bar_time"), F.col("recent_range").cast("double"))
 
 
 @query(
@@ -279,8 +281,8 @@ FEATURES = f", x AS (SELECT symbol, bar_time, 100.0 * (close::DOUBLE - lag(close
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("symbol").orderBy("bar_time")
-    return _bars(spark, d).select("symbol", sec("bar_time").alias("bar_time"), features.roc().alias("roc"), F.lag("high", 2).over(w).cast("double").alias("high2"))
+    x = over_pieces(numbered(features.roc(_bars(spark, d))), {"high2": lambda w: F.lag("high", 2).over(w)}, back=2)
+    return x.select("symbol", sec("bar_time").alias("bar_time"), "roc", F.col("high2").cast("double").alias("high2"))
 
 
 @query(
