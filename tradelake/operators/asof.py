@@ -48,12 +48,14 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str,
     return out.select("_l.*", *[F.col(f"_f.{c}").alias(prefix + c) for c in values])
 
 
-def nearest(left: DataFrame, id_: str, left_time: str, right: DataFrame, right_time: str, seconds: int) -> DataFrame:
-    """left with seconds_off, the signed distance to the nearest right time within so many seconds, the earlier one of two
-    alike; null without one. Both sides meet in buckets of that width, so that neither is ordered as a whole."""
+def nearest(left: DataFrame, id_: str, left_time: str, right: DataFrame, right_time: str, seconds: int, keys: Sequence[str] = (), values: Sequence[str] = ()) -> DataFrame:
+    """left with seconds_off, the signed distance to the nearest right time of the same keys within so many seconds, the earlier
+    one of two alike, and that row's values (the least of several at one time); null without one. Both sides meet in buckets of
+    that width, so that neither is ordered as a whole."""
     bucket = F.floor(F.unix_timestamp(right_time) / seconds)
-    times = right.select(F.unix_timestamp(right_time).alias("_rt"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b"))
-    mine = left.select(F.col(id_).alias("_id"), F.unix_timestamp(left_time).alias("_lt")).withColumn("_b", F.floor(F.col("_lt") / seconds))
+    times = right.select(*keys, F.unix_timestamp(right_time).alias("_rt"), *values, F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b"))
+    mine = left.select(*keys, F.col(id_).alias("_id"), F.unix_timestamp(left_time).alias("_lt")).withColumn("_b", F.floor(F.col("_lt") / seconds))
     off = F.col("_rt") - F.col("_lt")
-    close = mine.join(times, "_b").where(F.abs(off) <= seconds).groupBy("_id").agg(F.min(F.struct(F.abs(off).alias("d"), off.alias("off"))).alias("_m"))
-    return left.join(close, F.col(id_) == F.col("_id"), "left").select(*left.columns, F.col("_m.off").alias("seconds_off"))
+    met = mine.join(times, [*keys, "_b"]).where(F.abs(off) <= seconds)
+    close = met.groupBy("_id").agg(F.min(F.struct(F.abs(off).alias("d"), off.alias("off"), *values)).alias("_m"))
+    return left.join(close, F.col(id_) == F.col("_id"), "left").select(*left.columns, F.col("_m.off").alias("seconds_off"), *[F.col(f"_m.{v}").alias(v) for v in values])

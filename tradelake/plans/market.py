@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tradelake.functions.common import null_reasons as reasons_json
 from tradelake.operators import asof as asof_ops
 from tradelake.operators import bars as bar_ops
-from tradelake.operators import features
+from tradelake.operators import dna, features
 from tradelake.operators.series import numbered, over_pieces
 from tradelake.plans.integrity import query, sec
 from tradelake.plans.trading import BARS
@@ -87,6 +87,17 @@ def news_proximity(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_id", F.col("seconds_off").alias("seconds_to_news"), F.col("seconds_off").isNotNull().alias("news_nearby"))
 
 
+NEWS = ", news AS (SELECT ['view','signup','click','error','purchase'][(user_id % 5 + 1)::INT] AS symbol, ts AS time_utc, ['LOW','MEDIUM','HIGH'][(event_id % 3 + 1)::INT] AS impact, 'type ' || (event_id % 4)::VARCHAR AS type FROM events WHERE event_type = 'error')"
+
+
+def _news(spark: SparkSession, d: str) -> DataFrame:
+    """The errors as a calendar; the user decides which symbol an item moves, as its currency would."""
+    e = driver.read(spark, d, "events").where("event_type = 'error'")
+    symbol = F.element_at(F.array(*map(F.lit, ("view", "signup", "click", "error", "purchase"))), (F.col("user_id") % 5).cast("int") + 1)
+    impact = F.element_at(F.array(*map(F.lit, ("LOW", "MEDIUM", "HIGH"))), (F.col("event_id") % 3).cast("int") + 1)
+    return e.select(symbol.alias("symbol"), F.col("ts").alias("time_utc"), impact.alias("impact"), F.concat(F.lit("type "), (F.col("event_id") % 4).cast("string")).alias("type"))
+
+
 @query(
     with_("ticks")
     + ""
@@ -102,7 +113,7 @@ def asof_next(spark: SparkSession, d: str) -> DataFrame:
 
 EMA = (
     " r AS (SELECT symbol, bar_time, close::DOUBLE AS x, row_number() OVER (PARTITION BY symbol ORDER BY bar_time) AS n FROM bars),"
-    " e AS (SELECT symbol, bar_time, n, x AS y20, x AS y50 FROM r WHERE n = 1 UNION ALL SELECT r.symbol, r.bar_time, r.n, e.y20 + (r.x - e.y20) * (2.0::DOUBLE / 21), e.y50 + (r.x - e.y50) * (2.0::DOUBLE / 51) FROM e JOIN r ON r.symbol = e.symbol AND r.n = e.n + 1)"
+    " e AS (SELECT symbol, bar_time, n, x AS y20, x AS y50, x AS y200 FROM r WHERE n = 1 UNION ALL SELECT r.symbol, r.bar_time, r.n, e.y20 + (r.x - e.y20) * (2.0::DOUBLE / 21), e.y50 + (r.x - e.y50) * (2.0::DOUBLE / 51), e.y200 + (r.x - e.y200) * (2.0::DOUBLE / 201) FROM e JOIN r ON r.symbol = e.symbol AND r.n = e.n + 1)"
 )
 RECURSIVE = with_("ticks").replace("WITH ", "WITH RECURSIVE ", 1) + BARS + ","
 
@@ -112,6 +123,11 @@ def ema20(spark: SparkSession, d: str) -> DataFrame:
     return features.ema(_bars(spark, d), 20).select("symbol", sec("bar_time").alias("bar_time"), F.round("ema", 6).alias("ema"))
 
 
+@query(RECURSIVE + EMA + " SELECT symbol, epoch(bar_time)::BIGINT AS bar_time, round(y200, 6) AS ema FROM e")
+def ema200(spark: SparkSession, d: str) -> DataFrame:
+    return features.ema(_bars(spark, d), 200).select("symbol", sec("bar_time").alias("bar_time"), F.round("ema", 6).alias("ema"))
+
+
 @query(RECURSIVE + EMA + " SELECT symbol, epoch(bar_time)::BIGINT AS bar_time, CASE WHEN y20 - y50 > y50 * 0.001 THEN 1 WHEN y20 - y50 < -y50 * 0.001 THEN -1 ELSE 0 END AS trend FROM e")
 def trend(spark: SparkSession, d: str) -> DataFrame:
     """Sign of EMA 20 less EMA 50 outside a band of a thousandth."""
@@ -314,3 +330,62 @@ def feature_catalog(spark: SparkSession, d: str) -> DataFrame:
 def feature_pivot(spark: SparkSession, d: str) -> DataFrame:
     long = features.to_long(_features(spark, d), ["symbol", "bar_time"], ["roc", "high2"])
     return features.to_wide(long, ["symbol", "bar_time"], ["roc", "high2"])
+
+
+FRAME_BARS = ", ".join(f"('{n}', {s})" for n, s in dna.TIMEFRAMES.items())
+DNA = (
+    with_("ticks")
+    + NEWS
+    + BARS
+    + f", x_ema AS (WITH RECURSIVE {EMA} SELECT symbol, bar_time, n, y20, y50, y200 FROM e)"
+    + f", x_rsi AS (WITH RECURSIVE {RSI} SELECT symbol, bar_time, CASE WHEN u + v = 0 THEN 50.0 ELSE 100.0 * u / (u + v) END AS rsi FROM e)"
+    + f", x_atr AS (WITH RECURSIVE {ATR} SELECT symbol, bar_time, y AS atr, y / nullif(avg(y) OVER (PARTITION BY symbol ORDER BY bar_time ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0) AS relative_volatility FROM e)"
+    + f", x_adx AS (WITH RECURSIVE {ADX} SELECT symbol, bar_time, y AS adx FROM e)"
+    + f", x_sw AS (WITH z AS (SELECT 1 AS one){SWINGS}, p AS (SELECT *, last_value(CASE WHEN bos <> 0 THEN bos END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar_time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM b)"
+    + " SELECT symbol, bar_time, sh, sl, bos, coalesce(bos <> 0 AND bos <> before, FALSE) AS choch, CASE CASE WHEN bos <> 0 THEN bos ELSE before END WHEN 1 THEN 'UP' WHEN -1 THEN 'DOWN' ELSE 'RANGE' END AS market_structure FROM p)"
+    + ", dd AS (SELECT symbol, bar_time::DATE AS day, max(high) AS h, min(low) AS l FROM bars GROUP BY ALL), dp AS (SELECT symbol, day, lag(h) OVER w AS ph, lag(l) OVER w AS pl FROM dd WINDOW w AS (PARTITION BY symbol ORDER BY day))"
+    + ", k AS (SELECT *, max(high) OVER f AS top, min(low) OVER f AS bottom, lag(high, 2) OVER w AS h2, lag(low, 2) OVER w AS l2, sum(high - low) OVER f AS sm, count(*) OVER f AS nb,"
+    + " last_value(CASE WHEN close < open THEN close END IGNORE NULLS) OVER p AS dn, last_value(CASE WHEN close > open THEN close END IGNORE NULLS) OVER p AS up, lag(close::DOUBLE, 10) OVER w AS c10, max(high) OVER q - min(low) OVER q AS span"
+    + " FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar_time), f AS (PARTITION BY symbol ORDER BY bar_time ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), p AS (PARTITION BY symbol ORDER BY bar_time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), q AS (PARTITION BY symbol ORDER BY bar_time ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))"
+    + ", m AS (SELECT k.*, CASE WHEN low > h2 THEN {'d': 1, 'b': h2, 't': low} WHEN high < l2 THEN {'d': -1, 'b': high, 't': l2} END AS gap0,"
+    + " CASE WHEN nb > 0 AND abs(close::DOUBLE - open::DOUBLE) > sm::DOUBLE / nb * 1.5 AND CASE WHEN close > open THEN dn ELSE up END IS NOT NULL THEN {'d': sign(close - open)::INT, 'c': CASE WHEN close > open THEN dn ELSE up END} END AS block0,"
+    + " x_ema.n, y20, y50, y200, rsi, atr, relative_volatility, adx, sh, sl, bos, choch, market_structure, ph, pl"
+    + " FROM k JOIN x_ema USING (symbol, bar_time) LEFT JOIN x_rsi USING (symbol, bar_time) JOIN x_atr USING (symbol, bar_time) LEFT JOIN x_adx USING (symbol, bar_time) JOIN x_sw USING (symbol, bar_time) JOIN dp ON dp.symbol = k.symbol AND dp.day = k.bar_time::DATE)"
+    + ", v AS (SELECT *, bar_time + INTERVAL 1 HOUR AS closed_at, last_value(gap0 IGNORE NULLS) OVER q AS gap, last_value(block0 IGNORE NULLS) OVER q AS block, bool_or(bos <> 0) OVER q AS bos_recent, bool_or(choch) OVER q AS choch_recent"
+    + " FROM m WINDOW q AS (PARTITION BY symbol ORDER BY bar_time ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))"
+    + ", tr AS (SELECT event_id AS trade_id, symbol, ts AS entry_time, price AS entry_price, CASE WHEN event_id % 10 <> 0 THEN 0.01::DOUBLE END AS point FROM ticks)"
+    + f", fb AS (SELECT symbol || '|' || f AS symbol, time_bucket(to_seconds(s), ts) AS bar_time, max_by(price, event_id) AS close, any_value(s) AS width FROM ticks, (VALUES {FRAME_BARS}) z(f, s) GROUP BY symbol, f, s, time_bucket(to_seconds(s), ts))"
+    + f", fe AS (WITH RECURSIVE {EMA.replace('FROM bars)', 'FROM fb)')} SELECT e.symbol, e.bar_time + to_seconds(width) AS closed_at, CASE WHEN y20 - y50 > y50 * 0.001 THEN 1 WHEN y20 - y50 < -y50 * 0.001 THEN -1 ELSE 0 END AS trend FROM e JOIN fb USING (symbol, bar_time))"
+    + f", ft AS (SELECT trade_id, entry_time, symbol || '|' || f AS symbol, f FROM tr, (VALUES {FRAME_BARS}) z(f, s))"
+    + ", fa AS (SELECT trade_id, f, trend FROM ft ASOF LEFT JOIN fe ON ft.symbol = fe.symbol AND ft.entry_time > fe.closed_at)"
+    + ", fp AS (SELECT trade_id, " + ", ".join(f"max(trend) FILTER (f = '{n}') AS trend_{n}" for n in dna.TIMEFRAMES) + " FROM fa GROUP BY trade_id)"
+    + ", nn AS (SELECT t.trade_id, min({'d': abs(epoch(time_utc)::BIGINT - epoch(entry_time)::BIGINT), 'o': epoch(time_utc)::BIGINT - epoch(entry_time)::BIGINT, 'impact': impact, 'type': type}) AS x FROM tr t JOIN news USING (symbol) WHERE abs(epoch(time_utc)::BIGINT - epoch(entry_time)::BIGINT) <= 3600 GROUP BY t.trade_id)"
+    + ", j AS (SELECT t.*, v.* EXCLUDE (symbol), fp.* EXCLUDE (trade_id), x FROM tr t ASOF JOIN v ON t.symbol = v.symbol AND t.entry_time > v.closed_at JOIN fp ON fp.trade_id = t.trade_id LEFT JOIN nn ON nn.trade_id = t.trade_id)"
+    + ", o AS (SELECT trade_id, epoch(closed_at)::BIGINT AS data_cutoff, " + ", ".join(f"trend_{n}" for n in dna.TIMEFRAMES) + ","
+    + " round(CASE WHEN n >= 20 THEN y20 END, 6) AS ema20, round(CASE WHEN n >= 50 THEN y50 END, 6) AS ema50, round(CASE WHEN n >= 200 THEN y200 END, 6) AS ema200, round(CASE WHEN n >= 14 THEN rsi END, 6) AS rsi, round(CASE WHEN n >= 14 THEN atr END, 6) AS atr,"
+    + " round(CASE WHEN n >= 11 THEN 100.0 * (close::DOUBLE - c10) / nullif(c10, 0) END, 6) AS roc, round(CASE WHEN n >= 28 THEN adx END, 6) AS adx, market_structure, sh::DOUBLE AS last_swing_high, sl::DOUBLE AS last_swing_low, bos_recent, choch_recent, market_structure = 'RANGE' AS is_range,"
+    + " (high > top AND close < top) OR (low < bottom AND close > bottom) AS liquidity_sweep, abs(high::DOUBLE - top::DOUBLE) <= 2 AS equal_highs, abs(low::DOUBLE - bottom::DOUBLE) <= 2 AS equal_lows, (ph - close)::DOUBLE / point AS dist_prev_high_points, (close - pl)::DOUBLE / point AS dist_prev_low_points,"
+    + " gap IS NOT NULL AS fvg_present, gap.d AS fvg_direction, (gap.t - gap.b)::DOUBLE / point AS fvg_size_points, (CASE WHEN entry_price < gap.b THEN gap.b - entry_price WHEN entry_price > gap.t THEN entry_price - gap.t WHEN gap IS NOT NULL THEN 0 END)::DOUBLE / point AS fvg_distance_points,"
+    + " block IS NOT NULL AS ob_present, block.d AS ob_direction, abs(entry_price - block.c)::DOUBLE / point AS ob_distance_points, NULL::DOUBLE AS spread_points, span::DOUBLE / point AS recent_range_points, round(relative_volatility, 6) AS relative_volatility,"
+    + " (isodow(entry_time) - 1)::INT AS weekday, hour(entry_time)::INT AS hour_utc, hour(entry_time) < 8 AS session_asia, hour(entry_time) BETWEEN 7 AND 15 AS session_london, hour(entry_time) BETWEEN 12 AND 20 AS session_newyork,"
+    + " x IS NOT NULL AS news_nearby, round(x.o / 60.0::DOUBLE)::INT AS minutes_to_news, x.impact AS news_impact, x.type AS news_type FROM j)"
+)
+REASONS = {
+    **{f"trend_{n}": "no_closed_bar" for n in dna.TIMEFRAMES},
+    **{n: "short_history" for n in ("ema20", "ema50", "ema200", "rsi", "atr", "roc", "adx", "last_swing_high", "last_swing_low", "liquidity_sweep", "equal_highs", "equal_lows", "dist_prev_high_points", "dist_prev_low_points")},
+    **{n: "not_present" for n in ("fvg_direction", "fvg_size_points", "fvg_distance_points", "ob_direction", "ob_distance_points")},
+    "spread_points": "no_source",
+    **{n: "no_news_nearby" for n in ("minutes_to_news", "news_impact", "news_type")},
+}
+
+
+@query(DNA + " SELECT *, '{' || array_to_string([e FOR e IN [" + ", ".join(f"""CASE WHEN {n} IS NULL THEN '"{n}":"{r}"' END""" for n, r in REASONS.items()) + "] IF e IS NOT NULL], ',') || '}' AS null_reasons FROM o")
+def trade_dna(spark: SparkSession, d: str) -> DataFrame:
+    """The conditions at each tick's time as if a trade were entered there: all features, with hourly bars as main timeframe."""
+    ticks = driver.ticks(spark, d)
+    point = F.when(F.col("event_id") % 10 != 0, F.lit(0.01))
+    t = ticks.select(F.col("event_id").alias("trade_id"), "symbol", F.col("ts").alias("entry_time"), F.col("price").alias("entry_price"), point.alias("point"))
+    frames = {n: bar_ops.bars_from_ticks(ticks, s).select("symbol", "bar_time", "close") for n, s in dna.TIMEFRAMES.items()}
+    out = dna.trade_dna(t, _bars(spark, d), 3600, frames, _news(spark, d))
+    rounded = {n: F.round(n, 6) for n in ("ema20", "ema50", "ema200", "rsi", "atr", "roc", "adx", "relative_volatility")}
+    return out.withColumns({"data_cutoff": sec("data_cutoff"), **rounded})
