@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradelake.functions.common import null_reasons, ratio
+from tradelake.functions.tables import materialize
 from tradelake.operators import features
 from tradelake.operators.asof import asof, nearest
 from tradelake.operators.series import numbered, over_pieces
@@ -28,14 +29,13 @@ NEWS_SECONDS = 3600
 def bar_features(bars: DataFrame, tolerance: float) -> DataFrame:
     """bars with every feature that a bar and the ones before it have, in units of price."""
     keys = ["symbol", "bar_time"]
-    out = features.structure(features.swings(features.roc(features.recent_range(features.liquidity(bars, tolerance)))))
-    for n in (20, 50, 200):
-        out = out.join(features.ema(bars, n).withColumnRenamed("ema", f"ema{n}"), keys)
-    atr = features.atr(bars)
-    out = out.join(features.rsi(bars), keys, "left").join(features.relative_volatility(atr), keys).join(features.adx(bars), keys, "left")
+    bars = materialize(numbered(bars))
+    told = materialize(features.indicators(bars))
+    out = features.structure(features.swings(features.roc(features.recent_range(features.liquidity(bars, tolerance))))).join(told, keys)
+    out = features.relative_volatility(out)
     gap = features.fair_value_gaps(bars).select(*keys, F.struct("direction", "size", "bottom", "top").alias("_gap"))
     block = features.order_blocks(bars).where("block_time IS NOT NULL").select(*keys, F.struct("direction", "block_close").alias("_block"))
-    out = out.join(gap, keys, "left").join(block, keys, "left")
+    out = materialize(out.join(gap, keys, "left").join(block, keys, "left"))
 
     def recent(column: Column):  # noqa: ANN202
         return lambda w: F.last(column, ignorenulls=True).over(w.rowsBetween(1 - RECENT, 0))
@@ -44,7 +44,7 @@ def bar_features(bars: DataFrame, tolerance: float) -> DataFrame:
         return lambda w: F.max(column).over(w.rowsBetween(1 - RECENT, 0))
 
     frames = {"gap": recent(F.col("_gap")), "block": recent(F.col("_block")), "bos_recent": any_of(F.col("bos") != 0), "choch_recent": any_of(F.col("choch"))}
-    out = over_pieces(numbered(out), frames, back=RECENT - 1)
+    out = over_pieces(out, frames, back=RECENT - 1)
     warm = {n: F.when(F.col("_n") + 1 >= k, F.col(n)) for n, k in WARM_UP.items()}
     return out.withColumns(warm).withColumn("is_range", F.col("market_structure") == "RANGE").drop("_gap", "_block", "_n")
 
@@ -55,7 +55,9 @@ def trends(trades: DataFrame, bars_by_frame: Mapping[str, DataFrame], band: floa
     for name, bars in bars_by_frame.items():
         b = bars.select(F.concat_ws("|", "symbol", F.lit(name)).alias("symbol"), "bar_time", "close", F.lit(TIMEFRAMES[name]).alias("width"))
         series = b if series is None else series.unionByName(b)
-    both = features.ema(series, 20).join(features.ema(series, 50).withColumnRenamed("ema", "slow"), ["symbol", "bar_time"]).join(series, ["symbol", "bar_time"])
+    series = materialize(series)
+    close = F.col("close").cast("double")
+    both = features.smoothed(series, {"ema": close, "slow": close}, {"ema": 2.0 / 21, "slow": 2.0 / 51}).join(series, ["symbol", "bar_time"])
     known = both.select("symbol", F.timestamp_seconds(F.unix_timestamp("bar_time") + F.col("width")).alias("closed_at"), features.trend(F.col("ema"), F.col("slow"), band).alias("trend"))
     asked = trades.select("trade_id", "entry_time", "symbol", F.explode(F.array(*map(F.lit, bars_by_frame))).alias("frame"))
     asked = asked.withColumn("symbol", F.concat_ws("|", "symbol", "frame"))
@@ -70,7 +72,7 @@ def trade_dna(trades: DataFrame, bars: DataFrame, seconds: int, bars_by_frame: M
     currencies that they move, as symbol; without a calendar all its features are null. Bars state no spread, so
     spread_points is null.
     """
-    known = bar_features(bars, tolerance).withColumn("closed_at", F.timestamp_seconds(F.unix_timestamp("bar_time") + seconds))
+    known = materialize(bar_features(bars, tolerance)).withColumn("closed_at", F.timestamp_seconds(F.unix_timestamp("bar_time") + seconds))
     out = asof(trades, known, ["symbol"], "entry_time", "closed_at").where("r_closed_at IS NOT NULL")
     if news is not None:
         near = nearest(trades.select("trade_id", "symbol", "entry_time"), "trade_id", "entry_time", news, "time_utc", NEWS_SECONDS, keys=["symbol"], values=["impact", "type"])
@@ -79,7 +81,7 @@ def trade_dna(trades: DataFrame, bars: DataFrame, seconds: int, bars_by_frame: M
     else:
         none = F.lit(None).cast("string")
         out = out.withColumns({"_off": F.lit(None).cast("long"), "impact": none, "type": none})
-    out = features.time_features(out.join(trends(trades, bars_by_frame, band), "trade_id"), "entry_time")
+    out = features.time_features(out.join(materialize(trends(trades, bars_by_frame, band)), "trade_id"), "entry_time")
 
     def points(price: Column) -> Column:
         return ratio(price, F.col("point"))

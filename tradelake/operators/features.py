@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradelake.functions.tables import materialize
 from tradelake.operators.series import last_known, numbered, over_pieces
 
 #: Length in time of the pieces in which a series is smoothed.
@@ -23,13 +24,19 @@ def _d(name: str) -> Column:
     return F.col(name).cast("double")
 
 
+def _done(out: DataFrame, bars: DataFrame) -> DataFrame:
+    """Without the bars' numbers, unless they came with the bars."""
+    return out if "_n" in bars.columns else out.drop("_n")
+
+
 def _with_lags(bars: DataFrame, n: int, **columns: Column) -> DataFrame:
     """bars with, for each name, a column's value n bars before."""
-    return over_pieces(numbered(bars), {name: lambda w, c=c: F.lag(c, n).over(w) for name, c in columns.items()}, back=n).drop("_n")
+    return _done(over_pieces(numbered(bars), {name: lambda w, c=c: F.lag(c, n).over(w) for name, c in columns.items()}, back=n), bars)
 
 
-def smoothed(bars: DataFrame, values: Mapping[str, Column], k: float) -> DataFrame:
-    """(symbol, bar_time, a column per value): y[i] = y[i - 1] + k * (x[i] - y[i - 1]) along a symbol's bars, y[0] = x[0].
+def smoothed(bars: DataFrame, values: Mapping[str, Column], k: float | Mapping[str, float]) -> DataFrame:
+    """(symbol, bar_time, a column per value): y[i] = y[i - 1] + k * (x[i] - y[i - 1]) along a symbol's bars, y[0] = x[0]; k may
+    differ from value to value.
 
     The recurrence is linear, so pieces of a series are smoothed apart from each other, each from zero; one row per piece
     is then enough to find what each piece starts from, which is added with the weight it still has. A task holds one
@@ -38,30 +45,33 @@ def smoothed(bars: DataFrame, values: Mapping[str, Column], k: float) -> DataFra
     names = list(values)
     rows = bars.select("symbol", "bar_time", F.floor(F.unix_timestamp("bar_time") / PIECE_SECONDS).alias("piece"), *[v.cast("double").alias(n) for n, v in values.items()])
 
+    rate = {n: k if isinstance(k, float) else k[n] for n in names}
+
     def local(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("bar_time").reset_index(drop=True)
-        weight = (1 - k) ** np.arange(1, len(part) + 1)
-        out = part[["symbol", "bar_time", "piece"]].assign(weight=weight)
+        out = part[["symbol", "bar_time", "piece"]].copy()
         for n in names:
-            out[n] = part[n].ewm(alpha=k, adjust=False).mean() - weight * part[n].iloc[0]
-            out[f"first_{n}"] = part[n].iloc[0]
+            weight = (1 - rate[n]) ** np.arange(1, len(part) + 1)
+            out[n] = part[n].ewm(alpha=rate[n], adjust=False).mean() - weight * part[n].iloc[0]
+            out[f"first_{n}"], out[f"weight_{n}"] = part[n].iloc[0], weight
         return out
 
     def carried(ends: pd.DataFrame) -> pd.DataFrame:
         ends = ends.sort_values("piece").reset_index(drop=True)
         for n in names:
             level, levels = ends[f"first_{n}"].iloc[0], []
-            for end, weight in zip(ends[n], ends["weight"], strict=True):
+            for end, weight in zip(ends[n], ends[f"weight_{n}"], strict=True):
                 levels.append(level)
                 level = end + weight * level
             ends[f"from_{n}"] = levels
         return ends[["symbol", "piece", *[f"from_{n}" for n in names]]]
 
-    doubles = "".join(f", {n} double, first_{n} double" for n in names)
-    pieces = rows.groupBy("symbol", "piece").applyInPandas(local, f"symbol string, bar_time timestamp, piece long, weight double{doubles}")
-    ends = pieces.groupBy("symbol", "piece").agg(F.max_by("weight", "bar_time").alias("weight"), *[F.max_by(n, "bar_time").alias(n) for n in names], *[F.first(f"first_{n}").alias(f"first_{n}") for n in names])
+    doubles = "".join(f", {n} double, first_{n} double, weight_{n} double" for n in names)
+    pieces = rows.groupBy("symbol", "piece").applyInPandas(local, f"symbol string, bar_time timestamp, piece long{doubles}")
+    end = F.max_by(F.struct(*[c for n in names for c in (n, f"first_{n}", f"weight_{n}")]), "bar_time").alias("end")
+    ends = pieces.groupBy("symbol", "piece").agg(end).select("symbol", "piece", "end.*")
     starts = ends.groupBy("symbol").applyInPandas(carried, "symbol string, piece long" + "".join(f", from_{n} double" for n in names))
-    return pieces.join(starts, ["symbol", "piece"]).select("symbol", "bar_time", *[(F.col(n) + F.col("weight") * F.col(f"from_{n}")).alias(n) for n in names])
+    return pieces.join(starts, ["symbol", "piece"]).select("symbol", "bar_time", *[(F.col(n) + F.col(f"weight_{n}") * F.col(f"from_{n}")).alias(n) for n in names])
 
 
 def ema(bars: DataFrame, n: int, column: str = "close") -> DataFrame:
@@ -74,12 +84,18 @@ def wilder(bars: DataFrame, n: int, **values: Column) -> DataFrame:
     return smoothed(bars, values, 1.0 / n)
 
 
+def _gain_loss(move: Column) -> dict[str, Column]:
+    return {"gain": F.greatest(move, F.lit(0.0)), "loss": F.greatest(-move, F.lit(0.0))}
+
+
+def _rsi() -> Column:
+    return F.coalesce(F.try_divide(F.lit(100.0) * F.col("gain"), F.col("gain") + F.col("loss")), F.lit(50.0))
+
+
 def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
     """(symbol, bar_time, rsi) from Wilder averages of gains and losses; 50 without moves."""
-    delta = _with_lags(bars, 1, _before=_d("close")).withColumn("_x", _d("close") - F.col("_before")).where("_x IS NOT NULL")
-    both = wilder(delta, n, gain=F.greatest("_x", F.lit(0.0)), loss=F.greatest(-F.col("_x"), F.lit(0.0)))
-    value = F.coalesce(F.try_divide(F.lit(100.0) * F.col("gain"), F.col("gain") + F.col("loss")), F.lit(50.0))
-    return both.select("symbol", "bar_time", value.alias("rsi"))
+    delta = _with_lags(bars, 1, _before=_d("close")).where("_before IS NOT NULL")
+    return wilder(delta, n, **_gain_loss(_d("close") - F.col("_before"))).select("symbol", "bar_time", _rsi().alias("rsi"))
 
 
 def true_range(before: Column) -> Column:
@@ -91,14 +107,29 @@ def atr(bars: DataFrame, n: int = 14) -> DataFrame:
     return wilder(_with_lags(bars, 1, _before=_d("close")), n, atr=true_range(F.col("_before")))
 
 
+def _directions(up: Column, down: Column) -> dict[str, Column]:
+    return {"plus": F.when((up > down) & (up > 0), up).otherwise(0.0), "minus": F.when((down > up) & (down > 0), down).otherwise(0.0)}
+
+
+def _index() -> Column:
+    return F.coalesce(F.try_divide(F.lit(100.0) * F.abs(F.col("plus") - F.col("minus")), F.col("plus") + F.col("minus")), F.lit(0.0))
+
+
 def adx(bars: DataFrame, n: int = 14) -> DataFrame:
     """(symbol, bar_time, adx): Wilder's smoothing of the directional index, over bars that have a predecessor."""
-    moves = _with_lags(bars, 1, _h=_d("high"), _l=_d("low")).withColumn("_up", _d("high") - F.col("_h")).withColumn("_down", F.col("_l") - _d("low")).where("_up IS NOT NULL")
-    plus = F.when((F.col("_up") > F.col("_down")) & (F.col("_up") > 0), F.col("_up")).otherwise(0.0)
-    minus = F.when((F.col("_down") > F.col("_up")) & (F.col("_down") > 0), F.col("_down")).otherwise(0.0)
-    both = wilder(moves, n, plus=plus, minus=minus)
-    index = F.coalesce(F.try_divide(F.lit(100.0) * F.abs(F.col("plus") - F.col("minus")), F.col("plus") + F.col("minus")), F.lit(0.0))
-    return wilder(both, n, adx=index)
+    moves = _with_lags(bars, 1, _h=_d("high"), _l=_d("low")).where("_h IS NOT NULL")
+    return wilder(wilder(moves, n, **_directions(_d("high") - F.col("_h"), F.col("_l") - _d("low"))), n, adx=_index())
+
+
+def indicators(bars: DataFrame, n: int = 14) -> DataFrame:
+    """(symbol, bar_time, ema20, ema50, ema200, atr, rsi, adx), smoothed together: rsi and adx are null at the first bar."""
+    known = _with_lags(bars, 1, _c=_d("close"), _h=_d("high"), _l=_d("low"))
+    emas = {f"ema{k}": 2.0 / (k + 1) for k in (20, 50, 200)}
+    every = smoothed(known, {**{e: _d("close") for e in emas}, "atr": true_range(F.col("_c"))}, {**emas, "atr": 1.0 / n})
+    moves = wilder(known.where("_c IS NOT NULL"), n, **_gain_loss(_d("close") - F.col("_c")), **_directions(_d("high") - F.col("_h"), F.col("_l") - _d("low")))
+    moves = materialize(moves)
+    both = moves.select("symbol", "bar_time", _rsi().alias("rsi")).join(wilder(moves, n, adx=_index()), ["symbol", "bar_time"])
+    return every.join(both, ["symbol", "bar_time"], "left")
 
 
 def roc(bars: DataFrame, n: int = 10) -> DataFrame:
@@ -127,7 +158,7 @@ def swings(bars: DataFrame, k: int = 2) -> DataFrame:
     marked = over_pieces(numbered(bars), {"_cu": fractal("high", F.max), "_cd": fractal("low", F.min)}, back=2 * k)
     out = last_known(marked, {"last_swing_high": F.col("_cu"), "last_swing_low": F.col("_cd")})
     bos = F.when(F.col("close") > F.col("last_swing_high"), 1).when(F.col("close") < F.col("last_swing_low"), -1).otherwise(0)
-    return out.withColumn("bos", bos).drop("_cu", "_cd", "_n")
+    return _done(out.withColumn("bos", bos).drop("_cu", "_cd"), bars)
 
 
 def structure(swung: DataFrame) -> DataFrame:
@@ -135,7 +166,8 @@ def structure(swung: DataFrame) -> DataFrame:
     out = last_known(numbered(swung), {"_before": F.when(F.col("bos") != 0, F.col("bos"))}, inclusive=False)
     out = out.withColumn("choch", F.coalesce((F.col("bos") != 0) & (F.col("bos") != F.col("_before")), F.lit(False)))
     now = F.when(F.col("bos") != 0, F.col("bos")).otherwise(F.col("_before"))
-    return out.withColumn("market_structure", F.when(now == 1, "UP").when(now == -1, "DOWN").otherwise("RANGE")).drop("_before", "_n")
+    out = out.withColumn("market_structure", F.when(now == 1, "UP").when(now == -1, "DOWN").otherwise("RANGE")).drop("_before")
+    return _done(out, swung)
 
 
 def liquidity(bars: DataFrame, tolerance: float, lookback: int = 10) -> DataFrame:
@@ -143,7 +175,7 @@ def liquidity(bars: DataFrame, tolerance: float, lookback: int = 10) -> DataFram
     closed back inside), and dist_prev_high and dist_prev_low, from the close to the extremes of the last day before that has
     bars (a Monday looks at the Friday)."""
     frame = {"_top": lambda w: F.max("high").over(w.rowsBetween(-lookback, -1)), "_bottom": lambda w: F.min("low").over(w.rowsBetween(-lookback, -1))}
-    out = over_pieces(numbered(bars), frame, back=lookback).drop("_n")
+    out = _done(over_pieces(numbered(bars), frame, back=lookback), bars)
     out = out.withColumn("equal_highs", F.abs(_d("high") - F.col("_top").cast("double")) <= tolerance)
     out = out.withColumn("equal_lows", F.abs(_d("low") - F.col("_bottom").cast("double")) <= tolerance)
     out = out.withColumn("sweep", ((F.col("high") > F.col("_top")) & (F.col("close") < F.col("_top"))) | ((F.col("low") < F.col("_bottom")) & (F.col("close") > F.col("_bottom"))))
@@ -177,13 +209,14 @@ def order_blocks(bars: DataFrame, factor: float = 1.5, lookback: int = 10) -> Da
 def recent_range(bars: DataFrame, n: int = 10) -> DataFrame:
     """bars with recent_range, the span of the last n bars."""
     span = {"recent_range": lambda w: F.max("high").over(w.rowsBetween(1 - n, 0)) - F.min("low").over(w.rowsBetween(1 - n, 0))}
-    return over_pieces(numbered(bars), span, back=n - 1).drop("_n")
+    return _done(over_pieces(numbered(bars), span, back=n - 1), bars)
 
 
 def relative_volatility(atr_rows: DataFrame, n: int = 20) -> DataFrame:
     """atr() rows with the ATR over its mean of the last n bars."""
     mean = {"_mean": lambda w: F.avg("atr").over(w.rowsBetween(1 - n, 0))}
-    return over_pieces(numbered(atr_rows), mean, back=n - 1).withColumn("relative_volatility", F.try_divide(F.col("atr"), F.col("_mean"))).drop("_n", "_mean")
+    out = over_pieces(numbered(atr_rows), mean, back=n - 1).withColumn("relative_volatility", F.try_divide(F.col("atr"), F.col("_mean"))).drop("_mean")
+    return _done(out, atr_rows)
 
 
 #: Fixed values of this engine: session hours in UTC, start included, end excluded.

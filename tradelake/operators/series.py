@@ -19,7 +19,10 @@ PIECE_ROWS = 4096
 
 
 def numbered(df: DataFrame, keys: Sequence[str] = ("symbol",), time: str = "bar_time", then: Sequence[str] = ()) -> DataFrame:
-    """df with _n, the place of each row in its series from 0 on, by time and then further columns, which must be total."""
+    """df with _n, the place of each row in its series from 0 on, by time and then further columns, which must be total. A df that
+    has _n already is returned as it is."""
+    if "_n" in df.columns:
+        return df
     cut = df.withColumn("_t", F.floor(F.unix_timestamp(time) / PIECE_SECONDS))
     ranked = cut.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "_t").orderBy(time, *then)).cast("long") - 1)
     sizes = ranked.groupBy(*keys, "_t").agg(F.count("*").alias("_size"))
