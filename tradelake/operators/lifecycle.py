@@ -1,7 +1,7 @@
 """Trades from their deals: volume, prices, profit, risk, exit, attribution, excursions and reentries.
 
-deals: trade_id, seq (a total order of a trade's deals), is_entry, direction, volume, amount (price times volume), price,
-profit, commission, swap, reason.
+deals: trade_id, seq or another column that orders a trade's deals totally, is_entry, direction, volume, amount (price times
+volume), price, profit, commission, swap, reason.
 """
 
 from __future__ import annotations
@@ -12,16 +12,16 @@ from pyspark.sql import functions as F
 from tradelake.functions.common import ratio, weighted_price
 
 
-def fold(deals: DataFrame) -> DataFrame:
-    """One row per trade: its span, volumes, prices and profit components."""
+def fold(deals: DataFrame, order: str = "seq") -> DataFrame:
+    """One row per trade: its span, volumes, prices and profit components, by one aggregation that starts before the shuffle."""
     entry, exit_ = F.col("is_entry"), ~F.col("is_entry")
     return deals.groupBy("trade_id").agg(
         F.count("*").alias("n_deals"),
-        F.min("seq").alias("first_seq"),
-        F.max("seq").alias("last_seq"),
+        F.min("at").alias("first_at"),
+        F.max("at").alias("last_at"),
         F.sum(F.when(entry, F.col("volume"))).alias("entry_volume"),
         F.sum(F.when(exit_, F.col("volume"))).alias("exit_volume"),
-        F.min_by("price", "seq").alias("first_price"),
+        F.min_by("price", order).alias("first_price"),
         F.sum("profit").alias("gross_profit"),
         F.sum("commission").alias("commission"),
         F.sum("swap").alias("swap"),
@@ -124,25 +124,35 @@ def overlaps(deployments: DataFrame) -> DataFrame:
     return a.join(b, keys).where(meet).select(*keys, "first_id", "second_id")
 
 
-def excursions(trades: DataFrame, bars: DataFrame) -> DataFrame:
-    """Largest favourable and adverse price distance of each trade, over bars with bar_time in [entry_time, close_time).
+def excursions(trades: DataFrame, bars: DataFrame, source: str = "M1_BARS") -> DataFrame:
+    """Largest favourable and adverse price distance of each trade, over bars (or ticks as bars of one price) with bar_time in
+    [entry_time, close_time): mfe and mae in prices, in points, and as floating profit and drawdown in money, never below zero.
 
-    Trades and bars meet on symbol and day, so that no trade is compared with a symbol's whole history.
+    trades have point, tick_size, tick_value and volume; where the point or tick size is null or zero, so is what needs it.
+    source says what was measured, as EA_TICKS or M1_BARS. Trades and bars meet on symbol and day, so that no trade is compared
+    with a symbol's whole history.
     """
     day = "date_trunc('DAY', entry_time)"
     spread = trades.where("close_time > entry_time").withColumn("_day", F.explode(F.expr(f"sequence({day}, date_trunc('DAY', close_time - INTERVAL 1 SECOND), INTERVAL 1 DAY)")))
     held = spread.join(bars.withColumn("_day", F.date_trunc("DAY", "bar_time")), ["symbol", "_day"]).where("bar_time >= entry_time AND bar_time < close_time")
     buy = F.col("direction") == "BUY"
     up, down = F.col("high") - F.col("entry_price"), F.col("entry_price") - F.col("low")
-    return held.groupBy("trade_id").agg(F.max(F.when(buy, up).otherwise(down)).alias("mfe"), F.max(F.when(buy, down).otherwise(up)).alias("mae"), F.count("*").alias("n_bars"))
+    out = held.groupBy("trade_id").agg(F.max(F.when(buy, up).otherwise(down)).alias("mfe"), F.max(F.when(buy, down).otherwise(up)).alias("mae"), F.count("*").alias("n_bars"))
+    out = out.join(trades.select("trade_id", "point", "tick_size", "tick_value", "volume"), "trade_id")
+
+    def money(distance: str) -> Column:
+        return ratio(F.greatest(F.col(distance), F.lit(0).cast("decimal(24,10)")), F.col("tick_size")) * F.col("tick_value").cast("double") * F.col("volume").cast("double")
+
+    return out.select("trade_id", "mfe", "mae", "n_bars", ratio(F.col("mfe"), F.col("point")).alias("mfe_points"), ratio(F.col("mae"), F.col("point")).alias("mae_points"), money("mfe").alias("max_floating_profit"), money("mae").alias("max_floating_drawdown"), F.lit(source).alias("excursion_source"))
 
 
 def reentries(trades: DataFrame, minutes: int) -> DataFrame:
-    """trades with reentry_of_trade_id: the previous trade of account, symbol and direction, if entered within so many minutes
-    after its close. Trades with an open predecessor are no reentry."""
+    """trades with reentry_of_trade_id, the previous trade of account, symbol and direction, if entered within so many minutes after
+    its close, and is_inferred, true where such a link was inferred. Trades with an open predecessor are no reentry."""
     w = Window.partitionBy("account_id", "symbol", "direction").orderBy("entry_time", "trade_id")
     wait = F.unix_timestamp("entry_time") - F.unix_timestamp(F.lag("close_time").over(w))
-    return trades.withColumn("reentry_of_trade_id", F.when((wait >= 0) & (wait <= minutes * 60), F.lag("trade_id").over(w)))
+    linked = trades.withColumn("reentry_of_trade_id", F.when((wait >= 0) & (wait <= minutes * 60), F.lag("trade_id").over(w)))
+    return linked.withColumn("is_inferred", F.col("reentry_of_trade_id").isNotNull())
 
 
 def chains(linked: DataFrame) -> DataFrame:
@@ -168,7 +178,11 @@ def data_quality(trades: DataFrame) -> Column:
     return F.to_json(F.map_from_entries(F.array_compact(entries)))
 
 
-def server_offset_minutes(server_time: Column, utc_time: Column) -> Column:
-    """Offset of a server clock (without zone) from UTC, to the nearest quarter of an hour."""
+def server_offset_minutes(server_time: Column, utc_time: Column, policy: Column | None = None) -> Column:
+    """Offset of a server clock (without zone) from UTC. A broker's policy FIXED:<minutes> states it; under any other, such as
+    EA_REPORTED, or without one, it is found from paired times, to the nearest quarter of an hour."""
+    if policy is not None:
+        fixed = F.regexp_extract(policy, r"^FIXED:(-?[0-9]+)$", 1)
+        return F.when(fixed != "", F.try_to_number(fixed, F.lit("S99999")).cast("long")).otherwise(server_offset_minutes(server_time, utc_time))
     seconds = F.unix_timestamp(server_time.cast("timestamp")) - F.unix_timestamp(utc_time)
     return (F.floor((seconds + 450) / 900) * 15).cast("long")

@@ -19,7 +19,7 @@ from tradelake.streaming import pipelines
 
 def _net(spark: SparkSession, d: str) -> DataFrame:
     """Trades with their net profit, bot (supplier of the first deal) and version."""
-    first = F.min_by("l_suppkey", "seq").alias("bot_id")
+    first = F.min_by("l_suppkey", "order").alias("bot_id")
     return driver.deals(spark, d).groupBy("trade_id").agg(F.sum(F.expr(NET)).alias("net_profit"), first, F.min("at").alias("entry_time"))
 
 

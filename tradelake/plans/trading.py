@@ -16,12 +16,12 @@ NET = "profit + commission + swap"
 
 @query(
     with_("deals")
-    + " SELECT trade_id, count(*) AS n_deals, min(seq) AS first_seq, max(seq) AS last_seq, (sum(volume) FILTER (is_entry))::DOUBLE AS entry_volume, (sum(volume) FILTER (NOT is_entry))::DOUBLE AS exit_volume, min_by(price, seq) AS first_price,"
+    + " SELECT trade_id, count(*) AS n_deals, epoch(min(deals.at))::BIGINT AS first_at, epoch(max(deals.at))::BIGINT AS last_at, (sum(volume) FILTER (is_entry))::DOUBLE AS entry_volume, (sum(volume) FILTER (NOT is_entry))::DOUBLE AS exit_volume, min_by(price, seq) AS first_price,"
     + " sum(profit)::DOUBLE AS gross_profit, sum(commission)::DOUBLE AS commission, sum(swap)::DOUBLE AS swap, (sum(profit) + sum(commission) + sum(swap))::DOUBLE AS net_profit FROM deals GROUP BY trade_id"
 )
 def trade_fold(spark: SparkSession, d: str) -> DataFrame:
-    out = lifecycle.fold(driver.deals(spark, d))
-    return out.select([F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c) for c, t in out.dtypes])
+    out = lifecycle.fold(driver.deals(spark, d), "order")
+    return out.select([F.col(c).cast("double").alias(c) if t.startswith("decimal") else sec(c).alias(c) if t == "timestamp" else F.col(c) for c, t in out.dtypes])
 
 
 RUNNING = ", r AS (SELECT *, sum(CASE WHEN is_entry THEN volume ELSE -volume END) OVER (PARTITION BY trade_id ORDER BY seq) AS pv FROM deals)"
@@ -29,7 +29,7 @@ RUNNING = ", r AS (SELECT *, sum(CASE WHEN is_entry THEN volume ELSE -volume END
 
 @query(with_("deals") + RUNNING + " SELECT trade_id, seq, pv::DOUBLE AS position_volume, (max(pv) OVER (PARTITION BY trade_id ORDER BY seq))::DOUBLE AS max_volume FROM r")
 def position_running_volume(spark: SparkSession, d: str) -> DataFrame:
-    out = lifecycle.running_volume(driver.deals(spark, d))
+    out = lifecycle.running_volume(driver.numbered_deals(spark, d))
     return out.select("trade_id", "seq", F.col("position_volume").cast("double"), F.col("max_volume").cast("double"))
 
 
@@ -40,7 +40,7 @@ def position_running_volume(spark: SparkSession, d: str) -> DataFrame:
     + " SELECT trade_id, seq, CASE WHEN before IS NULL THEN 'TRADE_OPENED' WHEN NOT is_entry AND pv <= 0 THEN 'TRADE_CLOSED' WHEN NOT is_entry THEN 'PARTIAL_CLOSE' WHEN before <= 0 THEN 'REENTRY' ELSE 'POSITION_INCREASED' END AS event_type FROM b"
 )
 def event_classification(spark: SparkSession, d: str) -> DataFrame:
-    return lifecycle.classify(driver.deals(spark, d)).select("trade_id", "seq", "event_type")
+    return lifecycle.classify(driver.numbered_deals(spark, d)).select("trade_id", "seq", "event_type")
 
 
 @query(
@@ -49,14 +49,18 @@ def event_classification(spark: SparkSession, d: str) -> DataFrame:
     + " SELECT trade_id, seq, CASE WHEN sl IS DISTINCT FROM psl THEN 'SL_MODIFIED' ELSE 'TP_MODIFIED' END AS event_type FROM b WHERE n > 1 AND (sl IS DISTINCT FROM psl OR tp IS DISTINCT FROM ptp)"
 )
 def stop_changes(spark: SparkSession, d: str) -> DataFrame:
-    s = driver.deals(spark, d).select("trade_id", "seq", (F.col("l_partkey") % 3).alias("sl"), (F.col("l_suppkey") % 4).alias("tp"))
+    s = driver.numbered_deals(spark, d).select("trade_id", "seq", (F.col("l_partkey") % 3).alias("sl"), (F.col("l_suppkey") % 4).alias("tp"))
     return lifecycle.stop_events(s).where("event_type IS NOT NULL").select("trade_id", "seq", "event_type")
 
 
-@query(with_("deals") + " SELECT trade_id, round(sum(amount)::DOUBLE / sum(volume)::DOUBLE + 1e-9::DOUBLE, 6) AS close_price FROM deals WHERE NOT is_entry GROUP BY trade_id")
+@query(
+    with_("deals")
+    + ", q AS (SELECT trade_id, (sum(amount) * 100)::HUGEINT AS a, (sum(volume) * 10000)::HUGEINT AS v FROM deals WHERE NOT is_entry GROUP BY trade_id)"
+    + " SELECT trade_id, ((2 * a * 100000000 + v) // (2 * v))::DOUBLE / 1000000.0::DOUBLE AS close_price FROM q"
+)
 def exit_vwap(spark: SparkSession, d: str) -> DataFrame:
-    """Exit prices, shown with six decimals; quotients that end in a five lie on the same side of it here and in the oracle."""
-    return lifecycle.exit_price(driver.deals(spark, d)).select("trade_id", F.round(F.col("close_price").cast("double") + 1e-9, 6).alias("close_price"))
+    """Exit prices as decimal quotients, rounded half up to six decimals; the oracle divides whole numbers."""
+    return lifecycle.exit_price(driver.deals(spark, d)).select("trade_id", F.round("close_price", 6).cast("double").alias("close_price"))
 
 
 PNL = f", p AS (SELECT trade_id, sum({NET}) AS net FROM deals GROUP BY trade_id)"
@@ -75,7 +79,7 @@ def outcome_label(spark: SparkSession, d: str) -> DataFrame:
 )
 def points_duration(spark: SparkSession, d: str) -> DataFrame:
     """Points between a trade's first and last price, null without a point size, and its duration."""
-    x = driver.deals(spark, d).groupBy("trade_id").agg(F.min_by("price", "seq").alias("entry"), F.max_by("price", "seq").alias("leave"))
+    x = driver.deals(spark, d).groupBy("trade_id").agg(F.min_by("price", "order").alias("entry"), F.max_by("price", "order").alias("leave"))
     t = driver.trades(spark, d).join(x, "trade_id")
     point = F.when(F.col("trade_id") % 10 != 0, F.lit(0.01))
     return t.select("trade_id", lifecycle.points(F.col("direction"), F.col("entry"), F.col("leave"), point).alias("points"), lifecycle.duration_seconds(F.col("entry_time"), F.col("close_time")).alias("duration_seconds"))
@@ -104,13 +108,7 @@ def exit_reason(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.exit_reason(driver.deals(spark, d))
 
 
-MATCHED = ", m AS (SELECT t.trade_id, d.id, d.started_at FROM trades t JOIN deployments d ON t.account_id = d.account_id AND t.entry_time >= d.started_at AND (d.ended_at IS NULL OR t.entry_time < d.ended_at))"
-
-
-def _owned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Trades and deployments that meet on the account: the other keys are set alike."""
-    same = {"magic_number": F.lit(1), "symbol": F.lit("X")}
-    return driver.trades(spark, d).withColumns(same), driver.deployments(spark, d).withColumns(same)
+MATCHED = ", m AS (SELECT t.trade_id, d.id, d.started_at FROM trades t JOIN deployments d ON t.account_id = d.account_id AND t.magic_number = d.magic_number AND t.symbol = d.symbol AND t.entry_time >= d.started_at AND (d.ended_at IS NULL OR t.entry_time < d.ended_at))"
 
 
 @query(
@@ -119,9 +117,8 @@ def _owned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     + ", b AS (SELECT trade_id, first(id ORDER BY started_at DESC, id) AS deployment_id, count(*) AS n FROM m GROUP BY trade_id) SELECT t.trade_id, deployment_id, coalesce(n, 0) AS n_deployments FROM trades t LEFT JOIN b ON t.trade_id = b.trade_id"
 )
 def deployment_attribution(spark: SparkSession, d: str) -> DataFrame:
-    """Each trade's deployment by validity interval: none, one, or the latest of several."""
-    t, deps = _owned(spark, d)
-    return lifecycle.attribute(t, deps).select("trade_id", "deployment_id", "n_deployments")
+    """Each trade's deployment by account, magic number, symbol and validity interval: none, one, or the latest of several."""
+    return lifecycle.attribute(driver.trades(spark, d), driver.deployments(spark, d)).select("trade_id", "deployment_id", "n_deployments")
 
 
 @query(
@@ -139,14 +136,18 @@ BARS = ", bars AS (SELECT symbol, time_bucket(INTERVAL 1 HOUR, ts) AS bar_time,
     with_("ticks")
     + BARS
     + ", t AS (SELECT event_id AS trade_id, symbol, CASE WHEN event_id % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS direction, ts AS entry_time, ts + to_hours((event_id % 40)::INT) AS close_time, price AS entry_price FROM ticks)"
-    + " SELECT trade_id, max(CASE direction WHEN 'BUY' THEN high - entry_price ELSE entry_price - low END)::DOUBLE AS mfe, max(CASE direction WHEN 'BUY' THEN entry_price - low ELSE high - entry_price END)::DOUBLE AS mae, count(*) AS n_bars FROM t JOIN bars b ON t.symbol = b.symbol AND b.bar_time >= t.entry_time AND b.bar_time < t.close_time GROUP BY trade_id"
+    + ", x AS (SELECT t.trade_id, max(CASE direction WHEN 'BUY' THEN high - entry_price ELSE entry_price - low END)::DOUBLE AS mfe, max(CASE direction WHEN 'BUY' THEN entry_price - low ELSE high - entry_price END)::DOUBLE AS mae, count(*) AS n_bars FROM t JOIN bars b ON t.symbol = b.symbol AND b.bar_time >= t.entry_time AND b.bar_time < t.close_time GROUP BY t.trade_id)"
+    + ", p AS (SELECT *, CASE WHEN trade_id % 10 <> 0 THEN 0.01::DOUBLE END AS point, (trade_id % 3 + 1)::DOUBLE AS volume FROM x)"
+    + " SELECT trade_id, mfe, mae, n_bars, mfe / point AS mfe_points, mae / point AS mae_points, greatest(mfe, 0) / 0.25::DOUBLE * 2.0::DOUBLE * volume AS max_floating_profit, greatest(mae, 0) / 0.25::DOUBLE * 2.0::DOUBLE * volume AS max_floating_drawdown, 'M1_BARS' AS excursion_source FROM p"
 )
 def excursions(spark: SparkSession, d: str) -> DataFrame:
     """Excursions of trades opened at each tick and held for up to 39 hours, over hourly bars."""
     ticks = driver.ticks(spark, d)
-    t = ticks.select(F.col("event_id").alias("trade_id"), "symbol", F.when(F.col("event_id") % 2 == 0, "BUY").otherwise("SELL").alias("direction"), F.col("ts").alias("entry_time"), F.expr("ts + make_interval(0, 0, 0, 0, int(event_id % 40))").alias("close_time"), F.col("price").alias("entry_price"))
+    key = F.col("event_id")
+    t = ticks.select(key.alias("trade_id"), "symbol", F.when(key % 2 == 0, "BUY").otherwise("SELL").alias("direction"), F.col("ts").alias("entry_time"), F.expr("ts + make_interval(0, 0, 0, 0, int(event_id % 40))").alias("close_time"), F.col("price").alias("entry_price"))
+    t = t.withColumns({"point": F.when(F.col("trade_id") % 10 != 0, F.lit(0.01)), "tick_size": F.lit(0.25), "tick_value": F.lit(2.0), "volume": F.col("trade_id") % 3 + 1})
     out = lifecycle.excursions(t, bar_ops.bars_from_ticks(ticks, 3600))
-    return out.select("trade_id", F.col("mfe").cast("double"), F.col("mae").cast("double"), "n_bars")
+    return out.withColumns({"mfe": F.col("mfe").cast("double"), "mae": F.col("mae").cast("double")})
 
 
 REENTRY = (
@@ -159,9 +160,9 @@ def _reentries(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.reentries(driver.trades(spark, d).withColumn("account_id", F.col("account_id") % 10), 10080)
 
 
-@query(with_("trades") + REENTRY + " SELECT trade_id, reentry AS reentry_of_trade_id FROM l WHERE reentry IS NOT NULL")
+@query(with_("trades") + REENTRY + " SELECT trade_id, reentry AS reentry_of_trade_id, reentry IS NOT NULL AS is_inferred FROM l")
 def reentry_link(spark: SparkSession, d: str) -> DataFrame:
-    return _reentries(spark, d).where("reentry_of_trade_id IS NOT NULL").select("trade_id", "reentry_of_trade_id")
+    return _reentries(spark, d).select("trade_id", "reentry_of_trade_id", "is_inferred")
 
 
 @query(
@@ -180,23 +181,27 @@ def reentry_chain(spark: SparkSession, d: str) -> DataFrame:
     + """ SELECT trade_id, '{' || array_to_string([e FOR e IN [CASE WHEN a THEN '"no_stop":true' END, CASE WHEN b THEN '"unassigned":true' END, CASE WHEN c THEN '"close_before_entry":true' END] IF e IS NOT NULL], ',') || '}' AS data_quality FROM f"""
 )
 def data_quality(spark: SparkSession, d: str) -> DataFrame:
-    t, deps = _owned(spark, d)
-    t = lifecycle.attribute(t, deps).withColumn("initial_sl", F.when(F.col("trade_id") % 6 != 0, F.col("entry_price")))
+    t = lifecycle.attribute(driver.trades(spark, d), driver.deployments(spark, d)).withColumn("initial_sl", F.when(F.col("trade_id") % 6 != 0, F.col("entry_price")))
     return t.select("trade_id", lifecycle.data_quality(t).alias("data_quality"))
 
 
 @query(
     with_("deals", "trades")
-    + " SELECT t.trade_id, t.direction, d.seq, epoch(d.at)::BIGINT AS at FROM trades t JOIN deals d ON t.trade_id = d.trade_id"
+    + " SELECT t.trade_id, t.direction, count(*) AS n_deals, string_agg(d.seq || ':' || epoch(d.at)::BIGINT, ',' ORDER BY d.seq) AS deals FROM trades t JOIN deals d ON t.trade_id = d.trade_id GROUP BY ALL"
 )
 def trade_navigation(spark: SparkSession, d: str) -> DataFrame:
-    """From trades to their events, with each event's place in the trade."""
-    return driver.trades(spark, d).join(driver.deals(spark, d), "trade_id").select("trade_id", "direction", "seq", sec("at").alias("at"))
+    """From trades to their deals, in order; a trade has few of them."""
+    listed = driver.numbered_deals(spark, d).groupBy("trade_id").agg(F.sort_array(F.collect_list(F.struct("seq", sec("at").alias("at")))).alias("deals"))
+    shown = F.array_join(F.transform("deals", lambda x: F.concat_ws(":", x["seq"], x["at"])), ",")
+    return driver.trades(spark, d).join(listed, "trade_id").select("trade_id", "direction", F.size("deals").cast("long").alias("n_deals"), shown.alias("deals"))
 
 
-@query("SELECT event_id, (floor((event_id % 7 * 900 + event_id % 300 - 150 + 450) / 900) * 15)::BIGINT AS offset_minutes FROM events")
+@query(
+    "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 120 WHEN 1 THEN -300 ELSE (floor((event_id % 7 * 900 + event_id % 300 - 150 + 450) / 900) * 15)::BIGINT END AS offset_minutes FROM events"
+)
 def server_offset(spark: SparkSession, d: str) -> DataFrame:
-    """Offset of a server clock from UTC, from paired times that differ by up to some minutes."""
+    """Offset of a server clock from UTC: fixed by the broker, or from paired times that differ by up to some minutes."""
     e = driver.read(spark, d, "events")
     server = F.timestamp_seconds(sec("ts") + F.col("event_id") % 7 * 900 + F.col("event_id") % 300 - 150).cast("timestamp_ntz")
-    return e.select("event_id", lifecycle.server_offset_minutes(server, F.col("ts")).alias("offset_minutes"))
+    policy = F.when(F.col("event_id") % 4 == 0, "FIXED:120").when(F.col("event_id") % 4 == 1, "FIXED:-300").when(F.col("event_id") % 4 == 2, "EA_REPORTED")
+    return e.select("event_id", lifecycle.server_offset_minutes(server, F.col("ts"), policy).alias("offset_minutes"))

@@ -45,13 +45,13 @@ DEAL_ORDER = ("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_quantit
 
 
 def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as deals: O enters, F leaves. Profit is (discount - 0.05) of the amount, commission the tax on the volume."""
+    """Lines as deals: O enters, F leaves. Profit is (discount - 0.05) of the amount, commission the tax on the volume. The struct
+    `order` orders the deals of a trade totally, up to equal lines."""
     amount = F.col("l_extendedprice").cast("decimal(18,2)")
     vol = F.col("l_quantity").cast("decimal(16,4)")
-    seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*DEAL_ORDER)).cast("long")
     return read(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("trade_id"),
-        seq.alias("seq"),
+        F.struct(*DEAL_ORDER).alias("order"),
         F.col("l_shipdate").alias("at"),
         (F.col("l_linestatus") == "O").alias("is_entry"),
         vol.alias("volume"),
@@ -66,6 +66,11 @@ def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def numbered_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """deals() with seq, their places within a trade, which has few of them; this takes a shuffle and a sort."""
+    return deals(spark, sf_dir).withColumn("seq", F.row_number().over(Window.partitionBy("trade_id").orderBy("order")).cast("long"))
+
+
 def deployments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as deployments of one magic number and symbol: from a day of 1995 on; every third never ends, others end after
     three years, and some of those get a second, open one after the first year."""
