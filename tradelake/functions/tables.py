@@ -30,8 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
 _SCOPES: list[list[str]] = []
 
 
-def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and return a scan of it, which cuts its lineage.
+def write_table(df: DataFrame, keep: bool = False) -> tuple[DataFrame, str]:
+    """Write df as a Parquet table in the shared folder; a scan of it, which cuts its lineage, and its path.
 
     Within scratch(), the table goes at its end, or with keep at the end of the scope around it. Others stay under
     <spark.checkpoint.dir>/tables/<application id>, as results may still read them lazily, until drop_materialized().
@@ -42,10 +42,15 @@ def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
     inner = len(_SCOPES) - 1 - keep
     if inner >= 0:
         _SCOPES[inner].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
+    """The scan of write_table()."""
+    return write_table(df, keep)[0]
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_table(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -58,9 +63,9 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _SCOPES.pop():
-            _delete(spark, path)
+            delete_table(spark, path)
 
 
 def drop_materialized(spark: SparkSession) -> None:
     """Delete all tables that materialize() has written in this application."""
-    _delete(spark, f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}")
+    delete_table(spark, f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}")
