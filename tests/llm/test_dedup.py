@@ -83,10 +83,12 @@ def test_near_dedup_tells_rows_apart(spark):
 
 
 def test_bitmap_follows_the_keys(spark, monkeypatch):
-    assert [exact_dedup.bitmap_bits(n) for n in (0, 10**5, 10**7, 10**12)] == [18, 20, 27, 30]
+    import tradelake.llm.common as common
+
+    assert [common.bitmap_bits(n) for n in (0, 10**5, 10**7, 10**12)] == [18, 20, 27, 30]
     docs = awkward(spark)
     want = collected(exact_dedup.exact_groups(docs), "doc_id", "keep_id", "group_size", "kept")
-    monkeypatch.setattr(exact_dedup, "bitmap_bits", lambda n: 1)  # all rows go on to the full hash
+    monkeypatch.setattr(common, "bitmap_bits", lambda n: 1)  # all rows go on to the full hash
     assert collected(exact_dedup.exact_groups(docs), "doc_id", "keep_id", "group_size", "kept") == want
 
 

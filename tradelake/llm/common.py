@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -12,43 +10,42 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tradelake.functions.tables import drop_materialized, materialize, scratch, shared_dir
+
+__all__ = ["drop_materialized", "materialize", "scratch", "shared_dir"]
+
 #: ASCII white space that separates words, as a Java and DuckDB regular expression class.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which driver and executors share.
-
-    Where it is unset, a temporary folder is made and set, in local mode only: on a cluster a machine-local folder
-    would not be seen by the other machines.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    found = tempfile.mkdtemp(prefix="tradelake-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
+#: Bits of a broadcast bitmap: LEAST_BITS for each key, as a power of two from 2 ** 18 to 2 ** 30 (128 MB). Up to some 1e8 keys,
+#: one row in eight or fewer is let through without a key of its own; beyond that, more are.
+LEAST_BITS = 8
+FEWEST_BITS, MOST_BITS = 18, 30
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and return a scan of it, which cuts its lineage.
+def bitmap_bits(n_keys: int) -> int:
+    return min(MOST_BITS, max(FEWEST_BITS, (LEAST_BITS * n_keys - 1).bit_length()))
 
-    The tables stay under <spark.checkpoint.dir>/tables/<application id>, as results may still read them lazily;
-    drop_materialized() removes them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def marked(rows: DataFrame, key: str, keys: DataFrame, name: str) -> DataFrame:
+    """rows with a flag that is true for each row whose key (a long) is among the written keys (key), and for few others.
 
-def drop_materialized(spark: SparkSession) -> None:
-    """Delete the tables that materialize() has written in this application."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    The keys travel as a bitmap, rows of 4 KB whose number has a proven bound; keys that share a bit are not told apart.
+    """
+    bits = bitmap_bits(keys.count())
+
+    def slot(of: Column) -> Column:
+        return F.pmod(of, F.lit(1 << bits)) + 1
+
+    place = slot(F.col("key"))
+    bitmap = keys.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits"))
+    at = F.bitmap_bit_position(slot(F.col(key)))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = (F.floor(byte / F.pow(F.lit(2.0), at % 8)) % 2) == 1
+    joined = rows.withColumn("_bucket", F.bitmap_bucket_number(slot(F.col(key)))).join(F.broadcast(bitmap), "_bucket", "left")
+    return joined.withColumn(name, F.coalesce(hit, F.lit(False))).drop("_bucket", "_bits")
 
 
 #: Row keys that without_rows() broadcasts at most, some 40 MB as a hash table.

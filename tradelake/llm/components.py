@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradelake.llm.common import materialize
+from tradelake.llm.common import materialize, scratch
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -21,6 +21,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Nodes have the same root if and only if they are connected; which of its nodes is the root is arbitrary. Repeated
     edges, edges in both directions and loops are allowed; nulls are not.
     """
+    with scratch(edges.sparkSession):
+        found = _contracted(edges)
+        if found is not None:
+            return materialize(found, keep=True)
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
+
+
+def _contracted(edges: DataFrame) -> DataFrame | None:
     left = materialize(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = None
     turn = 0
@@ -37,4 +45,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
         of_b = took.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         moved = left.join(of_a, "a").select("ra", "b").join(of_b, "b").where("ra != rb")
         left = materialize(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
-    return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
+    return labels

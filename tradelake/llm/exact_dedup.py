@@ -3,7 +3,7 @@
 Texts are equal when they are identical after deleting ASCII white space. Three rounds narrow the rows down: by length of
 the normalised text, then by a hash of its first characters, then by a SHA-256 of all of it. The first scan writes each row's
 length and prefix hash; the first two rounds work on that table alone. Prefixes that repeat reach the second scan as a bitmap
-whose size follows their number up to MOST_BITS, so what is broadcast has a proven bound; a bit set by another prefix only lets a
+whose size follows their number up to a bound (common.py), so what is broadcast has a proven bound; a bit set by another prefix only lets a
 row through to the full hash. Text is never shuffled: only ids, lengths and digests are, and copies are counted on the map side
 before that, so a group with a third of all rows costs one row per task.
 """
@@ -15,43 +15,15 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradelake.llm.common import SPACE, materialize, row_hash, text_of, without_rows, without_space
+from tradelake.llm.common import SPACE, marked, materialize, row_hash, text_of, without_rows, without_space
 
-#: Bits of the broadcast bitmap: LEAST for each repeated prefix, as a power of two from 2 ** 18 to 2 ** 30 (128 MB). Up to
-#: some 1e8 repeated prefixes, one row in eight or fewer that share none goes on to the full hash; beyond that, more do.
-LEAST_BITS = 8
-FEWEST_BITS, MOST_BITS = 18, 30
 PREFIX_CHARS = 64
 
 
-def bitmap_bits(n_keys: int) -> int:
-    return min(MOST_BITS, max(FEWEST_BITS, (LEAST_BITS * n_keys - 1).bit_length()))
-
-
-def _slot(key: Column, bits: int) -> Column:
-    return F.pmod(key, F.lit(1 << bits)) + 1
-
-
-def _bitmap(keys: DataFrame, bits: int) -> DataFrame:
-    """Keys as rows of 4 KB bitmaps, 2 ** (bits - 15) of them at most."""
-    slot = _slot(F.col("key"), bits)
-    return keys.groupBy(F.bitmap_bucket_number(slot).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("_bits"))
-
-
 def _repeated(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n")).where("n > 1").select("key")
 
 
-def _marked(rows: DataFrame, key: str, bitmap: DataFrame, bits: int, name: str) -> DataFrame:
-    """rows with a flag that is true for each row whose key is in the bitmap."""
-    slot = _slot(F.col(key), bits)
-    at = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = (F.floor(byte / F.pow(F.lit(2.0), at % 8)) % 2) == 1
-    joined = rows.withColumn("_bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bitmap), "_bucket", "left")
-    return joined.withColumn(name, F.coalesce(hit, F.lit(False))).drop("_bucket", "_bits")
-
-
 def _grouped(docs: DataFrame, id_col: str, text_col: str, carry: Mapping[str, Column]) -> DataFrame:
     """One row per input row: _id, _hash (of the text as it is), _keep (the row that stays: id and hash), _n, _kept, and carry."""
     text = text_of(text_col)
@@ -66,10 +38,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, carry: Mapping[str, Co
     # rounds 1 and 2, on lengths and prefix hashes: only rows of a repeated length are grouped by prefix
     keys = materialize(sized.select("_len", "_prefix"))
     repeated = materialize(_repeated(keys.join(_repeated(keys, "_len").withColumnRenamed("key", "_len"), "_len", "left_semi"), "_prefix"))
-    bits = bitmap_bits(repeated.count())
 
     # round 3
-    third = _marked(source.withColumn("_prefix", F.xxhash64(length.cast("long"), start)), "_prefix", _bitmap(repeated, bits), bits, "_open").select(
+    third = marked(source.withColumn("_prefix", F.xxhash64(length.cast("long"), start)), "_prefix", repeated, "_open").select(
         "_id",
         "_hash",
         F.length("_text").alias("_points"),

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradelake.llm.common import map_texts, materialize, small_batches
+from tradelake.llm.common import map_texts, materialize, scratch, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -213,9 +213,11 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = materialize(mentions(docs, id_col, text_col))
     each = found.select("row", F.explode("seen").alias("s")).select("row", "s.*")
     edges = each.select(F.explode("patterns").alias("pattern"), "surface", "kind").groupBy("pattern", "surface", "kind").agg(F.count("*").alias("n"))
-    trusted = bootstrap(materialize(edges)).where((F.col("confidence") >= LEAST_CONFIDENCE) & (F.col("seeds") >= LEAST_SEEDS))
+    with scratch(docs.sparkSession):
+        trusted = bootstrap(materialize(edges)).where((F.col("confidence") >= LEAST_CONFIDENCE) & (F.col("seeds") >= LEAST_SEEDS))
+        trusted = materialize(trusted, keep=True)
     open_ = each.where("kind < 0").select("row", "start", "end", F.explode("patterns").alias("pattern"))
-    hits = open_.join(materialize(trusted), "pattern").groupBy("row", "start", "end").agg(F.max(F.struct("confidence", (-F.col("found_kind")).alias("k"))).alias("b"))
+    hits = open_.join(trusted, "pattern").groupBy("row", "start", "end").agg(F.max(F.struct("confidence", (-F.col("found_kind")).alias("k"))).alias("b"))
     added = hits.groupBy("row").agg(F.collect_list(F.struct((-F.col("b.k")).cast("int").alias("kind"), "start", "end")).alias("added"))
     base = F.transform(F.filter("seen", lambda s: s["kind"] >= 0), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     joined = found.select("row", "id", F.array_sort(base).alias("base")).join(added, "row", "left")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradelake.llm.common import map_texts, materialize, row_hash, small_batches, without_rows
+from tradelake.llm.common import map_texts, materialize, row_hash, scratch, small_batches, without_rows
 from tradelake.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -192,12 +192,13 @@ def fingerprint_links(distinct: DataFrame, hot_bucket: int = HOT_BUCKET) -> Data
 def _classed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, hash, fp, first): a row per row; first is the id and hash of the row with the smallest id of its component."""
     prints = materialize(fingerprints(docs, id_col, text_col))
-    least = F.min(F.struct(F.col("id").isNull().alias("z"), "id", "hash"))
-    distinct = materialize(prints.groupBy("fp").agg(least.alias("first")))
-    roots = connected_components(fingerprint_links(distinct.select("fp")))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("first").alias("first"))
-    classes = materialize(named.select("fp", "root").join(materialize(smallest), "root").select("fp", "first"))
+    with scratch(docs.sparkSession):
+        least = F.min(F.struct(F.col("id").isNull().alias("z"), "id", "hash"))
+        distinct = materialize(prints.groupBy("fp").agg(least.alias("first")))
+        roots = connected_components(fingerprint_links(distinct.select("fp")))
+        named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+        smallest = materialize(named.groupBy("root").agg(F.min("first").alias("first")))
+        classes = materialize(named.select("fp", "root").join(smallest, "root").select("fp", "first"), keep=True)
     return prints.join(classes, "fp")
 
 
