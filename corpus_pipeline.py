@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tradelake.functions.tables import delete_table, scratch, write_table
 from tradelake.llm import exact_dedup, langid, mixing, piece_bpe, simhash
-from tradelake.llm.common import materialize, table
+from tradelake.llm.common import table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +45,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialize(docs)
-    return docs
+    """The last stage's result. Each other stage's tables go when its result is written, and that when the next one's is."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        with scratch(spark):
+            docs, path = write_table(stage(spark, docs, sf_dir), keep=True)
+        if before:
+            delete_table(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
