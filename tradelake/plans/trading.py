@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradelake.functions.tables import materialize
 from tradelake.operators import bars as bar_ops
-from tradelake.operators import lifecycle
+from tradelake.operators import lifecycle, rebuild
 from tradelake.plans.integrity import query, sec
 from tradelake.sources import driver
 from tradelake.sources.driver import with_
@@ -205,3 +206,57 @@ def server_offset(spark: SparkSession, d: str) -> DataFrame:
     server = F.timestamp_seconds(sec("ts") + F.col("event_id") % 7 * 900 + F.col("event_id") % 300 - 150).cast("timestamp_ntz")
     policy = F.when(F.col("event_id") % 4 == 0, "FIXED:120").when(F.col("event_id") % 4 == 1, "FIXED:-300").when(F.col("event_id") % 4 == 2, "EA_REPORTED")
     return e.select("event_id", lifecycle.server_offset_minutes(server, F.col("ts"), policy).alias("offset_minutes"))
+
+
+PARTS = (
+    with_("msgs")
+    + ", s AS (SELECT *, CASE WHEN NOT is_deal THEN 0 WHEN side = 'BUY' THEN volume ELSE -volume END AS signed FROM msgs),"
+    + " b AS (SELECT *, coalesce(sum(signed) OVER (PARTITION BY account_id, symbol ORDER BY sent_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s),"
+    + " c AS (SELECT *, abs(before) AS held, CASE WHEN before * signed < 0 THEN least(abs(before), volume) ELSE 0 END AS closed FROM b),"
+    + " p AS (SELECT *, 0 AS part, FALSE AS is_entry, FALSE AS starts, closed AS v, held - closed AS after FROM c WHERE closed > 0"
+    + " UNION ALL SELECT *, 1, TRUE, closed = held, volume - closed, CASE WHEN closed = held THEN volume - closed ELSE held + volume END FROM c WHERE is_deal AND volume > closed"
+    + " UNION ALL SELECT *, 0, FALSE, FALSE, 0, held FROM c WHERE NOT is_deal AND held > 0),"
+    + " n AS (SELECT *, account_id || ':' || symbol || ':' || (sum(starts::INT) OVER (PARTITION BY account_id, symbol ORDER BY sent_at, id, part))::BIGINT AS trade_id, is_deal AND (NOT is_entry OR closed = 0) AS owner, is_deal AND NOT is_entry AS leaves FROM p),"
+    + " f AS (SELECT trade_id, account_id, symbol, max(side) FILTER (starts) AS direction, max(sent_at) FILTER (starts) AS entry_time, (max(price) FILTER (starts))::DOUBLE AS entry_price, (max(sl) FILTER (starts))::DOUBLE AS initial_sl, (max(tp) FILTER (starts))::DOUBLE AS initial_tp,"
+    + " (max(v) FILTER (starts))::DOUBLE AS initial_volume, max(after)::DOUBLE AS max_volume, max(sent_at) FILTER (leaves AND after = 0) AS close_time, (sum(price * v) FILTER (leaves) * 100)::HUGEINT AS am, (sum(v) FILTER (leaves))::HUGEINT AS vol,"
+    + " coalesce(sum(profit) FILTER (owner), 0)::DOUBLE AS gross_profit, coalesce(sum(commission) FILTER (owner), 0)::DOUBLE AS commission, 0.0::DOUBLE AS swap, coalesce(sum(profit + commission) FILTER (owner), 0)::DOUBLE AS net_profit,"
+    + " CASE WHEN count(*) FILTER (leaves) = 0 THEN NULL WHEN count(reason) FILTER (leaves) = 0 THEN 'UNKNOWN' WHEN count(DISTINCT reason) FILTER (leaves) > 1 THEN 'MIXED' ELSE max(reason) FILTER (leaves) END AS exit_reason FROM n GROUP BY ALL)"
+)
+REENTRY_MINUTES = 24 * 60
+
+
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    return rebuild.parts(rebuild.parse(driver.messages(spark, d)))
+
+
+@query(
+    PARTS
+    + " SELECT trade_id, account_id, symbol, direction, epoch(entry_time)::BIGINT AS entry_time, entry_price, initial_sl, initial_tp, initial_volume, max_volume, epoch(close_time)::BIGINT AS close_time, ((2 * am * 10000 + vol) // (2 * vol))::DOUBLE / 1000000.0::DOUBLE AS close_price,"
+    + " gross_profit, commission, swap, net_profit, exit_reason, CASE WHEN close_time IS NULL THEN 'OPEN' ELSE 'CLOSED' END AS status, epoch(close_time)::BIGINT - epoch(entry_time)::BIGINT AS duration_seconds FROM f"
+)
+def trade_rebuild(spark: SparkSession, d: str) -> DataFrame:
+    """Trades from raw messages, some of which came twice or cannot be read."""
+    out = rebuild.trades(_parts(spark, d)).withColumn("close_price", F.round("close_price", 6))
+    return out.select([F.col(c).cast("double").alias(c) if t.startswith("decimal") else sec(c).alias(c) if t == "timestamp" else F.col(c) for c, t in out.dtypes])
+
+
+@query(
+    PARTS
+    + ", l AS (SELECT trade_id, sent_at, is_deal, sl IS DISTINCT FROM lag(sl) OVER w AS s, tp IS DISTINCT FROM lag(tp) OVER w AS t FROM n WHERE starts OR NOT is_deal WINDOW w AS (PARTITION BY trade_id ORDER BY sent_at, id, part)),"
+    + " q AS (SELECT trade_id, entry_time, lag(close_time) OVER (PARTITION BY account_id, symbol, direction ORDER BY entry_time, trade_id) AS pc FROM f),"
+    + " e AS (SELECT trade_id, CASE WHEN starts THEN 'TRADE_OPENED' WHEN is_entry THEN 'POSITION_INCREASED' WHEN after = 0 THEN 'TRADE_CLOSED' WHEN entry = 'OUT' THEN 'PARTIAL_CLOSE' ELSE 'POSITION_DECREASED' END AS event_type, sent_at, ticket AS deal_ticket, v::DOUBLE AS volume, FALSE AS is_inferred FROM n WHERE is_deal"
+    + " UNION ALL SELECT trade_id, 'SL_MODIFIED', sent_at, NULL, NULL, FALSE FROM l WHERE s AND NOT is_deal UNION ALL SELECT trade_id, 'TP_MODIFIED', sent_at, NULL, NULL, FALSE FROM l WHERE t AND NOT is_deal"
+    + f" UNION ALL SELECT trade_id, 'REENTRY', entry_time, NULL, NULL, TRUE FROM q WHERE epoch(entry_time)::BIGINT - epoch(pc)::BIGINT BETWEEN 0 AND {REENTRY_MINUTES * 60})"
+    + " SELECT trade_id, event_type, epoch(sent_at)::BIGINT AS event_time, deal_ticket, volume, is_inferred FROM e"
+)
+def trade_events_rebuild(spark: SparkSession, d: str) -> DataFrame:
+    """The events of the rebuilt trades, of all eight types."""
+    cut = materialize(_parts(spark, d))
+    out = rebuild.events(cut, rebuild.trades(cut), REENTRY_MINUTES)
+    return out.select("trade_id", "event_type", sec("event_time").alias("event_time"), "deal_ticket", F.col("volume").cast("double"), "is_inferred")
+
+
+@query("SELECT event_id AS id, 'unreadable payload' AS error FROM events WHERE event_id % 97 = 0")
+def unreadable_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Messages that cannot be used, for the queue to mark as failed."""
+    return rebuild.parse(driver.messages(spark, d)).where("error IS NOT NULL").select("id", "error")

@@ -19,6 +19,34 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("terminal_id"), key.alias("idempotency_key"), "event_type", F.col("ts").alias("sent_at"), F.col("props").alias("payload"))
 
 
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as terminal messages with a JSON payload: deals, and every fifth one a change of stops. Every tenth message is sent
+    again later, and one in 97 has a payload that is cut off."""
+    e = read(spark, sf_dir, "events")
+    key = F.col("event_id")
+    volume = (1 + key % 2).cast("decimal(16,4)")
+    fields = {
+        "kind": F.when(key % 5 == 4, "STOPS").otherwise("DEAL"),
+        "symbol": F.col("event_type"),
+        "side": F.when((key + F.col("user_id")) % 2 == 0, "BUY").otherwise("SELL"),
+        "entry": F.when(key % 3 != 0, "OUT").otherwise("IN"),
+        "ticket": key + 10**6,
+        "volume": volume,
+        "price": F.col("value").cast("decimal(24,10)"),
+        "profit": key % 21 - 10,
+        "commission": (volume * F.lit("-0.07").cast("decimal(4,2)")).cast("decimal(20,4)"),
+        "swap": F.lit(0),
+        "sl": F.nullif(key % 4, F.lit(0)),
+        "tp": F.nullif(key % 3, F.lit(0)),
+        "reason": F.when(key % 4 == 1, "SL").when(key % 4 == 2, "TP").when(key % 4 == 3, "MANUAL"),
+    }
+    text = F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
+    text = F.when(key % 97 == 0, F.substring(text, 1, 12)).otherwise(text)
+    sent = e.select(key.alias("id"), (F.col("user_id") % 40).alias("account_id"), F.concat(F.lit("deal:"), key.cast("string")).alias("idempotency_key"), F.col("ts").alias("sent_at"), text.alias("payload"))
+    again = sent.where("id % 10 = 0").withColumn("id", F.col("id") + 10**9).withColumn("sent_at", F.expr("sent_at + INTERVAL 5 SECONDS"))
+    return sent.unionByName(again)
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", "ts", F.col("event_type").alias("symbol"), F.col("value").cast("decimal(24,10)").alias("price"))
 
@@ -88,6 +116,7 @@ def deployments(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same projections for the oracle, as common table expressions.
 SQL = {
     "raw": "raw AS (SELECT event_id AS id, user_id::VARCHAR AS terminal_id, 'deal:' || (event_id % 50)::VARCHAR AS idempotency_key, event_type, ts AS sent_at, props AS payload FROM events)",
+    "msgs": "msgs AS (SELECT event_id AS id, user_id % 40 AS account_id, event_type AS symbol, ts AS sent_at, event_id % 5 <> 4 AS is_deal, CASE WHEN (event_id + user_id) % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, CASE WHEN event_id % 3 <> 0 THEN 'OUT' ELSE 'IN' END AS entry, event_id + 1000000 AS ticket, (1 + event_id % 2)::DECIMAL(16,4) AS volume, value::DECIMAL(24,10) AS price, event_id % 21 - 10 AS profit, (1 + event_id % 2) * -0.07 AS commission, nullif(event_id % 4, 0) AS sl, nullif(event_id % 3, 0) AS tp, ['SL','TP','MANUAL'][(event_id % 4)::INT] AS reason FROM events WHERE event_id % 97 <> 0)",
     "ticks": "ticks AS (SELECT event_id, ts, event_type AS symbol, value::DECIMAL(24,10) AS price FROM events)",
     "trades": "trades AS (SELECT o_orderkey AS trade_id, o_custkey AS account_id, o_orderkey % 5 AS magic_number, o_orderpriority AS symbol, CASE WHEN o_orderkey % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS direction, CASE WHEN o_orderstatus = 'F' THEN 'CLOSED' ELSE 'OPEN' END AS status, o_orderdate AS entry_time, CASE WHEN o_orderstatus = 'F' THEN o_orderdate + to_hours((o_orderkey % 72)::INT) END AS close_time, o_totalprice::DECIMAL(24,10) AS entry_price FROM orders)",
     "deals": "deals AS (SELECT l_orderkey AS trade_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY " + ", ".join(DEAL_ORDER) + ") AS seq, l_shipdate AS at, l_linestatus = 'O' AS is_entry, l_quantity::DECIMAL(16,4) AS volume, l_extendedprice::DECIMAL(18,2) AS amount, l_extendedprice / l_quantity AS price, ((l_discount::DECIMAL(4,2) - 0.05) * l_extendedprice::DECIMAL(18,2))::DECIMAL(20,4) AS profit, (-(l_tax::DECIMAL(4,2) * l_quantity::DECIMAL(16,2)))::DECIMAL(20,4) AS commission, 0::DECIMAL(20,4) AS swap, CASE l_returnflag WHEN 'R' THEN 'SL' WHEN 'A' THEN 'TP' END AS reason, l_suppkey, l_partkey FROM lineitem)",
