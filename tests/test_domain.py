@@ -252,6 +252,98 @@ def test_snapshot_roundtrip(spark, tmp_path):
     assert spark.table("restored_a").count() == 5
     assert snapshot.expired(spark, str(tmp_path)) == []
     assert snapshot.expired(spark, str(tmp_path), now_ms=10**14) == ["snap"]
+    snapshot.backup(spark, {"a": spark.range(1)}, f"{tmp_path}/other")
+    assert snapshot.expire(spark, str(tmp_path)) == [] and snapshot.expire(spark, str(tmp_path), now_ms=10**14) == ["other", "snap"]
+    assert snapshot.expired(spark, str(tmp_path), now_ms=10**14) == []
+
+
+def test_snapshot_tells_changed_rows(spark):
+    a, b = spark.createDataFrame([(1, "x"), (2, None)], "n int, t string"), spark.createDataFrame([(2, None), (1, "x")], "n int, t string")
+    assert snapshot._digest(a) == snapshot._digest(b) != snapshot._digest(a.withColumn("t", F.lit("x")))
+
+
+def test_scopes_within_scopes(spark, tmp_path):
+    from tradelake.sources.store import Store
+
+    store, now = Store(spark, f"{tmp_path}/store"), F.lit(NOW).cast("timestamp")
+
+    def broker(i):
+        return spark.createDataFrame([(f"b{i}", f"Broker {i}")], "id string, name string")
+
+    with store.scope():
+        store.insert("brokers", broker(1), now)
+        with store.scope():
+            store.insert("brokers", broker(2), now)
+        with pytest.raises(ValueError), store.scope():
+            store.insert("brokers", broker(3), now)
+            assert store.read("brokers").count() == 3
+            raise ValueError
+        store.insert("brokers", broker(4), now)
+        store.change("brokers", store.read("brokers").where("id = 'b2'").withColumn("name", F.lit("second")).withColumn("op", F.lit("UPDATE")), now)
+        assert Store(spark, f"{tmp_path}/store").read("brokers").count() == 0  # nothing is written yet
+    assert {(r.id, r.name) for r in store.read("brokers").collect()} == {("b1", "Broker 1"), ("b2", "second"), ("b4", "Broker 4")}
+    files = {p for p in (tmp_path / "store" / "brokers").iterdir() if p.suffix == ".parquet"}
+    store.insert("brokers", broker(5), now)
+    left = {p for p in (tmp_path / "store" / "brokers").iterdir() if p.suffix == ".parquet"}
+    assert files < left and store.read("brokers").count() == 4  # an append leaves the files that were there
+
+
+def test_series_in_pieces(spark):
+    """Frames, carried values and sums over small pieces equal those over whole series."""
+    from pyspark.sql import Window
+
+    from tradelake.operators import series
+
+    rows = [(s, NOW + (i * 7 + (i // 40) * 2000) * HOUR, (i * 31) % 17 if i % 3 else None) for s, n in (("a", 130), ("b", 1), ("c", 33)) for i in range(n)]
+    df = spark.createDataFrame(rows, "symbol string, bar_time timestamp, v int")
+    n = series.numbered(df)
+    w = Window.partitionBy("symbol").orderBy("bar_time")
+    whole = df.select("symbol", "bar_time", (F.row_number().over(w) - 1).cast("long").alias("_n"), F.sum("v").over(w.rowsBetween(-5, 3)).alias("s"), F.lag("v", 4).over(w).alias("l"), F.last("v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("k"), F.sum("v").over(w).alias("t"))
+    got = series.over_pieces(n, {"s": lambda w: F.sum("v").over(w.rowsBetween(-5, 3)), "l": lambda w: F.lag("v", 4).over(w)}, back=5, ahead=3, piece_rows=8)
+    got = series.last_known(got, {"k": F.col("v")}, inclusive=False, piece_rows=8)
+    got = series.running_sum(got, {"t": F.coalesce("v", F.lit(0))}, piece_rows=8)
+    assert sorted(map(tuple, got.select(whole.columns).collect()), key=repr) == sorted(((*r[:-1], r[-1] or 0) for r in whole.collect()), key=repr)
+
+
+def test_rebuild_turns_a_position_over(spark):
+    """Open, increase, both kinds of reduction, changed stops, a turn to the other side, a reentry; sent twice and in disorder."""
+    import json
+
+    from tradelake.operators import rebuild
+
+    def deal(i, side, volume, entry="IN", **more):
+        return (i, 7, f"k{i}", NOW + i * HOUR, json.dumps({"kind": "DEAL", "symbol": "X", "side": side, "entry": entry, "ticket": 100 + i, "volume": volume, "price": 10 + i, "profit": 1, "sl": 5} | more))
+
+    stops = (4, 7, "k4", NOW + 4 * HOUR, json.dumps({"kind": "STOPS", "symbol": "X", "sl": 5, "tp": 20}))
+    rows = [deal(1, "BUY", 3), deal(2, "BUY", 1), deal(3, "SELL", 1, "OUT"), stops, deal(5, "SELL", 1), deal(6, "SELL", 5, "INOUT", reason="SL"), deal(7, "BUY", 3, "OUT", reason="TP"), deal(8, "SELL", 1), (9, 7, "k9", NOW, "{"), (10, 7, "k10", NOW, '{"kind": "DEAL", "symbol": "X"}')]
+    sent = spark.createDataFrame([*rows[::-1], *rows], "id long, account_id long, idempotency_key string, sent_at timestamp, payload string").repartition(4)
+    parsed = rebuild.parse(sent)
+    assert sorted((r.id, r.error) for r in parsed.where("error IS NOT NULL").collect()) == [(9, "unreadable payload"), (10, "incomplete deal")]
+    cut = rebuild.parts(parsed)
+    folded = rebuild.trades(cut)
+    got = {r.trade_id: r for r in folded.collect()}
+    assert {(i, r.direction, r.status, int(r.initial_volume), int(r.max_volume), r.exit_reason) for i, r in got.items()} == {("7:X:1", "BUY", "CLOSED", 3, 4, "SL"), ("7:X:2", "SELL", "CLOSED", 3, 3, "TP"), ("7:X:3", "SELL", "OPEN", 1, 1, None)}
+    assert got["7:X:1"].close_price == Decimal("15") and got["7:X:1"].gross_profit == 5 and got["7:X:2"].gross_profit == 1
+    events = sorted((r.event_time, r.trade_id[-1], r.event_type, r.is_inferred) for r in rebuild.events(cut, folded, 120).collect())
+    assert [(t, k, i) for _, t, k, i in events] == [
+        ("1", "TRADE_OPENED", False), ("1", "POSITION_INCREASED", False), ("1", "PARTIAL_CLOSE", False), ("1", "TP_MODIFIED", False), ("1", "POSITION_DECREASED", False),
+        ("1", "TRADE_CLOSED", False), ("2", "TRADE_OPENED", False), ("2", "TRADE_CLOSED", False), ("3", "REENTRY", True), ("3", "TRADE_OPENED", False),
+    ]
+
+
+def test_nothing_looks_ahead_in_trade_dna(spark):
+    """The cutoff is before the entry, also where a bar closes at the entry itself; without a calendar news is null, with a reason."""
+    import json
+
+    from tradelake.operators import dna
+
+    ticks = spark.createDataFrame([("x", NOW + dt.timedelta(minutes=13 * i), Decimal(100 + (i * 37) % 23), i) for i in range(300)], "symbol string, ts timestamp, price decimal(24,10), event_id long")
+    hourly = bars.bars_from_ticks(ticks, 3600)
+    entries = spark.createDataFrame([(k, "x", NOW + k * HOUR, Decimal(110), 0.01) for k in (0, 1, 2, 30)], "trade_id long, symbol string, entry_time timestamp, entry_price decimal(24,10), point double")
+    got = {r.trade_id: r for r in dna.trade_dna(entries, hourly, 3600, {"h1": hourly}).collect()}
+    assert set(got) == {2, 30} and all(r.data_cutoff < NOW + k * HOUR for k, r in got.items()) and got[30].data_cutoff == NOW + 29 * HOUR
+    reasons = json.loads(got[30].null_reasons)
+    assert got[30].news_nearby is None and reasons["news_nearby"] == "no_calendar" and reasons["spread_points"] == "no_source" and reasons["ema50"] == "short_history" and "ema20" not in reasons
 
 
 def test_store_checks_stages_and_publishes(spark, tmp_path):

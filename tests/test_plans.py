@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,6 +39,15 @@ def test_interval_join_is_an_equality_join(spark):
     assert "HashJoin" in text or "SortMergeJoin" in text
 
 
-def test_fold_aggregates_before_the_shuffle(spark):
-    text = plan(driver.read(spark, DIR, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity")))
-    assert "partial_sum" in text
+@pytest.mark.parametrize("name", ["trade_fold", "exit_vwap", "outcome_label", "segment_stats", "wilson_ci", "version_compare"])
+def test_deals_are_aggregated_before_the_shuffle(spark, name):
+    text = plan(QUERIES[name](spark, DIR))
+    assert "partial_" in text and "Window" not in text
+
+
+@pytest.mark.parametrize("name", ["rsi14", "atr14", "adx14", "roc10", "swings", "market_structure", "order_blocks", "fvg", "recent_range", "relative_volatility", "bars_gaps", "liquidity"])
+def test_no_task_holds_a_whole_series(spark, name):
+    """Each window is over pieces of a symbol's series, or over one row for each piece or day."""
+    df = QUERIES[name](spark, DIR)
+    for spec in re.findall(r"windowspecdefinition\((.*?), specifiedwindowframe", df._jdf.queryExecution().optimizedPlan().toString()):
+        assert re.search(r"_p#|_t#|_day#", spec), spec

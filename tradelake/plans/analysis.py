@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tradelake.functions.common import json_hash
+from tradelake.functions.tables import shared_dir
 from tradelake.operators import lifecycle, monitor, research
 from tradelake.plans.integrity import query, sec
 from tradelake.plans.market import _shown
@@ -257,13 +258,8 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder under the shared one; where none is set, which is the case in local mode only, a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        import uuid
-
-        return f"{shared}/streams/{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="tradelake-stream-")
+    """A new folder under the shared one."""
+    return f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
 
 
 @query(with_("ticks") + BARS + f" SELECT symbol, epoch(bar_time)::BIGINT AS bar_time, open::DOUBLE AS open, high::DOUBLE AS high, low::DOUBLE AS low, close::DOUBLE AS close, tick_volume FROM bars WHERE bar_time + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events)")

@@ -1,13 +1,12 @@
-"""Tables under a folder: checked appends and updates, staged and then published together.
+"""Tables under a folder: checked appends and updates of Parquet tables.
 
-A scope collects changes of several tables in a staging folder; leaving it checks nothing more and publishes, an exception drops
-the staged files. Publishing renames one folder per table version and then swaps one small pointer file per table, so readers see
-whole versions of a table; several tables are not swapped at one instant, and there must be a single writer.
+A scope collects checked changes; leaving the outermost one writes them with plain Spark: new rows are appended, an update
+replaces its table. An exception drops what its scope collected, and a scope within a scope undoes only its own part. There is no
+transaction over several tables while they are written, and there must be a single writer.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -29,53 +28,62 @@ class RuleViolation(Exception):
 class Store:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-        self.staged: dict[str, str] = {}
+        #: For each open scope, the tables' new rows, and the whole tables that updates give.
+        self.scopes: list[dict[str, tuple[DataFrame | None, list[DataFrame]]]] = []
 
-    def _path(self, *parts: str):  # noqa: ANN202
-        p = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
+    def _path(self, name: str):  # noqa: ANN202
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _current(self, table: str) -> str | None:
-        """The folder of a table's version: a staged one, else that of the newest pointer."""
-        if table in self.staged:
-            return self.staged[table]
-        fs, folder = self._path(table, "_versions")
-        if not fs.exists(folder):
-            return None
-        newest = max(s.getPath().getName() for s in fs.listStatus(folder))
-        return f"{self.root}/{table}/{newest.split('-', 1)[1]}"
-
     def read(self, table: str) -> DataFrame:
+        """The table as the open scopes see it."""
+        fs, path = self._path(table)
         schema = TABLES[table].schema
-        path = self._current(table)
-        return self.spark.read.schema(schema).parquet(path) if path else self.spark.createDataFrame([], schema)
-
-    def _stage(self, table: str, df: DataFrame) -> None:
-        path = f"{self.root}/{table}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        self.staged[table] = path
+        out = self.spark.read.schema(schema).parquet(f"{self.root}/{table}") if fs.exists(path) else self.spark.createDataFrame([], schema)
+        for scope in self.scopes:
+            whole, added = scope.get(table, (None, []))
+            out = whole if whole is not None else out
+            for rows in added:
+                out = out.unionByName(rows)
+        return out
 
     @contextmanager
     def scope(self) -> Iterator[Store]:
-        """Publish what is written within, or drop it if an exception leaves the block."""
-        self.staged = {}
+        """Write what is changed within, or drop it if an exception leaves the block."""
+        self.scopes.append({})
         try:
             yield self
         except BaseException:
-            for path in self.staged.values():
-                fs, p = self._path(path.removeprefix(self.root + "/"))
-                fs.delete(p, True)
+            self.scopes.pop()
             raise
-        else:
-            for table, path in self.staged.items():
-                fs, folder = self._path(table, "_versions")
-                fs.mkdirs(folder)
-                number = fs.listStatus(folder)
-                count = len(list(number))
-                _, pointer = self._path(table, "_versions", f"{count:08d}-{path.rsplit('/', 1)[1]}")
-                fs.create(pointer).close()
-        finally:
-            self.staged = {}
+        done = self.scopes.pop()
+        for table, (whole, added) in done.items():
+            if not self.scopes:
+                self._write(table, whole, added)
+                continue
+            before, earlier = self.scopes[-1].get(table, (None, []))
+            self.scopes[-1][table] = (before, earlier + added) if whole is None else (whole, added)
+
+    def _write(self, table: str, whole: DataFrame | None, added: list[DataFrame]) -> None:
+        rows = whole
+        for x in added:
+            rows = x if rows is None else rows.unionByName(x)
+        path = f"{self.root}/{table}"
+        if whole is None:
+            rows.write.mode("append").parquet(path)
+            return
+        rows.write.mode("overwrite").parquet(path + ".next")
+        fs, old = self._path(table)
+        _, new = self._path(table + ".next")
+        fs.delete(old, True)
+        fs.rename(new, old)
+
+    def _stage(self, table: str, rows: DataFrame, replace: bool) -> None:
+        if not self.scopes:
+            self._write(table, rows if replace else None, [] if replace else [rows])
+            return
+        whole, added = self.scopes[-1].get(table, (None, []))
+        self.scopes[-1][table] = (rows, []) if replace else (whole, [*added, rows])
 
     def insert(self, table: str, rows: DataFrame, now: Column) -> DataFrame:
         """Append rows, with defaults for columns that they lack, or raise RuleViolation; the whole rows that were added."""
@@ -85,7 +93,7 @@ class Store:
         refused = [r["constraint"] for r in rules.insert_report(whole, table, parents).orderBy("constraint").collect()]
         if refused:
             raise RuleViolation(table, refused)
-        self._stage(table, parents[table].unionByName(whole))
+        self._stage(table, whole, replace=False)
         return whole
 
     def change(self, table: str, changes: DataFrame, now: Column) -> None:
@@ -103,4 +111,4 @@ class Store:
         names = refused + [r.v for r in broken] + keys + held
         if names:
             raise RuleViolation(table, names)
-        self._stage(table, after)
+        self._stage(table, after, replace=True)

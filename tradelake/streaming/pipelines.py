@@ -6,21 +6,32 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tradelake.operators.ingest import idempotent_insert
 
 
+#: Folders that a sink deals its keys out to, by a hash.
+SINK_BUCKETS = 256
+
+
 def idempotent_sink(stream: DataFrame, path: str, checkpoint: str, key: Sequence[str], arrival: Sequence[Column]) -> StreamingQuery:
     """Append the new events of each micro-batch to a table: the first of each key, unless the table has it. Exact for ever, with
-    no state but the table. One writer per table; a batch that is replayed after a failed commit is dropped by its keys."""
+    no state but the table. It is partitioned by a hash of the key, so a batch reads only the keys of the folders that it writes
+    to. One writer per table; a batch that is replayed after a failed commit is dropped by its keys."""
     spark = stream.sparkSession
+    bucket = F.pmod(F.xxhash64(*key), F.lit(SINK_BUCKETS)).cast("int")
 
     def write(batch: DataFrame, _: int) -> None:
         fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        exists = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path)
-        stored = spark.read.schema(batch.schema).parquet(path) if exists else None
-        idempotent_insert(batch, stored, key, arrival).write.mode("append").parquet(path)
+        stored = None
+        if fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
+            touched = [r[0] for r in batch.select(bucket).distinct().collect()]  # SINK_BUCKETS at most
+            schema = T.StructType([*batch.schema.fields, T.StructField("_bucket", T.IntegerType())])
+            stored = spark.read.schema(schema).parquet(path).where(F.col("_bucket").isin(touched)).drop("_bucket")
+        new = idempotent_insert(batch, stored, key, arrival).withColumn("_bucket", bucket)
+        new.repartition("_bucket").write.mode("append").partitionBy("_bucket").parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
