@@ -89,6 +89,16 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_piece_codec, op4_audio_fingerprint, op5_private_data, op6_license_scan, op7_token_counts, op8_source_mix, op9_simhash, op10_exact_dedup)}
 
 
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i, len(w) AS n FROM d WHERE len(w) > 0),
+g AS (SELECT doc_id, word, i, n, CASE WHEN i <= n - 13 THEN string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) END AS win FROM p),
+f AS (SELECT doc_id, word, i, n, win IS NOT NULL AND min(doc_id) OVER (PARTITION BY win) < doc_id AS again FROM g),
+r AS (SELECT doc_id, word, i, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM f),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM r GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
@@ -113,4 +123,4 @@ FROM d WINDOW g AS (PARTITION BY norm ORDER BY length(text) DESC, doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_source_mix": OP8_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op8_source_mix": OP8_SQL, "op10_exact_dedup": OP10_SQL}
