@@ -7,6 +7,7 @@ import re
 
 import duckdb
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.helpers import SMALL, awkward, collected, empty, needs_tables
@@ -50,6 +51,23 @@ def test_clean_documents_stay(spark):
     assert len(left) >= 0.99 * docs.count()
 
 
+@needs_tables
+def test_pipeline_with_repeated_rows(spark, tmp_path):
+    """Rows that repeat ids and texts, null ids and clashing names go through all stages; identical rows leave one."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").withColumn("_dropped", F.lit(1)).withColumn("_hash", F.lit(2))
+    few = docs.where("doc_id < 40")
+    mixed = docs.unionByName(few).unionByName(few.withColumn("doc_id", F.lit(None).cast("long"))).unionByName(few.withColumn("doc_id", F.col("doc_id") + 1))
+    out = mixed
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, out, SMALL)
+        assert out.columns == docs.columns
+    plain = docs
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        plain = stage(spark, plain, SMALL)
+    # the texts that are left are those of the plain table, each once
+    assert sorted(r.text for r in out.select("text").collect()) == sorted(r.text for r in plain.select("text").collect())
+
+
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
