@@ -507,6 +507,14 @@ def test_notices_inside_running_text():
     assert confirmed("Licensed under CC BY 4.0. All rights reserved.") == [("CC-BY-4.0", "Licensed under CC BY 4.0."), ("all-rights-reserved", "All rights reserved.")]
 
 
+def test_many_notices_in_one_text():
+    scanner = license_scan.Scanner()
+    text = "\n".join(f"part {i}\nReleased under the MIT License.\nthe licence of {i}" for i in range(1500))
+    found = scanner.scan(text)
+    assert sum(x["confirmed"] for x in found) == 1500
+    assert all(x["end"] <= y["start"] for x, y in zip(found, found[1:]))
+
+
 def test_all_changes_are_returned():
     words = license_scan.TEMPLATES[2][1].split()
     for i in range(3, len(words), 5):

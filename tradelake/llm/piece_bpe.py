@@ -5,7 +5,8 @@ the best pair is merged, which puts its new neighbours on the agenda, until none
 become byte pieces. As no piece of such a vocabulary has a meta space after another character, a text falls into chunks
 (meta spaces and what follows them) that no merge crosses; chunks recur, so a worker keeps the ids of those it has met, up
 to a fixed number. Each chunk that the agenda encodes is compared with the sentencepiece library, a batch's new chunks at a
-time, and texts that decode to something else than themselves are compared with the library's decoder: a difference raises.
+time. The text that each piece adds behind another is compared with the library's decoder when a worker loads the vocabulary, and
+texts that decode to something else than themselves are compared with it whole: a difference raises.
 
 Rows are independent: one pass over the table in Arrow batches, no shuffle.
 """
@@ -104,6 +105,10 @@ class PieceCodec:
                 self.bytes_of[i] = " ⁇ ".encode()
         self.chunk = re.compile(f"{META}+[^{META}]*|[^{META}]+")
         self.chunks = _Chunks(self)
+        behind = next(i for i in normal if pieces[i] == META)
+        for i, theirs in enumerate(lib.decode([[behind, behind, i] for i in range(n)])):
+            if self.decode(np.array([behind, behind, i], np.int32)) != theirs:
+                raise ValueError(f"the decoders differ on piece {i}")
 
     def agenda(self, chunk: str) -> list[int]:
         """The ids of a chunk of normalised text."""

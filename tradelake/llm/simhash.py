@@ -2,11 +2,11 @@
 
 Fingerprints of 64 bits link at 3 or fewer differing bits. Cut into two halves, one half of such a pair differs by at most
 one bit, so the pair agrees on a half with one bit left out. Each distinct fingerprint is indexed under its 64 variants of
-a half without one bit; rows that are equal in a variant meet in a bucket, where pairs are verified on all bits. A bucket
-gives a spanning set of its links, at most one per member, not all pairs. Buckets above HOT_BUCKET members are dealt out
-again by variants of a quarter of the other half: there 46 bits are fixed, so a bucket has at most 2 ** 18 members by
-construction, and no link is lost. Copies were folded into one fingerprint before. Components and their smallest document
-ids come from distributed joins.
+a half without one bit; rows that are equal in a variant meet in a bucket, where pairs are verified on all bits. A bucket of
+up to SMALL_BUCKET members gives its links, a larger one a spanning set of them, one per member at most, and never all pairs.
+Buckets above HOT_BUCKET members are dealt out again by variants of a quarter of the other half: there 46 bits are fixed, so a
+bucket has at most 2 ** 18 members by construction, and no link is lost. Copies were folded into one fingerprint before.
+Components and their smallest document ids come from distributed joins.
 """
 
 from __future__ import annotations
