@@ -136,7 +136,7 @@ def test_mixing_awkward(spark):
 def test_mixing_without_broadcast(spark, monkeypatch):
     docs = awkward(spark)
     few = collected(mixing.mixing_plan(docs), "doc_id", "copies")
-    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 1)
     assert collected(mixing.mixing_plan(docs), "doc_id", "copies") == few
 
 

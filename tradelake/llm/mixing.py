@@ -2,8 +2,8 @@
 
 Tokens are summed per source, each source gets a target, and a document is emitted floor(rate) times, rate being target
 over source size, plus once more with a probability equal to the rate's fraction. That draw is a hash of the document's id
-and a seed, so reruns agree. Sources are counted on the map side; their table (one row per source) is broadcast only if
-it has at most BROADCAST_SOURCES rows, else joined by shuffle, where AQE splits a hot source.
+and a seed, so reruns agree. Sources are counted on the map side; their table (one row per source) is broadcast only if it takes at
+most BROADCAST_BYTES, which holds some million sources, else joined by shuffle, where AQE splits a hot source.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from tradelake.llm.common import WORD, materialize, text_of
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 SEED = 17
-#: About 1 MB of source rows.
-BROADCAST_SOURCES = 10_000
+#: Bytes of the table of sources that is broadcast: the names, and ROW_BYTES for the rest of a row.
+BROADCAST_BYTES = 64 << 20
+ROW_BYTES = 48
 
 
 def n_words(col: str) -> Column:
@@ -79,7 +80,8 @@ def mixing_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     kept = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)]
     rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), n_words(text_col).alias("size"), *kept)
     targets = source_targets(rows.select("source", "size")).select(F.col("source").alias("_source"), "source_size", "target")
-    few = targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    held = targets.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("_source"), F.lit(0)) + ROW_BYTES), F.lit(0))).first()[0]
+    few = held <= BROADCAST_BYTES
     joined = rows.join(F.broadcast(targets) if few else targets, F.col("source").eqNullSafe(F.col("_source")))
     rate = F.coalesce(F.try_divide("target", F.col("source_size")), F.lit(0.0))
     copies = F.floor(rate) + (draw(F.col("_id"), seed) < rate - F.floor(rate)).cast("long")
