@@ -15,7 +15,7 @@ from tradelake.functions.common import null_reasons, ratio
 from tradelake.functions.tables import materialize
 from tradelake.operators import features
 from tradelake.operators.asof import asof, nearest
-from tradelake.operators.series import numbered, over_pieces
+from tradelake.operators.series import numbered
 
 #: Seconds of the timeframes of trends.
 TIMEFRAMES = {"m1": 60, "m5": 300, "m15": 900, "h1": 3600, "h4": 14_400, "d1": 86_400}
@@ -31,22 +31,25 @@ def bar_features(bars: DataFrame, tolerance: float) -> DataFrame:
     keys = ["symbol", "bar_time"]
     bars = materialize(numbered(bars))
     told = materialize(features.indicators(bars))
-    out = features.structure(features.swings(features.roc(features.recent_range(features.liquidity(bars, tolerance))))).join(told, keys)
-    out = features.relative_volatility(out)
-    gap = features.fair_value_gaps(bars).select(*keys, F.struct("direction", "size", "bottom", "top").alias("_gap"))
-    block = features.order_blocks(bars).where("block_time IS NOT NULL").select(*keys, F.struct("direction", "block_close").alias("_block"))
-    out = materialize(out.join(gap, keys, "left").join(block, keys, "left"))
-
-    def recent(column: Column):  # noqa: ANN202
+    frames = features.liquidity_frames() | features.range_frames() | features.roc_frames() | features.swing_frames() | features.gap_frames() | features.block_frames()
+    out = features.framed(bars, frames, 10)
+    out = features.known(out, {"last_swing_high": F.col("_swing_up"), "last_swing_low": F.col("_swing_down"), **{n: F.col(c) for n, c in features.BLOCK_VALUES.items()}})
+    out = out.withColumn("_gap", features.gap()).withColumn("_block", features.block())
+    out = out.withColumn("_block", F.when(F.col("_block.block_time").isNotNull(), F.col("_block")))
+    out = features.structure(features.swings(features.roc(features.recent_range(features.liquidity(out, tolerance)))))
+    out = materialize(out.join(told, keys))
+
+    def recent(column: Column) -> features.Frame:
         return lambda w: F.last(column, ignorenulls=True).over(w.rowsBetween(1 - RECENT, 0))
 
-    def any_of(column: Column):  # noqa: ANN202
+    def any_of(column: Column) -> features.Frame:
         return lambda w: F.max(column).over(w.rowsBetween(1 - RECENT, 0))
 
     frames = {"gap": recent(F.col("_gap")), "block": recent(F.col("_block")), "bos_recent": any_of(F.col("bos") != 0), "choch_recent": any_of(F.col("choch"))}
-    out = over_pieces(out, frames, back=RECENT - 1)
+    out = features.relative_volatility(features.framed(out, frames | features.volatility_frames(), 19))
     warm = {n: F.when(F.col("_n") + 1 >= k, F.col(n)) for n, k in WARM_UP.items()}
-    return out.withColumns(warm).withColumn("is_range", F.col("market_structure") == "RANGE").drop("_gap", "_block", "_n")
+    out = out.withColumns(warm).withColumn("is_range", F.col("market_structure") == "RANGE")
+    return out.drop("_n", *[c for c in out.columns if c.startswith("_")])
 
 
 def trends(trades: DataFrame, bars_by_frame: Mapping[str, DataFrame], band: float) -> DataFrame:

@@ -6,12 +6,13 @@ pieces of a series by rows (series.py), so no task holds a symbol's whole histor
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from tradelake.functions.tables import materialize
 from tradelake.operators.series import last_known, numbered, over_pieces
@@ -20,6 +21,10 @@ from tradelake.operators.series import last_known, numbered, over_pieces
 PIECE_SECONDS = 7 * 86_400
 
 
+#: A column over a series in order.
+Frame = Callable[[WindowSpec], Column]
+
+
 def _d(name: str) -> Column:
     return F.col(name).cast("double")
 
@@ -29,9 +34,20 @@ def _done(out: DataFrame, bars: DataFrame) -> DataFrame:
     return out if "_n" in bars.columns else out.drop("_n")
 
 
+def _lags(n: int, **columns: Column) -> dict[str, Frame]:
+    """For each name a column's value n bars before."""
+    return {name: lambda w, c=c: F.lag(c, n).over(w) for name, c in columns.items()}
+
+
+def framed(bars: DataFrame, frames: Mapping[str, Frame], back: int) -> DataFrame:
+    """bars with the columns of frames that they lack, and _n. Frames of several features can so be made at once, before them."""
+    missing = {n: f for n, f in frames.items() if n not in bars.columns}
+    return over_pieces(numbered(bars), missing, back=back) if missing else numbered(bars)
+
+
 def _with_lags(bars: DataFrame, n: int, **columns: Column) -> DataFrame:
     """bars with, for each name, a column's value n bars before."""
-    return _done(over_pieces(numbered(bars), {name: lambda w, c=c: F.lag(c, n).over(w) for name, c in columns.items()}, back=n), bars)
+    return _done(framed(bars, _lags(n, **columns), n), bars)
 
 
 def smoothed(bars: DataFrame, values: Mapping[str, Column], k: float | Mapping[str, float]) -> DataFrame:
@@ -132,9 +148,14 @@ def indicators(bars: DataFrame, n: int = 14) -> DataFrame:
     return every.join(both, ["symbol", "bar_time"], "left")
 
 
+def roc_frames(n: int = 10) -> dict[str, Frame]:
+    return _lags(n, _roc_before=_d("close"))
+
+
 def roc(bars: DataFrame, n: int = 10) -> DataFrame:
     """bars with roc, the change of the close against n bars before, in percent."""
-    return _with_lags(bars, n, _before=_d("close")).withColumn("roc", F.try_divide(F.lit(100.0) * (_d("close") - F.col("_before")), F.col("_before"))).drop("_before")
+    out = framed(bars, roc_frames(n), n)
+    return _done(out.withColumn("roc", F.try_divide(F.lit(100.0) * (_d("close") - F.col("_roc_before")), F.col("_roc_before"))).drop("_roc_before"), bars)
 
 
 def trend(fast: Column, slow: Column, band: float = 0.0) -> Column:
@@ -143,22 +164,32 @@ def trend(fast: Column, slow: Column, band: float = 0.0) -> Column:
     return F.when(gap > F.abs(slow) * band, 1).when(gap < -F.abs(slow) * band, -1).when(gap.isNotNull(), 0)
 
 
-def swings(bars: DataFrame, k: int = 2) -> DataFrame:
-    """bars with last_swing_high and last_swing_low as known at each bar: a fractal with k lower (higher) bars on each side is
-    confirmed k bars later, so nothing looks ahead; and with bos, a close beyond the last swing."""
+def swing_frames(k: int = 2) -> dict[str, Frame]:
+    """A fractal's high (low) at the bar that confirms it: the bar k before has k lower (higher) ones on each side."""
 
-    def fractal(column: str, extreme) -> Column:  # noqa: ANN001
-        def at(w):  # noqa: ANN001, ANN202
+    def fractal(column: str, extreme: Callable) -> Frame:
+        def at(w: WindowSpec) -> Column:
             around = w.rowsBetween(-2 * k, 0)
             middle = F.lag(column, k).over(w)
             return F.when((F.count("*").over(around) == 2 * k + 1) & (middle == extreme(column).over(around)), middle)
 
         return at
 
-    marked = over_pieces(numbered(bars), {"_cu": fractal("high", F.max), "_cd": fractal("low", F.min)}, back=2 * k)
-    out = last_known(marked, {"last_swing_high": F.col("_cu"), "last_swing_low": F.col("_cd")})
+    return {"_swing_up": fractal("high", F.max), "_swing_down": fractal("low", F.min)}
+
+
+def swings(bars: DataFrame, k: int = 2) -> DataFrame:
+    """bars with last_swing_high and last_swing_low as known at each bar: a fractal with k lower (higher) bars on each side is
+    confirmed k bars later, so nothing looks ahead; and with bos, a close beyond the last swing."""
+    out = known(framed(bars, swing_frames(k), 2 * k), {"last_swing_high": F.col("_swing_up"), "last_swing_low": F.col("_swing_down")})
     bos = F.when(F.col("close") > F.col("last_swing_high"), 1).when(F.col("close") < F.col("last_swing_low"), -1).otherwise(0)
-    return _done(out.withColumn("bos", bos).drop("_cu", "_cd"), bars)
+    return _done(out.withColumn("bos", bos).drop("_swing_up", "_swing_down"), bars)
+
+
+def known(bars: DataFrame, values: Mapping[str, Column]) -> DataFrame:
+    """numbered bars with the last value up to each bar that is not null, for those of values that they lack."""
+    missing = {n: v for n, v in values.items() if n not in bars.columns}
+    return last_known(bars, missing) if missing else bars
 
 
 def structure(swung: DataFrame) -> DataFrame:
@@ -170,12 +201,15 @@ def structure(swung: DataFrame) -> DataFrame:
     return _done(out, swung)
 
 
+def liquidity_frames(lookback: int = 10) -> dict[str, Frame]:
+    return {"_top": lambda w: F.max("high").over(w.rowsBetween(-lookback, -1)), "_bottom": lambda w: F.min("low").over(w.rowsBetween(-lookback, -1))}
+
+
 def liquidity(bars: DataFrame, tolerance: float, lookback: int = 10) -> DataFrame:
     """bars with equal_highs and equal_lows (within tolerance of the extreme of the bars before), sweep (beyond that extreme,
     closed back inside), and dist_prev_high and dist_prev_low, from the close to the extremes of the last day before that has
     bars (a Monday looks at the Friday)."""
-    frame = {"_top": lambda w: F.max("high").over(w.rowsBetween(-lookback, -1)), "_bottom": lambda w: F.min("low").over(w.rowsBetween(-lookback, -1))}
-    out = _done(over_pieces(numbered(bars), frame, back=lookback), bars)
+    out = _done(framed(bars, liquidity_frames(lookback), lookback), bars)
     out = out.withColumn("equal_highs", F.abs(_d("high") - F.col("_top").cast("double")) <= tolerance)
     out = out.withColumn("equal_lows", F.abs(_d("low") - F.col("_bottom").cast("double")) <= tolerance)
     out = out.withColumn("sweep", ((F.col("high") > F.col("_top")) & (F.col("close") < F.col("_top"))) | ((F.col("low") < F.col("_bottom")) & (F.col("close") > F.col("_bottom"))))
@@ -186,36 +220,64 @@ def liquidity(bars: DataFrame, tolerance: float, lookback: int = 10) -> DataFram
     return out.withColumn("dist_prev_high", (F.col("_ph") - F.col("close")).cast("double")).withColumn("dist_prev_low", (F.col("close") - F.col("_pl")).cast("double")).drop("_top", "_bottom", "_day", "_ph", "_pl")
 
 
+def gap_frames() -> dict[str, Frame]:
+    return _lags(2, _high_2=F.col("high"), _low_2=F.col("low"))
+
+
+def gap() -> Column:
+    """direction, size and edges of the gap that a bar with gap_frames() leaves to the one two before; null without one."""
+    direction = F.when(F.col("low") > F.col("_high_2"), 1).when(F.col("high") < F.col("_low_2"), -1)
+    bottom, top = F.when(direction == 1, F.col("_high_2")).otherwise(F.col("high")), F.when(direction == 1, F.col("low")).otherwise(F.col("_low_2"))
+    return F.when(direction.isNotNull(), F.struct(direction.alias("direction"), (top - bottom).alias("size"), bottom.alias("bottom"), top.alias("top")))
+
+
 def fair_value_gaps(bars: DataFrame) -> DataFrame:
     """Bars that leave a gap to the one two before: symbol, bar_time, direction, size, and its edges, bottom and top."""
-    out = _with_lags(bars, 2, _h=F.col("high"), _l=F.col("low"))
-    direction = F.when(F.col("low") > F.col("_h"), 1).when(F.col("high") < F.col("_l"), -1)
-    bottom, top = F.when(direction == 1, F.col("_h")).otherwise(F.col("high")), F.when(direction == 1, F.col("low")).otherwise(F.col("_l"))
-    return out.where(direction.isNotNull()).select("symbol", "bar_time", direction.alias("direction"), (top - bottom).alias("size"), bottom.alias("bottom"), top.alias("top"))
+    return framed(bars, gap_frames(), 2).select("symbol", "bar_time", gap().alias("gap")).where("gap IS NOT NULL").select("symbol", "bar_time", "gap.*")
+
+
+def block_frames(lookback: int = 10) -> dict[str, Frame]:
+    """The mean range of the bars before, and the bar before if it fell or rose."""
+    bar = F.struct("bar_time", "close")
+    fell, rose = F.when(F.col("close") < F.col("open"), bar), F.when(F.col("close") > F.col("open"), bar)
+    return {"_mean_range": lambda w: F.avg(_d("high") - _d("low")).over(w.rowsBetween(-lookback, -1)), **_lags(1, _fell=fell, _rose=rose)}
+
+
+#: The last bar that fell (rose) before each bar, from block_frames().
+BLOCK_VALUES = {"_last_fell": "_fell", "_last_rose": "_rose"}
+
+
+def block(factor: float = 1.5) -> Column:
+    """direction, block_time and block_close at a bar whose body exceeds factor times the mean range before; null at others."""
+    body = _d("close") - _d("open")
+    last = F.when(body > 0, F.col("_last_fell")).otherwise(F.col("_last_rose"))
+    told = F.struct(F.signum(body).cast("int").alias("direction"), last["bar_time"].alias("block_time"), last["close"].alias("block_close"))
+    return F.when(F.abs(body) > F.col("_mean_range") * factor, told)
 
 
 def order_blocks(bars: DataFrame, factor: float = 1.5, lookback: int = 10) -> DataFrame:
     """Bars whose body exceeds factor times the mean range of the bars before, with the last opposite bar before them:
     symbol, bar_time, direction, block_time, block_close."""
-    mean = {"_mean": lambda w: F.avg(_d("high") - _d("low")).over(w.rowsBetween(-lookback, -1))}
-    out = over_pieces(numbered(bars), mean, back=lookback)
-    bar = F.struct("bar_time", "close")
-    out = last_known(out, {"_down": F.when(F.col("close") < F.col("open"), bar), "_up": F.when(F.col("close") > F.col("open"), bar)}, inclusive=False)
-    out = out.withColumn("_body", _d("close") - _d("open")).where("_mean IS NOT NULL").where(F.abs("_body") > F.col("_mean") * factor)
-    block = F.when(F.col("_body") > 0, F.col("_down")).otherwise(F.col("_up"))
-    return out.select("symbol", "bar_time", F.signum("_body").cast("int").alias("direction"), block["bar_time"].alias("block_time"), block["close"].alias("block_close"))
+    out = known(framed(bars, block_frames(lookback), lookback), {n: F.col(c) for n, c in BLOCK_VALUES.items()})
+    return out.select("symbol", "bar_time", block(factor).alias("block")).where("block IS NOT NULL").select("symbol", "bar_time", "block.*")
+
+
+def range_frames(n: int = 10) -> dict[str, Frame]:
+    return {"recent_range": lambda w: F.max("high").over(w.rowsBetween(1 - n, 0)) - F.min("low").over(w.rowsBetween(1 - n, 0))}
 
 
 def recent_range(bars: DataFrame, n: int = 10) -> DataFrame:
     """bars with recent_range, the span of the last n bars."""
-    span = {"recent_range": lambda w: F.max("high").over(w.rowsBetween(1 - n, 0)) - F.min("low").over(w.rowsBetween(1 - n, 0))}
-    return _done(over_pieces(numbered(bars), span, back=n - 1), bars)
+    return _done(framed(bars, range_frames(n), n - 1), bars)
+
+
+def volatility_frames(n: int = 20) -> dict[str, Frame]:
+    return {"_mean_atr": lambda w: F.avg("atr").over(w.rowsBetween(1 - n, 0))}
 
 
 def relative_volatility(atr_rows: DataFrame, n: int = 20) -> DataFrame:
     """atr() rows with the ATR over its mean of the last n bars."""
-    mean = {"_mean": lambda w: F.avg("atr").over(w.rowsBetween(1 - n, 0))}
-    out = over_pieces(numbered(atr_rows), mean, back=n - 1).withColumn("relative_volatility", F.try_divide(F.col("atr"), F.col("_mean"))).drop("_mean")
+    out = framed(atr_rows, volatility_frames(n), n - 1).withColumn("relative_volatility", F.try_divide(F.col("atr"), F.col("_mean_atr"))).drop("_mean_atr")
     return _done(out, atr_rows)
 
 
