@@ -29,7 +29,7 @@ from tradelake.llm.common import map_texts, small_batches
 
 META = "▁"
 #: Chunks whose ids a worker keeps in either half of its table, and the longest that it keeps (characters).
-KEPT_CHUNKS = 100_000
+KEPT_CHUNKS = 200_000
 KEPT_CHARS = 64
 #: Longest chunk (characters) whose agenda is a plain list, and the rank of what is no piece.
 SHORT = 40
