@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradelake.llm import chroma, exact_dedup, langid, license_scan, mixing, pii, piece_bpe, simhash, substring_dedup, token_counts
+from tradelake.llm import chroma, exact_dedup, fill_middle, langid, license_scan, mixing, pii, piece_bpe, simhash, substring_dedup, token_counts
 from tradelake.llm.common import table, text_of, without_space
 
 #: Tokens above which op7 flags a document.
@@ -85,8 +85,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), carry={"text_sha256": digest})
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    again = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_piece_codec, op4_audio_fingerprint, op5_private_data, op6_license_scan, op7_token_counts, op8_source_mix, op9_simhash, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_piece_codec, op4_audio_fingerprint, op5_private_data, op6_license_scan, op7_token_counts, op8_source_mix, op9_simhash, op10_exact_dedup, op12_fill_middle)}
 
 
 OP2_SQL = r"""
@@ -121,6 +127,16 @@ SELECT doc_id, first_value(doc_id) OVER g AS keep_id, (count(*) OVER (PARTITION
 FROM d WINDOW g AS (PARTITION BY norm ORDER BY length(text) DESC, doc_id)
 """
 
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+k AS (SELECT doc_id, text, u, len(u) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(u) + 1) AS a, ('0x' || substr(h, 9, 8))::BIGINT % (len(u) + 1) AS b,
+  ('0x' || substr(h, 17, 8))::BIGINT % 100 AS c, ('0x' || substr(h, 25, 8))::BIGINT % 100 AS e FROM d),
+f AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR c >= 90 THEN 'plain' WHEN e < 20 THEN 'spm' ELSE 'psm' END AS form,
+  array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(u[greatest(a, b) + 1:], '') AS s FROM k)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE text END) AS output_sha256, sha256(text) AS restored_sha256 FROM f
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op8_source_mix": OP8_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op8_source_mix": OP8_SQL, "op10_exact_dedup": OP10_SQL, "op12_fill_middle": OP12_SQL}
