@@ -5,9 +5,13 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
 
-from tests.llm.helpers import awkward, collected, empty
-from tradelake.llm import fill_middle
+import pytest
+from pyspark.sql import functions as F
+
+from tests.llm.helpers import SMALL, awkward, collected, empty, needs_tables
+from tradelake.llm import conversation, fill_middle, queries
 
 # fill-in-the-middle
 
@@ -49,3 +53,143 @@ def test_fill_in_middle_awkward(spark):
 def test_fill_in_middle_moves_no_rows(spark):
     plan = fill_middle.fill_in_middle(awkward(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+# conversation repair
+
+SPACES = " \t\n\x0b\x0c\r"
+GRAMMAR = re.compile("(s?(ua)+)?")
+
+
+def plain_damage(rows):
+    out = []
+    for conv, turn, role, text in rows:
+        role, text = " " if role is None else role, " " if text is None else text
+        kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        if kind == 0:
+            continue
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        out += [(conv, turn, "user" if kind == 4 else role, text)] * (1 + (kind == 3))
+    return out
+
+
+def plain_faults(rows):
+    """rows (turn, role, text) in order -> a fault each."""
+    seen, out = set(), []
+    for _, role, text in rows:
+        bare = text.strip(SPACES)
+        out.append("blank" if not bare else "duplicate" if (role, text) in seen else "truncated" if bare[-1] not in ".!?" else "")
+        seen.add((role, text))
+    return out
+
+
+def plain_repair(rows, faults):
+    """The least (cost, audit) over all edits, by trying each; the repaired turns with it."""
+
+    def step(roles, new):
+        """The shortest roles in the same grammar state."""
+        nexts = {"": "su", "s": "u", "u": "a", "ua": "u"}
+        if not new or new not in nexts[roles]:
+            return None
+        return {"s": "s", "u": "u", "a": "ua"}[new]
+
+    # more than a few inserts in a row are of no use
+    def search(i, state, inserts):
+        key = (i, state, inserts)
+        if key in memo:
+            return memo[key]
+        found = []
+        if i == len(rows):
+            if state in ("", "ua"):
+                found.append((0, "", ()))
+        else:
+            _, role, text = rows[i]
+            c, a, t = search(i + 1, state, 0)
+            found.append((c + 4, "D" + a, t))
+            if faults[i] not in ("blank", "duplicate"):
+                extra = 3 * (faults[i] == "truncated")
+                for edit, to, cost in (("K", role, 0), ("R", "user", 3), ("R", "assistant", 3)):
+                    new = step(state, to[:1])
+                    if new is not None:
+                        c, a, t = search(i + 1, new, 0)
+                        found.append((c + cost + extra, edit + a, ((to, text), *t)))
+        if inserts < 4:
+            for to in ("user", "assistant"):
+                new = step(state, to[0])
+                if new is not None:
+                    c, a, t = search(i, new, inserts + 1)
+                    found.append((c + 3, "I" + a, ((to, ""), *t)))
+        memo[key] = min(found, default=(1 << 40, "", ()))
+        return memo[key]
+
+    memo = {}
+    return search(0, "", 0)
+
+
+def plain_summary(rows):
+    out = []
+    kept = plain_damage(rows)
+    for conv in {r[0] for r in rows}:
+        mine = [r[1:] for r in kept if r[0] == conv]
+        mine.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], hashlib.sha256(r[2].encode()).digest()))
+        faults = plain_faults(mine)
+        turns = [t for t, _, _ in mine if t is not None]
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        initials = [r[:1] for _, r, _ in mine]
+        illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:], strict=False))
+        cost, audit, repaired = plain_repair(mine, faults)
+        digest = hashlib.sha256("\n".join(f"{r}:{t}" for r, t in repaired).encode()).hexdigest()
+        out.append((conv, gaps, *[faults.count(f) for f in ("blank", "duplicate", "truncated")], illegal, cost, audit, digest))
+    return sorted(out, key=repr)
+
+
+SUMMARY = ("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+def conversations(seed, n, longest):
+    rng = random.Random(seed)
+    texts = ["Well.", "So", "Yes!", "Hm? ", "", " \t", "\u00a0", "end.\n", "a:b\nc.", None, ". "]
+    roles = ["system", "user", "assistant", "user", "assistant", "tool", "", None, "sys", "\U0001f600"]
+    rows = []
+    for conv in [None, *range(n)]:
+        for _ in range(rng.randint(1, longest)):
+            turn = rng.choice([None, *range(-1, longest)])
+            rows.append((conv, turn, rng.choice(roles[: rng.choice([3, 5, len(roles)])]), rng.choice(texts[: rng.choice([3, len(texts)])]) if rng.random() < 0.6 else f"{rng.random()}."))
+    return rows
+
+
+@pytest.mark.parametrize(("size", "n", "longest"), [(4096, 150, 9), (3, 60, 14), (1, 30, 6)])
+def test_repair_equals_plain_repair(spark, size, n, longest):
+    rows = conversations(size, n, longest)
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"audit": F.lit("x"), "cost": F.lit(1), "_c": F.lit(2), "kind": F.lit(3)})
+    got = conversation.summary(turns, conversation.damaged(turns), size)
+    assert collected(got, *SUMMARY) == plain_summary(rows)
+
+
+def test_repaired_turns(spark):
+    rows = conversations(7, 40, 12)
+    turns = conversation.damaged(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    segments = conversation.repair(turns, 2).persist()
+    made = conversation.repaired_turns(turns, segments).collect()
+    digests = {r.conv_id: r.repaired_sha256 for r in conversation.repaired_digests(turns, segments).collect()}
+    for conv, want in digests.items():
+        mine = sorted((r for r in made if r.conv_id == conv), key=lambda r: r.place)
+        assert [r.place for r in mine] == list(range(len(mine)))
+        assert GRAMMAR.fullmatch("".join(r.role[0] for r in mine))
+        assert hashlib.sha256("\n".join(f"{r.role}:{r.text}" for r in mine).encode()).hexdigest() == want
+
+
+def test_long_and_empty_conversations(spark):
+    """A third of all turns in one conversation, over many segments, gives what one segment gives; a long text; no rows."""
+    rows = [(1, i, ("user", "assistant", "user")[i % 3], f"turn {i}." if i % 7 else "same") for i in range(3000)] + [(2, 0, "user", "word " * 50_000), (2, 1, "assistant", "."), *((c, 0, "user", "Hi.") for c in range(3, 60))]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert collected(conversation.summary(turns, turns, 64), *SUMMARY) == collected(conversation.summary(turns, turns), *SUMMARY)
+    assert conversation.summary(turns.limit(0), turns.limit(0)).count() == 0
+    gone = conversation.summary(turns, turns.limit(0)).where("conv_id = 5").first()
+    assert (gone.gaps, gone.cost, gone.audit, gone.repaired_sha256) == (0, 0, "", hashlib.sha256().hexdigest())
+
+
+@needs_tables
+def test_repair_query_on_the_tables(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    assert collected(queries.op11_conversation_repair(spark, SMALL), *SUMMARY) == plain_summary(rows)

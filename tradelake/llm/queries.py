@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradelake.llm import chroma, exact_dedup, fill_middle, langid, license_scan, mixing, pii, piece_bpe, simhash, substring_dedup, token_counts
+from tradelake.llm import chroma, conversation, exact_dedup, fill_middle, langid, license_scan, mixing, pii, piece_bpe, simhash, substring_dedup, token_counts
 from tradelake.llm.common import table, text_of, without_space
 
 #: Tokens above which op7 flags a document.
@@ -85,6 +85,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), carry={"text_sha256": digest})
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation.summary(rows, conversation.damaged(rows))
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
     again = fill_middle.restored(F.col("output"), F.col("form"))
@@ -92,7 +97,7 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_piece_codec, op4_audio_fingerprint, op5_private_data, op6_license_scan, op7_token_counts, op8_source_mix, op9_simhash, op10_exact_dedup, op12_fill_middle)}
+    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_piece_codec, op4_audio_fingerprint, op5_private_data, op6_license_scan, op7_token_counts, op8_source_mix, op9_simhash, op10_exact_dedup, op11_conversation_repair, op12_fill_middle)}
 
 
 OP2_SQL = r"""
