@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradelake.llm import chroma, conversation, exact_dedup, fill_middle, langid, license_scan, mixing, pii, piece_bpe, simhash, substring_dedup, token_counts
+from tradelake.llm import chroma, conversation, exact_dedup, fill_middle, langid, license_scan, lm_score, mixing, pii, piece_bpe, simhash, substring_dedup, token_counts
 from tradelake.llm.common import table, text_of, without_space
 
 #: Tokens above which op7 flags a document.
@@ -96,8 +96,12 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
 
 
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_piece_codec, op4_audio_fingerprint, op5_private_data, op6_license_scan, op7_token_counts, op8_source_mix, op9_simhash, op10_exact_dedup, op11_conversation_repair, op12_fill_middle)}
+    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_piece_codec, op4_audio_fingerprint, op5_private_data, op6_license_scan, op7_token_counts, op8_source_mix, op9_simhash, op10_exact_dedup, op11_conversation_repair, op12_fill_middle, op13_lm_score)}
 
 
 OP2_SQL = r"""
