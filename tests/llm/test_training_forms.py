@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import SMALL, awkward, collected, empty, needs_tables
-from tradelake.llm import conversation, fill_middle, queries
+from tradelake.llm import context_mixing as cm
+from tradelake.llm import conversation, fill_middle, lm_score, queries
 
 # fill-in-the-middle
 
@@ -193,3 +198,126 @@ def test_long_and_empty_conversations(spark):
 def test_repair_query_on_the_tables(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert collected(queries.op11_conversation_repair(spark, SMALL), *SUMMARY) == plain_summary(rows)
+
+
+# scores of the language model
+
+
+def plain_words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def plain_base(rows):
+    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows]
+    words = [[*plain_words(t), None] for _, t in rows]  # None: the end
+    counts = Counter(w for ws, h in zip(words, held, strict=True) if not h for w in ws)
+    n = sum(counts.values())
+    base = [sum(math.log10((counts[w] + 1) / (n + len(counts) + 1)) for w in ws) for ws in words]
+    return [(i, h, len(ws), sum(counts[w] > 0 for w in ws), n, b) for (i, _), h, ws, b in zip(rows, held, words, base, strict=True)]
+
+
+def held_to_base(spark, docs):
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in lm_score.lm_scores(docs).collect()), key=repr)
+    want = sorted(plain_base(rows), key=repr)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert [g[5] for g in got] == pytest.approx([w[5] for w in want])
+    return got
+
+
+def prose(seed, n, longest=60):
+    """Texts of words that are made of few syllables, a third of them of one first word."""
+    rng = random.Random(seed)
+    parts = ["the", "an", "ing", "\u00e9l", "or", "sta", "tion", "qu"]
+    words = ["".join(rng.choices(parts, k=rng.randint(1, 3))) for _ in range(80)]
+    texts = [" ".join(rng.choices(words, weights=[1 / (1 + i) for i in range(80)], k=rng.randint(0, longest))) for _ in range(n)]
+    return [t.replace(" ", rng.choice([" ", "\n", " \t "])) for t in texts]
+
+
+def test_base_scores(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "BUCKET_WORDS", 30)
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", 2000)
+    docs = spark.createDataFrame(list(enumerate(prose(1, 200))), "doc_id long, text string").repartition(3)
+    held_to_base(spark, docs)
+
+
+def test_scores_of_awkward_texts(spark):
+    docs = awkward(spark, [(13, "x" * 30_000, "en", "a"), (14, "\x00 \x01 \u00a0 A\u0130", "en", "a"), *((i, "", None, None) for i in range(20, 40))])
+    rows = held_to_base(spark, docs)
+    assert {True, False} == {r[1] for r in rows}
+    assert lm_score.lm_scores(empty(spark)).count() == 0
+    only_held = spark.createDataFrame([(i, "some text") for i in range(40) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id long, text string")
+    assert all(r.base_score == 0 and r.n_known == 0 and r.score < 0 for r in lm_score.lm_scores(only_held).collect())
+
+
+def test_held_out_texts_teach_nothing(spark):
+    """Other held-out texts, in number and length, and other partitions leave all other scores as they are; copies score the same."""
+    texts = list(enumerate(prose(2, 150)))
+    held = {i for i, _ in texts if zlib.crc32(str(i).encode()) % 7 == 2}
+    other = [(i, "the other " * 300 if i in held else t) for i, t in texts if i % 2 or i not in held] + [(1000, texts[5][1])] * (5 in held)
+
+    def scores(rows, n):
+        return {r.doc_id: r.score for r in lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)).collect()}
+
+    a, b = scores(texts, 2), scores(other, 5)
+    same = [i for i, _ in other if i in a and i not in held]
+    assert len(same) > 100 and [a[i] for i in same] == pytest.approx([b[i] for i in same])
+
+
+def test_model_learns(spark):
+    """Held-out prose of the corpus costs less than by word frequencies where contexts tell the words, and nonsense costs more a byte."""
+    texts = [" ".join(f"{a}{b}" for a, b in zip(["alpha", "beta", "gamma"] * 10, [f"{x:03d}" for x in np.random.default_rng(i).integers(0, 1000, 30)], strict=True)) for i in range(400)]
+    noise = "".join(random.Random(1).choices("qxzjkw", k=200))
+    fake = next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 7 == 2)
+    got = lm_score.lm_scores(spark.createDataFrame([*enumerate(texts), (fake, noise)], "doc_id long, text string")).collect()
+    clean = [r for r in got if r.held_out and r.doc_id != fake]
+    assert sum(r.bits for r in clean) / 30 / len(clean) < 16  # 3 digits are 10 bits
+    assert next(r for r in got if r.doc_id == fake).bits_per_byte > 3 * max(r.bits_per_byte for r in clean)
+    assert all(r.score == pytest.approx(-r.bits * math.log10(2)) for r in got)
+
+
+def test_byte_code_is_complete():
+    for counts in ([0] * 256, [2**i if i < 40 else 0 for i in range(256)], list(range(256))):
+        code = cm.ByteCode.of(counts)
+        assert sum(2.0**-n for n in code.length.tolist()) == 1
+        assert len({tuple(code.bit[b, : code.length[b]]) for b in range(256)}) == 256
+
+
+def small_mixer():
+    rng = np.random.default_rng(3)
+    tables = [rng.normal(0, 2, 1 << 12).astype(np.float16) * (rng.random(1 << 12) < 0.6) for _ in range(cm.PREDICTORS)]
+    return cm.Mixer(cm.ByteCode.of([1, *[5] * 20, *range(235)]), 12, [t.astype(np.float16) for t in tables], rng.normal(0.3, 0.1, (cm.GATES, cm.PREDICTORS)).astype(np.float32))
+
+
+def test_lanes_equal_plain_steps():
+    """Many segments in step give what each gives by itself, one bit after the other."""
+    mixer, rng = small_mixer(), random.Random(4)
+    words = pa.array(["the", "a", "", "\u00e9t\u00e9", "longer" * 5, "x"])
+    last, classes = np.array([0, 0, 1, 1, 0, 0]), np.array([0, 3, 1, 15, 2, 0])
+    which = np.array([rng.randrange(6) for _ in range(400)])
+    begin = np.array([0, 5, 6, 130, 131, 250, 400])
+    cost, _ = mixer.segment_bits(words, last, classes, which, begin)
+    made = cm.bits_of(words, last, classes, mixer.code, mixer.size)
+    for lane, (lo, hi) in enumerate(zip(begin, begin[1:], strict=False)):
+        weights, cells, total = mixer.weights.copy(), {}, 0.0
+        for w in which[lo:hi]:
+            for bit in range(made.begin[w], made.begin[w + 1]):
+                x = np.array([mixer.tables[k][made.slots[bit, k]] for k in range(cm.PREDICTORS)], np.float32)
+                gate, y = int((x != 0).sum()), int(made.value[bit])
+                z = float(np.clip(weights[gate] @ x, -cm.MOST, cm.MOST))
+                p = 1 / (1 + math.exp(-z))
+                weights[gate] += (y - p) * cm.STEP * x
+                cell = (gate, round(z * 2))
+                refined = cells.get(cell, 1 / (1 + math.exp(-cell[1] / 2)))
+                cells[cell] = refined + (y - refined) * cm.RATE
+                p = (p + refined) / 2
+                total -= math.log2(p if y else 1 - p)
+        assert cost[lane] == pytest.approx(total, rel=1e-3)
+
+
+def test_probabilities_of_all_texts_of_two_bytes_are_at_most_one():
+    mixer = small_mixer()
+    words = pa.array([chr(i) for i in range(1, 128)] * 2)
+    last = np.repeat([0, 1], 127)
+    cost, _ = mixer.segment_bits(words, last, np.zeros(254, np.int64), np.arange(254), np.arange(255))
+    assert 0 < (2.0**-cost).sum() <= 1
