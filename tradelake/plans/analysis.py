@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tradelake.functions.common import json_hash
-from tradelake.functions.tables import shared_dir
+from tradelake.functions.tables import stream_folder
 from tradelake.operators import lifecycle, monitor, research
 from tradelake.plans.integrity import query, sec
 from tradelake.plans.market import _shown
@@ -257,16 +255,11 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
     return stream.select(*[F.col(c).cast(t).alias(c) for c, t in batch.dtypes])
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder under the shared one."""
-    return f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
-
-
 @query(with_("ticks") + BARS + f" SELECT symbol, epoch(bar_time)::BIGINT AS bar_time, open::DOUBLE AS open, high::DOUBLE AS high, low::DOUBLE AS low, close::DOUBLE AS close, tick_volume FROM bars WHERE bar_time + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events)")
 def stream_bars(spark: SparkSession, d: str) -> DataFrame:
     """Closed hourly bars from a stream of ticks with a watermark of no delay."""
     ticks = _stream(spark, d).select("event_id", "ts", F.col("event_type").alias("symbol"), F.col("value").cast("decimal(24,10)").alias("price"))
-    at = _folder(spark)
+    at = stream_folder(spark)
     return _shown(pipelines.run_to_end(pipelines.live_bars(ticks, "1 hour", "0 seconds"), f"{at}/bars", f"{at}/checkpoint", spark))
 
 
@@ -275,7 +268,7 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """The idempotent sink over a stream of events, run twice: the second run adds nothing."""
     e = _stream(spark, d)
     raw = e.select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("terminal_id"), F.concat(F.lit("deal:"), (F.col("event_id") % 50).cast("string")).alias("idempotency_key"), F.col("ts").alias("sent_at"))
-    at = _folder(spark)
+    at = stream_folder(spark)
     for turn in range(2):
         pipelines.idempotent_sink(raw, f"{at}/events", f"{at}/checkpoint{turn}", ["terminal_id", "idempotency_key"], [F.col("sent_at"), F.col("id")]).awaitTermination()
     return spark.read.parquet(f"{at}/events").select("terminal_id", "idempotency_key", "id")
