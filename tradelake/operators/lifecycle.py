@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradelake.functions.common import ratio, weighted_price
+from tradelake.operators.series import numbered, over_pieces
 
 
 def fold(deals: DataFrame, order: str = "seq") -> DataFrame:
@@ -148,23 +149,14 @@ def excursions(trades: DataFrame, bars: DataFrame, source: str = "M1_BARS") -> D
 
 def reentries(trades: DataFrame, minutes: int) -> DataFrame:
     """trades with reentry_of_trade_id, the previous trade of account, symbol and direction, if entered within so many minutes after
-    its close, and is_inferred, true where such a link was inferred. Trades with an open predecessor are no reentry."""
-    w = Window.partitionBy("account_id", "symbol", "direction").orderBy("entry_time", "trade_id")
-    wait = F.unix_timestamp("entry_time") - F.unix_timestamp(F.lag("close_time").over(w))
-    linked = trades.withColumn("reentry_of_trade_id", F.when((wait >= 0) & (wait <= minutes * 60), F.lag("trade_id").over(w)))
-    return linked.withColumn("is_inferred", F.col("reentry_of_trade_id").isNotNull())
-
-
-def chains(linked: DataFrame) -> DataFrame:
-    """linked trades of reentries() -> root_trade_id and depth: a chain is a run of links within its group, by a running count.
-
-    As a link always leads to the previous trade of the group, no recursion is needed.
-    """
-    w = Window.partitionBy("account_id", "symbol", "direction").orderBy("entry_time", "trade_id")
-    start = F.col("reentry_of_trade_id").isNull()
-    run = linked.withColumn("_run", F.sum(start.cast("int")).over(w))
-    c = Window.partitionBy("account_id", "symbol", "direction", "_run").orderBy("entry_time", "trade_id")
-    return run.withColumn("root_trade_id", F.first("trade_id").over(c)).withColumn("depth", F.row_number().over(c).cast("long") - 1).drop("_run")
+    its close, and is_inferred, true where such a link was inferred. Trades with an open predecessor are no reentry. The previous
+    trade is found within pieces of a group's history."""
+    keys = ("account_id", "symbol", "direction")
+    rows = numbered(trades, keys, "entry_time", ["trade_id"])
+    before = over_pieces(rows, {"_close": lambda w: F.lag("close_time").over(w), "_trade": lambda w: F.lag("trade_id").over(w)}, back=1, keys=keys)
+    wait = F.unix_timestamp("entry_time") - F.unix_timestamp("_close")
+    linked = before.withColumn("reentry_of_trade_id", F.when((wait >= 0) & (wait <= minutes * 60), F.col("_trade")))
+    return linked.withColumn("is_inferred", F.col("reentry_of_trade_id").isNotNull()).drop("_n", "_close", "_trade")
 
 
 def data_quality(trades: DataFrame) -> Column:

@@ -20,7 +20,7 @@ PIECE_ROWS = 4096
 
 def numbered(df: DataFrame, keys: Sequence[str] = ("symbol",), time: str = "bar_time", then: Sequence[str] = ()) -> DataFrame:
     """df with _n, the place of each row in its series from 0 on, by time and then further columns, which must be total. A df that
-    has _n already is returned as it is."""
+    has _n already is returned as it is. Rows with a null in the keys are a series too; rows without a time come first."""
     if "_n" in df.columns:
         return df
     cut = df.withColumn("_t", F.floor(F.unix_timestamp(time) / PIECE_SECONDS))
@@ -28,7 +28,16 @@ def numbered(df: DataFrame, keys: Sequence[str] = ("symbol",), time: str = "bar_
     sizes = ranked.groupBy(*keys, "_t").agg(F.count("*").alias("_size"))
     before = F.sum("_size").over(Window.partitionBy(*keys).orderBy("_t").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select(*keys, "_t", F.coalesce(before, F.lit(0)).alias("_start"))
-    return ranked.join(starts, [*keys, "_t"]).withColumn("_n", F.col("_start") + F.col("_rank")).select(*df.columns, "_n")
+    return _with(ranked, starts, [*keys, "_t"]).withColumn("_n", F.col("_start") + F.col("_rank")).select(*df.columns, "_n")
+
+
+def _with(rows: DataFrame, pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows with the further columns of their piece; null keys are keys like others."""
+    named = pieces.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & rows[k].eqNullSafe(named[f"_of_{k}"])
+    return rows.join(named, same).drop(*[f"_of_{k}" for k in keys])
 
 
 def over_pieces(rows: DataFrame, columns: Mapping[str, Callable[[WindowSpec], Column]], back: int = 0, ahead: int = 0, keys: Sequence[str] = ("symbol",), piece_rows: int | None = None) -> DataFrame:
@@ -53,7 +62,8 @@ def last_known(rows: DataFrame, values: Mapping[str, Column], inclusive: bool =
     earlier = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(*keys, "_p", *[F.last(f"_c_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in values])
     near = Window.partitionBy(*keys, "_p").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    local = cut.withColumns({f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(near) for n in values}).join(carried, [*keys, "_p"])
+    local = cut.withColumns({f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(near) for n in values})
+    local = _with(local, carried, [*keys, "_p"])
     return local.select(*rows.columns, *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in values])
 
 
@@ -65,5 +75,6 @@ def running_sum(rows: DataFrame, values: Mapping[str, Column], keys: Sequence[st
     earlier = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     carried = sums.select(*keys, "_p", *[F.coalesce(F.sum(f"_c_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in values])
     near = Window.partitionBy(*keys, "_p").orderBy("_n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = cut.withColumns({f"_l_{n}": F.sum(f"_v_{n}").over(near) for n in values}).join(carried, [*keys, "_p"])
+    local = cut.withColumns({f"_l_{n}": F.sum(f"_v_{n}").over(near) for n in values})
+    local = _with(local, carried, [*keys, "_p"])
     return local.select(*rows.columns, *[(F.col(f"_l_{n}") + F.col(f"_c_{n}")).alias(n) for n in values])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tradelake.functions.tables import materialize
 from tradelake.operators import bars as bar_ops
-from tradelake.operators import lifecycle, rebuild
+from tradelake.operators import chains, lifecycle, rebuild
 from tradelake.plans.integrity import query, sec
 from tradelake.sources import driver
 from tradelake.sources.driver import with_
@@ -172,7 +172,23 @@ def reentry_link(spark: SparkSession, d: str) -> DataFrame:
     + ", c AS (SELECT trade_id, trade_id AS root_trade_id, 0::BIGINT AS depth FROM l WHERE reentry IS NULL UNION ALL SELECT l.trade_id, c.root_trade_id, c.depth + 1 FROM l JOIN c ON l.reentry = c.trade_id) SELECT trade_id, root_trade_id, depth FROM c"
 )
 def reentry_chain(spark: SparkSession, d: str) -> DataFrame:
-    return lifecycle.chains(_reentries(spark, d)).select("trade_id", "root_trade_id", "depth")
+    return chains.chains(_reentries(spark, d)).select("trade_id", "root_trade_id", "depth")
+
+
+@query(
+    "WITH RECURSIVE k AS (SELECT o_orderkey AS id FROM orders), w AS (SELECT id, CASE WHEN id % 200 < 3 THEN NULL WHEN id % 101 = 0 THEN id + 1 WHEN id % 13 = 0 THEN id - 32 ELSE id - id % 3 - 1 END AS a FROM k),"
+    " l AS (SELECT w.id, k.id AS parent FROM w LEFT JOIN k ON w.a = k.id),"
+    " c AS (SELECT id, id AS root, 0::BIGINT AS depth FROM l WHERE parent IS NULL UNION ALL SELECT l.id, c.root, c.depth + 1 FROM l JOIN c ON l.parent = c.id),"
+    " u AS (SELECT id, parent FROM l WHERE id NOT IN (SELECT id FROM c)), v AS (SELECT id, parent AS up FROM u UNION SELECT v.id, u.parent FROM v JOIN u ON v.up = u.id),"
+    " r AS (SELECT a.id, min(b.up) AS cycle_id FROM v a JOIN v b ON a.up = b.id WHERE a.up IN (SELECT id FROM v WHERE id = up) GROUP BY a.id)"
+    " SELECT id AS trade_id, root AS root_trade_id, depth, NULL::BIGINT AS cycle_id FROM c UNION ALL SELECT id, NULL, NULL, cycle_id FROM r"
+)
+def reentry_chain_given(spark: SparkSession, d: str) -> DataFrame:
+    """Chains over stored links, which skip trades, cross accounts and symbols, end at missing trades, and at times run in cycles."""
+    o = driver.read(spark, d, "orders").select(F.col("o_orderkey").alias("trade_id"))
+    key = F.col("trade_id")
+    above = F.when(key % 200 < 3, None).when(key % 101 == 0, key + 1).when(key % 13 == 0, key - 32).otherwise(key - key % 3 - 1)
+    return chains.chains(o.withColumn("reentry_of_trade_id", above))
 
 
 @query(
