@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradelake.functions.common import weighted_price
+from tradelake.functions.tables import materialize
 from tradelake.operators import lifecycle
 from tradelake.operators.ingest import idempotent_insert
 from tradelake.operators.series import numbered, running_sum
@@ -23,25 +24,34 @@ PAYLOAD = (
 KEYS = ("account_id", "symbol")
 
 
-def parse(messages: DataFrame) -> DataFrame:
-    """messages (id, account_id, idempotency_key, sent_at, payload), each key once -> with the payload's fields and error, null if
-    the message can be used: a deal with side, volume and price, or a change of stops."""
-    first = idempotent_insert(messages, None, ["account_id", "idempotency_key"], [F.col("sent_at"), F.col("id")])
-    out = first.withColumn("_p", F.from_json("payload", PAYLOAD)).select("id", "account_id", "sent_at", "_p.*")
+def read_payload(messages: DataFrame) -> DataFrame:
+    """messages (id, account_id, sent_at, payload) -> with the payload's fields and error, null if the message can be used: a deal
+    with side, volume and price, or a change of stops, with account, symbol and time."""
+    out = messages.withColumn("_p", F.from_json("payload", PAYLOAD)).drop("payload").select("*", "_p.*").drop("_p")
     whole = F.col("side").isin("BUY", "SELL") & (F.col("volume") > 0) & F.col("price").isNotNull()
     error = (
-        F.when(F.col("kind").isNull() | F.col("symbol").isNull(), "unreadable payload")
+        F.when(F.col("account_id").isNull(), "no account")
+        .when(F.col("sent_at").isNull(), "no time")
+        .when(F.col("kind").isNull() | F.col("symbol").isNull(), "unreadable payload")
         .when(~F.col("kind").isin("DEAL", "STOPS"), "unknown kind")
         .when((F.col("kind") == "DEAL") & ~F.coalesce(whole, F.lit(False)), "incomplete deal")
     )
     return out.withColumn("error", error)
 
 
+def parse(messages: DataFrame) -> DataFrame:
+    """messages (id, account_id, idempotency_key, sent_at, payload), each key once -> read_payload() of them, written once. A message is
+    either one without error, which parts() places, or it has an error."""
+    first = idempotent_insert(messages, None, ["account_id", "idempotency_key"], [F.col("sent_at"), F.col("id")])
+    return materialize(read_payload(first).drop("idempotency_key"))
+
+
 def parts(parsed: DataFrame) -> DataFrame:
     """parse() rows without error -> a row for what each message does to a trade: trade_id, the message's fields, part, is_deal,
     is_entry, starts (opens the trade), volume, and position_volume after it. Changes of stops without an open trade go."""
     signed = F.when(F.col("kind") == "DEAL", lifecycle.sign(F.col("side")) * F.col("volume")).otherwise(0).cast("decimal(20,4)")
     rows = numbered(parsed.where("error IS NULL").withColumn("_signed", signed), KEYS, "sent_at", ["id"])
+    rows = materialize(rows)  # the sums below read them twice
     net = running_sum(rows, {"_net": F.col("_signed")}, KEYS).withColumn("_before", (F.col("_net") - F.col("_signed")).cast("decimal(20,4)"))
     held, against = F.abs("_before"), F.col("_before") * F.col("_signed") < 0
     closed = F.when(against, F.least(held, F.col("volume"))).otherwise(0).cast("decimal(20,4)")
@@ -56,7 +66,7 @@ def parts(parsed: DataFrame) -> DataFrame:
     stops = F.when((F.col("kind") == "STOPS") & (F.col("_held") > 0), part(0, False, False, no, F.lit(0), F.col("_held")))
     cut = net.withColumn("_part", F.explode(F.array_compact(F.array(leave, enter, stops))))
     cut = cut.drop("volume").select("*", "_part.*").withColumn("_n", F.col("_n") * 2 + F.col("part"))
-    cut = running_sum(cut, {"_trade": F.col("starts").cast("long")}, KEYS)
+    cut = running_sum(materialize(cut), {"_trade": F.col("starts").cast("long")}, KEYS)
     trade_id = F.concat_ws(":", F.col("account_id").cast("string"), "symbol", F.col("_trade").cast("string"))
     # what a deal earned belongs to the trade that it closes, if there is one
     owner = F.col("is_deal") & (~F.col("is_entry") | (F.col("_closed") == 0))

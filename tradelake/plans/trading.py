@@ -276,3 +276,19 @@ def trade_events_rebuild(spark: SparkSession, d: str) -> DataFrame:
 def unreadable_messages(spark: SparkSession, d: str) -> DataFrame:
     """Messages that cannot be used, for the queue to mark as failed."""
     return rebuild.parse(driver.messages(spark, d)).where("error IS NOT NULL").select("id", "error")
+
+
+@query(
+    "WITH m AS (SELECT event_id AS id, CASE WHEN event_id % 89 = 0 THEN 'no account' WHEN event_id % 83 = 0 THEN 'no time' WHEN event_id % 97 = 0 THEN 'unreadable payload' END AS error FROM events)"
+    " SELECT id, error FROM m WHERE error IS NOT NULL UNION ALL SELECT id + 1000000000, error FROM m WHERE error = 'no account' AND id % 10 = 0"
+)
+def unplaced_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Messages some of which lack the account or the time: none of them vanishes. Without an account, each sending counts."""
+    m = driver.messages(spark, d)
+    key = F.col("id") % 10**9
+    m = m.withColumns({"account_id": F.when(key % 89 != 0, F.col("account_id")), "sent_at": F.when(key % 83 != 0, F.col("sent_at"))})
+    parsed = rebuild.parse(m)
+    placed = rebuild.parts(parsed).select("id").distinct()
+    stops = parsed.where("kind = 'STOPS' AND error IS NULL").select("id")  # without an open trade these do nothing
+    lost = parsed.where("error IS NULL").join(placed, "id", "left_anti").join(stops, "id", "left_anti").select("id", F.lit("lost").alias("error"))
+    return parsed.where("error IS NOT NULL").select("id", "error").unionByName(lost)

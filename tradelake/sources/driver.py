@@ -22,7 +22,10 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as terminal messages with a JSON payload: deals, and every fifth one a change of stops. Every tenth message is sent
     again later, and one in 97 has a payload that is cut off."""
-    e = read(spark, sf_dir, "events")
+    return messages_of(read(spark, sf_dir, "events"))
+
+
+def messages_of(e: DataFrame) -> DataFrame:
     key = F.col("event_id")
     volume = (1 + key % 2).cast("decimal(16,4)")
     fields = {
