@@ -292,7 +292,8 @@ def small_mixer():
 def plain_costs(mixer, made, which):
     """The bits of some words in a row, one after the other: each is told with the weights of its group of bits."""
     value = [int(made.value[b]) for w in which for b in range(made.begin[w], made.begin[w + 1])]
-    known = [[int(mixer.tables[k][made.slots[k][b]]) for k in range(cm.PREDICTORS)] for w in which for b in range(made.begin[w], made.begin[w + 1])]
+    slots = [made.slots(k) for k in range(cm.PREDICTORS)]
+    known = [[int(mixer.tables[k][slots[k][b]]) for k in range(cm.PREDICTORS)] for w in which for b in range(made.begin[w], made.begin[w + 1])]
     total = 0.0
     for low in range(0, len(value), cm.SEGMENT_BITS):
         weights, cells = mixer.weights.copy(), {}
