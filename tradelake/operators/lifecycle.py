@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradelake.functions.common import ratio, weighted_price
-from tradelake.operators.series import numbered, over_pieces
+from tradelake.functions.tables import materialize
+from tradelake.operators.extrema import span_extrema
+from tradelake.operators.series import numbered, over_pieces, running_sum
 
 
 def fold(deals: DataFrame, order: str = "seq") -> DataFrame:
@@ -125,21 +127,38 @@ def overlaps(deployments: DataFrame) -> DataFrame:
     return a.join(b, keys).where(meet).select(*keys, "first_id", "second_id")
 
 
+def exposures(deployments: DataFrame) -> DataFrame:
+    """The times in which two or more deployments of an account, magic number and symbol hold at once, so that a trade's deployment is
+    ambiguous: the keys, ambiguous_from, ambiguous_until (null if never) and most, the largest number at once.
+
+    One sweep over starts and ends, summed by time first and then in pieces, so it grows with the deployments and not with their
+    pairs. Deployments that hold for no time do not count; one without a start is left out.
+    """
+    keys = ["account_id", "magic_number", "symbol"]
+    starts = deployments.select(*keys, F.col("started_at").alias("at"), F.lit(1).cast("long").alias("change"))
+    ends = deployments.where("started_at IS NOT NULL").select(*keys, F.when(F.col("ended_at") > F.col("started_at"), F.col("ended_at")).when(F.col("ended_at").isNotNull(), F.col("started_at")).alias("at"), F.lit(-1).cast("long").alias("change"))
+    changes = starts.unionByName(ends).where("at IS NOT NULL").groupBy(*keys, "at").agg(F.sum("change").alias("change")).where("change != 0")
+    active = running_sum(numbered(materialize(changes), keys, "at"), {"active": F.col("change")}, keys)
+    begins = (F.col("active") >= 2) & (F.col("active") - F.col("change") < 2)
+    finishes = (F.col("active") < 2) & (F.col("active") - F.col("change") >= 2)
+    runs = running_sum(materialize(active), {"_run": begins.cast("long")}, keys).where((F.col("active") >= 2) | finishes)
+    out = runs.groupBy(*keys, "_run").agg(F.min("at").alias("ambiguous_from"), F.max(F.when(F.col("active") < 2, F.col("at"))).alias("ambiguous_until"), F.max("active").alias("most"))
+    return out.drop("_run")
+
+
 def excursions(trades: DataFrame, bars: DataFrame, source: str = "M1_BARS") -> DataFrame:
     """Largest favourable and adverse price distance of each trade, over bars (or ticks as bars of one price) with bar_time in
     [entry_time, close_time): mfe and mae in prices, in points, and as floating profit and drawdown in money, never below zero.
 
     trades have point, tick_size, tick_value and volume; where the point or tick size is null or zero, so is what needs it.
-    source says what was measured, as EA_TICKS or M1_BARS. Trades and bars meet on symbol and day, so that no trade is compared
-    with a symbol's whole history.
+    source says what was measured, as EA_TICKS or M1_BARS. A trade looks up a few rows, however long it was held (extrema.py).
     """
-    day = "date_trunc('DAY', entry_time)"
-    spread = trades.where("close_time > entry_time").withColumn("_day", F.explode(F.expr(f"sequence({day}, date_trunc('DAY', close_time - INTERVAL 1 SECOND), INTERVAL 1 DAY)")))
-    held = spread.join(bars.withColumn("_day", F.date_trunc("DAY", "bar_time")), ["symbol", "_day"]).where("bar_time >= entry_time AND bar_time < close_time")
+    spans = trades.select(F.col("trade_id").alias("id"), "symbol", F.col("entry_time").alias("start"), F.col("close_time").alias("end"))
+    found = span_extrema(spans, bars).withColumnRenamed("id", "trade_id")
+    out = found.join(trades.select("trade_id", "direction", "entry_price", "point", "tick_size", "tick_value", "volume"), "trade_id")
     buy = F.col("direction") == "BUY"
-    up, down = F.col("high") - F.col("entry_price"), F.col("entry_price") - F.col("low")
-    out = held.groupBy("trade_id").agg(F.max(F.when(buy, up).otherwise(down)).alias("mfe"), F.max(F.when(buy, down).otherwise(up)).alias("mae"), F.count("*").alias("n_bars"))
-    out = out.join(trades.select("trade_id", "point", "tick_size", "tick_value", "volume"), "trade_id")
+    up, down = F.col("highest") - F.col("entry_price"), F.col("entry_price") - F.col("lowest")
+    out = out.withColumns({"mfe": F.when(buy, up).otherwise(down), "mae": F.when(buy, down).otherwise(up)})
 
     def money(distance: str) -> Column:
         return ratio(F.greatest(F.col(distance), F.lit(0).cast("decimal(24,10)")), F.col("tick_size")) * F.col("tick_value").cast("double") * F.col("volume").cast("double")

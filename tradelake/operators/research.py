@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradelake.functions.common import normal_cdf, ratio
+from tradelake.functions.distributions import binomial_at_least, student_two_sided
 
 Z95 = 1.959963984540054
 
@@ -105,6 +106,29 @@ def p_value(z: Column) -> Column:
     return F.lit(2.0) * (F.lit(1.0) - normal_cdf(F.abs(z)))
 
 
+#: Rows from which a test of a mean takes the normal distribution; a test of a share is exact up to EXACT_TRIALS trials.
+NORMAL_FROM, EXACT_TRIALS = 200, 1_000_000
+
+
+def mean_test(mean: Column, var: Column, n: Column) -> tuple[Column, Column]:
+    """The two-sided p-value of a mean against 0, and the method: student_t below NORMAL_FROM rows, normal from there on, null with
+    fewer than two rows or without variance."""
+    t = z_statistic(mean, var, n)
+    small = n < NORMAL_FROM
+    p = F.when(small, student_two_sided(t, n - 1)).otherwise(p_value(t))
+    return F.when(t.isNotNull(), p), F.when(t.isNotNull(), F.when(small, "student_t").otherwise("normal"))
+
+
+def share_test(hits: Column, n: Column, share: Column) -> tuple[Column, Column]:
+    """The two-sided p-value of hits in n trials against a share, and the method: twice the smaller tail of the binomial, at most 1, as
+    exact_binomial; beyond EXACT_TRIALS normal; null without trials."""
+    at_least, at_most = binomial_at_least(hits, n, share), F.lit(1.0) - binomial_at_least(hits + 1, n, share)
+    exact = F.least(F.lit(1.0), F.lit(2.0) * F.least(at_least, at_most))
+    z = F.try_divide(hits - n * share, F.sqrt(n * share * (F.lit(1.0) - share)))
+    small = n <= EXACT_TRIALS
+    return F.when(n > 0, F.when(small, exact).otherwise(p_value(z))), F.when(n > 0, F.when(small, "exact_binomial").otherwise("normal"))
+
+
 def bonferroni(p: Column, tests: Column) -> Column:
     return F.least(F.lit(1.0), p * tests)
 

@@ -128,6 +128,31 @@ def holm(spark: SparkSession, d: str) -> DataFrame:
     return research.holm(_p(spark, d), ["family"], "p", "bot_id").select("bot_id", F.round("p_holm", 6).alias("p_holm"))
 
 
+#: Student's t of whole degrees of freedom by its finite sum over cosines; the binomial by its terms.
+EXACT = (
+    ", x AS (SELECT bot_id, trade_id % 40 AS slot, count(*) AS n, count(*) FILTER (net_profit > 0) AS wins, avg(net_profit::DOUBLE) AS mean, var_samp(net_profit::DOUBLE) AS var FROM nets GROUP BY ALL),"
+    " y AS (SELECT *, n - 1 AS v, mean / nullif(sqrt(var / n), 0) AS t FROM x), a AS (SELECT *, atan(abs(t) / sqrt(v)) AS th FROM y WHERE v > 0 AND t IS NOT NULL),"
+    " s AS (SELECT bot_id, slot, th, v, CASE WHEN v % 2 = 1 THEN 2 / pi() * (th + CASE WHEN v > 1 THEN sin(th) * list_sum([exp((2 * j + 1) * ln(cos(th)) + 2 * j * ln(2) + 2 * lgamma(j + 1) - lgamma(2 * j + 2)) FOR j IN range(((v - 1) // 2)::BIGINT)]) ELSE 0 END)"
+    " ELSE sin(th) * list_sum([exp(2 * j * ln(cos(th)) + lgamma(2 * j + 1) - 2 * j * ln(2) - 2 * lgamma(j + 1)) FOR j IN range((v // 2)::BIGINT)]) END AS within FROM a),"
+    " b AS (SELECT bot_id, slot, list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.4) + (n - i) * ln(0.6)) FOR i IN range(wins, n + 1)]) AS up, list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.4) + (n - i) * ln(0.6)) FOR i IN range(0, wins + 1)]) AS down FROM x)"
+)
+
+
+@query(
+    with_("deals")
+    + NETS
+    + EXACT
+    + " SELECT x.bot_id, x.slot, x.n, x.wins, round(1 - within, 7) AS mean_p, CASE WHEN within IS NOT NULL THEN 'student_t' END AS mean_method, round(least(1, 2 * least(up, down)), 7) AS share_p, 'exact_binomial' AS share_method"
+    + " FROM x JOIN b ON x.bot_id = b.bot_id AND x.slot = b.slot LEFT JOIN s ON x.bot_id = s.bot_id AND x.slot = s.slot"
+)
+def small_sample_tests(spark: SparkSession, d: str) -> DataFrame:
+    """Tests of the mean result against 0 and of the win rate against 0.4, for small groups of a bot's trades."""
+    s = research.statistics(_net(spark, d).withColumn("slot", F.col("trade_id") % 40), ["bot_id", "slot"])
+    mean, mean_method = research.mean_test(F.col("expectancy"), research.variance(), F.col("n"))
+    share, share_method = research.share_test(F.col("wins"), F.col("n"), F.lit(0.4))
+    return s.select("bot_id", "slot", "n", "wins", F.round(mean, 7).alias("mean_p"), mean_method.alias("mean_method"), F.round(share, 7).alias("share_p"), share_method.alias("share_method"))
+
+
 @query(
     with_("deals")
     + NETS

@@ -130,6 +130,22 @@ def deployment_overlap(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.overlaps(driver.deployments(spark, d)).select("account_id", "first_id", "second_id")
 
 
+@query(
+    with_("deployments")
+    + ", more AS (SELECT * FROM deployments UNION ALL SELECT id + 1000000, account_id % 50, 1, 'any', started_at, ended_at FROM deployments),"
+    + " ch AS (SELECT account_id, magic_number, symbol, tm, sum(change)::BIGINT AS change FROM (SELECT account_id, magic_number, symbol, started_at AS tm, 1 AS change FROM more UNION ALL SELECT account_id, magic_number, symbol, ended_at, -1 FROM more WHERE ended_at IS NOT NULL) GROUP BY ALL),"
+    + " ac AS (SELECT *, sum(change) OVER (PARTITION BY account_id, magic_number, symbol ORDER BY tm) AS n FROM ch WHERE change <> 0),"
+    + " st AS (SELECT *, n >= 2 AS on_, n - change >= 2 AS was FROM ac), rn AS (SELECT *, sum((on_ AND NOT was)::INT) OVER (PARTITION BY account_id, magic_number, symbol ORDER BY tm) AS run FROM st)"
+    + " SELECT account_id, magic_number::BIGINT AS magic_number, symbol, epoch(min(tm))::BIGINT AS ambiguous_from, epoch(max(tm) FILTER (NOT on_))::BIGINT AS ambiguous_until, max(n)::BIGINT AS most FROM rn WHERE on_ OR was GROUP BY account_id, magic_number, symbol, run"
+)
+def deployment_ambiguity(spark: SparkSession, d: str) -> DataFrame:
+    """When two or more deployments of one account, magic number and symbol hold at once; one symbol is traded by very many."""
+    base = driver.deployments(spark, d)
+    many = base.withColumns({"id": F.col("id") + 1000000, "account_id": F.col("account_id") % 50, "magic_number": F.lit(1).cast("long"), "symbol": F.lit("any")})
+    out = lifecycle.exposures(base.unionByName(many))
+    return out.withColumns({"ambiguous_from": sec("ambiguous_from"), "ambiguous_until": sec("ambiguous_until"), "magic_number": F.col("magic_number").cast("long")})
+
+
 BARS = ", bars AS (SELECT symbol, time_bucket(INTERVAL 1 HOUR, ts) AS bar_time, min_by(price, event_id) AS open, max(price) AS high, min(price) AS low, max_by(price, event_id) AS close, count(*) AS tick_volume FROM ticks GROUP BY ALL)"
 
 
