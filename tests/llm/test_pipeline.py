@@ -100,7 +100,7 @@ def test_digest_queries(spark):
     for i in sorted(texts):
         same.setdefault(texts[i], i)
     by_id = {r.doc_id: r for r in audio}
-    assert all(by_id[i].class_id == by_id[same[t]].class_id and by_id[i].bit_errors == 0 for i, t in texts.items() if same[t] != i and by_id[i].n_prints >= 4)
+    assert all(by_id[i].class_id == by_id[same[t]].class_id and by_id[i].bit_errors == 0 for i, t in texts.items() if same[t] != i)
     pages = spark.read.parquet(f"{SMALL}/pages.parquet").count()
     found = run["op1_language_id"].collect()
     assert len(found) == len(texts) + pages and sum(r.page_id is not None for r in found) == pages

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -648,10 +649,13 @@ def test_documents_as_recordings(spark):
     docs = docs.unionByName(docs.select(*[(F.col(c) + 1000).alias(c) if c == "doc_id" else F.substring("text", 257, 10**6).alias("text") if c == "text" else F.col(c) for c in docs.columns]))
     prints = chroma.fingerprints(docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("samples")), "doc_id", "samples", chroma.SHORT, "u1")
     got = {r.id: r for r in chroma.align(prints).collect()}
-    fps = {r.id: np.array(r.fp, np.int32).view(np.uint32) for r in prints.collect() if len(r.fp) >= 4}
+    fps = {r.id: np.array(r.fp, np.int32).view(np.uint32) for r in prints.collect()}
     links = brute_links(fps)
+    bytes_of = {r.id: r.digest for r in prints.collect()}
+    links |= {(i, j) for i in fps for j in fps if j < i and (bytes_of[i] == bytes_of[j] or (len(fps[i]) and fps[i].tobytes() == fps[j].tobytes()))}
     assert len(links) >= 100 and linked({i: r.class_id for i, r in got.items()}, links) >= 0.95
     rng = random.Random(3)
+    fps = {i: fp for i, fp in fps.items() if len(fp) >= chroma.LEAST_OVERLAP}  # a share of the bits of fewer says little
     pairs = [(i, j) for i, j in (rng.sample(sorted(fps), 2) for _ in range(5000)) if (max(i, j), min(i, j)) not in links and got[i].class_id != got[j].class_id]
     errors = []
     for i, j in pairs:
@@ -660,6 +664,43 @@ def test_documents_as_recordings(spark):
     assert np.mean(errors) > 0.45 and np.mean(np.array(errors) <= chroma.MOST_BIT_ERRORS) < 0.01
 
 
+def test_short_recordings(spark):
+    """Copies too short for landmarks or for any print share a class, empty ones too; null ones and other short ones do not."""
+    spec, a = chroma.Spec(), tune(5, 30)
+    short = lambda frames: pcm(a[: spec.frame + (frames - 1) * spec.hop])
+    parts = {n: short(n) for n in (1, 5, spec.window, spec.window + 1, spec.window + 2)}
+    rows = [(10 * n + k, x) for n, x in parts.items() for k in range(2)] + [(500, b""), (501, b""), (502, None), (503, None), (504, pcm(a[:50])), (505, pcm(a)), (506, pcm(a))]
+    got = {r.id: r for r in chroma.align(chroma.fingerprints(spark.createDataFrame(rows, "id long, samples binary"), "id", "samples", spec)).collect()}
+    assert {got[10 * n].n_prints for n in parts} == {0, 1, 2, 3}
+    assert all(got[10 * n + 1].class_id == 10 * n and got[10 * n + 1].aligned and got[10 * n].class_id == 10 * n for n in parts)
+    assert [got[i].class_id for i in range(500, 507)] == [500, 500, 502, 503, 504, 505, 505]
+
+
+def test_best_offset_equals_trying_all():
+    rng = np.random.default_rng(9)
+    for n, m in ((300, 200), (5, 400), (64, 64), (1, 1)):
+        whole, ref = (rng.integers(0, 2**32, k, np.uint32) for k in (n, m))
+        if n > 200:
+            ref[:150] = whole[100:250]
+        tried = [(k, int(rng.integers(1, 3))) for k in range(1 - m, n)]
+        least, every = max(chroma.LEAST_OVERLAP, chroma.LEAST_SHARE * min(n, m)), []
+        for k, votes in tried:
+            x, y = whole[max(0, k) :], ref[max(0, -k) :]
+            o = min(len(x), len(y))
+            errors = int(np.bitwise_count(x[:o] ^ y[:o]).sum()) / (32 * o)
+            every.append((not (errors <= chroma.MOST_BIT_ERRORS and o >= least), -votes, k, o, errors))
+        assert chroma.best_offset(whole, ref, tried) == min(every)
+
+
+def test_constant_recordings_take_no_square():
+    """20,000 equal integers, and half of them, with a vote for every offset: an instant, not minutes."""
+    flat, other = np.full(20_000, 7, np.uint32), np.random.default_rng(1).integers(0, 2**32, 20_000, np.uint32)
+    tried = [(k, 1) for k in range(-19_999, 20_000)]
+    begin = time.perf_counter()
+    assert not chroma.best_offset(flat, flat, tried)[0] and chroma.best_offset(flat, other, tried)[0]
+    assert time.perf_counter() - begin < 20
+
+
 def test_unrelated_tunes_do_not_align():
     spec = chroma.Spec()
     feats = [chroma.chroma(np.frombuffer(pcm(tune(50 + i, 10)), "<i2").astype(np.float32), spec) for i in range(12)]

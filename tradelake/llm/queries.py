@@ -42,7 +42,7 @@ def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_audio_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as recordings: the bytes of a text are played as 8-bit samples, for lack of an audio table."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode(text_of("text"), "UTF-8").alias("samples"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("samples"))
     return chroma.align(chroma.fingerprints(docs, "doc_id", "samples", chroma.SHORT, "u1")).withColumnRenamed("id", "doc_id")
 
 
