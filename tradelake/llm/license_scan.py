@@ -1,10 +1,11 @@
 """License notices by conditional compression.
 
-In blocks of text around license wording, the passage that matches a template best is located by aligning words. Passages are
-compressed alone and with each template as a zstandard raw dictionary; of overlapping ones the one that most words of a
-template confirm wins, if its exact wording differences are few: the words to be changed in the passage to get the template.
-A block without a confirmed passage is returned whole with the template that shrinks it most. One pass in Arrow batches, no
-shuffle; a document without such wording costs a few substring searches.
+Around license wording, as far as the longest template may reach, the passage that a template fits best is located by aligning
+words. Each passage is compressed alone and with the template as a zstandard raw dictionary, and of overlapping passages the one
+that shrinks most is ranked first; those close to it, and whether it is confirmed, are told apart by exact wording differences: the
+words to be changed in the passage to get the template, words in front that deny it, and words behind that add an exception. A
+block around such wording without a confirmed passage is returned whole with the template that shrinks it most. One pass in Arrow
+batches, no shuffle; a document without such wording costs a few substring searches.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from tradelake.llm.common import map_texts, small_batches
 from tradelake.llm.license_texts import TEMPLATES
 
 #: Wording that makes a line a candidate, lower case.
-CUES = ("licens", "licenc", "copyright", "rights reserved", "permission is", "permission to use", "redistribution", "warrant", "spdx", "creative commons", "public domain")
+CUES = ("licens", "licenc", "copyright", "rights reserved", "permission is", "permission to use", "redistribution", "warrant", "spdx", "creative commons", "public domain", "cc by", "cc0", "neither the name", "endorse or promote", "advertising materials")
 #: Cue lines with at most so many lines between them are also tried as one block; a longer line is cut around its cues.
 GAP_LINES = 4
 LONG_LINE = 2000
@@ -45,15 +46,29 @@ IDENTIFYING = re.compile(
 #: Words close before a wording that turn it into its opposite.
 NEGATIONS = frozenset(("not", "no", "never", "neither", "nor", "isn", "isn't", "wasn't", "aren't", "cannot", "without", "longer", "un"))
 NEGATED_BEFORE = 3
+#: Words that do so from anywhere before it in its sentence, of which SENTENCE_WORDS are read.
+DENIALS = frozenset(("not", "never", "neither", "nor", "isn't", "wasn't", "aren't", "cannot", "longer", "previously", "formerly", "unlike", "instead"))
+SENTENCE_WORDS = 40
+#: Words behind a wording, in its sentence, that change what it grants if one of JOINING comes before them.
+AMENDING = frozenset(("exception", "exceptions", "clause", "clauses", "addendum", "restriction", "restrictions", "condition", "conditions", "amendment", "amendments", "modifications"))
+JOINING = frozenset(("with", "plus", "subject", "under", "except", "but", "and"))
+AMENDED_WITHIN = 10
+#: In a wording of at most so many words, a new word beside one that identifies the license is part of another name, unless it says nothing.
+NAME_WORDS = 20
+SAYS_NOTHING = frozenset(("the", "a", "an", "this", "that", "terms", "of", "version", "v", "license", "licence", "licenses", "licensed", "is", "in", "under", "software", "and", "or", "to", "by", "it"))
+#: Passages that compression ranks this close to each other are told apart by their exact differences.
+NEAR_RANK = 0.9
 VERSION = re.compile(r"v?[0-9]{1,2}(?:\.[0-9]+)*")
 #: Licenses whose wording is nothing but what identifies it.
 EXACT = frozenset({"all-rights-reserved"})
+_CUE = re.compile("|".join(r"\s+".join(map(re.escape, c.split(" "))) for c in CUES))
+_FIRST = tuple({c.split(" ")[0] for c in CUES})
 _WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
-_SENTENCE_END = re.compile(r"[.!?;:]\s|\n\s*\n")
+_SENTENCE_END = re.compile(r"[.!?;:]\s|\n\s*\n|\n\s*(?=[A-Z])")
 
 
 def _squeezed(text: str) -> bytes:
-    return " ".join(text.split()).encode("utf-8", "replace")
+    return " ".join(text.lower().split()).encode("utf-8", "replace")
 
 
 def _plain() -> zstandard.ZstdCompressor:
@@ -90,6 +105,7 @@ class Scanner:
         for _, wording in templates:
             raw = zstandard.ZstdCompressionDict(_squeezed(wording), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.given.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False))
+        self.reach = max(len(wording) for _, wording in templates) * 3 // 2
         self.words = [_WORD.findall(wording.lower()) for _, wording in templates]
         self.numbered = [any(map(VERSION.fullmatch, words)) for words in self.words]
 
@@ -135,11 +151,20 @@ class Scanner:
             last = number = run[-1][0]  # a notice may go on for some lines without a cue
             while number + 1 < len(ends) and number < last + GAP_LINES and ends[number + 1][1]:
                 number += 1
-            if number > last and ends[number][0] - run[0][1] <= LONG_LINE + run[-1][2] - run[0][1]:
+            if number > last and ends[number][0] - run[-1][2] <= STRETCH:
                 out.append((run[0][1], ends[number][0]))
             run = [line]
         return sorted(set(out))
 
+    def areas(self, text: str) -> list[tuple[int, int]]:
+        """The text around cues, as far as the longest template may reach to either side, whatever lines it crosses."""
+        low = text.lower()
+        if not any(c in low for c in _FIRST):
+            return []
+        if len(low) != len(text):
+            low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+        return list(zip(*vars(_Spans((max(0, m.start() - self.reach), min(len(text), m.end() + self.reach)) for m in _CUE.finditer(low))).values(), strict=True))
+
     def ranked(self, block: str) -> list[tuple[float, int]]:
         """(size reduction as a share, template) from the largest on; ties by the templates' order."""
         raw = _squeezed(block)
@@ -168,16 +193,46 @@ class Scanner:
 
     @staticmethod
     def negated(text: str, spans: list[tuple[int, int]], first: int) -> bool:
-        """Whether one of the words just before the first one, in its sentence, says the opposite."""
-        for a, b in reversed(spans[max(0, first - NEGATED_BEFORE) : first]):
-            if _SENTENCE_END.search(text[b : spans[first][0]]):
+        """Whether a word before the first one, in its sentence, says the opposite."""
+        for i in range(first - 1, max(-1, first - 1 - SENTENCE_WORDS), -1):
+            a, b = spans[i]
+            if _SENTENCE_END.search(text[b : spans[i + 1][0] + 1]):
                 return False
-            if text[a:b].lower() in NEGATIONS:
+            word = text[a:b].lower()
+            if word in DENIALS or (first - i <= NEGATED_BEFORE and word in NEGATIONS):
+                return True
+        return False
+
+    @staticmethod
+    def amended(text: str, spans: list[tuple[int, int]], last: int) -> bool:
+        """Whether the words behind the last one, in its sentence, add an exception or a clause."""
+        joined = False
+        for i in range(last + 1, min(len(spans), last + 1 + AMENDED_WITHIN)):
+            a, b = spans[i]
+            if _SENTENCE_END.search(text[spans[i - 1][1] : a + 1]):
+                return False
+            word = text[a:b].lower()
+            if joined and word.rsplit("-", 1)[-1] in AMENDING:
+                return True
+            if i == last + 1 and word not in SAYS_NOTHING and i + 1 < len(spans) and text[slice(*spans[i + 1])].lower() in ("license", "licence"):
+                return True  # the name goes on
+            joined = joined or word in JOINING
+        return False
+
+    def renamed(self, template: int, theirs: list[str]) -> bool:
+        """Whether a short wording has a further word in its license's name, as the Modified MIT License."""
+        ours = self.words[template]
+        if len(ours) > NAME_WORDS:
+            return False
+        for op, _, _, c, d in SequenceMatcher(None, ours, theirs, autojunk=False).get_opcodes():
+            beside = [theirs[k] for k in (c - 1, d) if 0 <= k < len(theirs)]
+            if op == "insert" and any(w not in SAYS_NOTHING for w in theirs[c:d]) and any(IDENTIFYING.fullmatch(w) for w in beside):
                 return True
         return False
 
     def passages(self, text: str, start: int, end: int) -> Iterator[dict]:
-        """The confirmed passages of text[start:end], of any template; they may overlap."""
+        """Where text[start:end] may hold a template, ranked by the bytes that the template as a dictionary saves: the passage, its
+        reduction, its exact changes and, as confirmed, whether these confirm it. They may overlap."""
         for at in range(start, max(start + 1, end - STRETCH // 2), STRETCH // 2):
             spans = [(m.start() + at, m.end() + at) for m in _WORD.finditer(text[at : min(end, at + STRETCH)])]
             low = [text[a:b].lower() for a, b in spans]
@@ -192,24 +247,23 @@ class Scanner:
                     if c == d:
                         continue
                     c, d = lo + c, lo + d
-                    words, changes, differ = self._compared(i, low[c:d])
-                    if differ > MOST_DIFFERENT * words:
-                        continue
-                    # the same wording may come again beside it
-                    todo += [(x, y) for x, y in ((lo, c), (d, hi)) if y - x >= (1 - MOST_DIFFERENT) * len(ours)]
-                    if not self.identified(i, changes):
-                        continue
                     a, b = spans[c][0], spans[d - 1][1]
-                    if self.negated(text, spans, c):
-                        continue
                     while a > start and not text[a - 1].isspace() and not text[a - 1].isalnum():
                         a -= 1
                     while b < end and not text[b].isspace() and not text[b].isalnum():
                         b += 1
                     raw = _squeezed(text[a:b])
-                    reduction = 1 - len(self.given[i].compress(raw)) / len(self.alone.compress(raw))
-                    if reduction >= LEAST_REDUCTION:
-                        yield self._row(a, b, i, reduction, changes, True) | {"_": (2 * len(changes) - words, end - start), "within": (start, end)}
+                    alone = len(self.alone.compress(raw))
+                    saved = alone - len(self.given[i].compress(raw))
+                    words, changes, differ = self._compared(i, low[c:d])
+                    if differ > MOST_DIFFERENT * words:
+                        continue
+                    # the same wording may come again beside it
+                    todo += [(x, y) for x, y in ((lo, c), (d, hi)) if y - x >= (1 - MOST_DIFFERENT) * len(ours)]
+                    if saved < LEAST_REDUCTION * alone:
+                        continue
+                    sure = self.identified(i, changes) and not self.renamed(i, low[c:d]) and not self.negated(text, spans, c) and not self.amended(text, spans, d - 1)
+                    yield self._row(a, b, i, saved / alone, changes, sure) | {"saved": saved}
 
     def _passage(self, template: int, low: list[str]) -> tuple[int, int]:
         """The words (from, to) of low that match the template best: around the longest match, as far as matches outweigh
@@ -235,16 +289,31 @@ class Scanner:
         return {"start": a, "end": b, "license": self.templates[template][0], "template": template, "reduction": round(reduction, 4), "n_changes": len(changes), "changes": " ".join(changes), "confirmed": sure}
 
     def scan(self, text: str) -> list[dict]:
-        """Of overlapping confirmed passages the one with the most words and the fewest changes; then of the blocks that
-        hold none of them, and overlap no other such block, the shortest."""
+        """Of overlapping passages the one that compression ranks first, of those ranked close to it the one with the fewest changes, if
+        it is confirmed; then of the blocks that hold none of them, and overlap no other such block, the shortest."""
         blocks = self.blocks(text)
-        sure = {(x["start"], x["end"], x["template"], x["within"]): x for a, b in blocks for x in self.passages(text, a, b)}
-        out, settled = [], _Spans()
-        for x in sorted(sure.values(), key=lambda x: (x["_"], x["start"], x["template"])):
-            if settled.add(x["start"], x["end"]):
-                out.append(x)
+        every = {(x["start"], x["end"], x["template"]): x for a, b in self.areas(text) for x in self.passages(text, a, b)}
+        out = []
+        for group in _overlapping(every.values()):
+            group.sort(key=lambda x: (-x["saved"], len(x["changes"]), x["start"], x["template"]))
+            while group:
+                near = [x for x in group if x["saved"] >= NEAR_RANK * group[0]["saved"] and x["start"] < group[0]["end"] and x["end"] > group[0]["start"]]
+                won = min(near, key=lambda x: (not x["confirmed"], x["n_changes"], -x["saved"], x["start"], x["template"]))
+                if won["confirmed"]:
+                    out.append(won)
+                    group = [x for x in group if x["end"] <= won["start"] or x["start"] >= won["end"]]
+                else:
+                    group = [x for x in group if x not in near]
+        out.sort(key=lambda x: x["start"])
         # a block is settled by a passage in it, or beside it in a block of a few lines, such as a copyright line
-        taken = _Spans([(x["start"], x["end"]) for x in out] + [x["within"] for x in out if x["within"][1] - x["within"][0] <= LONG_LINE])
+        beside = []
+        for x in out:
+            k = bisect_left(blocks, (x["end"] - LONG_LINE, -1))
+            while k < len(blocks) and blocks[k][0] <= x["start"]:
+                if blocks[k][1] >= x["end"] and blocks[k][1] - blocks[k][0] <= LONG_LINE:
+                    beside.append(blocks[k])
+                k += 1
+        taken = _Spans([*((x["start"], x["end"]) for x in out), *beside])
         for a, b in sorted(blocks, key=lambda x: (x[1] - x[0], x)):
             if not taken.add(a, b):
                 continue
@@ -262,6 +331,20 @@ class Scanner:
         return sorted(out, key=lambda x: x["start"])
 
 
+def _overlapping(found: Iterable[dict]) -> Iterator[list[dict]]:
+    """Passages in groups that do not touch each other."""
+    group: list[dict] = []
+    edge = -1
+    for x in sorted(found, key=lambda x: (x["start"], x["end"])):
+        if group and x["start"] >= edge:
+            yield group
+            group = []
+        group.append(x)
+        edge = max(edge if len(group) > 1 else -1, x["end"])
+    if group:
+        yield group
+
+
 _FOUND = [("start", pa.int64()), ("end", pa.int64()), ("license", pa.string()), ("template", pa.int32()), ("reduction", pa.float64()), ("n_changes", pa.int64()), ("changes", pa.string()), ("confirmed", pa.bool_())]
 
 

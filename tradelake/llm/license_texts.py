@@ -23,6 +23,10 @@ _THIRD_CLAUSE = (
     "without specific prior written permission."
 )
 
+_AD_CLAUSE = (
+    " All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization."
+)
+
 
 def _free(program: str, name: str, version: str) -> str:
     return (
@@ -58,6 +62,7 @@ TEMPLATES = (
     ),
     ("BSD-2-Clause", _TWO_CLAUSES),
     ("BSD-3-Clause", _TWO_CLAUSES + _THIRD_CLAUSE),
+    ("BSD-4-Clause", _TWO_CLAUSES + _AD_CLAUSE + _THIRD_CLAUSE),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("MIT-0", f"{_GRANT}. {_AS_IS}"),
@@ -85,6 +90,7 @@ TEMPLATES = (
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under the CC0 1.0 Universal Public Domain Dedication."),
     *(t for code, name in _CREATIVE for v in ("4.0", "3.0") for t in (
+        (f"CC-{code}-{v}", f"Content available under CC {code} {v}."),
         (f"CC-{code}-{v}", f"Licensed under CC {code} {v}."),
         (f"CC-{code}-{v}", f"This work is licensed under a Creative Commons {name} {v} {'International' if v == '4.0' else 'Unported'} License."),
     )),
