@@ -7,9 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradelake.functions.tables import materialize
+from tradelake.operators.series import numbered
 from tradelake.plans.schemas import TABLES
 
 RETRY_LIMIT = 3
+#: Rows of a range that ids are given in.
+RANGE_ROWS = 1_000_000
 
 
 def idempotent_insert(incoming: DataFrame, stored: DataFrame | None, key: Sequence[str], arrival: Sequence[Column]) -> DataFrame:
@@ -44,30 +48,33 @@ def with_defaults(df: DataFrame, table: str, now: Column) -> DataFrame:
     return df.select(*out)
 
 
-def assign_ids(df: DataFrame, after: int, time: str, then: Sequence[str], column: str = "id", ranges: int = 32) -> DataFrame:
+def assign_ids(df: DataFrame, after: int, time: str, then: Sequence[str], column: str = "id", ranges: int | None = None) -> DataFrame:
     """df with consecutive ids after `after` in the order of a timestamp and further columns, which must be total.
 
-    Rows are dealt out by ranges of the time, whose bounds (at most `ranges`, from approximate quantiles) reach the
-    driver; a rank within a range and the sizes of the ranges before it give the id, so no task sorts everything.
+    Rows are sorted across the cluster by ranges, one for each RANGE_ROWS rows unless `ranges` says how many; a rank within a range and
+    the sizes of the ranges before it, one row each, give the id, so no task sorts everything. Rows without a time come first.
     """
-    at = F.unix_micros(time)
-    shares = [i / ranges for i in range(1, ranges)]
-    bounds = df.agg(F.percentile_approx(at, shares, 10_000)).first()[0] or []
-    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))).cast("array<bigint>"), lambda b: b <= at))
-    dealt = df.withColumn("_part", part)
-    sizes = {r["_part"]: r["count"] for r in dealt.groupBy("_part").count().collect()}
-    starts, total = {}, after
-    for p in sorted(sizes):
-        starts[p], total = total, total + sizes[p]
-    before = F.element_at(F.create_map(*[F.lit(x).cast("bigint") for p, s in starts.items() for x in (p, s)]), F.col("_part").cast("bigint")) if starts else F.lit(after)
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(time, *then))
-    return dealt.withColumn(column, before + rank).drop("_part")
+    part = fresh_name(df, "_part")
+    n = ranges or 1 + df.count() // RANGE_ROWS
+    order = [F.col(c) for c in (time, *then)]
+    dealt = materialize(df.repartitionByRange(n, *order).withColumn(part, F.spark_partition_id()))
+    sizes = dealt.groupBy(part).agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    starts = sizes.select(part, (F.lit(after) + F.coalesce(before, F.lit(0))).alias("_start"))
+    rank = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    return dealt.withColumn("_rank", rank).join(starts, part).withColumn(column, F.col("_start") + F.col("_rank")).drop(part, "_start", "_rank")
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def pending(events: DataFrame, terminal: str = "terminal_id", sent: str = "sent_at", id_: str = "id") -> DataFrame:
-    """Pending events with `position`, their place in their terminal's queue."""
-    order = Window.partitionBy(terminal).orderBy(sent, id_)
-    return events.where(F.col("status") == "PENDING").withColumn("position", F.row_number().over(order).cast("long"))
+    """Pending events with `position`, their place in their terminal's queue, numbered through pieces of it."""
+    waiting = numbered(events.where(F.col("status") == "PENDING"), [terminal], sent, [id_])
+    return waiting.withColumn("position", F.col("_n") + 1).drop("_n")
 
 
 def advance(events: DataFrame, results: DataFrame, now: Column, limit: int = RETRY_LIMIT) -> DataFrame:

@@ -4,21 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tradelake.functions.tables import materialize
+from tradelake.operators.series import numbered, over_pieces, running_max, running_sum
+
+
+def equity(changes: DataFrame, key: str, order: Sequence[str], change: str, start: float = 0) -> DataFrame:
+    """changes of an account (the first column of order is a time, all together are total) with equity, start and all changes so far."""
+    rows = numbered(changes, [key], order[0], order[1:])
+    summed = running_sum(materialize(rows), {"_sum": F.col(change)}, [key])
+    return summed.withColumn("equity", (F.lit(start) + F.col("_sum")).cast("decimal(20,4)")).drop("_sum")
+
 
 def drawdown(series: DataFrame, key: str, order: Sequence[str], equity: str) -> DataFrame:
-    """series with peak, the largest equity so far, and drawdown, equity over peak less one (null for a peak of zero)."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = series.withColumn("peak", F.max(equity).over(w))
-    return out.withColumn("drawdown", F.try_divide(F.col(equity).cast("double"), F.col("peak").cast("double")) - 1)
+    """series with peak, the largest equity so far, and drawdown, equity over peak less one (null for a peak of zero).
+
+    Peaks run within pieces of an account's series and carry over from piece to piece, so no task holds a whole account.
+    """
+    rows = materialize(numbered(series, [key], order[0], order[1:]))
+    out = running_max(rows, {"peak": F.col(equity)}, [key])
+    return out.withColumn("drawdown", F.try_divide(F.col(equity).cast("double"), F.col("peak").cast("double")) - 1).drop("_n")
 
 
 def silences(beats: DataFrame, key: str, at: str, minutes: int) -> DataFrame:
-    """Times without a sign of life for longer than so many minutes: key, silent_from, silent_until, minutes."""
-    following = F.lead(at).over(Window.partitionBy(key).orderBy(at))
-    out = beats.select(key, F.col(at).alias("silent_from"), following.alias("silent_until"))
+    """Times without a sign of life for longer than so many minutes: key, silent_from, silent_until, minutes. Beats without a key or
+    a time do not count; equal times are one beat. The next beat is found within pieces of a terminal's beats."""
+    ticks = beats.select(key, at).where(F.col(key).isNotNull() & F.col(at).isNotNull()).distinct()
+    rows = numbered(ticks, [key], at)
+    ahead = over_pieces(rows, {"_next": lambda w: F.lead(at).over(w)}, ahead=1, keys=[key])
+    out = ahead.select(key, F.col(at).alias("silent_from"), F.col("_next").alias("silent_until"))
     gap = F.unix_timestamp("silent_until") - F.unix_timestamp("silent_from")
     return out.where(gap > minutes * 60).withColumn("minutes", F.floor(gap / 60).cast("long"))
 

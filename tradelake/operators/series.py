@@ -69,12 +69,22 @@ def last_known(rows: DataFrame, values: Mapping[str, Column], inclusive: bool =
 
 def running_sum(rows: DataFrame, values: Mapping[str, Column], keys: Sequence[str] = ("symbol",), piece_rows: int | None = None) -> DataFrame:
     """numbered() rows with the sum of each value up to and with each row."""
+    return _running(rows, values, keys, piece_rows, F.sum, lambda local, before: local + F.coalesce(before, F.lit(0)))
+
+
+def running_max(rows: DataFrame, values: Mapping[str, Column], keys: Sequence[str] = ("symbol",), piece_rows: int | None = None) -> DataFrame:
+    """numbered() rows with the largest of each value up to and with each row."""
+    return _running(rows, values, keys, piece_rows, F.max, F.greatest)
+
+
+def _running(rows: DataFrame, values: Mapping[str, Column], keys: Sequence[str], piece_rows: int | None, fold: Callable[[str], Column], join: Callable[[Column, Column], Column]) -> DataFrame:
+    """A running fold: within the pieces, joined with that of the pieces before, of which there is one row each."""
     size = piece_rows or PIECE_ROWS
     cut = rows.withColumn("_p", F.floor(F.col("_n") / size)).withColumns({f"_v_{n}": v for n, v in values.items()})
-    sums = cut.groupBy(*keys, "_p").agg(*[F.sum(f"_v_{n}").alias(f"_c_{n}") for n in values])
+    sums = cut.groupBy(*keys, "_p").agg(*[fold(f"_v_{n}").alias(f"_c_{n}") for n in values])
     earlier = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    carried = sums.select(*keys, "_p", *[F.coalesce(F.sum(f"_c_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in values])
+    carried = sums.select(*keys, "_p", *[fold(f"_c_{n}").over(earlier).alias(f"_c_{n}") for n in values])
     near = Window.partitionBy(*keys, "_p").orderBy("_n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = cut.withColumns({f"_l_{n}": F.sum(f"_v_{n}").over(near) for n in values})
+    local = cut.withColumns({f"_l_{n}": fold(f"_v_{n}").over(near) for n in values})
     local = _with(local, carried, [*keys, "_p"])
-    return local.select(*rows.columns, *[(F.col(f"_l_{n}") + F.col(f"_c_{n}")).alias(n) for n in values])
+    return local.select(*rows.columns, *[join(F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n in values])

@@ -212,8 +212,7 @@ def params_hash(spark: SparkSession, d: str) -> DataFrame:
 def equity_drawdown(spark: SparkSession, d: str) -> DataFrame:
     net = driver.deals(spark, d).groupBy("trade_id").agg(F.sum(F.expr(NET)).alias("net"))
     t = driver.trades(spark, d).join(net, "trade_id")
-    w = Window.partitionBy("account_id").orderBy("entry_time", "trade_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = t.withColumn("equity", (F.lit(10000) + F.sum("net").over(w)).cast("decimal(20,4)"))
+    t = monitor.equity(t.select("account_id", "trade_id", "entry_time", "net"), "account_id", ["entry_time", "trade_id"], "net", 10000)
     return monitor.drawdown(t, "account_id", ["entry_time", "trade_id"], "equity").select("account_id", "trade_id", F.col("equity").cast("double"), "drawdown")
 
 
