@@ -64,12 +64,14 @@ def classify(deals: DataFrame) -> DataFrame:
 
 
 def stop_events(events: DataFrame) -> DataFrame:
-    """events (trade_id, seq, sl, tp) -> with event_type SL_MODIFIED or TP_MODIFIED where a level changes, else null."""
+    """events (trade_id, seq, sl, tp) -> a row with event_type SL_MODIFIED or TP_MODIFIED for each level that differs from the one
+    before; a trade has few of them."""
     w = Window.partitionBy("trade_id").orderBy("seq")
-    first = F.row_number().over(w) == 1
-    sl = ~F.col("sl").eqNullSafe(F.lag("sl").over(w))
-    tp = ~F.col("tp").eqNullSafe(F.lag("tp").over(w))
-    return events.withColumn("event_type", F.when(first, None).when(sl, "SL_MODIFIED").when(tp, "TP_MODIFIED"))
+    later = F.row_number().over(w) > 1
+    sl = later & ~F.col("sl").eqNullSafe(F.lag("sl").over(w))
+    tp = later & ~F.col("tp").eqNullSafe(F.lag("tp").over(w))
+    changed = F.array_compact(F.array(F.when(sl, F.lit("SL_MODIFIED")), F.when(tp, F.lit("TP_MODIFIED"))))
+    return events.withColumn("_changed", changed).withColumn("event_type", F.explode("_changed")).drop("_changed")
 
 
 def sign(direction: Column) -> Column:
@@ -197,3 +199,39 @@ def server_offset_minutes(server_time: Column, utc_time: Column, policy: Column
         return F.when(fixed != "", F.try_to_number(fixed, F.lit("S99999")).cast("long")).otherwise(server_offset_minutes(server_time, utc_time))
     seconds = F.unix_timestamp(server_time.cast("timestamp")) - F.unix_timestamp(utc_time)
     return (F.floor((seconds + 450) / 900) * 15).cast("long")
+
+
+#: Readings of a clock are told by the day; an offset that holds for one such piece only, between two equal ones, is noise.
+CLOCK_SECONDS = 86_400
+
+
+def clock_offsets(readings: DataFrame) -> DataFrame:
+    """readings (server, server_time, utc_time) -> the times in which a server's clock was off by the same quarters of an hour, as it
+    changes with summer time: server, offset_minutes, valid_from, valid_until (null for the last), n_readings.
+
+    Of each day the offset is the median of its readings, the lower of two, and of a day the median of it and its neighbours, so readings
+    and days that are off do not count. A change is dated at the first reading of the new offset on its first day or the day before, after
+    which no reading of the same two days has the old one; if there is none such, at the first day's start. Readings with a null
+    do not count.
+    """
+    offset = server_offset_minutes(F.col("server_time"), F.col("utc_time"))
+    day = F.timestamp_seconds(F.floor(F.unix_timestamp("utc_time") / CLOCK_SECONDS) * CLOCK_SECONDS)
+    told = materialize(readings.select("server", "utc_time", offset.alias("offset"), day.alias("day")).dropna())
+    counts = told.groupBy("server", "day", "offset").agg(F.count("*").alias("n"), F.min("utc_time").alias("first_at"), F.max("utc_time").alias("last_at"))
+    seen = F.array_sort(F.collect_list(F.struct("offset", "n", "first_at", "last_at")))
+    days = counts.groupBy("server", "day").agg(seen.alias("seen"), F.sum("n").alias("n"))
+    # the first offset up to which half of the readings lie; a day has few different ones
+    half = F.aggregate("seen", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(None).cast("long").alias("at")), lambda s, x: F.struct((s["sum"] + x["n"]).alias("sum"), F.coalesce(s["at"], F.when((s["sum"] + x["n"]) * 2 >= F.col("n"), x["offset"])).alias("at")))["at"]
+    rows = numbered(materialize(days.withColumn("offset", half)), ("server",), "day")
+    near = over_pieces(rows, {"_b": lambda w: F.lag("offset").over(w), "_a": lambda w: F.lead("offset").over(w), "_seen": lambda w: F.lag("seen").over(w)}, back=1, ahead=1, keys=("server",))
+    middle = F.when(F.col("_b") == F.col("_a"), F.col("_b")).otherwise(F.col("offset"))
+    smooth = materialize(near.select("server", "day", "_n", "n", middle.alias("offset"), F.concat(F.coalesce("_seen", F.array().cast(near.schema["seen"].dataType)), "seen").alias("seen")))
+    steps = over_pieces(smooth, {"_was": lambda w: F.lag("offset").over(w)}, back=1, keys=("server",))
+    new = F.col("_was").isNull() | (F.col("_was") != F.col("offset"))
+    runs = running_sum(materialize(steps.withColumn("_new", new.cast("long"))), {"_run": F.col("_new")}, ("server",))
+    old_until = F.array_max(F.transform(F.filter("seen", lambda x: x["offset"] == F.col("_was")), lambda x: x["last_at"]))
+    starts = F.array_min(F.transform(F.filter("seen", lambda x: x["offset"] == F.col("offset")), lambda x: F.when(old_until.isNull() | (x["first_at"] > old_until), x["first_at"])))
+    dated = runs.withColumn("_from", F.when(F.col("_new") == 1, F.coalesce(F.when(F.col("_was").isNotNull(), starts), F.when(F.col("_was").isNull(), F.array_min(F.transform("seen", lambda x: x["first_at"]))), F.col("day"))))
+    out = dated.groupBy("server", "_run").agg(F.min("offset").alias("offset_minutes"), F.min("_from").alias("valid_from"), F.sum("n").alias("n_readings"))
+    w = Window.partitionBy("server").orderBy("_run")  # a server changes its clock some times a year
+    return out.withColumn("valid_until", F.lead("valid_from").over(w)).select("server", "offset_minutes", "valid_from", "valid_until", "n_readings")

@@ -106,6 +106,44 @@ def p_value(z: Column) -> Column:
     return F.lit(2.0) * (F.lit(1.0) - normal_cdf(F.abs(z)))
 
 
+#: Replicates of the bootstrap, its seed, and hexadecimal digits of a draw; eight draws come from one digest.
+REPLICATES, SEED, DIGITS = 200, 5, 4
+#: The Poisson distribution of mean 1 at 0, 1, 2 and so on, in 65536ths; a draw below the i-th is at most i.
+POISSON = (24109, 48219, 60273, 64292, 65296, 65497, 65531, 65535)
+
+
+def bootstrap(rows: DataFrame, keys: Sequence[str], id_: str, net: str = "net_profit", replicates: int = REPLICATES, seed: int = SEED, level: float = 0.95) -> DataFrame:
+    """Percentile intervals of expectancy and profit factor by the Poisson bootstrap: keys, n, expectancy_low, expectancy_high,
+    factor_low, factor_high.
+
+    In each replicate a row counts as often as a draw says that depends on its id, the seed and the replicate only, so reruns
+    and other partitions agree. Rows meet their replicates within a task and are summed there before the shuffle, which gets a row
+    for each key and replicate of a task. Replicates without a row, or for the factor without a loss, do not count; a null
+    result is no row. Rows that repeat an id get the same draws.
+    """
+    blocks = -(-replicates // 8)
+    x = F.col(net)
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_).cast("string"), F.col("_block").cast("string")))
+    drawn = rows.where(x.isNotNull()).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_digest", digest)
+    draw = F.conv(F.substring("_digest", F.lit(1) + F.col("_i") * DIGITS, F.lit(DIGITS)), 16, 10).cast("int")
+    each = drawn.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("_draw", draw)
+    weight = sum((F.when(F.col("_draw") >= bound, 1).otherwise(0) for bound in POISSON), F.lit(0))
+    each = each.select(*keys, (F.col("_block") * 8 + F.col("_i")).alias("_replicate"), weight.cast("decimal(4,0)").alias("_w"), x.alias("_x")).where(F.col("_replicate") < replicates)
+    sums = each.groupBy(*keys, "_replicate").agg(
+        F.count("*").alias("n"), F.sum("_w").alias("rows"), F.sum(F.col("_w") * F.col("_x")).alias("total"),
+        F.sum(F.when(F.col("_x") > 0, F.col("_w") * F.col("_x"))).alias("won"), F.sum(F.when(F.col("_x") < 0, -F.col("_w") * F.col("_x"))).alias("lost"),
+    )
+    found = sums.select(*keys, "n", ratio(F.col("total"), F.nullif("rows", F.lit(0))).alias("e"), ratio(F.coalesce("won", F.lit(0)), F.nullif("lost", F.lit(0))).alias("f"))
+    listed = found.groupBy(*keys).agg(F.max("n").alias("n"), F.array_sort(F.collect_list("e")).alias("e"), F.array_sort(F.collect_list("f")).alias("f"))
+
+    def at(values: str, share: float) -> Column:
+        size = F.array_size(values)
+        return F.get(values, F.greatest(F.ceil(size * F.lit(share) - 1e-9).cast("int") - 1, F.lit(0)))
+
+    low, high = (1 - level) / 2, (1 + level) / 2
+    return listed.select(*keys, "n", at("e", low).alias("expectancy_low"), at("e", high).alias("expectancy_high"), at("f", low).alias("factor_low"), at("f", high).alias("factor_high"))
+
+
 #: Rows from which a test of a mean takes the normal distribution; a test of a share is exact up to EXACT_TRIALS trials.
 NORMAL_FROM, EXACT_TRIALS = 200, 1_000_000
 

@@ -30,7 +30,7 @@ def row_rules(table: str, columns: Sequence[str] | None = None) -> dict[str, Col
             out[f"len_{table}_{c.name}"] = F.char_length(col) <= c.size
         if c.kind in DECIMALS:
             precision, scale = DECIMALS[c.kind]
-            out[f"num_{table}_{c.name}"] = F.abs(col) < F.lit(10 ** (precision - scale)).cast("decimal(38,0)")
+            out[f"num_{table}_{c.name}"] = F.abs(F.round(col, scale)) < F.lit(10 ** (precision - scale)).cast("decimal(38,0)")  # stored rounded
     return out
 
 

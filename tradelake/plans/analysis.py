@@ -128,6 +128,22 @@ def holm(spark: SparkSession, d: str) -> DataFrame:
     return research.holm(_p(spark, d), ["family"], "p", "bot_id").select("bot_id", F.round("p_holm", 6).alias("p_holm"))
 
 
+@query(
+    with_("deals")
+    + NETS
+    + ", x AS (SELECT bot_id % 5 AS family, trade_id, net_profit AS net FROM nets), b AS (SELECT *, unnest(range(0, 5)) AS block FROM x), g AS (SELECT *, md5('5:' || trade_id || ':' || block) AS h FROM b),"
+    + " e AS (SELECT family, net, h, block, unnest(range(0, 8)) AS i FROM g), r AS (SELECT family, net, block * 8 + i AS rep, ('0x' || substr(h, (1 + i * 4)::INT, 4))::INT AS d FROM e),"
+    + " w AS (SELECT family, rep, net, (d >= 24109)::INT + (d >= 48219)::INT + (d >= 60273)::INT + (d >= 64292)::INT + (d >= 65296)::INT + (d >= 65497)::INT + (d >= 65531)::INT + (d >= 65535)::INT AS w FROM r),"
+    + " s AS (SELECT family, rep, count(*) AS n, sum(w * net)::DOUBLE / nullif(sum(w), 0)::DOUBLE AS e, coalesce(sum(w * net) FILTER (net > 0), 0)::DOUBLE / nullif(sum(-w * net) FILTER (net < 0), 0)::DOUBLE AS f FROM w GROUP BY ALL),"
+    + " l AS (SELECT family, max(n) AS n, list_sort(list(e) FILTER (e IS NOT NULL)) AS e, list_sort(list(f) FILTER (f IS NOT NULL)) AS f FROM s GROUP BY family)"
+    + " SELECT family, n, round(e[greatest(ceil(len(e) * 0.025), 1)::INT], 6) AS expectancy_low, round(e[greatest(ceil(len(e) * 0.975), 1)::INT], 6) AS expectancy_high, round(f[greatest(ceil(len(f) * 0.025), 1)::INT], 6) AS factor_low, round(f[greatest(ceil(len(f) * 0.975), 1)::INT], 6) AS factor_high FROM l"
+)
+def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
+    """Bootstrap intervals of expectancy and profit factor of five families of bots, by 40 replicates."""
+    out = research.bootstrap(_net(spark, d).withColumn("family", F.col("bot_id") % 5), ["family"], "trade_id", replicates=40)
+    return out.select("family", "n", *[F.round(c, 6).alias(c) for c in out.columns[2:]])
+
+
 #: Student's t of whole degrees of freedom by its finite sum over cosines; the binomial by its terms.
 EXACT = (
     ", x AS (SELECT bot_id, trade_id % 40 AS slot, count(*) AS n, count(*) FILTER (net_profit > 0) AS wins, avg(net_profit::DOUBLE) AS mean, var_samp(net_profit::DOUBLE) AS var FROM nets GROUP BY ALL),"

@@ -267,6 +267,13 @@ def partial_unique_active(spark: SparkSession, d: str) -> DataFrame:
     return rules.duplicate_keys(deps, ["account_id", "magic_number"], "ended_at IS NULL")
 
 
+@query(with_("deployments") + " SELECT account_id % 20 AS account_id, magic_number % 2 AS magic_number, count(*) AS n FROM deployments WHERE ended_at IS NULL GROUP BY ALL HAVING count(*) > 1")
+def partial_unique_broken(spark: SparkSession, d: str) -> DataFrame:
+    """The same with accounts that have many open deployments, which the key forbids."""
+    deps = driver.deployments(spark, d).withColumns({"account_id": F.col("account_id") % 20, "magic_number": F.col("magic_number") % 2})
+    return rules.duplicate_keys(deps, ["account_id", "magic_number"], "ended_at IS NULL")
+
+
 @query("SELECT l_orderkey AS trade_id, l_partkey % 40 AS deal_ticket, count(*) AS n FROM lineitem WHERE l_partkey % 40 <> 0 GROUP BY ALL HAVING count(*) > 1")
 def partial_unique_deals(spark: SparkSession, d: str) -> DataFrame:
     """Deal tickets twice in a trade; events without a ticket do not count."""

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from tradelake.functions.tables import stream_folder
 from tradelake.operators import rebuild
 from tradelake.plans.integrity import query, sec
-from tradelake.plans.trading import PARTS, REENTRY_MINUTES
+from tradelake.plans.market import _shown
+from tradelake.plans.trading import BARS, PARTS, REENTRY_MINUTES
 from tradelake.sources import driver
 from tradelake.sources.driver import with_
-from tradelake.streaming import state
+from tradelake.streaming import bar_store, state
 
 #: Batches that messages arrive in, and days by which they are late at most.
 BATCHES, LATE_DAYS = 4, 12
@@ -100,6 +101,17 @@ def stream_trade_events(spark: SparkSession, d: str) -> DataFrame:
     return _live(spark, d).select("trade_id", "event_type", sec("event_time").alias("event_time"), "deal_ticket", F.col("volume").cast("double"), "is_inferred")
 
 
+@query(with_("ticks") + BARS + " SELECT symbol, epoch(bar_time)::BIGINT AS bar_time, open::DOUBLE AS open, high::DOUBLE AS high, low::DOUBLE AS low, close::DOUBLE AS close, tick_volume FROM bars")
+def bars_updated(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly bars brought up to date by four batches of ticks, in each of which some are late by a batch or more."""
+    ticks, folder = driver.ticks(spark, d), stream_folder(spark)
+    low, high = ticks.agg(F.min(sec("ts")), F.max(sec("ts"))).first()
+    batch = F.floor((sec("ts") - low) * 3 / max(1, high - low + 1)) + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)
+    for b in range(4):
+        bar_store.update(ticks.where(batch == b), f"{folder}/bars", 3600)
+    return _shown(bar_store.shown(bar_store.read(spark, f"{folder}/bars")))
+
+
 SILENT_MINUTES = 720
 
 

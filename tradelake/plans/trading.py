@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tradelake.functions.tables import materialize
@@ -47,11 +47,11 @@ def event_classification(spark: SparkSession, d: str) -> DataFrame:
 @query(
     with_("deals")
     + ", s AS (SELECT trade_id, seq, l_partkey % 3 AS sl, l_suppkey % 4 AS tp FROM deals), b AS (SELECT *, lag(sl) OVER w AS psl, lag(tp) OVER w AS ptp, row_number() OVER w AS n FROM s WINDOW w AS (PARTITION BY trade_id ORDER BY seq))"
-    + " SELECT trade_id, seq, CASE WHEN sl IS DISTINCT FROM psl THEN 'SL_MODIFIED' ELSE 'TP_MODIFIED' END AS event_type FROM b WHERE n > 1 AND (sl IS DISTINCT FROM psl OR tp IS DISTINCT FROM ptp)"
+    + " SELECT trade_id, seq, 'SL_MODIFIED' AS event_type FROM b WHERE n > 1 AND sl IS DISTINCT FROM psl UNION ALL SELECT trade_id, seq, 'TP_MODIFIED' FROM b WHERE n > 1 AND tp IS DISTINCT FROM ptp"
 )
 def stop_changes(spark: SparkSession, d: str) -> DataFrame:
     s = driver.numbered_deals(spark, d).select("trade_id", "seq", (F.col("l_partkey") % 3).alias("sl"), (F.col("l_suppkey") % 4).alias("tp"))
-    return lifecycle.stop_events(s).where("event_type IS NOT NULL").select("trade_id", "seq", "event_type")
+    return lifecycle.stop_events(s).select("trade_id", "seq", "event_type")
 
 
 @query(
@@ -240,6 +240,26 @@ def server_offset(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", lifecycle.server_offset_minutes(server, F.col("ts"), policy).alias("offset_minutes"))
 
 
+@query(
+    "WITH r AS (SELECT event_id, user_id % 7 AS server, ts, date_trunc('day', ts) AS day, CASE WHEN event_id % 37 = 0 THEN 300 WHEN user_id % 7 = 6 THEN 120 WHEN ts >= TIMESTAMP '2024-01-20 02:00:00' THEN 120 WHEN ts >= TIMESTAMP '2024-01-10 01:00:00' THEN 180 ELSE 120 END AS o FROM events),"
+    " k AS (SELECT server, o, min(ts) AS began FROM r WHERE event_id % 37 <> 0 AND (o = 180 OR ts < TIMESTAMP '2024-01-10 01:00:00' OR server = 6) GROUP BY ALL"
+    " UNION ALL SELECT server, o, min(ts) FROM r WHERE event_id % 37 <> 0 AND server <> 6 AND ts >= TIMESTAMP '2024-01-20 02:00:00' GROUP BY ALL)"
+    " SELECT server, o AS offset_minutes, row_number() OVER w AS change, epoch(date_trunc('day', began))::BIGINT AS from_day, epoch(date_trunc('day', lead(began) OVER w))::BIGINT AS until_day FROM k WINDOW w AS (PARTITION BY server ORDER BY began)"
+)
+def clock_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Offsets of servers' clocks from paired times: two changes on six servers, none on the seventh, and one reading in 37 off by hours.
+    The times of change are those of the first reading after them, told by the day."""
+    e = driver.read(spark, d, "events")
+    ts, server = F.col("ts"), F.col("user_id") % 7
+    true = F.when(server == 6, 120).when(ts >= F.lit("2024-01-20 02:00:00").cast("timestamp"), 120).when(ts >= F.lit("2024-01-10 01:00:00").cast("timestamp"), 180).otherwise(120)
+    offset = F.when(F.col("event_id") % 37 == 0, 300).otherwise(true)
+    readings = e.select(server.alias("server"), ts.alias("utc_time"), F.timestamp_seconds(sec("ts") + offset * 60 + F.col("event_id") % 300 - 150).cast("timestamp_ntz").alias("server_time"))
+    out = lifecycle.clock_offsets(readings)
+    w = Window.partitionBy("server").orderBy("valid_from")
+    day = lambda c: sec(F.date_trunc("DAY", c))
+    return out.select("server", "offset_minutes", F.row_number().over(w).cast("long").alias("change"), day("valid_from").alias("from_day"), day("valid_until").alias("until_day"))
+
+
 PARTS = (
     with_("msgs")
     + ", s AS (SELECT *, CASE WHEN NOT is_deal THEN 0 WHEN side = 'BUY' THEN volume ELSE -volume END AS signed FROM msgs),"
