@@ -45,7 +45,7 @@ def test_deals_are_aggregated_before_the_shuffle(spark, name):
     assert "partial_" in text and "Window" not in text
 
 
-@pytest.mark.parametrize("name", ["rsi14", "atr14", "adx14", "roc10", "swings", "market_structure", "order_blocks", "fvg", "recent_range", "relative_volatility", "bars_gaps", "liquidity", "equity_drawdown", "terminal_gaps", "reentry_link", "pending_queue", "deployment_ambiguity"])
+@pytest.mark.parametrize("name", ["rsi14", "atr14", "adx14", "roc10", "swings", "market_structure", "order_blocks", "fvg", "recent_range", "relative_volatility", "bars_gaps", "liquidity", "equity_drawdown", "terminal_gaps", "reentry_link", "reentry_chain", "pending_queue", "deployment_ambiguity"])
 def test_no_task_holds_a_whole_series(spark, name):
     """Each window is over pieces of a symbol's series, or over one row for each piece or day."""
     df = QUERIES[name](spark, DIR)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradelake.functions.tables import materialize
+
 DAY = 86_400
 
 
@@ -40,11 +42,13 @@ def span_extrema(spans: DataFrame, bars: DataFrame) -> DataFrame:
     The days of all symbols are laid out from the first to the last day of the bars, so a day's bars (1,440 of a minute) are the most that
     one row holds, and a symbol's days the most that one window holds. Two numbers reach the driver for each of bars and spans.
     """
+    bars = materialize(bars.select("symbol", "bar_time", "high", "low"))
     first, last = bars.agg(F.min(day_of(F.col("bar_time"))), F.max(day_of(F.col("bar_time")))).first()
     if first is None:
         return spans.select("id", *[F.lit(None).cast(bars.schema[c].dataType).alias(n) for c, n in (("high", "highest"), ("low", "lowest"))], F.lit(0).cast("long").alias("n_bars")).limit(0)
     ends = spans.where(F.col("end") > F.col("start")).withColumns({"_from": day_of(F.col("start")), "_until": day_of(F.expr("end - INTERVAL 1 MICROSECOND"))})
     ends = ends.withColumns({"_low": F.greatest(F.col("_from") + 1, F.lit(first)), "_high": F.least(F.col("_until") - 1, F.lit(last))})
+    ends = materialize(ends.select("id", "symbol", "start", "end", "_from", "_until", "_low", "_high"))
     longest = ends.agg(F.max(F.col("_high") - F.col("_low") + 1)).first()[0] or 1
     levels = max(1, int(longest)).bit_length()
     size = F.col("_high") - F.col("_low") + 1

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tradelake.functions.common import ratio, weighted_price
 from tradelake.functions.tables import materialize
 from tradelake.operators.extrema import span_extrema
-from tradelake.operators.series import numbered, over_pieces, running_sum
+from tradelake.operators.series import last_known, numbered, over_pieces, running_sum
 
 
 def fold(deals: DataFrame, order: str = "seq") -> DataFrame:
@@ -168,16 +168,30 @@ def excursions(trades: DataFrame, bars: DataFrame, source: str = "M1_BARS") -> D
     return out.select("trade_id", "mfe", "mae", "n_bars", ratio(F.col("mfe"), F.col("point")).alias("mfe_points"), ratio(F.col("mae"), F.col("point")).alias("mae_points"), money("mfe").alias("max_floating_profit"), money("mae").alias("max_floating_drawdown"), F.lit(source).alias("excursion_source"))
 
 
+GROUP = ("account_id", "symbol", "direction")
+
+
+def _linked(rows: DataFrame, minutes: int) -> DataFrame:
+    before = over_pieces(rows, {"_close": lambda w: F.lag("close_time").over(w), "_trade": lambda w: F.lag("trade_id").over(w)}, back=1, keys=GROUP)
+    wait = F.unix_timestamp("entry_time") - F.unix_timestamp("_close")
+    linked = before.withColumn("reentry_of_trade_id", F.when((wait >= 0) & (wait <= minutes * 60), F.col("_trade")))
+    return linked.withColumn("is_inferred", F.col("reentry_of_trade_id").isNotNull()).drop("_close", "_trade")
+
+
 def reentries(trades: DataFrame, minutes: int) -> DataFrame:
     """trades with reentry_of_trade_id, the previous trade of account, symbol and direction, if entered within so many minutes after
     its close, and is_inferred, true where such a link was inferred. Trades with an open predecessor are no reentry. The previous
     trade is found within pieces of a group's history."""
-    keys = ("account_id", "symbol", "direction")
-    rows = numbered(trades, keys, "entry_time", ["trade_id"])
-    before = over_pieces(rows, {"_close": lambda w: F.lag("close_time").over(w), "_trade": lambda w: F.lag("trade_id").over(w)}, back=1, keys=keys)
-    wait = F.unix_timestamp("entry_time") - F.unix_timestamp("_close")
-    linked = before.withColumn("reentry_of_trade_id", F.when((wait >= 0) & (wait <= minutes * 60), F.col("_trade")))
-    return linked.withColumn("is_inferred", F.col("reentry_of_trade_id").isNotNull()).drop("_n", "_close", "_trade")
+    return _linked(numbered(trades, GROUP, "entry_time", ["trade_id"]), minutes).drop("_n")
+
+
+def inferred_chains(trades: DataFrame, minutes: int) -> DataFrame:
+    """reentries() with root_trade_id and depth: as an inferred link always leads to the previous trade of a group, the root is the last
+    trade before without one, and no rounds are needed. Links that are given go to chains.chains()."""
+    linked = materialize(_linked(numbered(trades, GROUP, "entry_time", ["trade_id"]), minutes))
+    start = F.col("reentry_of_trade_id").isNull()
+    found = last_known(linked, {"root_trade_id": F.when(start, F.col("trade_id")), "_first": F.when(start, F.col("_n"))}, keys=GROUP)
+    return found.withColumn("depth", F.col("_n") - F.col("_first")).drop("_n", "_first")
 
 
 def data_quality(trades: DataFrame) -> Column:

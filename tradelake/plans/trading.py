@@ -174,7 +174,8 @@ REENTRY = (
 
 
 def _reentries(spark: SparkSession, d: str) -> DataFrame:
-    return lifecycle.reentries(driver.trades(spark, d).withColumn("account_id", F.col("account_id") % 10), 10080)
+    trades = driver.trades(spark, d).withColumn("account_id", F.col("account_id") % 10)
+    return lifecycle.reentries(trades.select("trade_id", *lifecycle.GROUP, "entry_time", "close_time"), 10080)
 
 
 @query(with_("trades") + REENTRY + " SELECT trade_id, reentry AS reentry_of_trade_id, reentry IS NOT NULL AS is_inferred FROM l")
@@ -188,7 +189,8 @@ def reentry_link(spark: SparkSession, d: str) -> DataFrame:
     + ", c AS (SELECT trade_id, trade_id AS root_trade_id, 0::BIGINT AS depth FROM l WHERE reentry IS NULL UNION ALL SELECT l.trade_id, c.root_trade_id, c.depth + 1 FROM l JOIN c ON l.reentry = c.trade_id) SELECT trade_id, root_trade_id, depth FROM c"
 )
 def reentry_chain(spark: SparkSession, d: str) -> DataFrame:
-    return chains.chains(_reentries(spark, d)).select("trade_id", "root_trade_id", "depth")
+    trades = driver.trades(spark, d).withColumn("account_id", F.col("account_id") % 10)
+    return lifecycle.inferred_chains(trades.select("trade_id", *lifecycle.GROUP, "entry_time", "close_time"), 10080).select("trade_id", "root_trade_id", "depth")
 
 
 @query(
