@@ -14,27 +14,46 @@ from tradelake.llm.common import table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the corpus's languages; those without one, or without a letter, go."""
+    """Documents in one of the corpus's languages; those without one, or without a letter, go.
+
+    A null or empty text has no letter and goes; a null id, language or source is a value like others. Repeated rows are judged alike.
+    An empty table gives no rows.
+    """
     return langid.keep_identified(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that is equal but for white space."""
+    """One document of each group that is equal but for white space: the one with the most characters, then the smallest id.
+
+    Null texts count as empty. Of rows that repeat an id and a text one stays; rows with one id and different texts are told apart; null
+    ids are compared like others. An empty table gives no rows.
+    """
     return exact_dedup.exact_dedup(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
+    """The document with the smallest id of each group of near-duplicates.
+
+    Null texts, and texts without words, have the fingerprint zero and are linked with each other. Repeated rows leave one; rows without an
+    id are judged by their text like others. An empty table gives no rows.
+    """
     return simhash.drop_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target asks for."""
+    """Documents as often as their source's target asks for.
+
+    A null source is a source of its own, a null text has no words, and a source without words has target 0, so its documents go. Rows that
+    repeat an id are drawn alike. An empty table gives no rows.
+    """
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids with an end id, and the text that they decode to, for each document of the mix."""
+    """doc_id, ids with an end id, and the text that they decode to, for each document of the mix.
+
+    A null text is an empty one and has the end id alone; repeated rows are each coded. An empty table gives no rows.
+    """
     return piece_bpe.encode_decode(docs)
 
 
