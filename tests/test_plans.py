@@ -51,3 +51,9 @@ def test_no_task_holds_a_whole_series(spark, name):
     df = QUERIES[name](spark, DIR)
     for spec in re.findall(r"windowspecdefinition\((.*?), specifiedwindowframe", df._jdf.queryExecution().optimizedPlan().toString()):
         assert re.search(r"_p#|_t#|_day#", spec), spec
+
+
+@pytest.mark.parametrize("name", ["asof_next", "news_proximity", "trade_dna"])
+def test_no_frame_runs_to_the_end_of_its_piece(spark, name):
+    """Such a frame is read anew for each row, so its cost is the square of the piece."""
+    assert "unboundedfollowing" not in QUERIES[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString().lower()

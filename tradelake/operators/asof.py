@@ -1,4 +1,4 @@
-"""As-of and nearest joins: a union and a window within pieces of time, or an equality join on buckets; no inequality join."""
+"""As-of and nearest joins: a union and a window within pieces of time; no inequality join."""
 
 from __future__ import annotations
 
@@ -28,21 +28,17 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str,
     row, side = right.select(F.struct(*values)).schema[0].dataType, left.select(F.struct("*")).schema[0].dataType
     a = left.select(*keys, _piece(left, left_time, piece_seconds).alias("_p"), F.col(left_time).alias("_t"), F.struct("*").alias("_l"), F.lit(None).cast(row).alias("_r"))
     b = right.select(*keys, _piece(right, right_time, piece_seconds).alias("_p"), F.col(right_time).alias("_t"), F.lit(None).cast(side).alias("_l"), F.struct(*values).alias("_r"))
-    # At equal times a left row comes first for a strict look back or an inclusive look ahead, else last.
+    every = a.unionByName(b)
+    # Looking ahead is looking back in descending order: a frame up to its partition's end would be read anew for each row.
+    turned = (lambda c: F.col(c).desc()) if forward else F.col
+    # At equal times a left row comes first for a strict look, else last.
     is_right = F.col("_r").isNotNull().cast("int")
-    first = is_right if strict != forward else -is_right
-    order = Window.partitionBy(*keys, "_p").orderBy("_t", first)
-    pieces = Window.partitionBy(*keys).orderBy("_p")
-    handed = b.groupBy(*keys, "_p").agg((F.min_by if forward else F.max_by)("_r", "_t").alias("_h"))
-    every = a.select(*keys, "_p").distinct().join(handed, [*keys, "_p"], "full")
-    if forward:
-        found = F.first("_r", ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-        carried = F.first("_h", ignorenulls=True).over(pieces.rowsBetween(1, Window.unboundedFollowing))
-    else:
-        found = F.last("_r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        carried = F.last("_h", ignorenulls=True).over(pieces.rowsBetween(Window.unboundedPreceding, -1))
-    carry = every.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, "_p"])], carried.alias("_c"))
-    out = a.unionByName(b).withColumn("_f", found).where("_l IS NOT NULL")
+    order = Window.partitionBy(*keys, "_p").orderBy(turned("_t"), is_right if strict else -is_right)
+    found = F.last("_r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    handed = every.groupBy(*keys, "_p").agg((F.min_by if forward else F.max_by)("_r", F.when(is_right == 1, F.col("_t"))).alias("_h"))
+    carried = F.last("_h", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(turned("_p")).rowsBetween(Window.unboundedPreceding, -1))
+    carry = handed.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, "_p"])], carried.alias("_c"))
+    out = every.withColumn("_f", found).where("_l IS NOT NULL")
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate([*keys, "_p"])]
     out = out.join(carry, same, "left").withColumn("_f", F.coalesce("_f", "_c"))
     return out.select("_l.*", *[F.col(f"_f.{c}").alias(prefix + c) for c in values])
