@@ -396,3 +396,35 @@ def test_trade_without_deployment_is_kept(spark):
     none = rows(spark, "deployments", DEPLOYMENT | {"magic_number": 1}, ended_at=None)
     got = lifecycle.attribute(t.drop("deployment_id"), none).first()
     assert got.deployment_id is None and got.n_deployments == 0
+
+
+def test_trends_are_told_once_for_all_timeframes(spark):
+    """A row for each time at which a bar of some timeframe closes, whatever the number of trades: their rows are not multiplied."""
+    from tradelake.operators import dna
+
+    ticks = spark.createDataFrame([("x", NOW + dt.timedelta(minutes=13 * i), Decimal(100 + (i * 37) % 23), i) for i in range(60)], "symbol string, ts timestamp, price decimal(24,10), event_id long")
+    frames = {"m15": bars.bars_from_ticks(ticks, 900), "h1": bars.bars_from_ticks(ticks, 3600)}
+    got = dna.trends(frames, 0.001).collect()
+    ends = {n: {r.bar_time + dt.timedelta(seconds=s) for r in frames[n].collect()} for n, s in (("m15", 900), ("h1", 3600))}
+    assert sorted(r.closed_at for r in got) == sorted(ends["m15"] | ends["h1"])
+    assert all((r[f"trend_{n}"] is not None) == (r.closed_at in ends[n]) for r in got for n in ends)
+
+
+def test_nearest_equals_brute_force_and_makes_no_pairs(spark):
+    """Distances by the second, ties, edges of pieces, null keys and times; no join of near pairs, so dense times cost no square."""
+    import random
+
+    rng = random.Random(3)
+    at = lambda: NOW + dt.timedelta(seconds=rng.randrange(4000), microseconds=rng.randrange(10**6))
+    left = [(i, rng.choice("ab"), at()) for i in range(150)] + [(900, None, NOW), (901, "a", None), (902, "a", NOW + dt.timedelta(seconds=9000)), (903, "z", NOW)]
+    right = [(rng.choice("ab"), at(), rng.choice("pqr")) for _ in range(60)] + [(None, NOW, "p"), ("a", None, "p"), ("b", NOW, "r"), ("b", NOW, "q")]
+    out = asof.nearest(spark.createDataFrame(left, "id long, k string, t timestamp"), "t", spark.createDataFrame(right, "k string, rt timestamp, v string"), "rt", 60, ["k"], ["v"])
+    second = lambda x: x.replace(microsecond=0)
+
+    def want(k, t):
+        offs = [(second(rt) - second(t), v) for rk, rt, v in right if k is not None and rk == k and t is not None and rt is not None]
+        near = [(abs(o.total_seconds()), o.total_seconds(), v) for o, v in offs if abs(o.total_seconds()) <= 60]
+        return (int(min(near)[1]), min(near)[2]) if near else (None, None)
+
+    assert {r.id: (r.seconds_off, r.v) for r in out.collect()} == {i: want(k, t) for i, k, t in left}
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()

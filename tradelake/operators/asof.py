@@ -44,14 +44,27 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str,
     return out.select("_l.*", *[F.col(f"_f.{c}").alias(prefix + c) for c in values])
 
 
-def nearest(left: DataFrame, id_: str, left_time: str, right: DataFrame, right_time: str, seconds: int, keys: Sequence[str] = (), values: Sequence[str] = ()) -> DataFrame:
+def nearest(left: DataFrame, left_time: str, right: DataFrame, right_time: str, seconds: int, keys: Sequence[str] = (), values: Sequence[str] = ()) -> DataFrame:
     """left with seconds_off, the signed distance to the nearest right time of the same keys within so many seconds, the earlier
-    one of two alike, and that row's values (the least of several at one time); null without one. Both sides meet in buckets of
-    that width, so that neither is ordered as a whole."""
-    bucket = F.floor(F.unix_timestamp(right_time) / seconds)
-    times = right.select(*keys, F.unix_timestamp(right_time).alias("_rt"), *values, F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b"))
-    mine = left.select(*keys, F.col(id_).alias("_id"), F.unix_timestamp(left_time).alias("_lt")).withColumn("_b", F.floor(F.col("_lt") / seconds))
-    off = F.col("_rt") - F.col("_lt")
-    met = mine.join(times, [*keys, "_b"]).where(F.abs(off) <= seconds)
-    close = met.groupBy("_id").agg(F.min(F.struct(F.abs(off).alias("d"), off.alias("off"), *values)).alias("_m"))
-    return left.join(close, F.col(id_) == F.col("_id"), "left").select(*left.columns, F.col("_m.off").alias("seconds_off"), *[F.col(f"_m.{v}").alias(v) for v in values])
+    one of two alike, and that row's values (the least of several at one time); null without one, and for a null key or time.
+
+    Right rows are folded by the second first. A piece of time has copies of those that lie up to `seconds` beside it, and finds the last
+    one before and the first one behind each row, so the cost grows with the rows and not with the pairs that are near."""
+    size = 4 * seconds
+    at = F.unix_timestamp(right_time)
+    known = right.dropna(subset=[*keys, right_time]).groupBy(*keys, at.alias("_s")).agg(F.min(F.struct(at.alias("at"), *values)).alias("_r"))
+    row, side = known.schema["_r"].dataType, left.select(F.struct("*")).schema[0].dataType
+    second = F.unix_timestamp(left_time)
+    a = left.select(*keys, F.floor(second / size).alias("_p"), second.alias("_s"), F.struct("*").alias("_l"), F.lit(None).cast(row).alias("_r"))
+    places = F.explode(F.sequence(F.floor((F.col("_s") - seconds) / size), F.floor((F.col("_s") + seconds) / size)))
+    b = known.select(*keys, places.alias("_p"), "_s", F.lit(None).cast(side).alias("_l"), "_r")
+    piece = Window.partitionBy(*keys, "_p")
+
+    def last(*order: Column) -> Column:
+        return F.last("_r", ignorenulls=True).over(piece.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+    met = a.unionByName(b).withColumns({"_before": last(F.col("_s"), F.col("_r").isNull()), "_behind": last(F.col("_s").desc())}).where("_l IS NOT NULL")
+    off = {c: F.col(f"{c}.at") - F.col("_s") for c in ("_before", "_behind")}
+    met = met.withColumn("_m", F.when(off["_behind"].isNull() | (-off["_before"] <= off["_behind"]), F.col("_before")).otherwise(F.col("_behind")))
+    met = met.withColumn("_m", F.when(F.abs(F.col("_m.at") - F.col("_s")) <= seconds, F.col("_m")))
+    return met.select("_l.*", (F.col("_m.at") - F.col("_s")).alias("seconds_off"), *[F.col(f"_m.{v}").alias(v) for v in values])

@@ -15,7 +15,7 @@ from tradelake.functions.common import null_reasons, ratio
 from tradelake.functions.tables import materialize
 from tradelake.operators import features
 from tradelake.operators.asof import asof, nearest
-from tradelake.operators.series import numbered
+from tradelake.operators.series import last_known, numbered
 
 #: Seconds of the timeframes of trends.
 TIMEFRAMES = {"m1": 60, "m5": 300, "m15": 900, "h1": 3600, "h4": 14_400, "d1": 86_400}
@@ -52,20 +52,19 @@ def bar_features(bars: DataFrame, tolerance: float) -> DataFrame:
     return out.drop("_n", *[c for c in out.columns if c.startswith("_")])
 
 
-def trends(trades: DataFrame, bars_by_frame: Mapping[str, DataFrame], band: float) -> DataFrame:
-    """(trade_id, trend_m1, ...) from the last bar of each timeframe closed before the entry; bars have symbol, bar_time, close."""
+def trends(bars_by_frame: Mapping[str, DataFrame], band: float) -> DataFrame:
+    """(symbol, closed_at, trend_m1, ...): at each time at which a bar of any timeframe closes, the trend of each timeframe's last closed
+    bar, as a struct, null before its first one; bars have symbol, bar_time, close. Entries look this up once for all timeframes."""
     series = None
     for name, bars in bars_by_frame.items():
-        b = bars.select(F.concat_ws("|", "symbol", F.lit(name)).alias("symbol"), "bar_time", "close", F.lit(TIMEFRAMES[name]).alias("width"))
+        b = bars.select(F.concat_ws("|", "symbol", F.lit(name)).alias("symbol"), F.col("symbol").alias("of"), F.lit(name).alias("frame"), "bar_time", "close", F.lit(TIMEFRAMES[name]).alias("width"))
         series = b if series is None else series.unionByName(b)
     series = materialize(series)
     close = F.col("close").cast("double")
     both = features.smoothed(series, {"ema": close, "slow": close}, {"ema": 2.0 / 21, "slow": 2.0 / 51}).join(series, ["symbol", "bar_time"])
-    known = both.select("symbol", F.timestamp_seconds(F.unix_timestamp("bar_time") + F.col("width")).alias("closed_at"), features.trend(F.col("ema"), F.col("slow"), band).alias("trend"))
-    asked = trades.select("trade_id", "entry_time", "symbol", F.explode(F.array(*map(F.lit, bars_by_frame))).alias("frame"))
-    asked = asked.withColumn("symbol", F.concat_ws("|", "symbol", "frame"))
-    found = asof(asked, known, ["symbol"], "entry_time", "closed_at")
-    return found.groupBy("trade_id").agg(*[F.max(F.when(F.col("frame") == n, F.col("r_trend"))).alias(f"trend_{n}") for n in bars_by_frame])
+    told = F.struct(features.trend(F.col("ema"), F.col("slow"), band).alias("trend"))
+    known = both.select(F.col("of").alias("symbol"), F.timestamp_seconds(F.unix_timestamp("bar_time") + F.col("width")).alias("closed_at"), "frame", told.alias("told"))
+    return known.groupBy("symbol", "closed_at").agg(*[F.max(F.when(F.col("frame") == n, F.col("told"))).alias(f"trend_{n}") for n in bars_by_frame])
 
 
 def trade_dna(trades: DataFrame, bars: DataFrame, seconds: int, bars_by_frame: Mapping[str, DataFrame], news: DataFrame | None = None, tolerance: float = 2.0, band: float = 0.001) -> DataFrame:
@@ -76,15 +75,22 @@ def trade_dna(trades: DataFrame, bars: DataFrame, seconds: int, bars_by_frame: M
     spread_points is null.
     """
     known = materialize(bar_features(bars, tolerance)).withColumn("closed_at", F.timestamp_seconds(F.unix_timestamp("bar_time") + seconds))
-    out = asof(trades, known, ["symbol"], "entry_time", "closed_at").where("r_closed_at IS NOT NULL")
+    # what an entry looks up is narrow: the trends, and which bar of the main timeframe has the features
+    shown = [f"trend_{n}" for n in bars_by_frame]
+    closings = trends(bars_by_frame, band).join(known.select("symbol", "closed_at", F.col("closed_at").alias("_main")), ["symbol", "closed_at"], "full")
+    closings = numbered(materialize(closings), time="closed_at")
+    closings = materialize(last_known(closings, {f"_{c}": F.col(c) for c in [*shown, "_main"]}).select("symbol", "closed_at", *[F.col(f"_{c}").alias(c) for c in [*shown, "_main"]]))
+    out = trades.select("trade_id", "symbol", "entry_time", "entry_price", "point")
     if news is not None:
-        near = nearest(trades.select("trade_id", "symbol", "entry_time"), "trade_id", "entry_time", news, "time_utc", NEWS_SECONDS, keys=["symbol"], values=["impact", "type"])
-        near = near.select("trade_id", F.col("seconds_off").alias("_off"), "impact", "type")
-        out = out.join(near, "trade_id", "left")
+        out = nearest(out, "entry_time", news, "time_utc", NEWS_SECONDS, keys=["symbol"], values=["impact", "type"]).withColumnRenamed("seconds_off", "_off")
     else:
         none = F.lit(None).cast("string")
         out = out.withColumns({"_off": F.lit(None).cast("long"), "impact": none, "type": none})
-    out = features.time_features(out.join(materialize(trends(trades, bars_by_frame, band)), "trade_id"), "entry_time")
+    out = asof(out, closings, ["symbol"], "entry_time", "closed_at").drop("r_closed_at")
+    out = out.withColumns({c: F.col(f"r_{c}.trend") for c in shown})
+    bar = known.select(F.col("symbol").alias("_symbol"), *[F.col(c).alias(f"r_{c}") for c in known.columns if c != "symbol"])
+    out = out.join(bar, (F.col("symbol") == F.col("_symbol")) & (F.col("r__main") == F.col("r_closed_at")))
+    out = features.time_features(out, "entry_time")
 
     def points(price: Column) -> Column:
         return ratio(price, F.col("point"))

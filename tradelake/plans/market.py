@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradelake.functions.common import null_reasons as reasons_json
+from tradelake.functions.tables import materialize
 from tradelake.operators import asof as asof_ops
 from tradelake.operators import bars as bar_ops
 from tradelake.operators import dna, features
@@ -83,7 +84,7 @@ def news_proximity(spark: SparkSession, d: str) -> DataFrame:
     t = driver.ticks(spark, d)
     e = t.where("symbol = 'purchase'").select("event_id", "ts")
     n = t.where("symbol = 'error'").select(F.col("ts").alias("nt"))
-    out = asof_ops.nearest(e, "event_id", "ts", n, "nt", 3600)
+    out = asof_ops.nearest(e, "ts", n, "nt", 3600)
     return out.select("event_id", F.col("seconds_off").alias("seconds_to_news"), F.col("seconds_off").isNotNull().alias("news_nearby"))
 
 
@@ -385,7 +386,8 @@ def trade_dna(spark: SparkSession, d: str) -> DataFrame:
     ticks = driver.ticks(spark, d)
     point = F.when(F.col("event_id") % 10 != 0, F.lit(0.01))
     t = ticks.select(F.col("event_id").alias("trade_id"), "symbol", F.col("ts").alias("entry_time"), F.col("price").alias("entry_price"), point.alias("point"))
-    frames = {n: bar_ops.bars_from_ticks(ticks, s).select("symbol", "bar_time", "close") for n, s in dna.TIMEFRAMES.items()}
-    out = dna.trade_dna(t, _bars(spark, d), 3600, frames, _news(spark, d))
+    fine = materialize(bar_ops.bars_from_ticks(ticks, min(dna.TIMEFRAMES.values())))  # ticks are sorted once, the others are made of these
+    frames = {n: bar_ops.resample(fine, s) for n, s in dna.TIMEFRAMES.items()}
+    out = dna.trade_dna(t, frames["h1"], 3600, frames, _news(spark, d))
     rounded = {n: F.round(n, 6) for n in ("ema20", "ema50", "ema200", "rsi", "atr", "roc", "adx", "relative_volatility")}
     return out.withColumns({"data_cutoff": sec("data_cutoff"), **rounded})
