@@ -133,3 +133,12 @@ def test_silence_alerts(spark, tmp_path):
     got = sorted(((r.terminal_id, at(r.silent_from), at(r.opened_at), at(r.closed_at)) for r in state.alerts_now(told_).collect()), key=repr)
     assert got == sorted([("a", 100, 160, 420), ("a", 420, 480, None), ("b", 10, 70, None), ("c", 400, 460, None)], key=repr)
     assert told_.where("closed_at IS NULL").count() == 4  # each was open first
+
+
+def test_silences_are_counted_in_whole_seconds(spark, tmp_path):
+    """An hour and a fraction of a second is no silence of more than an hour if both clocks show an hour; a second more is one."""
+    beat = lambda t, at, i=0: (t, i, NOW + dt.timedelta(seconds=at))
+    batches = [[beat("a", 0.2), beat("b", 0.9)], [beat("a", 3600.4, 1), beat("b", 3601.1, 1)], [beat("z", 10_000_000)]]
+    stream = arriving(spark, batches, "terminal_id string, id long, at timestamp", tmp_path / "in")
+    got = state.alerts_now(run(state.silence_alerts(stream, 60, "5 minutes"), tmp_path)).where("closed_at IS NOT NULL")
+    assert [r.terminal_id for r in got.collect()] == ["b"]
