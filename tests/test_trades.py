@@ -199,3 +199,15 @@ def test_clock_offsets(spark):
     assert got[0][2] == first and got[3][2:] == (first, None) and got[2][3] is None
     for (_, _, _, until), (_, _, since, _), true in ((got[0], got[1], dt.datetime(2026, 3, 29, 1)), (got[1], got[2], dt.datetime(2026, 4, 20, 13))):
         assert until == since and true <= since <= true + 6 * HOUR
+
+
+def test_only_rows_with_followers_take_part_in_the_rounds(spark, monkeypatch):
+    """A star of a thousand rows around a chain of four: the doubling sees the chain only."""
+    from tradelake.operators import chains
+
+    seen, doubled = [], chains._doubled
+    monkeypatch.setattr(chains, "_doubled", lambda left, at: (seen.append(at.count()), doubled(left, at))[1])
+    links = spark.createDataFrame([(0, None), (1, 0), (2, 1), (3, 2), *[(i, 3) for i in range(10, 1010)], (5000, 4999)], "trade_id long, reentry_of_trade_id long")
+    got = {r.trade_id: (r.root_trade_id, r.depth, r.cycle_id) for r in chains.chains(links).collect()}
+    assert got == {0: (0, 0, None), 1: (0, 1, None), 2: (0, 2, None), 3: (0, 3, None), **{i: (0, 4, None) for i in range(10, 1010)}, 5000: (5000, 0, None)}
+    assert max(seen) == 4

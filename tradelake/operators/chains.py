@@ -4,6 +4,8 @@ Each row points to an ancestor. In a round every row that has not met a root tak
 distances double, and a chain of n links needs about log2(n) rounds. Rows that have met a root are written once and
 looked up only. A round in which no row meets a root proves that all rows left lead into cycles, as an unfinished chain has a
 row for each depth.
+
+Only rows that others point to take part in the rounds. All rows get their result from their parent's, by one join at the end.
 """
 
 from __future__ import annotations
@@ -29,6 +31,18 @@ def chains(links: DataFrame, id_col: str = "trade_id", parent_col: str = "reentr
 
 def _chains(links: DataFrame, id_col: str, parent_col: str) -> DataFrame:
     rows = links.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent")).where("id IS NOT NULL")
+    parents = rows.where("parent IS NOT NULL").select(F.col("parent").alias("id")).distinct()
+    inner = materialize(rows.join(parents, "id", "left_semi"))
+    above = materialize(_met(inner)).select(F.col("id").alias("_id"), "root", "depth", "cycle")
+    told = rows.join(above, F.col("parent") == F.col("_id"), "left")
+    # a row whose parent is not there is a root
+    root = F.when(F.col("_id").isNull(), F.col("id")).otherwise(F.col("root"))
+    depth = F.when(F.col("_id").isNull(), F.lit(0).cast("long")).otherwise(F.col("depth") + 1)
+    return told.select(F.col("id").alias(id_col), root.alias("root_trade_id"), depth.alias("depth"), F.col("cycle").alias("cycle_id"))
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """rows (id, parent) -> id, root, depth, cycle."""
     there = rows.select(F.col("id").alias("_there"))
     known = rows.join(there, F.col("parent") == F.col("_there"), "left").select("id", F.col("_there").alias("parent"))
     # at: the ancestor steps above; low: the least id from the row up to, but without, at
@@ -42,14 +56,14 @@ def _chains(links: DataFrame, id_col: str, parent_col: str) -> DataFrame:
         met.append(turned.where("done"))
         left, before = turned.where("NOT done"), n
         n = left.count()
-    found = reduce(DataFrame.unionByName, met).select(F.col("id").alias(id_col), F.col("at").alias("root_trade_id"), F.col("steps").alias("depth"), F.lit(None).cast(dict(rows.dtypes)["id"]).alias("cycle_id"))
+    found = reduce(DataFrame.unionByName, met).select("id", F.col("at").alias("root"), F.col("steps").alias("depth"), F.lit(None).cast(dict(rows.dtypes)["id"]).alias("cycle"))
     if not n:
         return found
     steps = left.agg(F.min("steps")).first()[0]
     while steps < n:  # until a path covers its whole cycle
         left, steps = materialize(_doubled(left, left)), 2 * steps
-    ends = left.select(F.col("id").alias("_end"), F.col("low").alias("cycle_id"))
-    rounds = left.join(ends, F.col("at") == F.col("_end")).select(F.col("id").alias(id_col), F.lit(None).cast(dict(rows.dtypes)["id"]).alias("root_trade_id"), F.lit(None).cast("long").alias("depth"), "cycle_id")
+    ends = left.select(F.col("id").alias("_end"), F.col("low").alias("cycle"))
+    rounds = left.join(ends, F.col("at") == F.col("_end")).select("id", F.lit(None).cast(dict(rows.dtypes)["id"]).alias("root"), F.lit(None).cast("long").alias("depth"), "cycle")
     return found.unionByName(rounds)
 
 
