@@ -57,3 +57,9 @@ def test_no_task_holds_a_whole_series(spark, name):
 def test_no_frame_runs_to_the_end_of_its_piece(spark, name):
     """Such a frame is read anew for each row, so its cost is the square of the piece."""
     assert "unboundedfollowing" not in QUERIES[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_distributions_run_over_batches(spark):
+    """No fold over an array of steps, which Spark interprets row by row."""
+    text = plan(QUERIES["small_sample_tests"](spark, DIR))
+    assert "ArrowEvalPython" in text and "lambdafunction" not in text
