@@ -598,6 +598,22 @@ def test_levels_are_quartiles(spark):
     assert chroma.fit_levels(df.limit(0), "id", "samples", spec).shape == (16, 3)
 
 
+def test_levels_come_from_all_recordings(spark):
+    """Of 2,500 recordings, more than a sample of 2,000 holds, each has its part; prints are those of the levels, exactly."""
+    spec, rng = chroma.SHORT, np.random.default_rng(11)
+    rows = [(i, (128 + (40 + i % 60) * np.sin(np.arange(900) * rng.uniform(0.05, 2)) + rng.normal(0, 3, 900)).astype(np.uint8).tobytes()) for i in range(2500)]
+    df = spark.createDataFrame([*rows, (3000, None)], "id long, samples binary")
+    got = chroma.fit_levels(df, "id", "samples", spec, "u1")
+    features = [chroma.chroma(np.frombuffer(x, np.uint8).astype(np.float32) - 128, spec) for _, x in rows]
+    found = np.concatenate([chroma.answers(f, spec) for f in features], 1)
+    # the least step below whose upper end a quarter, half and three quarters of all answers lie
+    for k, q in enumerate((0.25, 0.5, 0.75)):
+        assert ((found < got[:, k : k + 1]).mean(1) >= q).all() and ((found < got[:, k : k + 1] - 1 / chroma.STEPS).mean(1) < q).all()
+    prints = {r.id: list(r.fp) for r in chroma.fingerprints(df, "id", "samples", spec, "u1").collect()}
+    assert prints == {r.id: list(r.fp) for r in chroma.fingerprints(df, "id", "samples", spec, "u1", got).collect()}
+    assert prints[3000] == [] and all(prints[i] == chroma.packed(features[i], spec, got).view(np.int32).tolist() for i in range(0, 2500, 50))
+
+
 def brute_links(prints):
     """{id: fingerprint} -> pairs that share a landmark and align at an offset for which one votes."""
     places = {i: defaultdict(list) for i in prints}
