@@ -142,3 +142,18 @@ def test_silences_are_counted_in_whole_seconds(spark, tmp_path):
     stream = arriving(spark, batches, "terminal_id string, id long, at timestamp", tmp_path / "in")
     got = state.alerts_now(run(state.silence_alerts(stream, 60, "5 minutes"), tmp_path)).where("closed_at IS NOT NULL")
     assert [r.terminal_id for r in got.collect()] == ["b"]
+
+
+def state_rows(stream, tmp_path):
+    query = state.run_keyed(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    query.awaitTermination()
+    return max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"])
+
+
+def test_keys_of_a_group_share_a_value(spark, tmp_path, monkeypatch):
+    """Forty keys in three groups take three values of the state, so a batch calls it by group, not by key; each key has its own queue."""
+    monkeypatch.setattr(state, "GROUPS", 3)
+    rows = [("a", str(k), k, NOW, False, None, None) for k in range(40)] + [("a", str(k), None, NOW, True, k % 2 == 0, None) for k in range(20)]
+    assert state_rows(state.ingest_changes(arriving(spark, [rows[:30], rows[30:]], state.KEYED, tmp_path / "in")), tmp_path) == 3
+    now = state.queue_now(spark.read.parquet(str(tmp_path / "out"))).collect()
+    assert sorted((r.id, r.status) for r in now) == [(k, "PENDING" if k >= 20 or k % 2 else "PROCESSED") for k in range(40)]
