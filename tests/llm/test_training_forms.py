@@ -276,6 +276,52 @@ def test_model_learns(spark):
     assert all(r.score == pytest.approx(-r.bits * math.log10(2)) for r in got)
 
 
+def plain_slopes(x, n, gates, weights):
+    """Mean cost in the layout of Mixer.slopes(), of bits told by x, n times each."""
+    out = np.zeros((cm.GATES, 2 + cm.PREDICTORS + cm.PREDICTORS**2))
+    for bit, times, gate in zip(x, n, gates, strict=True):
+        miss = 1 / (1 + math.exp(weights[gate] @ bit))
+        out[gate] += times * np.concatenate([[1, -math.log(1 - miss)], -miss * bit, (miss * (1 - miss) * np.outer(bit, bit)).ravel()])
+    return out
+
+
+def test_first_weights_come_from_all_training_words(spark, monkeypatch):
+    """No change of them makes bits of all training words cheaper (but for what pulls them back), in many more texts than 2,048."""
+    sent, send = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or send(self, value))
+    monkeypatch.setattr(lm_score, "BUCKET_WORDS", 30)
+    monkeypatch.setattr(lm_score, "TASK_WORDS", 100)
+    texts = [*enumerate(prose(5, 400)), *((i, "quality quantity") for i in range(400, 6000))]
+    lm_score.lm_scores(spark.createDataFrame(texts, "doc_id long, text string").repartition(4))
+    mixer, tops = sent[-1].mixer, sent[-1].tops
+    counts = Counter()
+    for i, t in texts:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            words = plain_words(t) or [""]
+            top = min(Counter(words).items(), key=lambda x: (-x[1], x[0].encode()))[0]
+            counts.update((w, k == len(words) - 1, tops.index(top) if top in tops else lm_score.CLASSES - 1) for k, w in enumerate(words))
+    words, last, classes = (list(x) for x in zip(*counts, strict=True))
+    made = cm.bits_of(pa.array(words), np.array(last, np.int64), np.array(classes), mixer.code, mixer.size)
+    x = np.array([mixer.tables[k][made.slots(k)] for k in range(cm.PREDICTORS)], float).T * np.where(made.value, 1, -1)[:, None] / cm.SCALE
+    gates = [int((x[i] != 0).sum()) for lo, hi in zip(made.begin, made.begin[1:], strict=False) for i in lo + np.arange(hi - lo) // cm.GROUP * cm.GROUP]
+    n = np.repeat(list(counts.values()), np.diff(made.begin))
+    for weights, close in ((mixer.weights, True), (cm.Mixer.first_weights(), False)):
+        slopes = plain_slopes(x, n, gates, weights.astype(float))
+        left = slopes[:, 2 : 2 + cm.PREDICTORS] / n.sum() + (weights - cm.FIRST_WEIGHT) / (cm.STEP * cm.SEGMENT_BITS)
+        assert (np.abs(left).max() < 1e-4) == close
+    got = mixer.slopes(pa.array(words), np.array(last, np.int64), np.array(classes), np.array(list(counts.values())))
+    assert got == pytest.approx(plain_slopes(x, n, gates, mixer.weights.astype(float)), rel=1e-4, abs=1e-2)
+
+
+def test_fit_of_weights_that_tell_the_wrong_bit():
+    """Newton's first step is far too long here."""
+    x, gates = np.array([[-8.0, 0, 0, 0, 0], [-7.0, -9.0, 1, 1, 1]]), [1, 5]
+    weights = cm.fitted(lambda w: plain_slopes(x, [1, 3], gates, w))
+    left = plain_slopes(x, [1, 3], gates, weights.astype(float))[:, 2 : 2 + cm.PREDICTORS] / 4 + cm.PULL * (weights - cm.FIRST_WEIGHT)
+    assert np.abs(left).max() < 1e-3
+    assert (cm.fitted(lambda _: np.zeros(cm.SLOPES)) == cm.FIRST_WEIGHT).all()
+
+
 def test_byte_code_is_complete():
     for counts in ([0] * 256, [2**i if i < 40 else 0 for i in range(256)], list(range(256))):
         code = cm.ByteCode.of(counts)
