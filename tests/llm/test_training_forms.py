@@ -380,3 +380,42 @@ def test_probabilities_of_all_texts_of_two_bytes_are_at_most_one():
     last = np.repeat([0, 1], 127)
     cost, _ = mixer.costs(words, last, np.zeros(254, np.int64), np.arange(254), np.arange(255))
     assert 0 < (2.0**-cost).sum() <= 1
+
+
+def some_chunk(rng):
+    """Texts of few words that begin alike, of several classes, as lm_score holds them."""
+    words = pa.array(sorted(["", *{"inter" + "".join(rng.choices("aeiou", k=k % 4)) + "x" * (k % 3) for k in range(60)}]))
+    n = np.array([rng.choice([1, 3, 40, 500]) for _ in range(60)])
+    begin = np.concatenate([[0], np.cumsum(n)])
+    refs, classes = np.array(rng.choices(range(len(words)), k=n.sum())), np.array(rng.choices(range(3), k=60))
+    last = np.zeros(n.sum(), np.int64)
+    last[begin[1:] - 1] = 1
+    return lm_score.Chunk(None, words, refs, begin, np.zeros(60, bool), classes, (np.repeat(classes, n) * len(words) + refs) * 2 + last)
+
+
+def test_tables_are_asked_once_for_words_of_a_chunk(monkeypatch):
+    """However many blocks have a word, and words begin alike; less kept at once gives the same scores."""
+    asked, ask, mixer = [], cm.Mixer._known, small_mixer()
+    monkeypatch.setattr(cm.Mixer, "_known", lambda self, made: asked.append(len(made.value)) or ask(self, made))
+    monkeypatch.setattr(lm_score, "BLOCK_WORDS", 100)
+    chunk = some_chunk(random.Random(6))
+    model = lm_score.Model([], [4.0] * lm_score.CLASSES, mixer, 60, len(chunk.refs), len(chunk.words))
+    got = lm_score._scores(model, chunk, np.ones(len(chunk.words), np.int64))
+    words, last, classes = chunk.parts(np.unique(chunk.key))
+    spelt = [(c, w.encode() + b" \n"[e : e + 1]) for w, e, c in zip(words.to_pylist(), last, classes, strict=True)]
+    assert sum(asked) <= sum(int(mixer.code.length[x[-1]]) for _, x in {(c, w[: i + 1]) for c, w in spelt for i in range(len(w))})
+    monkeypatch.setattr(lm_score, "KEPT_BYTES", 0)
+    again = lm_score._scores(model, chunk, np.ones(len(chunk.words), np.int64))
+    assert all((a == b).all() for a, b in zip(got, again, strict=True)) and len(asked) > 10
+    made, (rows, begin) = cm.bits_of(words, last, classes, mixer.code, mixer.size), mixer.told(words, last, classes)
+    monkeypatch.setattr(cm, "TOLD_AT_ONCE", 7)
+    assert (rows[: -cm.GROUP] == ask(mixer, made).view(np.int64)[:, 0]).all() and (begin == made.begin).all() and (rows == mixer.told(words, last, classes)[0]).all()
+    monkeypatch.setattr(cm.pd, "factorize", lambda x: (np.zeros(len(x), np.int64), x[:1]))  # all hashes alike
+    assert (rows == mixer.told(words, last, classes)[0]).all()
+
+
+def test_words_of_texts():
+    texts = ["A b", "", " \t", "x\x0b\x0cY\r\n\u00a0 ", "\u00c9\x1f", "", "z"]
+    got = lm_score.normal_words(pa.array(["left out", *texts]).slice(1))
+    assert got.to_pylist() == [plain_words(t) or [""] for t in texts]
+    assert lm_score.normal_words(pa.array(["", ""])).to_pylist() == [[""], [""]] and lm_score.normal_words(pa.array([], pa.string())).to_pylist() == []
