@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import pickle
 import random
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +160,74 @@ def test_keys_of_a_group_share_a_value(spark, tmp_path, monkeypatch):
     assert state_rows(state.ingest_changes(arriving(spark, [rows[:30], rows[30:]], state.KEYED, tmp_path / "in")), tmp_path) == 3
     now = state.queue_now(spark.read.parquet(str(tmp_path / "out"))).collect()
     assert sorted((r.id, r.status) for r in now) == [(k, "PENDING" if k >= 20 or k % 2 else "PROCESSED") for k in range(40)]
+
+
+class Held:
+    """The state of one key, as a processor sees it; largest has the length of the longest list or set that a value of a map has been."""
+
+    def __init__(self):
+        self.values, self.maps, self.timers, self.largest = {}, {}, set(), {}
+
+    def getValueState(self, name, schema):
+        return SimpleNamespace(get=lambda: self.values.get(name), update=lambda v: self.values.update({name: v}))
+
+    def getMapState(self, name, *schemas):
+        held = self.maps.setdefault(name, {})
+
+        def update(k, v):
+            held[k] = v
+            self.largest[name] = max(self.largest.get(name, 0), len(pickle.loads(v[0])))
+
+        return SimpleNamespace(getValue=held.get, updateValue=update, removeKey=held.pop)
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+def fold(rows, batches, every):
+    """(what is told, frames, state) of messages (time in s, id, key) that arrive in shuffled batches, with an expiry every so many seconds."""
+    held, trades, out, frames = Held(), state.Trades(60), [], 0
+    trades.init(held)
+    text = lambda at, i, key: json.dumps([key, "DEAL", "BUY" if i % 3 else "SELL", "IN", None, str(i), "1", "10", *[None] * 5])
+    table = pd.DataFrame([(at * 10**6, i, text(at, i, key)) for at, i, key in rows], columns=["us", "id", "message"])
+    for b in range(batches):
+        part = table.iloc[b::batches]
+        list(trades.handleInputRows((1, "X"), iter([part.iloc[: len(part) // 2], part.iloc[len(part) // 2 :]]), None))
+    last = max(at for at, _, _ in rows)
+    for watermark in range(every * 1000, (last + 2 * every) * 1000, every * 1000):
+        times = SimpleNamespace(getCurrentWatermarkInMs=lambda w=watermark: w)
+        for timer in sorted(t for t in held.timers if t <= watermark):
+            for frame in trades.handleExpiredTimer((1, "X"), times, None):
+                frames += 1
+                out.extend(frame["told"])
+            held.timers.discard(timer)
+    assert not held.timers
+    return out, frames, held
+
+
+def test_a_busy_account_waits_in_pieces(monkeypatch):
+    """Values of the state and frames are of bounded size, however many messages an account has, and what is told stays the same."""
+    rng = random.Random(4)
+    rows = [(rng.randrange(400), i, rng.choice([f"k{i}", f"k{rng.randrange(i + 1)}", None])) for i in range(3000)]
+    rng.shuffle(rows)
+    whole, frames, held = fold(rows, 1, 1000)
+    assert frames == 1 and held.largest["seen"] > 1000
+    for name, n in (("PIECE", 50), ("PART", 40), ("TAKEN", 300), ("TOLD", 200)):
+        monkeypatch.setattr(state, name, n)
+    for every in (1000, 7):
+        got, frames, held = fold(rows, 5, every)
+        assert got == whole and frames > 10
+        assert held.largest["waiting"] <= 100 and not held.maps["waiting"]
+        assert held.largest["seen"] < 40 + 200 + 100 and max(len(pickle.loads(v[0])) for v in held.maps["seen"].values()) < 80
+        assert len(set().union(*(pickle.loads(v[0]) for v in held.maps["seen"].values()))) == len({k for _, _, k in rows} - {None})
+    assert state.STORE["spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage"] == "true"
+
+
+def test_rows_with_an_error_move_the_time_on(spark, tmp_path):
+    """They end the waiting of others, of whatever account, and take no state."""
+    deal = (1, 1, "m1", NOW, json.dumps({"kind": "DEAL", "symbol": "X", "side": "BUY", "volume": "1", "price": "10"}))
+    live = run(state.live_trades(rebuild.read_payload(arriving(spark, [[deal], [(2, 1, None, NOW + 30 * MINUTE, "{")]], MESSAGES, tmp_path / "in")), "10 minutes", 60), tmp_path)
+    assert [(r.trade_id, r.event_type, r.event_time, r.volume) for r in live.collect()] == [("1:X:1", "TRADE_OPENED", NOW, 1)]

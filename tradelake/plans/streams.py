@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tradelake.functions.tables import stream_folder
 from tradelake.operators import rebuild
@@ -18,17 +21,18 @@ from tradelake.streaming import bar_store, state
 BATCHES, LATE_DAYS = 4, 12
 
 
-def _arrivals(rows: DataFrame, at: str, folder: str, last: DataFrame) -> DataFrame:
-    """Write rows as files that arrive one after the other, every third row a batch later than its time says; then `last`."""
+def _arrive(rows: DataFrame, at: str, folder: str, last: DataFrame, run: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Write rows batch by batch, every third row a batch later than its time says, the row `last` with the last ones; after each batch, `run`
+    goes on with the stream of what has arrived."""
     spark = rows.sparkSession
     low, high = rows.agg(F.min(F.unix_timestamp(at)), F.max(F.unix_timestamp(at))).first()
     span = F.lit(max(1, high - low + 1))
     batch = F.floor((F.unix_timestamp(at) - low) * BATCHES / span) + F.when(F.col("id") % 3 == 0, 1).otherwise(0)
-    rows = rows.withColumn("_batch", batch.cast("int"))
     for b in range(BATCHES + 1):
-        rows.where(F.col("_batch") == b).drop("_batch").coalesce(1).write.mode("append").parquet(folder)
-    last.select([F.col(c).cast(t) for c, t in rows.drop("_batch").dtypes]).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.drop("_batch").schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        rows.where(batch == b).write.mode("append").parquet(folder)
+        if b == BATCHES:
+            last.select([F.col(c).cast(t) for c, t in rows.dtypes]).write.mode("append").parquet(folder)
+        run(spark.readStream.schema(rows.schema).parquet(folder)).awaitTermination()
 
 
 def _later(rows: DataFrame, at: str, days: int = 1000) -> DataFrame:
@@ -70,9 +74,12 @@ def stream_queue(spark: SparkSession, d: str) -> DataFrame:
 def _live(spark: SparkSession, d: str) -> DataFrame:
     m = driver.messages(spark, d)
     folder = stream_folder(spark)
-    arriving = _arrivals(m, "sent_at", f"{folder}/in", _later(m, "sent_at"))
-    live = state.live_trades(rebuild.read_payload(arriving), f"{LATE_DAYS} days", REENTRY_MINUTES)
-    state.run_keyed(live, f"{folder}/live", f"{folder}/checkpoint").awaitTermination()
+
+    def run(arriving: DataFrame) -> StreamingQuery:
+        live = state.live_trades(rebuild.read_payload(arriving), f"{LATE_DAYS} days", REENTRY_MINUTES)
+        return state.run_keyed(live, f"{folder}/live", f"{folder}/checkpoint")
+
+    _arrive(m, "sent_at", f"{folder}/in", _later(m, "sent_at"), run)
     return spark.read.parquet(f"{folder}/live")
 
 
@@ -123,7 +130,10 @@ def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
     """One alert for each silence of a terminal, opened by a timer and closed by its next sign of life; at the end all are silent."""
     beats = driver.read(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("terminal_id"), F.col("ts").alias("at"))
     folder = stream_folder(spark)
-    arriving = _arrivals(beats, "at", f"{folder}/in", _later(beats, "at", LATE_DAYS + 30).withColumn("terminal_id", F.lit("end of the stream")))
-    state.run_keyed(state.silence_alerts(arriving, SILENT_MINUTES, f"{LATE_DAYS} days"), f"{folder}/alerts", f"{folder}/checkpoint").awaitTermination()
+
+    def run(arriving: DataFrame) -> StreamingQuery:
+        return state.run_keyed(state.silence_alerts(arriving, SILENT_MINUTES, f"{LATE_DAYS} days"), f"{folder}/alerts", f"{folder}/checkpoint")
+
+    _arrive(beats, "at", f"{folder}/in", _later(beats, "at", LATE_DAYS + 30).withColumn("terminal_id", F.lit("end of the stream")), run)
     out = state.alerts_now(spark.read.parquet(f"{folder}/alerts"))
     return out.select("terminal_id", sec("silent_from").alias("silent_from"), sec("opened_at").alias("opened_at"), sec("closed_at").alias("closed_at"))
