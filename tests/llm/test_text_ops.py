@@ -658,6 +658,49 @@ def test_alignment_against_brute_force(spark):
     assert all(root[i] == root[c] for i, c in got.items())
 
 
+def hidden_links(rng):
+    """Pairs whose only landmark is held by 60 unrelated recordings of smaller ids, too: whatever holder is picked, hardly ever one of a pair."""
+    some = lambda n: rng.integers(-(2**31), 2**31, n).astype(np.int32)
+    prints = {}
+    for group in range(6):
+        passage, whole, at = some(4), some(40), 1000 * group
+        for i in range(60):
+            prints[at + i] = np.r_[some(30), passage, some(30)]
+        whole[18:22] = passage
+        near = whole.copy()
+        near[[*range(0, 18, 3), 17, 22, *range(25, 40, 3)]] ^= 1  # no other run of four is equal
+        prints[at + 500], prints[at + 501] = whole, near
+    return prints
+
+
+def test_pairs_that_few_landmarks_join_are_compared(spark, monkeypatch):
+    """Each link is found, whether the pairs of a landmark are compared at once or in slices."""
+    prints = hidden_links(np.random.default_rng(5))
+    links = brute_links({i: fp.view(np.uint32) for i, fp in prints.items()})
+    assert links == {(1000 * g + 501, 1000 * g + 500) for g in range(6)}
+    df = spark.createDataFrame([(i, 0, fp.tolist()) for i, fp in prints.items()], "id long, n_samples long, fp array<int>").persist()
+    for most in (chroma.PAIRS, 3000):
+        monkeypatch.setattr(chroma, "PAIRS", most)
+        got = {r.id: r for r in chroma.align(df).collect()}
+        assert all(got[i].class_id == j and got[i].aligned and got[i].reference_id == j for i, j in links)
+        assert sum(r.class_id != r.id for r in got.values()) == len(links)
+
+
+def test_all_landmarks_of_a_pair_vote(spark):
+    """2 and 3 meet first at a passage that lies elsewhere in each, and refuse that offset; the one at which they align has another landmark."""
+    rng = np.random.default_rng(8)
+    a, b, c, d, e = (rng.integers(-(2**31), 2**31, n).astype(np.int32) for n in (30, 4, 4, 40, 40))
+    # b is first in 2, which 3 meets by it; c is first in 1, which both meet by it
+    whole = np.r_[d, c, e[:4], b, e[4:20], b ^ 0]
+    near = whole.copy()
+    near[[*range(0, 40, 3), 39, 44, 47, *range(48, len(whole), 3)]] ^= 1
+    near[48:52], near[2:6] = near[48:52] ^ 3, b
+    fps = {1: np.r_[a, c, a[::-1]], 2: whole, 3: near}
+    links = brute_links({i: fp.view(np.uint32) for i, fp in fps.items()})
+    got = {r.id: r for r in chroma.align(spark.createDataFrame([(i, 0, f.tolist()) for i, f in fps.items()], "id long, n_samples long, fp array<int>")).collect()}
+    assert links == {(3, 2)} and got[3].class_id == 2 and got[3].offset == 0
+
+
 @needs_tables
 def test_documents_as_recordings(spark):
     """Unrelated documents differ in half of the bits and do not align; recall against all pairs by brute force."""
